@@ -170,3 +170,8 @@ def legend_label(metric: Column, name: Column, order: Column, channel: Column, r
 def base_name(file_name: Column) -> Column:
     """A file name up to its first dot."""
     return F.substring_index(file_name, ".", 1)
+
+
+def stream_label_column(label: Column, channel: Column) -> Column:
+    """A stream's label, else ``Ch <id>``."""
+    return F.when(F.coalesce(label, F.lit("")) == "", F.concat(F.lit("Ch "), channel.cast("string"))).otherwise(label)

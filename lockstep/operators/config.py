@@ -101,10 +101,6 @@ def words_in_frame(bits: Column) -> Column:
     return F.ceil(bits / WORD_LEN).cast("int")
 
 
-def stream_label(label: Column, channel: Column) -> Column:
-    return F.when(F.coalesce(label, F.lit("")) == "", F.concat(F.lit("Ch "), channel.cast("string"))).otherwise(label)
-
-
 # --- word maps ----------------------------------------------------------------------------------------------------------
 
 def read_word_map(spark: SparkSession, path: str, map_id: str) -> DataFrame:

@@ -37,29 +37,36 @@ def packet_index(packets: DataFrame, keys: list[str] | None = None) -> DataFrame
                                               Carry("bit_base", F.col("n_bits"), "sum", inclusive=False)], F.col("chunk"))
 
 
-def place_packets(index: DataFrame, streams: DataFrame) -> DataFrame:
-    """Window range of every packet on its stream's clock, and the empty windows right before it.
+def place_packets(packets: DataFrame, streams: DataFrame) -> DataFrame:
+    """``packet_index`` plus the window range of every packet on its stream's clock, and the empty windows right before it.
 
     The clock is the packets' own time from the first packet on, or bits at the data rate from zero. Adds ``rel`` (ticks after
     the seed), ``seed``, ``w_first``, ``w_last`` (never before a window already reached) and ``gap_from``, ``gap_windows``. A bit lasts
-    no longer than a window, so a gap can only lie between packets.
+    no longer than a window, so a gap can only lie between packets. One row per packet, no payload.
     """
-    seeds = index.groupBy("stream_id").agg(F.greatest(F.lit(0), F.min_by("base_ticks", "ord")).cast("long").alias("seed"))
+    slim = packets.where("n_bits > 0").select("stream_id", "ord", "chunk", "n_bits", "base_ticks")
+    seeds = slim.groupBy("stream_id").agg(F.greatest(F.lit(0), F.min_by("base_ticks", "ord")).cast("long").alias("_seed"))
     config = streams.select("stream_id", "bit_ticks", "period_ticks", "use_rate_clock")
-    timed = (index.join(seeds, "stream_id").join(config, "stream_id")
-             .withColumn("seed", F.when(F.col("use_rate_clock"), F.lit(0)).otherwise(F.col("seed")).cast("long"))
-             .withColumn("rel", F.when(F.col("use_rate_clock"), F.col("bit_base") * F.col("bit_ticks"))
-                         .otherwise((F.col("base_ticks") - F.col("seed")).cast("double"))))
-    last_bit = F.col("rel") + (F.col("n_bits") - 1) * F.col("bit_ticks")
-    timed = timed.withColumns({"_first": window_index(F.col("rel"), F.col("period_ticks")),
-                               "_last": window_index(last_bit, F.col("period_ticks"))})
-    reached = ordered_scan(timed, ["stream_id"], ["ord"], [Carry("reached", F.col("_last"), "max", inclusive=False)], F.col("chunk"))
-    return reached.withColumns({
-        "w_first": F.greatest("_first", F.coalesce("reached", F.lit(0))),
-        "w_last": F.greatest("_last", F.coalesce("reached", F.lit(0))),
-        "gap_from": F.col("reached") + 1,
-        "gap_windows": F.greatest(F.lit(0), F.coalesce(F.col("_first") - F.col("reached") - 1, F.lit(0))),
-    }).drop("_first", "_last", "reached")
+    rate, period = F.col("use_rate_clock"), F.col("period_ticks")
+    own = (F.col("base_ticks") - F.col("_seed")).cast("double")
+    timed = slim.join(seeds, "stream_id").join(config, "stream_id").withColumn(
+        "_last", F.when(~rate, window_index(own + (F.col("n_bits") - 1) * F.col("bit_ticks"), period)))
+    scanned = ordered_scan(timed, ["stream_id"], ["ord"], [
+        Carry("seq", F.col("ord"), "count", inclusive=False), Carry("bit_base", F.col("n_bits"), "sum", inclusive=False),
+        Carry("_max", F.col("_last"), "max", inclusive=False)], F.col("chunk"))
+    # The rate clock never runs back: the window reached is that of the bit before.
+    before = F.when(F.col("bit_base") > 0, window_index((F.col("bit_base") - 1) * F.col("bit_ticks"), period))
+    rel = F.when(rate, F.col("bit_base") * F.col("bit_ticks")).otherwise(own)
+    placed = scanned.select("*", rel.alias("rel"), F.when(rate, F.lit(0)).otherwise(F.col("_seed")).cast("long").alias("seed"),
+                            F.when(rate, before).otherwise(F.col("_max")).alias("_reached"))
+    start = window_index(F.col("rel"), period)
+    end = window_index(F.col("rel") + (F.col("n_bits") - 1) * F.col("bit_ticks"), period)
+    reached = F.coalesce("_reached", F.lit(0))
+    return placed.select(
+        "stream_id", "ord", "chunk", "n_bits", "seq", "bit_base", "rel", "seed", "bit_ticks", "period_ticks",
+        F.greatest(start, reached).alias("w_first"), F.greatest(end, reached).alias("w_last"),
+        (F.col("_reached") + 1).alias("gap_from"),
+        F.greatest(F.lit(0), F.coalesce(start - F.col("_reached") - 1, F.lit(0))).alias("gap_windows"))
 
 
 def packet_windows(placed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from lockstep.operators import frames as fr
 from lockstep.operators import sync, windows
 from lockstep.operators.bits import scan_packets
 from lockstep.operators.calibrate import apply_calibration
+from lockstep.session import materialize
 
 
 @dataclass(frozen=True)
@@ -27,13 +28,16 @@ class LockRun:
 
 
 def run_lock(packets: DataFrame, streams: DataFrame) -> LockRun:
-    """Search, lock and window every stream. ``streams`` as from ``config.prepare_streams``."""
+    """Search, lock and window every stream. ``streams`` as from ``config.prepare_streams``.
+
+    What several branches need - hits, the packet index, anchors, the lock at each window's end - is written once on the way.
+    """
     hits, chunks = scan_packets(packets, streams)
-    placed = windows.place_packets(windows.packet_index(packets), streams)
+    placed = materialize(windows.place_packets(packets, streams))
     bits = windows.bit_windows(placed)
     gaps = windows.gap_windows(placed, streams)
     anchors = sync.lock_anchors(hits, streams, windows.gap_drops(placed, streams))
-    state = windows.lock_state_at(bits, anchors, streams)
+    state = materialize(windows.lock_state_at(bits, anchors, streams))
     samples = windows.lock_samples(state, gaps, placed, streams)
     return LockRun(hits, chunks, placed, bits, gaps, anchors, samples)
 

@@ -11,8 +11,8 @@ from lockstep.session import configure  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[8]").appName("lockstep-tests")
-               .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    session = (SparkSession.builder.master("local[4]").appName("lockstep-tests")
+               .config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "1").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
