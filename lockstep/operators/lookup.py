@@ -150,5 +150,5 @@ def _cover(lo: int, hi: int) -> list[tuple[int, int]]:
 def is_sorted_series(points: DataFrame, keys: list[str], order: list[str], x: str = "x", chunk: Column | None = None) -> DataFrame:
     """Whether every time after a series' first is finite and not before its predecessor."""
     near = ordered_scan(points, keys, order, [Carry("_prev", F.col(x), "last", inclusive=False)], chunk)
-    fine = F.col("_prev").isNull() | (~_not_finite(F.col(x)) & ~F.isnan("_prev") & (F.col(x) >= F.col("_prev")))
+    fine = F.col("_prev").isNull() | (~_not_finite(F.col(x)) & (F.isnan("_prev") | (F.col(x) >= F.col("_prev"))))
     return near.groupBy(*keys).agg(F.bool_and(fine).alias("sorted"))
