@@ -162,7 +162,7 @@ QUERIES = {
 _BYTES = """
 raw AS (SELECT lang, doc_id, regexp_extract_all(hex(encode(text)), '..') AS hs FROM documents WHERE octet_length(encode(text)) > 0),
 flat AS (SELECT lang, doc_id, len(hs) AS size, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS i FROM raw),
-bytes AS (SELECT lang, doc_id, size, i, ('0x' || h)::INTEGER AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS pos FROM flat)"""
+bytes AS MATERIALIZED (SELECT lang, doc_id, size, i, ('0x' || h)::INTEGER AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS pos FROM flat)"""
 
 
 def _digest(value: str, order: str = "i", source: str = "bytes") -> str:
@@ -177,7 +177,7 @@ _HITS = f"""{_CONFIG}, {_BYTES},
 near AS (SELECT lang, pos, b + (lag(b, 1, 0) OVER w)::BIGINT * 256 + (lag(b, 2, 0) OVER w)::BIGINT * 65536
          + (lag(b, 3, 0) OVER w)::BIGINT * 16777216 + (lag(b, 4, 0) OVER w)::BIGINT * 4294967296 AS v
          FROM bytes WINDOW w AS (PARTITION BY lang ORDER BY pos)),
-hits AS (SELECT n.lang, n.pos * 8 + s AS bit FROM near n JOIN cfg USING (lang), range(8) r(s)
+hits AS MATERIALIZED (SELECT n.lang, n.pos * 8 + s AS bit FROM near n JOIN cfg USING (lang), range(8) r(s)
          WHERE ((n.v >> (7 - s)) & ((1::BIGINT << len) - 1)) = pat AND n.pos * 8 + s >= len - 1)"""
 
 _PACKETS = f"""
@@ -202,7 +202,7 @@ pw AS (SELECT lang, doc_id, win, base + lo AS bit_from, base + hi - 1 AS bit_to,
 
 _FOLD = f"""
 ev0 AS (SELECT lang, bit, 1 AS kind FROM hits UNION ALL SELECT lang, base, 0 FROM pk WHERE gap > 0),
-ev AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY bit, kind) AS rn FROM ev0),
+ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY bit, kind) AS rn FROM ev0),
 walk AS (
   SELECT lang, 0::BIGINT AS rn, -1::BIGINT AS a, -1 AS c, -1 AS kind, -1::BIGINT AS bit, 0::BIGINT AS locked, 0::BIGINT AS missed, false AS honoured, false AS frame, false AS boundary, -1::BIGINT AS prev
   FROM (SELECT DISTINCT lang FROM ev)
@@ -215,7 +215,7 @@ walk AS (
         FROM (SELECT e.lang, e.rn, e.kind, e.bit, w.a, w.c, (e.bit - w.a) % {FRAME_BITS} = 0 AS boundary,
                      CASE WHEN (e.bit - w.a - 1) // {FRAME_BITS} = 0 THEN w.c ELSE -1 END AS eff
               FROM walk w JOIN ev e ON e.lang = w.lang AND e.rn = w.rn + 1))),
-anchors AS (SELECT * FROM walk WHERE honoured AND rn > 0),
+anchors AS MATERIALIZED (SELECT * FROM walk WHERE honoured AND rn > 0),
 ends AS (SELECT lang, sum(n)::BIGINT - 1 AS last_bit FROM pk GROUP BY lang),
 final AS (SELECT e.lang, last_bit, coalesce(s.a, -1) AS a, coalesce(s.c, -1) AS c FROM ends e LEFT JOIN
           (SELECT lang, arg_max(a, rn) AS a, arg_max(c, rn) AS c FROM walk GROUP BY lang) s USING (lang)),
@@ -226,7 +226,7 @@ lost AS (SELECT lang, prev + j * {FRAME_BITS} + 1 AS bit FROM (SELECT lang, prev
 
 _WINDOWS = f"""
 win AS (SELECT lang, win, sum(bits)::BIGINT AS bits, min(bit_from) AS bit_from, max(bit_to) AS bit_to FROM pw GROUP BY lang, win),
-frames AS (SELECT f.lang, f.prev, f.bit, w.win FROM (SELECT * FROM anchors WHERE frame) f JOIN win w ON f.lang = w.lang AND f.bit BETWEEN w.bit_from AND w.bit_to),
+frames AS MATERIALIZED (SELECT f.lang, f.prev, f.bit, w.win FROM (SELECT * FROM anchors WHERE frame) f JOIN win w ON f.lang = w.lang AND f.bit BETWEEN w.bit_from AND w.bit_to),
 nf AS (SELECT lang, win, count(*) AS n_frames FROM frames GROUP BY lang, win),
 lk AS (SELECT w.lang, w.win, sum(least(s.bit_to, w.bit_to) - greatest(s.bit_from, w.bit_from) + 1) AS locked
        FROM win w JOIN spans s ON s.lang = w.lang AND s.bit_from <= w.bit_to AND s.bit_to >= w.bit_from GROUP BY w.lang, w.win),
@@ -245,10 +245,9 @@ _ALL = f"WITH RECURSIVE {_HITS}, {_PACKETS}, {_placed('rel')}, {_SPREAD}, {_FOLD
 _FULL = f"{_ALL}, {_WINDOWS}"
 _WORD_LIST = ", ".join(f"({w}, 'L_RCVR{i + 1}')" for i, w in enumerate(WORDS))
 _WORDS = f"""wm(word, name) AS (VALUES {_WORD_LIST}),
-want AS (SELECT f.lang, f.bit, f.win, word, name, f.prev + 1 + 16 * word AS s FROM frames f, wm),
-got AS (SELECT w.lang, w.bit, w.win, w.word, w.name, (x.b * 65536 + y.b * 256 + coalesce(z.b, 0)) >> (8 - s % 8) & 65535 AS raw
-        FROM want w JOIN bytes x ON x.lang = w.lang AND x.pos = s // 8 JOIN bytes y ON y.lang = w.lang AND y.pos = s // 8 + 1
-        LEFT JOIN bytes z ON z.lang = w.lang AND z.pos = s // 8 + 2)"""
+want AS MATERIALIZED (SELECT f.lang, f.bit, f.win, word, name, f.prev + 1 + 16 * word AS s FROM frames f, wm),
+ahead AS MATERIALIZED (SELECT lang, pos, b * 65536 + (lead(b, 1, 0) OVER w) * 256 + lead(b, 2, 0) OVER w AS v FROM bytes WINDOW w AS (PARTITION BY lang ORDER BY pos)),
+got AS (SELECT w.lang, w.bit, w.win, w.word, w.name, (x.v >> (8 - s % 8)) & 65535 AS raw FROM want w JOIN ahead x ON x.lang = w.lang AND x.pos = s // 8)"""
 
 ORACLES = {
     "B1_swap_bytes": f"WITH {_BYTES} SELECT lang AS stream_id, doc_id AS ord, size % 2 = 1 AS swap_skipped, md5(string_agg(printf('%02X', b), '' "
