@@ -18,7 +18,7 @@ TYPE_CODES = {"view": 1, "click": 9, "purchase": 17, "error": 9, "signup": 17}
 
 
 def events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").withColumn("us", F.unix_micros("ts"))
+    return table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def day_chunk(us: str = "us"):
@@ -225,7 +225,7 @@ def nearest_pinned(spark, sf):
 
 def asof(spark, sf):
     """Each event with the latest order placed by its day's start, thirty years on; quantile chunks, as order dates are uneven."""
-    o = table(spark, sf, "orders").select((F.unix_micros("o_orderdate") + F.lit(25 * 365 * 24 * HOUR)).alias("us"), F.col("o_orderkey").alias("seq"), "o_orderkey")
+    o = table(spark, sf, "orders").select((F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.lit(25 * 365 * 24 * HOUR)).alias("us"), F.col("o_orderkey").alias("seq"), "o_orderkey")
     o = o.groupBy("us").agg(F.max("o_orderkey").alias("o_orderkey"))
     e = events(spark, sf).select("us", "event_id")
     both, chunk = quantile_chunk(e.select("us").unionByName(o.select("us")), "us")
@@ -357,8 +357,8 @@ ORACLES = {
     "T6_time_base": "SELECT round(min(epoch_us(ts)) / 1e6, 6) AS base_s, dayofyear(min(ts)) AS base_day, round(min(epoch_us(ts)) / 1e6 - floor(min(epoch_us(ts)) / 1e6 / 86400) * 86400, 6) AS base_offset FROM events",
     "P9_slice_time": f"WITH {_A} SELECT event_id, metric FROM a WHERE elapsed >= 86400",
     "P9_slice_limits": f"WITH {_A} SELECT round(max(elapsed), 6) AS x_max, 0.0 AS start, round(max(elapsed), 6) AS stop, true AS start_clamped, true AS stop_clamped, false AS stop_before_start FROM a",
-    "P10_slice_with_neighbours": f"WITH {_E}, t AS (SELECT user_id, event_id, us / 1e6 - (SELECT min(us / 1e6) FROM e) AS x FROM e) SELECT user_id, event_id FROM t QUALIFY x BETWEEN 500000 AND 700000 OR (x < 500000 AND coalesce(lead(x) OVER w >= 500000, true)) OR (x > 700000 AND coalesce(lag(x) OVER w <= 700000, true)) WINDOW w AS (PARTITION BY user_id ORDER BY x, event_id)",
-    "T4_series_range": "WITH v AS (SELECT user_id, event_id, value, event_id % 97 = 0 AS bad FROM events), l AS (SELECT user_id, max(event_id) FILTER (bad) AS at FROM v GROUP BY user_id) SELECT user_id, min(value) FILTER (NOT bad AND (at IS NULL OR event_id > at)) AS y_min, max(value) FILTER (NOT bad) AS y_max FROM v JOIN l USING (user_id) GROUP BY user_id",
+    "P10_slice_with_neighbours": f"WITH {_E}, t AS (SELECT user_id, event_id, us / 1e6 - (SELECT min(us / 1e6) FROM e) AS x FROM e) SELECT user_id, event_id FROM t QUALIFY x BETWEEN 500000 AND 700000 OR (x < 500000 AND coalesce(lead(x) OVER (PARTITION BY user_id ORDER BY x, event_id) >= 500000, true)) OR (x > 700000 AND coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY x, event_id) <= 700000, true))",
+    "T4_series_range": "WITH v AS (SELECT user_id, event_id, value, event_id % 97 = 0 AS bad FROM events), l AS (SELECT user_id, max(event_id) FILTER (bad) AS ln FROM v GROUP BY user_id) SELECT user_id, min(value) FILTER (NOT bad AND (ln IS NULL OR event_id > ln)) AS y_min, max(value) FILTER (NOT bad) AS y_max FROM v JOIN l USING (user_id) GROUP BY user_id",
     "T7_source_overlap": f"WITH {_E}, s AS (SELECT (user_id * 40 + (us // {24 * HOUR}) % 40)::BIGINT AS source_id, min(us) AS f, max(us) AS l FROM e WHERE value > 25 GROUP BY 1) SELECT a.source_id, count(b.source_id) AS overlaps, count(b.source_id) > 0 AS overlapping FROM s a LEFT JOIN s b ON a.source_id <> b.source_id AND a.f <= b.l AND b.f <= a.l GROUP BY a.source_id",
     "T12_union_sources": "SELECT user_id % 4 AS source_id, CASE WHEN user_id % 4 = 1 THEN 'first.ch10' ELSE 'Source ' || (user_id % 4) END AS label, count(*) AS points FROM events GROUP BY 1, 2",
     "T13_match_template": "WITH f AS (SELECT user_id AS source_id, list(DISTINCT event_type) AS p FROM events WHERE value > 40 GROUP BY user_id), d AS (SELECT source_id, list_sort(list_filter(['view', 'click', 'purchase'], lambda x: NOT list_contains(p, x))) AS m, list_sort(list_filter(p, lambda x: NOT list_contains(['view', 'click', 'purchase'], x))) AS x FROM f) SELECT source_id, 't' AS template, len(m) = 0 AND len(x) = 0 AS ok, concat_ws('; ', CASE WHEN len(m) > 0 THEN 'missing channel(s): ' || array_to_string(m, ', ') END, CASE WHEN len(x) > 0 THEN 'extra channel(s): ' || array_to_string(x, ', ') END) AS reason FROM d",
