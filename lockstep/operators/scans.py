@@ -47,7 +47,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], carries: list
     summary = staged.groupBy(*keys, CHUNK).agg(*[_summarise(c, F.col(v), position).alias(f"_s{v}")
                                                  for v, c in values.items()])
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(W.unboundedPreceding, -1)
     carry = summary.select(*keys, CHUNK, *[_carry(c, F.col(f"_s{v}"), before, after).alias(f"_c{v}")
                                            for v, c in values.items()])
     local = _scan_within(staged, [*keys, CHUNK], order,
@@ -62,8 +62,10 @@ def _scan_within(df: DataFrame, keys: list[str], order: list[str], carries: list
     cols = []
     for c in carries:
         if c.how == "next":
-            frame = base.rowsBetween(0 if c.inclusive else 1, W.unboundedFollowing)
-            cols.append(F.first(c.value, ignorenulls=True).over(frame).alias(c.name))
+            # Looking ahead is looking back in reverse order: a frame that only grows is filled in one pass.
+            back = W.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
+            frame = back.rowsBetween(W.unboundedPreceding, 0 if c.inclusive else -1)
+            cols.append(F.last(c.value, ignorenulls=True).over(frame).alias(c.name))
             continue
         frame = base.rowsBetween(W.unboundedPreceding, 0 if c.inclusive else -1)
         if c.how == "last":
@@ -86,7 +88,7 @@ def _summarise(c: Carry, value: Column, position: Column) -> Column:
 
 def _carry(c: Carry, value: Column, before, after) -> Column:
     if c.how == "next":
-        return F.first(value, ignorenulls=True).over(after)
+        return F.last(value, ignorenulls=True).over(after)
     if c.how == "last":
         return F.last(value, ignorenulls=True).over(before)
     return {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[c.how](value).over(before)
