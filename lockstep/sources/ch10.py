@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The packet header of the public standard.
 SYNC = 0xEB25
@@ -52,7 +52,7 @@ class Split(InputPartition):
 
 class Ch10Source(DataSource):
     """Options: ``path`` (comma-separated files or folders' files), ``splitBytes`` (default 128 MiB), ``payload`` (false leaves bodies
-    unread), ``firstSourceId``."""
+    unread), ``channelIds`` and ``dataTypes`` (comma-separated; other packets' bodies are never read), ``firstSourceId``."""
 
     @classmethod
     def name(cls) -> str:
@@ -72,17 +72,11 @@ class Ch10Reader(DataSourceReader):
         self.split_bytes = int(lowered.get("splitbytes", 128 << 20))
         self.with_payload = lowered.get("payload", "true").lower() != "false"
         self.first_source = int(lowered.get("firstsourceid", 0))
-        self.wanted: dict[str, set[int]] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Channel and data-type tests are applied to headers, so other packets' bodies are never read."""
-        for test in filters:
-            if isinstance(test, (EqualTo, In)) and test.attribute in (("channel_id",), ("data_type",)):
-                values = {test.value} if isinstance(test, EqualTo) else set(test.value)
-                name = test.attribute[0]
-                self.wanted[name] = self.wanted.get(name, values) & values
-            else:
-                yield test
+        # Explicit options rather than pushed filters: those are kept per table, so a second scan of the same frame in one
+        # plan would read through the first one's filter.
+        self.wanted = {name: {int(v) for v in lowered[option].split(",")} for name, option in
+                       (("channel_id", "channelids"), ("data_type", "datatypes")) if lowered.get(option)}
+
 
     def partitions(self) -> list[Split]:
         out = []
@@ -171,10 +165,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Ch10Source)
 
 
-def read_ch10(spark: SparkSession, paths: list[str] | str, split_bytes: int | None = None, payload: bool = True):
-    """Packets of one or many recordings; ``source_id`` is the place in ``paths``."""
+def read_ch10(spark: SparkSession, paths: list[str] | str, split_bytes: int | None = None, payload: bool = True,
+              channel_ids: list[int] | None = None, data_types: list[int] | None = None):
+    """Packets of one or many recordings; ``source_id`` is the place in ``paths``. Packets of channels and types not asked for are
+    skipped by their headers."""
     register(spark)
     reader = spark.read.format("ch10").option("path", paths if isinstance(paths, str) else ",".join(paths))
     if split_bytes:
         reader = reader.option("splitBytes", str(split_bytes))
+    for name, values in (("channelIds", channel_ids), ("dataTypes", data_types)):
+        if values is not None:
+            reader = reader.option(name, ",".join(map(str, values)))
     return reader.option("payload", str(payload).lower()).load()

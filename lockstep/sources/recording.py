@@ -121,11 +121,6 @@ def route_packets(packets: DataFrame, streams: DataFrame, on: list[str] | None =
     return packets.join(streams.select("stream_id", *on), on)
 
 
-def requested_channels(packets: DataFrame, channel_ids: list[int]) -> DataFrame:
-    """PCM and time packets of the channels asked for, as filters the source applies to headers."""
-    return packets.where(F.col("data_type").isin(PCM, TIME) & F.col("channel_id").isin(channel_ids))
-
-
 def time_ticks(payload: Column) -> Column:
     """Absolute 100 ns ticks of a time packet (format 1): day-of-year times count from 1970, dated times from their year.
 

@@ -31,6 +31,7 @@ def test_ch10(spark, tmp_path):
         assert len(got) == 52 and bytes(got[-1].payload)[-1] == 49
     table = read_ch10(spark, path)
     assert table.where("data_type = 9 and channel_id = 13").count() == 50
+    assert read_ch10(spark, path, 300, channel_ids=[13], data_types=[PCM]).count() == 50
     row = channel_catalog(tmats_attributes(table)).where("channel_id = 13").first()
     assert (row.name, row.type, row.bit_rate_bps) == ("CH-01", "PCMIN", 5e6)
     assert recording_gates(table, tmats_attributes(table)).count() == 0
