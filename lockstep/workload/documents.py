@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.functions import bits as _  # noqa: F401  (kernels are shipped with the package)
 from lockstep.operators import bits, sync, windows
 from lockstep.operators import frames as fr
 from lockstep.operators.calibrate import linear_coefficients
@@ -26,8 +25,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:
+    return as_packets(table(spark, sf, "documents"))
+
+
+def as_packets(documents: DataFrame) -> DataFrame:
     payload = F.encode("text", "UTF-8")
-    return table(spark, sf, "documents").select(
+    return documents.select(
         F.col("lang").alias("stream_id"), F.col("doc_id").alias("ord"), F.expr(f"doc_id div {DOCS_PER_CHUNK}").alias("chunk"),
         (8 * F.octet_length(payload)).cast("long").alias("n_bits"), (F.col("doc_id") * DOC_TICKS).alias("base_ticks"),
         payload.alias("payload")).where("n_bits > 0")
