@@ -9,6 +9,7 @@ from lockstep.operators import bits, sync, windows
 from lockstep.operators import frames as fr
 from lockstep.operators.calibrate import linear_coefficients
 from lockstep.operators.config import prepare_streams
+from lockstep.plans.calibration import extract_calibration
 from lockstep.plans.recording import LockRun, lock_percent, receiver_levels, run_lock
 
 DOCS_PER_CHUNK = 512
@@ -152,7 +153,14 @@ def levels(spark, sf):
     return out.select("stream_id", "name", "word", "window_idx", F.round("raw_mean", 6).alias("raw_mean"), F.round("value", 6).alias("value"))
 
 
+def calibration(spark, sf):
+    words = word_map(spark).select("stream_id", "ord", "name", "word")
+    out = extract_calibration(packets(spark, sf), streams(spark), words, [0.0, 6.0, 12.0])
+    return out.select("stream_id", "name", "word", "samples", "outcome", "detected_plateaus", F.round("edge_threshold", 6).alias("edge_threshold"), "period_s")
+
+
 QUERIES = {
+    "E18_extract_calibration": calibration,
     "B1_swap_bytes": swap_bytes, "B1_swap_report": swap_report, "B2_invert_bits": invert_bits, "B3_derandomize": derandomize,
     "B4_reverse_bits": reverse_bits, "B5_sync_hits": sync_hits, "B6_transform_matrix": transform_matrix, "B8_discover_sync": discover_sync,
     "S8_packet_index": packet_index, "W2_clock_windows": clock_windows, "W3_packet_windows": packet_windows, "D1_lock_anchors": lock_anchors,
