@@ -6,17 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import pieces
+from lockstep.llm import packing, pieces
 from lockstep.llm.common import table
 
+CAPACITY, END_ID = 1024, 2
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    return packing.pack_texts(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                              public_tokenizers.PATTERN, "<|endoftext|>", END_ID, CAPACITY)
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op3_pack": op3_pack, "op9_sentencepiece": op9_sentencepiece}
 ORACLES: dict[str, str] = {}
