@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lockstep.session import configure, materialize
 
-__all__ = ["batches_of", "fold", "hidden", "prepared", "table", "text_or_empty", "materialize"]
+__all__ = ["batches_of", "fold", "hidden", "prepared", "strings", "table", "text_or_empty", "materialize", "with_fields"]
 
 #: Rows per Arrow batch: texts may be long, so a batch must stay small whatever its rows hold.
 BATCH_ROWS = 500
@@ -56,6 +57,11 @@ def batches_of(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` followed by the fields of ``ddl``."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import materialize, prepared, strings
+from lockstep.llm.common import materialize, prepared, strings, with_fields
 from lockstep.llm.tokens import PairTable
 
 #: Rounds of fitting and rounding before the rest is packed best-fit.
@@ -39,8 +39,7 @@ def token_pieces(df: DataFrame, make_table, end_id: int, capacity: int, text: st
     """One row per piece: ``key, piece, start, length, ids_crc32``, and ``task, rank``: its number among the task's pieces of its length."""
     prepared(df.sparkSession)
     picked = df.select(key, text)
-    schema = (picked.select(key).schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
-              .add("task", "int").add("rank", "long"))
+    schema = with_fields(picked.select(key), "piece int, start long, length long, ids_crc32 long, task int, rank long")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +185,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     lengths, first_rank, first_seq, offset = slots(plan_patterns(histogram), capacity)
     before = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("shift"))
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("task", "shift")
-    schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
+    schema = with_fields(ranked.drop("rank"), "sequence_id long, offset long")
     keys = (lengths << 44) | first_rank
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

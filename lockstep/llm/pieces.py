@@ -17,9 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType
 
-from lockstep.llm.common import prepared, strings
+from lockstep.llm.common import prepared, strings, with_fields
 
 MARK = "▁"
 #: Words kept in a task's table (about 300 bytes each).
@@ -81,7 +80,7 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", keep: tuple[str
     """``keep`` columns, ``ids`` (array of int, end id last) and ``decoded`` (string) of every row's whole text."""
     prepared(df.sparkSession)
     picked = df.select(*keep, text)
-    schema = picked.select(*keep).schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    schema = with_fields(picked.select(*keep), "ids array<int>, decoded string")
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
