@@ -16,8 +16,8 @@ __all__ = ["batches_of", "fold", "hidden", "prepared", "strings", "table", "text
 
 #: Rows per Arrow batch: texts may be long, so a batch must stay small whatever its rows hold.
 BATCH_ROWS = 500
-#: UTF-8 bytes handled by one numpy pass.
-BATCH_BYTES = 4_000_000
+#: Characters handled by one numpy pass.
+BATCH_CHARS = 1_000_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -45,7 +45,7 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def batches_of(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+def batches_of(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts have about ``limit`` characters together; one longer text stands alone."""
     start = size = 0
     for i, text in enumerate(texts):

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import packing, pieces
-from lockstep.llm.common import table
+from lockstep.llm import language, packing, pieces
+from lockstep.llm.common import fold, table
 
 CAPACITY, END_ID = 1024, 2
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,11 +22,17 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = language.learn(docs.where(fold("doc_id", 4).isin(0, 1, 3)))
+    return language.predict(docs, model, ("doc_id", "held_out"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_MODEL)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_pack": op3_pack, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op3_pack": op3_pack, "op5_language": op5_language, "op9_sentencepiece": op9_sentencepiece}
 ORACLES: dict[str, str] = {}
