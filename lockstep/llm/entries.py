@@ -6,13 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import language, packing, pieces
+from lockstep.llm import language, packing, pieces, quality, toxicity
 from lockstep.llm.common import fold, table
 
 CAPACITY, END_ID = 1024, 2
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+TOXIC_FROM, GOOD_FROM = 0.7, 0.5
+
+
+def learned(docs: DataFrame, labels: DataFrame, operator):
+    """A model of ``operator`` from the rows of its fold."""
+    return operator.learn(docs.where(fold("doc_id", 3).isin(0, 2)), labels.where(fold("doc_id", 3).isin(0, 2)))
+
+
+def _scored(spark: SparkSession, sf_dir: str, operator, limit: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learned(docs, table(spark, sf_dir, "labels"), operator)
+    rows = operator.score(docs.withColumn("held_out", fold("doc_id", 3) == 1), model, ("doc_id", "held_out"))
+    return rows.withColumn("predicted", (F.col("score") >= limit).cast("int"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, TOXIC_FROM)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, GOOD_FROM)
+
+
 def packed(df: DataFrame) -> DataFrame:
     return packing.pack_texts(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                               public_tokenizers.PATTERN, "<|endoftext|>", END_ID, CAPACITY)
@@ -34,5 +57,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_pack": op3_pack, "op5_language": op5_language, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op5_language": op5_language, "op9_sentencepiece": op9_sentencepiece}
 ORACLES: dict[str, str] = {}
