@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import language, packing, pieces, quality, toxicity
+from lockstep.llm import fingerprints, language, packing, pieces, quality, toxicity
 from lockstep.llm.common import fold, table
 
 CAPACITY, END_ID = 1024, 2
@@ -45,6 +45,11 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     model = language.learn(docs.where(fold("doc_id", 4).isin(0, 1, 3)))
@@ -57,5 +62,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op5_language": op5_language, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_fingerprint": op4_fingerprint, "op5_language": op5_language, "op9_sentencepiece": op9_sentencepiece}
 ORACLES: dict[str, str] = {}

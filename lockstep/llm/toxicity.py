@@ -24,13 +24,15 @@ from lockstep.llm.chars import WORD, Words
 from lockstep.llm.common import batches_of, materialize, prepared, strings, with_fields
 
 #: Most rows of each sort that are learned from.
-MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
+MOST_POSITIVE, MOST_UNLABELLED = 2000, 4000
+#: The labelled share is raised by this much: a prior that is too low calls confirmed rows clean.
+PRIOR_MARGIN = 1.15
 #: Features whose corpus frequency is counted, and those that are kept.
-CANDIDATES, FEATURES = 20_000, 1024
+CANDIDATES, FEATURES = 20_000, 512
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6)
-#: Least confirmed documents with a feature, and how over-represented it must be.
-LEAST_DOCS, LEAST_LIFT = 3, 3.0
+#: Least confirmed documents with a feature (and their least share), and how over-represented it must be.
+LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 3, 0.01, 4.0
 CLASSIFIERS, TABLE_BITS = 3, 20
 
 
@@ -82,25 +84,22 @@ class ToxicityModel:
         return (1 / (1 + np.exp(-np.clip(z, -60, 60)))).mean(0)
 
 
-def non_negative_pu(x: np.ndarray, confirmed: np.ndarray, prior: float, steps: int = 600, seed: int = 0) -> np.ndarray:
-    """A linear classifier under the non-negative risk with logistic loss (Adam on minibatches of both sorts)."""
+def non_negative_pu(x: np.ndarray, confirmed: np.ndarray, prior: float, steps: int = 200, seed: int = 0) -> np.ndarray:
+    """A linear classifier under the non-negative risk with sigmoid loss, on a resample of both sorts (full-batch Adam)."""
     rng = np.random.default_rng(seed)
-    positive, unlabelled = np.flatnonzero(confirmed), np.flatnonzero(~confirmed)
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
+    xp, xu = (x[rng.choice(rows, len(rows))] if seed else x[rows] for rows in (np.flatnonzero(confirmed), np.flatnonzero(~confirmed)))
+    w = np.zeros(x.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        xp, xu = x[rng.choice(positive, 128)], x[rng.choice(unlabelled, 256)]
-        zp, zu = xp @ w, xu @ w
-        pos_pos = -1 / (1 + np.exp(np.clip(zp, -60, 60)))       # slope of log(1 + exp(-z))
-        pos_neg, unl_neg = 1 + pos_pos, 1 / (1 + np.exp(np.clip(-zu, -60, 60)))  # slope of log(1 + exp(z))
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_rest = xu.T @ unl_neg / len(xu) - prior * (xp.T @ pos_neg) / len(xp)
-        g = prior * (xp.T @ pos_pos) / len(xp) + g_rest if rest >= 0 else -g_rest
-        g = g + 2e-5 * w
+        sp, su = (1 / (1 + np.exp(-np.clip(part @ w, -40, 40))) for part in (xp, xu))
+        rest = su.mean() - prior * sp.mean()  # risk of calling unlabelled rows toxic, without the toxic ones among them
+        up = xp.T @ (sp * (1 - sp)) / len(xp)
+        g_rest = xu.T @ (su * (1 - su)) / len(xu) - prior * up
+        g = g_rest - prior * up if rest >= 0 else -g_rest
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+        w = w - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w.astype(float)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
@@ -130,7 +129,7 @@ def _candidates(sample: DataFrame) -> np.ndarray:
     n_pos, n_unl = size.get(True, 0), size.get(False, 0)
     found = (sample.mapInArrow(run, "positive boolean, h long").groupBy("h")
              .agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("u"))
-             .where((F.col("p") >= LEAST_DOCS) & (F.col("p") * max(1, n_unl) > LEAST_LIFT * F.col("u") * max(1, n_pos)))
+             .where((F.col("p") >= max(LEAST_DOCS, LEAST_SHARE * n_pos)) & (F.col("p") * max(1, n_unl) > LEAST_LIFT * F.col("u") * max(1, n_pos)))
              .orderBy(F.desc("p"), "h").limit(CANDIDATES).toPandas())
     return np.sort(found.h.to_numpy(np.int64).view(np.uint64))
 
@@ -182,12 +181,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     x, confirmed = _matrix(sample, wide)
     if not confirmed.any() or confirmed.all():
         return nothing
-    in_confirmed = x[confirmed].sum(0)
-    lift = in_confirmed * np.log((in_confirmed + 0.5) / confirmed.sum() * (total + 1) / (n + 0.5))
-    kept = np.sort(np.argsort(-lift, kind="stable")[:FEATURES])
-    prior = float(np.clip(share, 0.005, 0.5))
-    weights = [non_negative_pu(x[:, kept], confirmed, prior, seed=s) for s in range(CLASSIFIERS)]
-    return ToxicityModel(Lookup(wide.sorted[kept]), np.array(weights))
+    prior = float(np.clip(PRIOR_MARGIN * share, 0.005, 0.5))
+    seen = x[confirmed].sum(0)
+    # the share of toxic rows among all rows with the feature, from below: it is also the feature's scale
+    purity = np.clip(prior * (seen - np.sqrt(seen)) / confirmed.sum() * (total + 1) / (n + 1), 0, 1)
+    kept = np.sort(np.argsort(-purity * np.sqrt(seen), kind="stable")[:FEATURES])
+    scale = purity[kept].astype(np.float32)
+    weights = [non_negative_pu(x[:, kept] * scale, confirmed, prior, seed=s) for s in range(CLASSIFIERS)]
+    return ToxicityModel(Lookup(wide.sorted[kept]), np.array([[*(w[:-1] * scale), w[-1]] for w in weights]))
 
 
 def score(df: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:
