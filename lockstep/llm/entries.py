@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import fingerprints, language, packing, pieces, quality, topk, toxicity
+from lockstep.llm import fingerprints, language, packing, page_text, pieces, quality, topk, toxicity
 from lockstep.llm.common import fold, table
 
 CAPACITY, END_ID = 1024, 2
@@ -60,6 +60,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = page_text.extract(pages, page_text.learn(pages))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 OP8_SQL = """
 WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
@@ -76,5 +82,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_fingerprint": op4_fingerprint, "op5_language": op5_language, "op8_topk": op8_topk, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_fingerprint": op4_fingerprint, "op5_language": op5_language, "op8_topk": op8_topk, "op9_sentencepiece": op9_sentencepiece, "op10_page_text": op10_page_text}
 ORACLES: dict[str, str] = {"op8_topk": OP8_SQL}
