@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from __future__ import annotations
+
 from functools import cache
 
 import numpy as np
@@ -84,8 +86,15 @@ class Words:
 
     @staticmethod
     def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Sums over [cuts[0], cuts[1]), [cuts[2], cuts[3]), ...; every range is non-empty and followed by a separator."""
-        return np.add.reduceat(values, cuts[:-1])[::2] if len(cuts) else values[:0]
+        """Sums over [cuts[0], cuts[1]), [cuts[2], cuts[3]), ...; every range is non-empty and ends before the last separator."""
+        return np.add.reduceat(values, cuts)[::2] if len(cuts) else values[:0]
+
+    def only(self, keep: np.ndarray) -> Words:
+        """These runs without those that are not kept."""
+        for name in ("begin", "length", "kind", "text", "hash", "capital"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.prefix = {n: v[keep] for n, v in self.prefix.items()}
+        return self
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of every run of ``n`` neighbouring words; a text of fewer words, but some, is one shingle."""
@@ -97,7 +106,7 @@ class Words:
         place = np.arange(count) - first[self.text]
         rest = size[self.text] - place
         total = np.zeros(count, np.uint64)
-        for k in range(n):
+        for k in range(min(n, count)):
             part = mix(self.hash[k:], 1000 + k)
             total[: count - k] += np.where(rest[: count - k] > k, part, np.uint64(0))
         keep = (rest >= n) | ((place == 0) & (size[self.text] < n))
