@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import fingerprints, language, near_dup, packing, page_text, pieces, quality, topk, toxicity
+from lockstep.llm import fingerprints, language, near_dup, packing, page_text, passages, pieces, quality, topk, toxicity
 from lockstep.llm.common import fold, table
 
 CAPACITY, END_ID = 1024, 2
@@ -60,6 +60,11 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passages.cut(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -86,5 +91,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_fingerprint": op4_fingerprint, "op5_language": op5_language, "op6_near_dup": op6_near_dup, "op8_topk": op8_topk, "op9_sentencepiece": op9_sentencepiece, "op10_page_text": op10_page_text}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_fingerprint": op4_fingerprint, "op5_language": op5_language, "op6_near_dup": op6_near_dup, "op7_passages": op7_passages, "op8_topk": op8_topk, "op9_sentencepiece": op9_sentencepiece, "op10_page_text": op10_page_text}
 ORACLES: dict[str, str] = {"op8_topk": OP8_SQL}
