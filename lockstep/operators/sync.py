@@ -1,14 +1,15 @@
 """Frame synchronisation over sync hits: which hits hold the lock, which bits were locked, which frames went missing.
 
 The rule is sequential, but it only ever looks at hits (about one per frame), and what it carries forward is one bit offset and
-one small count. So every (stream, chunk) is folded on its own from an assumed entry state, and a chunk is folded again only if
-the chunk before it turns out to leave another state. Streams that lock agree after one more round; the result is exact
-whatever the data, since the rounds stop only when every chunk was folded from its predecessor's exit.
+one small count. Whatever a chunk is entered with, its first honoured hit lies within about a frame of its first hit, so a chunk is
+summarised by where each such landing leads: one slim row. One pass over those rows in order gives every chunk's entry state, and
+a second fold over the hits gives the result. Two folds and one scan of slim rows, whatever the data and the number of chunks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from lockstep.session import materialize
 
-DROP, ANCHOR, STATE = 0, 1, 2
+DROP, ANCHOR = 0, 1
 NO_LOCK = -1
+#: Missed frames listed by one row before they are listed one by one: a lost stream may miss more than an array can hold.
+_MISSED_STRIDE = 100_000
 
 _FOLD_SCHEMA = ("stream_id string, chunk long, kind int, bit long, anchor long, prev long, count int, locked long, "
                 "missed long, frame boolean, boundary boolean")
@@ -64,15 +67,95 @@ def fold_hits(hits: np.ndarray, drops: np.ndarray, frame_bits: int, min_syncs: i
     return rows, anchor, count
 
 
+class ChunkExits:
+    """Where a chunk leads from every landing: a landing is the first honoured hit and the count after it."""
+
+    def __init__(self, hits: list[int], drops: list[int], frame_bits: int, min_syncs: int):
+        self.hits, self.drops, self.frame_bits, self.min_syncs = hits, drops, frame_bits, min_syncs
+        self.exits: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def step(self, anchor: int, count: int, place: int) -> tuple[int, int] | None:
+        """(place, count) of the next honoured hit at or after ``place``, or nothing if no hit is left."""
+        gap_at = bisect_right(self.drops, anchor)
+        gap = self.drops[gap_at] if gap_at < len(self.drops) else None
+        if count >= self.min_syncs:
+            resume = anchor + self.frame_bits if gap is None else min(anchor + self.frame_bits, gap)
+            place = bisect_left(self.hits, resume, place)
+        if place >= len(self.hits):
+            return None
+        lost, offset = divmod(self.hits[place] - anchor - 1, self.frame_bits)
+        held = NO_LOCK if lost or (gap is not None and gap <= self.hits[place]) else count
+        return place, min(held + 1 if offset == self.frame_bits - 1 else 1, self.min_syncs)
+
+    def leave(self, anchor: int, count: int) -> tuple[int, int]:
+        """State at the end of the chunk when ``anchor`` was the last honoured hit."""
+        return anchor, NO_LOCK if self.drops and self.drops[-1] > anchor else count
+
+    def exit(self, place: int, count: int) -> tuple[int, int]:
+        """State at the end of the chunk after a landing. Ways that meet are walked once."""
+        way, at = [], (place, count)
+        while at is not None and at not in self.exits:
+            way.append(at)
+            at = self.step(self.hits[at[0]], at[1], at[0] + 1)
+        end = self.exits[at] if at else self.leave(self.hits[way[-1][0]], way[-1][1])
+        self.exits.update((w, end) for w in way)
+        return end
+
+
+_SUMMARY_SCHEMA = ("stream_id string, chunk long, bits_in_frame long, min_syncs int, early array<bigint>, first_drop long, "
+                   "exit_anchor array<bigint>, exit_count array<int>")
+
+
+def _summarise_chunk(table: pa.Table) -> pa.Table:
+    """One slim row: the hits a landing may be on (in bit order, up to a frame past the first, and one more) and, for each of them
+    and each count from 0 to ``min_syncs``, the state at the chunk's end."""
+    first = {c: table.column(c)[0].as_py() for c in ("stream_id", "chunk", "bits_in_frame", "min_syncs")}
+    kind, bit = table.column("kind").to_numpy(), table.column("bit").to_numpy()
+    hits, drops = np.sort(bit[kind == ANCHOR]).tolist(), np.sort(bit[kind == DROP]).tolist()
+    chunk = ChunkExits(hits, drops, first["bits_in_frame"], first["min_syncs"])
+    latest = max([hits[0], *drops[:1]]) + first["bits_in_frame"] if hits else 0
+    early = hits[:bisect_right(hits, latest) + 1]
+    ends = [chunk.exit(i, c) for i in range(len(early)) for c in range(first["min_syncs"] + 1)]
+    return pa.table([pa.array([v]) for v in first.values()] + [
+        pa.array([early], pa.list_(pa.int64())), pa.array([drops[0] if drops else None], pa.int64()),
+        pa.array([[e[0] for e in ends]], pa.list_(pa.int64())), pa.array([[e[1] for e in ends]], pa.list_(pa.int32()))],
+        names=["stream_id", "chunk", "bits_in_frame", "min_syncs", "early", "first_drop", "exit_anchor", "exit_count"]).cast(pa.schema([
+            ("stream_id", pa.string()), ("chunk", pa.int64()), ("bits_in_frame", pa.int64()), ("min_syncs", pa.int32()), ("early", pa.list_(pa.int64())),
+            ("first_drop", pa.int64()), ("exit_anchor", pa.list_(pa.int64())), ("exit_count", pa.list_(pa.int32()))]))
+
+
+def _entries(summaries: DataFrame) -> DataFrame:
+    """Entry state of every chunk: one pass over the slim rows of a stream, which are streamed and never held together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, anchor, count = None, -1, NO_LOCK
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["stream_id"] != stream:
+                    stream, anchor, count = row["stream_id"], -1, NO_LOCK
+                out.append((stream, row["chunk"], anchor, count))
+                drops = [row["first_drop"]] if row["first_drop"] is not None else []
+                landing = ChunkExits(row["early"], drops, row["bits_in_frame"], row["min_syncs"]).step(anchor, count, 0)
+                if landing is not None:
+                    at = landing[0] * (row["min_syncs"] + 1) + landing[1]
+                    anchor, count = row["exit_anchor"][at], row["exit_count"][at]
+                elif drops:
+                    count = NO_LOCK
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32()))],
+                                             names=["stream_id", "chunk", "in_anchor", "in_count"])
+
+    return summaries.repartition("stream_id").sortWithinPartitions("stream_id", "chunk").mapInArrow(
+        run, "stream_id string, chunk long, in_anchor long, in_count int")
+
+
 def _fold_chunk(table: pa.Table) -> pa.Table:
     first = {c: table.column(c)[0].as_py() for c in ("stream_id", "chunk", "bits_in_frame", "min_syncs", "in_anchor", "in_count")}
     kind = table.column("kind").to_numpy()
     bit = table.column("bit").to_numpy()
-    rows, anchor, count = fold_hits(np.sort(bit[kind == ANCHOR]), np.sort(bit[kind == DROP]), first["bits_in_frame"],
-                                    first["min_syncs"], first["in_anchor"], first["in_count"])
-    # The state row says what the chunk was folded from (prev, missed) and what it leaves (anchor, count).
-    rows.append((STATE, None, anchor, first["in_anchor"], count, None, first["in_count"], None, None))
-    columns = [pa.array(c) for c in zip(*rows)]
+    rows, _, _ = fold_hits(np.sort(bit[kind == ANCHOR]), np.sort(bit[kind == DROP]), first["bits_in_frame"],
+                           first["min_syncs"], first["in_anchor"], first["in_count"])
+    columns = [pa.array(c) for c in zip(*rows)] if rows else [pa.array([])] * 9
     n = len(rows)
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
     names = ["kind", "bit", "anchor", "prev", "count", "locked", "missed", "frame", "boundary"]
@@ -80,31 +163,15 @@ def _fold_chunk(table: pa.Table) -> pa.Table:
                      *[c.cast(t) for c, t in zip(columns, types)]], names=["stream_id", "chunk", *names])
 
 
-def _fold(events: DataFrame) -> DataFrame:
-    return events.groupBy("stream_id", "chunk").applyInArrow(_fold_chunk, _FOLD_SCHEMA)
-
-
 def _folded(hits: DataFrame, streams: DataFrame, gaps: DataFrame | None) -> DataFrame:
     events = hits.select("stream_id", "chunk", "bit", F.lit(ANCHOR).alias("kind"))
     if gaps is not None:
         events = events.unionByName(gaps.select("stream_id", "chunk", "bit", F.lit(DROP).alias("kind")))
     events = events.join(streams.select("stream_id", F.col("bits_in_frame").cast("long"), F.col("min_syncs").cast("int")),
                          "stream_id")
-    fresh = {"in_anchor": F.lit(-1).cast("long"), "in_count": F.lit(NO_LOCK)}
-    folded = materialize(_fold(events.withColumns(fresh)))
-    order = W.partitionBy("stream_id").orderBy("chunk")
-    while True:
-        states = folded.where(F.col("kind") == STATE)
-        entry = states.select("stream_id", "chunk", F.col("prev").alias("used_anchor"), F.col("missed").alias("used_count"),
-                              F.coalesce(F.lag("anchor").over(order), F.lit(-1)).alias("in_anchor"),
-                              F.coalesce(F.lag("count").over(order), F.lit(NO_LOCK)).alias("in_count"))
-        stale = entry.where("in_anchor != used_anchor or in_count != used_count").drop("used_anchor", "used_count")
-        stale = materialize(stale)
-        if stale.isEmpty():
-            return folded
-        again = _fold(events.join(stale, ["stream_id", "chunk"]))
-        kept = folded.join(stale.select("stream_id", "chunk"), ["stream_id", "chunk"], "left_anti")
-        folded = materialize(kept.unionByName(again))
+    entries = materialize(_entries(events.groupBy("stream_id", "chunk").applyInArrow(_summarise_chunk, _SUMMARY_SCHEMA)))
+    folded = events.join(entries, ["stream_id", "chunk"]).groupBy("stream_id", "chunk").applyInArrow(_fold_chunk, _FOLD_SCHEMA)
+    return materialize(folded)
 
 
 def lock_anchors(hits: DataFrame, streams: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
@@ -112,10 +179,10 @@ def lock_anchors(hits: DataFrame, streams: DataFrame, gaps: DataFrame | None = N
 
     Out of lock every hit is honoured; in lock only one exactly a frame after the last. On a frame boundary the count rises by
     one (from "none" to 0); off it the count restarts at 1. A frame with no hit at its end, or a recording gap (``gaps``), makes
-    the count none. ``count`` (after the event) is capped at ``min_syncs``: at that value the stream is in lock. ``locked`` and
+    the count none. ``count`` (after the event) is a lock level: it rises to ``min_syncs``, where the stream is in lock, and no further. ``locked`` and
     ``missed`` are the locked bits and missed frames since the event before; ``frame`` marks a hit that completes a frame.
     """
-    return _folded(hits, streams, gaps).where(F.col("kind") != STATE)
+    return _folded(hits, streams, gaps)
 
 
 def lock_spans(anchors: DataFrame, chunks: DataFrame, streams: DataFrame) -> DataFrame:
@@ -137,7 +204,8 @@ def missed_frame_events(anchors: DataFrame, chunks: DataFrame, streams: DataFram
     after = last.select("stream_id", F.col("anchor").alias("prev"),
                         F.expr("(last_bit - anchor - 1) div bits_in_frame").alias("missed"), "bits_in_frame")
     return (between.unionByName(after.where("missed > 0"))
-            .withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), "missed")))
+            .withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), "missed", F.lit(_MISSED_STRIDE).cast("long"))))
+            .withColumn("j", F.explode(F.sequence("_from", F.least("missed", F.col("_from") + _MISSED_STRIDE - 1))))
             .select("stream_id", (F.col("prev") + F.col("j") * F.col("bits_in_frame") + 1).alias("bit")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; make one only where none is named."""
+    """Use the folder named by ``spark.checkpoint.dir``; make one only in a session that runs in one process (as in tests).
+
+    On a cluster every executor has its own disk, so a folder that all of them share must be named.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
