@@ -8,8 +8,8 @@ drawn in order for all documents of a batch at once, until no later point can be
 
 Documents with the same word sequence are one content. Contents that share a band are candidates; the exact weighted Jaccard index of
 their multisets decides. Pairs are not expanded within a bucket: its first content is compared with the others; contents that are in one
-component by then need no more comparison, and only buckets that still hold several components get further first contents (twice as many
-each round), until every pair of a bucket has been compared or is in one component. No bucket, partner or round is capped.
+component by then need no more comparison, and only buckets that still hold several components get further first contents (eight times
+as many each round), until every pair of a bucket has been compared or is in one component. No bucket, partner or round is capped.
 
 ``BANDS`` of ``ROWS`` registers miss a pair of similarity 0.8 with probability 3e-6. Words are runs of letters and digits in lower case.
 
@@ -195,12 +195,12 @@ def _content_roots(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataF
         links = materialize(_verified(pairs, multisets))
         if links.limit(1).count():
             # components of components: links between the roots found so far
-            by_root = (links.join(labels.select(F.col("content").alias("a"), F.col("root").alias("ra")), "a")
+            by_root = materialize(links.join(labels.select(F.col("content").alias("a"), F.col("root").alias("ra")), "a")
                        .join(labels.select(F.col("content").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
             merged = components(by_root).select(F.col("node").alias("root"), F.col("root").alias("top"))
             labels = materialize(labels.join(merged, "root", "left").select("content", F.coalesce("top", "root").alias("root")))
         active = active.drop("root")
-        low, high = high, 2 * high + 1
+        low, high = high, 8 * high
 
 
 def _rooted(df: DataFrame, key: str, text: str) -> DataFrame:

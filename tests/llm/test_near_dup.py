@@ -7,6 +7,7 @@ import pytest
 
 from lockstep.llm import entries, near_dup as nd
 from lockstep.llm.chars import WORD, Words
+from lockstep.llm.components import components
 
 
 def bag(text):
@@ -86,6 +87,16 @@ def test_query_equals_brute_force_components(spark, tmp_path):
     assert sorted(r.doc_id for r in kept) == sorted(min(x for x in g if x is not None) for g in groups.values())
 
 
+def test_components_by_rounds_and_by_one_task(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)] + [(7, 7)]
+    edges = [(a, b) for a, b in edges if a != b]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {r.node: r.root for r in components(df).collect()}
+    assert one == {r.node: r.root for r in components(df, 0).collect()} and one[40] == 0 and one[0] == 0
+    assert components(df.limit(0)).count() == 0
+
+
 def test_empty_and_nothing_alike(spark, tmp_path):
     write(spark, f"{tmp_path}/a", [])
     assert entries.op6_near_dup(spark, f"{tmp_path}/a").count() == 0
