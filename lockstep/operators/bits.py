@@ -275,9 +275,9 @@ def transform_matrix(packets: DataFrame, streams: DataFrame, frame_bits: int | N
 
 
 def hit_grid(hits: DataFrame, frame_bits: int | None = None, keys: list[str] | None = None,
-             bit: str = "bit", chunk: Column | str | None = "chunk") -> DataFrame:
-    """The hit spacing that most hits share: candidates are the five commonest spacings (or ``frame_bits``), and the best is
-    the one with the most hits in one residue class. Fewer than two hits: no grid."""
+             bit: str = "bit", chunk: Column | str | None = "chunk", candidates: int = 5) -> DataFrame:
+    """The hit spacing that most hits share: tried are the ``candidates`` commonest spacings (or ``frame_bits`` alone), listed in
+    ``top_deltas``, and the best is the one with the most hits in one residue class. Fewer than two hits: no grid."""
     keys = keys or ["stream_id"]
     chunk = F.col(chunk) if isinstance(chunk, str) else chunk
     slim = hits.select(*keys, F.col(bit).alias("_bit"), *([chunk.alias("_cut")] if chunk is not None else []))
@@ -286,7 +286,7 @@ def hit_grid(hits: DataFrame, frame_bits: int | None = None, keys: list[str] | N
     deltas = (spaced.where(F.col("_prev").isNotNull()).withColumn("delta", F.col("_bit") - F.col("_prev"))
               .groupBy(*keys, "delta").agg(F.count(F.lit(1)).alias("n"), F.min("_bit").alias("_seen")))
     ranked = deltas.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "_seen")))
-    top = ranked.where("place <= 5")
+    top = ranked.where(F.col("place") <= candidates)
     tops = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "delta", "n"))).alias("top_deltas"))
     periods = (top.where("delta > 0").select(*keys, "place", F.col("delta").alias("period")) if frame_bits is None
                else tops.select(*keys, F.lit(1).alias("place"), F.lit(frame_bits).cast("long").alias("period")))
@@ -330,8 +330,8 @@ _RUN_SCHEMA = pa.schema([("stream_id", pa.string()), ("chunk", pa.int64()), ("wo
                          ("delta", pa.int64()), ("n", pa.int64())])
 
 
-def discover_sync(packets: DataFrame, word_len: int = 32, min_reps: int = 6, top: int = 8) -> DataFrame:
-    """Words that recur at a constant bit period, best first: whatever repeats on a fixed grid is likely the frame sync.
+def discover_sync(packets: DataFrame, word_len: int = 32, min_reps: int = 6) -> DataFrame:
+    """All words with at least ``min_reps`` starts, most of them one fixed distance apart; ``place`` 1 has the most starts on its grid.
 
     Occurrences leave a chunk as runs of equal spacing, so idle fill (one word at every bit) is one row, not one per bit.
     """
@@ -363,5 +363,5 @@ def discover_sync(packets: DataFrame, word_len: int = 32, min_reps: int = 6, top
     grid = (same.unionByName(spread).groupBy(*word, "residue").agg(F.sum("n").alias("n"))
             .groupBy(*word).agg(F.max("n").alias("on_grid")))
     best = W.partitionBy("stream_id").orderBy(F.desc("on_grid"), F.desc("word"), F.desc("period"))
-    return (found.join(grid, word).withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    return (found.join(grid, word).withColumn("place", F.row_number().over(best))
             .select("stream_id", "place", "on_grid", "word", "period", F.col("total").alias("hits")))

@@ -26,7 +26,7 @@ SETTING_SECTIONS = ["Defaults", "Frame", "Parameters", "Time", "Receivers", "Bou
 
 def full_mask(bits: Column) -> Column:
     """``bits`` ones as a signed long holding an unsigned value."""
-    return F.when(bits >= 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, 0)") * 0 + F.pow(F.lit(2.0), bits).cast("long") - 1)
+    return F.when(bits >= 64, F.lit(-1).cast("long")).otherwise(F.pow(F.lit(2.0), bits).cast("long") - 1)
 
 
 def resolve_sync(df: DataFrame, pattern: str = "sync_hex", mask: str = "mask_hex") -> DataFrame:

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.operators.scans import Carry, ordered_scan
+from lockstep.operators.scans import Carry, cut_at, ordered_scan, quantile_bounds
+from lockstep.operators.series import slice_with_neighbours
 
 MAX_SAMPLES_PER_COLUMN = 2
 BLOCK = 32
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: Column | None = None,
-                  fallback_first: bool = False) -> DataFrame:
+                  fallback_first: bool = False, rows_per_chunk: int | None = None) -> DataFrame:
     """Each left row with the latest right row at or before it (right first at equal ``order``), by one ordered scan.
 
-    ``order`` columns exist on both sides. With ``fallback_first`` rows before any right row take the first one.
+    ``order`` columns exist on both sides. The scan is cut by ``chunk``, or into quantiles of the first order column of both sides. With ``fallback_first`` rows before any right row take the first one.
     """
     marks = right.select(*keys, *order, F.struct(*values).alias("_right"), F.lit(0).alias("_side"))
     rows = left.withColumns({"_side": F.lit(1), "_row": F.struct(*[c for c in left.columns if c not in (*keys, *order)])})
     both = marks.unionByName(rows.select(*keys, *order, "_side", "_row"), allowMissingColumns=True)
+    if rows_per_chunk:
+        both, chunk = cut_at(both, order[0], quantile_bounds(left.select(order[0]).unionByName(right.select(order[0])), order[0], rows_per_chunk))
     found = ordered_scan(both, keys, [*order, "_side"], [Carry("_found", F.col("_right"), "last")], chunk).where("_side = 1")
     if fallback_first:
         first = right.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
@@ -27,12 +30,12 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], order: lis
     return found.select(*keys, *order, "_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def nearest_sample(points: DataFrame, probes: DataFrame, chunk_of=None, max_dist: float | None = None, series: str = "series_no",
+def nearest_sample(points: DataFrame, probes: DataFrame, rows_per_chunk: int | None = 250_000, max_dist: float | None = None, series: str = "series_no",
                    x: str = "x", pinned: bool = False) -> DataFrame:
     """The sample nearest in time to every probe (``probe_id, x``), over all series or, if ``pinned``, in the probe's own.
 
     Points: ``series_no, idx, x, value``. At equal distance the first series wins, and within a series the sample at or after
-    the probe. ``chunk_of(x)`` cuts the time axis. One ordered scan gives both neighbours; probes and points are never paired.
+    the probe. The time axis is cut into quantiles of both sides' times. One ordered scan gives both neighbours; probes and points are never paired.
     """
     keys = [series] if pinned else []
     side = points.select(F.col(x).cast("double").alias("x"), F.lit(0).alias("_kind"), F.struct(
@@ -43,7 +46,10 @@ def nearest_sample(points: DataFrame, probes: DataFrame, chunk_of=None, max_dist
     before = (side.groupBy(*keys, "x").agg(F.max_by("_point", F.struct(-F.col("_point.s"), F.col("_point.i"))).alias("_before"),
                                            F.min_by("_point", F.struct("_point.s", "_point.i")).alias("_after")))
     both = before.withColumn("_kind", F.lit(1)).unionByName(asks.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    cut = chunk_of(F.col("x")) if chunk_of else None
+    cut = None
+    if rows_per_chunk:
+        times = points.select(F.col(x).cast("double").alias("x")).unionByName(probes.select(F.col(x).cast("double").alias("x")))
+        both, cut = cut_at(both, "x", quantile_bounds(times, "x", rows_per_chunk))
     # A probe sorts before points of its own time, so those count as at or after it.
     found = ordered_scan(both, keys, ["x", "_kind"], [Carry("_lo", F.col("_before"), "last"), Carry("_hi", F.col("_after"), "next")], cut)
     found = found.where("_kind = 0")
@@ -57,28 +63,44 @@ def nearest_sample(points: DataFrame, probes: DataFrame, chunk_of=None, max_dist
     return out if max_dist is None else out.where(F.col("distance") <= max_dist)
 
 
+def in_view(points: DataFrame, keys: list[str], lo: float, hi: float, x: str = "x", idx: str = "idx") -> DataFrame:
+    """The samples of ``[lo, hi]`` and one on each side of it, which a line to the view's edges needs."""
+    return slice_with_neighbours(points, keys, [x, idx], lo, hi, x)
+
+
+def _columns(seen: DataFrame, lo: float, hi: float, columns: int, x: str) -> Column:
+    """The time column of a sample: the last moment belongs to the last one; the neighbours outside get -1 and ``columns``."""
+    inside = F.least(F.floor((F.col(x) - lo) / (hi - lo) * columns), F.lit(columns - 1))
+    return F.when(F.col(x) < lo, -1).when(F.col(x) > hi, columns).otherwise(inside).cast("long")
+
+
+def _counted(seen: DataFrame, keys: list[str]) -> DataFrame:
+    return seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def envelope(points: DataFrame, keys: list[str], lo: float, hi: float, columns: int, x: str = "x", value: str = "value",
              idx: str = "idx", chunk: Column | None = None) -> DataFrame:
-    """Minimum, maximum and mean per time column of sorted series, for series with more than two samples per column.
+    """Minimum, maximum and mean per time column of sorted series, for series with more than two samples in view per column.
 
     A value that is not finite breaks the line: samples on its two sides never share a row (``run`` tells them apart).
     """
+    seen = in_view(points, keys, lo, hi, x, idx)
     bad = _not_finite(F.col(x)) | _not_finite(F.col(value))
-    flagged = points.withColumn("_bad", bad.cast("int"))
+    flagged = seen.withColumn("_bad", bad.cast("int"))
     runs = ordered_scan(flagged, keys, [idx], [Carry("run", F.col("_bad"), "sum")], chunk if chunk is not None else F.expr(f"{idx} div 1048576"))
-    size = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > columns * MAX_SAMPLES_PER_COLUMN)
-    column = F.floor((F.col(x) - lo) / (hi - lo) * columns).cast("long")
-    return (runs.where("_bad = 0").join(size.select(*keys), keys, "left_semi").withColumn("column", column)
+    dense = _counted(seen, keys).where(F.col("_n") > columns * MAX_SAMPLES_PER_COLUMN)
+    return (runs.where("_bad = 0").join(dense.select(*keys), keys, "left_semi").withColumn("column", _columns(seen, lo, hi, columns, x))
             .groupBy(*keys, "run", "column").agg(F.min_by(x, idx).alias("x"), F.min(value).alias("y_min"), F.max(value).alias("y_max"),
                                                  F.avg(value).alias("y_mean"), F.count(F.lit(1)).alias("n")))
 
 
 def envelope_or_raw(points: DataFrame, keys: list[str], lo: float, hi: float, columns: int, x: str = "x", value: str = "value",
-                    idx: str = "idx") -> DataFrame:
-    """``envelope`` where a series is dense, its finite samples as they are elsewhere (``decimated`` says which)."""
-    dense = envelope(points, keys, lo, hi, columns, x, value, idx).withColumn("decimated", F.lit(True))
-    few = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= columns * MAX_SAMPLES_PER_COLUMN)
-    raw = points.join(few.select(*keys), keys, "left_semi").where(~_not_finite(F.col(x)) & ~_not_finite(F.col(value))).select(
+                    idx: str = "idx", chunk: Column | None = None) -> DataFrame:
+    """``envelope`` where a series is dense in view, its finite samples in view as they are elsewhere (``decimated`` says which)."""
+    dense = envelope(points, keys, lo, hi, columns, x, value, idx, chunk).withColumn("decimated", F.lit(True))
+    seen = in_view(points, keys, lo, hi, x, idx)
+    few = _counted(seen, keys).where(F.col("_n") <= columns * MAX_SAMPLES_PER_COLUMN)
+    raw = seen.join(few.select(*keys), keys, "left_semi").where(~_not_finite(F.col(x)) & ~_not_finite(F.col(value))).select(
         *keys, F.col(x).alias("x"), F.col(value).alias("y_min"), F.col(value).alias("y_max"), F.col(value).alias("y_mean"),
         F.lit(1).cast("long").alias("n"), F.lit(False).alias("decimated"))
     return dense.unionByName(raw, allowMissingColumns=True)
@@ -107,44 +129,26 @@ def rollup_index(points: DataFrame, keys: list[str], idx: str = "idx", value: st
 
 def summarize_range(points: DataFrame, index: DataFrame, keys: list[str], first: int, last: int, idx: str = "idx", value: str = "value",
                     block: int = BLOCK) -> DataFrame:
-    """Minimum, maximum and sum of samples ``[first, last)`` from whole index blocks and at most two ragged ends.
+    """Minimum, maximum and sum of the finite samples ``[first, last)`` from the rollup index and the samples of cut blocks.
 
-    The end samples are range filters the scan prunes by; of the index only the few nodes that cover the middle are read.
+    Of the index the largest nodes inside the range count: those whose parent is not inside (or that have none). A sample counts by
+    itself if its block is not inside. Both are filters on ``level, node`` and on the sample number, which scans prune by.
     """
-    head_end = min(last, -(-first // block) * block)
-    tail_begin = max(head_end, last // block * block)
-    ends = points.where(((F.col(idx) >= first) & (F.col(idx) < head_end)) | ((F.col(idx) >= tail_begin) & (F.col(idx) < last)))
-    rows = ends.select(*keys, F.col(value).alias("y_min"), F.col(value).alias("y_max"), F.col(value).alias("y_sum"))
-    nodes = _cover(head_end // block, tail_begin // block)
-    # A series shorter than the range has no node above its top: the leaves it has are covered level by level below.
-    test = F.lit(False)
-    for level, node in nodes:
-        test = test | ((F.col("level") == level) & (F.col("node") == node))
-    if nodes:
-        have = index.where(test)
-        rows = rows.unionByName(have.select(*keys, "y_min", "y_max", "y_sum"))
-        top = index.groupBy(*keys).agg(F.max("level").alias("_top"))
-        lost = [(lv, n) for lv, n in nodes if lv > 0]
-        if lost:
-            gone = F.array(*[F.struct(F.lit(lv).alias("lv"), F.lit(n).cast("long").alias("n")) for lv, n in lost])
-            above = top.withColumn("g", F.explode(gone)).where("g.lv > _top").select(*keys, F.explode(F.sequence(
-                F.expr("shiftleft(g.n, g.lv - _top)"), F.expr("shiftleft(g.n + 1, g.lv - _top) - 1"))).alias("node"), F.col("_top").alias("level"))
-            rows = rows.unionByName(index.join(above, [*keys, "level", "node"]).select(*keys, "y_min", "y_max", "y_sum"))
-    return rows.groupBy(*keys).agg(F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"), F.sum("y_sum").alias("y_sum"))
-
-
-def _cover(lo: int, hi: int) -> list[tuple[int, int]]:
-    """The fewest (level, node) pairs that tile leaf blocks lo .. hi - 1."""
-    out, level = [], 0
-    while lo < hi:
-        if lo % 2:
-            out.append((level, lo))
-            lo += 1
-        if hi % 2:
-            hi -= 1
-            out.append((level, hi))
-        lo, hi, level = lo // 2, hi // 2, level + 1
-    return out
+    def inside(level: Column, node: Column) -> Column:
+        width = F.lit(block) * F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        return (node * width >= first) & ((node + 1) * width <= last)
+
+    leaf = F.expr(f"{idx} div {block}")
+    kept = F.when(~_not_finite(F.col(value)), F.col(value))
+    cut = points.where((F.col(idx) >= first) & (F.col(idx) < last) & ~inside(F.lit(0), leaf))
+    singles = cut.select(*keys, kept.alias("y_min"), kept.alias("y_max"), kept.alias("y_sum"))
+    tops = index.groupBy(*keys).agg(F.max("level").alias("_top"))
+    whole = index.where(inside(F.col("level"), F.col("node"))).join(tops, keys)
+    parent = inside(F.col("level") + 1, F.expr("shiftright(node, 1)"))
+    nodes = whole.where((F.col("level") == F.col("_top")) | ~parent).select(*keys, "y_min", "y_max", "y_sum")
+    both = singles.unionByName(nodes).groupBy(*keys).agg(F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"), F.sum("y_sum").alias("y_sum"))
+    some = both.y_min <= both.y_max  # blocks without a finite sample hold an empty range
+    return both.select(*keys, F.when(some, F.col("y_min")).alias("y_min"), F.when(some, F.col("y_max")).alias("y_max"), F.when(some, F.col("y_sum")).alias("y_sum"))
 
 
 def is_sorted_series(points: DataFrame, keys: list[str], order: list[str], x: str = "x", chunk: Column | None = None) -> DataFrame:

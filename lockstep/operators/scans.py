@@ -102,20 +102,23 @@ def _combine(c: Carry, local: Column, carried: Column) -> Column:
     return (F.greatest if c.how == "max" else F.least)(local, carried)
 
 
-def quantile_chunk(df: DataFrame, order: str, rows_per_chunk: int = 2_000_000,
-                   max_chunks: int = 20_000) -> tuple[DataFrame, Column | None]:
-    """Cut ``order`` (a number) into chunks of about ``rows_per_chunk`` rows whatever its distribution.
+def quantile_bounds(df: DataFrame, order: str, rows_per_chunk: int = 250_000) -> list[float]:
+    """Cuts of ``order`` (a number) into chunks of about ``rows_per_chunk`` rows whatever its distribution.
 
-    Runs one pass over that column alone. Returns the frame to scan and its chunk column, or no chunk when everything fits
-    in one. Only the chunk bounds (at most ``max_chunks`` numbers) come to the driver.
+    One pass over that column alone; only the cuts come to the driver, eight bytes for ``rows_per_chunk`` rows.
     """
     total = df.count()
-    chunks = min(max_chunks, -(-total // rows_per_chunk))
-    if chunks <= 1:
-        return df, None
+    chunks = max(2, -(-total // rows_per_chunk))
     share = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(F.col(order).cast("double"), share, 10 * chunks).alias("b")).first()["b"]
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+    bounds = df.agg(F.percentile_approx(F.col(order).cast("double"), share, max(1000, 10 * chunks)).alias("b")).first()["b"]
+    return sorted(set(bounds or []))
+
+
+def cut_at(df: DataFrame, order: str, bounds: list[float]) -> tuple[DataFrame, Column | None]:
+    """The frame to scan and its chunk column for `quantile_bounds`; no chunk column for a single chunk."""
+    if not bounds:
+        return df, None
+    splits = [-float("inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_order_value", outputCol="_quantile", handleInvalid="keep")
     out = cut.transform(df.withColumn("_order_value", F.col(order).cast("double"))).drop("_order_value")
     return out, F.col("_quantile").cast("long")

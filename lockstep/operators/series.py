@@ -188,37 +188,40 @@ def slice_with_neighbours(points: DataFrame, keys: list[str], order: list[str],
 
 # --- templates ------------------------------------------------------------------------------------------------------------
 
-def match_template(template_ids: DataFrame, files: DataFrame, file_key: str = "source_id") -> DataFrame:
-    """Every file's channel ids against every template's: ``missing`` and ``extra`` (ascending), ``ok`` if neither.
+def match_template(template_ids: DataFrame, files: DataFrame, file_key: str = "source_id", template: str | None = None) -> DataFrame:
+    """Every file's channel ids against those of its template: ``missing`` and ``extra`` (ascending), ``ok`` if neither.
 
-    ``template_ids``: ``template, channel_id``; ``files``: ``file_key, channel_id``. A file's id set is small (its channels).
+    ``template_ids``: ``template, channel_id``; ``files``: ``file_key, channel_id`` and ``template``, the name of the one it is held
+    against (or one ``template`` for all). An equi-join by name; a file's id set is small (its channels).
     """
     wanted = template_ids.groupBy("template").agg(F.array_sort(F.collect_set("channel_id")).alias("wanted"))
-    present = files.groupBy(file_key).agg(F.array_sort(F.collect_set("channel_id")).alias("present"))
-    both = present.join(wanted, F.lit(True))
+    named = files.withColumn("template", F.lit(template)) if template is not None else files
+    present = named.groupBy(file_key, "template").agg(F.array_sort(F.collect_set("channel_id")).alias("present"))
+    both = present.join(wanted, "template")
     return both.select(file_key, "template", F.array_sort(F.array_except("wanted", "present")).alias("missing"),
                        F.array_sort(F.array_except("present", "wanted")).alias("extra")).withColumn(
         "ok", (F.size("missing") == 0) & (F.size("extra") == 0))
 
 
 def describe_match(missing: Column, extra: Column) -> Column:
-    """A mismatch in words; empty when there is none."""
+    """A mismatch as ``missing=.. extra=..``; empty when there is none."""
     def part(label: str, ids: Column) -> Column:
-        return F.when(F.size(ids) > 0, F.concat(F.lit(label), F.array_join(F.transform(ids, lambda i: i.cast("string")), ", ")))
+        return F.when(F.size(ids) > 0, F.concat(F.lit(label), F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")))
 
-    return F.concat_ws("; ", part("missing channel(s): ", missing), part("extra channel(s): ", extra))
+    return F.concat_ws(" ", part("missing=", missing), part("extra=", extra))
 
 
-def apply_template(recordings: DataFrame, channels: DataFrame, entries: DataFrame, time_channel_index: int = -1) -> tuple[DataFrame, DataFrame]:
+def apply_template(recordings: DataFrame, channels: DataFrame, entries: DataFrame, time_channel_index: int = -1,
+                   template: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Streams to run over every recording that matches exactly, in one job, and the recordings skipped with the reason.
 
     ``recordings``: ``source_id, path``; ``channels``: the catalog; ``entries``: ``template, channel_id, process, ...``. The time channel is
     the one at the template's place in the recording's list, else the recording's first.
     """
-    files = channels.where("type = 'PCMIN'").select("source_id", "channel_id")
-    matched = match_template(entries.select("template", "channel_id"), files)
+    files = channels.where("type = 'PCMIN'").select("source_id", "channel_id", *([] if template is not None else ["template"]))
+    matched = match_template(entries.select("template", "channel_id"), files, template=template)
     checked = recordings.join(matched, "source_id", "left")
-    reason = F.when(F.col("ok").isNull(), "could not read channels").otherwise(describe_match(F.col("missing"), F.col("extra")))
+    reason = F.when(F.col("ok").isNull(), "no_channels").otherwise(describe_match(F.col("missing"), F.col("extra")))
     skipped = checked.where(~F.coalesce("ok", F.lit(False))).select("source_id", "template", reason.alias("reason"))
     times = channels.where("type = 'TIMEIN'").groupBy("source_id").agg(F.array_sort(F.collect_list("channel_id")).alias("_times"))
     pick = F.coalesce(F.try_element_at("_times", F.lit(time_channel_index + 1 if time_channel_index >= 0 else 1)), F.try_element_at("_times", F.lit(1)))

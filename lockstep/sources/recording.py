@@ -101,12 +101,12 @@ def recording_gates(packets: DataFrame, attributes: DataFrame | None = None, key
     return facts.select(key, F.explode(F.filter(broken, lambda g: g.isNotNull())).alias("gate"))
 
 
-def packet_census(packets: DataFrame, top: int = 8, keys: list[str] | None = None, kind: str = "data_type", channel: str = "channel_id") -> DataFrame:
-    """Packets per data type, with each type's busiest channels (a top list; ``packets`` counts all)."""
+def packet_census(packets: DataFrame, keys: list[str] | None = None, kind: str = "data_type", channel: str = "channel_id") -> DataFrame:
+    """Packets per data type and channel; ``place`` ranks a type's channels, the busiest first, and ``packets`` counts the type."""
     keys = keys if keys is not None else ["source_id"]
     per = packets.groupBy(*keys, kind, channel).agg(F.count(F.lit(1)).alias("n"))
     total = per.groupBy(*keys, kind).agg(F.sum("n").alias("packets"), F.count(F.lit(1)).alias("channels"))
-    ranked = per.withColumn("place", F.row_number().over(W.partitionBy(*keys, kind).orderBy(F.desc("n"), channel))).where(F.col("place") <= top)
+    ranked = per.withColumn("place", F.row_number().over(W.partitionBy(*keys, kind).orderBy(F.desc("n"), channel)))
     return ranked.join(total, [*keys, kind]).select(*keys, kind, "packets", "channels", "place", channel, "n")
 
 

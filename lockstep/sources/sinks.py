@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def write_per_source(df: DataFrame, path: str, source: str = "source_id", salt: int = 32) -> None:
-    """One folder per recording. Rows are spread by (source, salt) first, so a large recording is written by many tasks and a small
-    one by few files."""
-    spread = df.repartition(F.col(source), F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-    spread.write.mode("overwrite").partitionBy(source).parquet(path)
+def write_per_source(df: DataFrame, path: str, source: str = "source_id", order: str = "t_abs") -> None:
+    """One folder per recording. Rows are dealt by ranges of (source, order), so a recording has writers in proportion to its rows."""
+    df.repartitionByRange(source, order).write.mode("overwrite").partitionBy(source).parquet(path)
 
 
 def write_samples(points: DataFrame, path: str, series: list[str] | None = None, x: str = "elapsed") -> None:

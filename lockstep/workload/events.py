@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lockstep.operators import calibrate, lookup, series, windows
 from lockstep.operators import steps as st
-from lockstep.operators.scans import quantile_chunk
 from lockstep.session import ensure_checkpoint_dir
 from lockstep.sources import recording, series_csv, sinks
 from lockstep.workload.documents import table
@@ -21,11 +20,6 @@ def events(spark, sf) -> DataFrame:
     return table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-def day_chunk(us: str = "us"):
-    """A day of events; the time axis of these tables is even, and `quantile_chunk` cuts uneven ones."""
-    return F.expr(f"{us} div {24 * HOUR}")
-
-
 def scratch(spark, name: str) -> str:
     """A folder of this run under the shared checkpoint folder."""
     import uuid
@@ -119,7 +113,7 @@ def recording_gates(spark, sf):
 
 
 def packet_census(spark, sf):
-    return recording.packet_census(events(spark, sf), 8, [], "event_type", "user_id")
+    return recording.packet_census(events(spark, sf), [], "event_type", "user_id")
 
 
 def packet_time(spark, sf):
@@ -176,8 +170,8 @@ def series_range(spark, sf):
 
 
 def source_overlap(spark, sf):
-    half = events(spark, sf).where("value > 25").select(F.col("user_id").alias("source_id"), (F.col("us") / 1e6).alias("t_abs"))
-    spans = series.source_spans(half.withColumn("source_id", F.col("source_id") * 40 + F.floor(F.col("t_abs") / 86400) % 40))
+    days = events(spark, sf).select(F.col("user_id").alias("source_id"), (F.col("us") / 1e6).alias("t_abs"))
+    spans = series.source_spans(days.withColumn("source_id", F.col("source_id") * 40 + F.floor(F.col("t_abs") / 86400) % 40))
     return series.source_overlap(spans, spans)
 
 
@@ -188,21 +182,26 @@ def source_list(spark, sf):
     return series.source_list(merged, labels).join(merged.groupBy("source_id").agg(F.count(F.lit(1)).alias("points")), "source_id")
 
 
+def _user_days(spark, sf):
+    """A user's day is a recording with that day's event types as channels."""
+    return events(spark, sf).withColumn("source_id", F.col("user_id") * 40 + F.expr(f"us div {24 * HOUR}") % 40)
+
+
 def match_template(spark, sf):
-    files = events(spark, sf).where("value > 40").select(F.col("user_id").alias("source_id"), F.col("event_type").alias("channel_id"))
+    files = _user_days(spark, sf).select("source_id", F.col("event_type").alias("channel_id"))
     template = spark.createDataFrame([("t", "view"), ("t", "click"), ("t", "purchase")], "template string, channel_id string")
-    out = series.match_template(template, files)
+    out = series.match_template(template, files, template="t")
     return out.select("source_id", "template", "ok", series.describe_match(F.col("missing"), F.col("extra")).alias("reason"))
 
 
 def apply_template(spark, sf):
-    e = events(spark, sf).where("value > 40")
+    e = _user_days(spark, sf)
     ids = F.create_map(*[F.lit(x) for kv in zip(("view", "click", "purchase", "error", "signup"), range(11, 16)) for x in kv])
-    channels = e.select(F.col("user_id").alias("source_id"), ids[F.col("event_type")].alias("channel_id")).distinct().where("channel_id is not null")
+    channels = e.select("source_id", ids[F.col("event_type")].alias("channel_id")).distinct().where("channel_id is not null")
     channels = channels.withColumn("type", F.when(F.col("channel_id") == 15, "TIMEIN").otherwise("PCMIN"))
-    recordings = e.select(F.col("user_id").alias("source_id")).distinct().withColumn("path", F.concat(F.lit("r"), F.col("source_id").cast("string")))
+    recordings = e.select("source_id").distinct().withColumn("path", F.concat(F.lit("r"), F.col("source_id").cast("string")))
     entries = spark.createDataFrame([("t", 11, True, 800), ("t", 12, False, 64), ("t", 13, True, 128)], "template string, channel_id int, process boolean, bits_in_frame int")
-    runs, skipped = series.apply_template(recordings, channels, entries, 0)
+    runs, skipped = series.apply_template(recordings, channels, entries, 0, "t")
     took = runs.select("source_id", F.concat_ws(":", F.lit("run"), "channel_id", "bits_in_frame", "time_channel_id").alias("what"))
     return took.unionByName(skipped.select("source_id", F.concat(F.lit("skip:"), F.col("reason")).alias("what")))
 
@@ -211,7 +210,7 @@ def nearest_sample(spark, sf):
     e = events(spark, sf)
     points = e.where("event_type <> 'error'").select((F.col("user_id") % 5).cast("int").alias("series_no"), F.col("event_id").alias("idx"), F.col("us").alias("x"), "value")
     probes = e.where("event_type = 'error'").select(F.col("event_id").alias("probe_id"), F.col("us").alias("x"))
-    out = lookup.nearest_sample(points, probes, lambda x: F.floor(x / (24 * HOUR)).cast("long"))
+    out = lookup.nearest_sample(points, probes)
     return out.select("probe_id", "series_no", "idx", "value", F.col("distance").cast("long").alias("distance"))
 
 
@@ -219,17 +218,16 @@ def nearest_pinned(spark, sf):
     e = events(spark, sf)
     points = e.where("event_type <> 'error'").select(F.col("user_id").alias("series_no"), F.col("event_id").alias("idx"), F.col("us").alias("x"), "value")
     probes = e.where("event_type = 'error'").select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("series_no"), F.col("us").alias("x"))
-    out = lookup.nearest_sample(points, probes, lambda x: F.floor(x / (24 * HOUR)).cast("long"), pinned=True)
+    out = lookup.nearest_sample(points, probes, pinned=True)
     return out.select("probe_id", "series_no", "idx", F.col("distance").cast("long").alias("distance"))
 
 
 def asof(spark, sf):
-    """Each event with the latest order placed by its day's start, thirty years on; quantile chunks, as order dates are uneven."""
+    """Each event with the latest order placed by its day's start, twenty-five years on; quantile chunks, as order dates are uneven."""
     o = table(spark, sf, "orders").select((F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.lit(25 * 365 * 24 * HOUR)).alias("us"), F.col("o_orderkey").alias("seq"), "o_orderkey")
     o = o.groupBy("us").agg(F.max("o_orderkey").alias("o_orderkey"))
     e = events(spark, sf).select("us", "event_id")
-    both, chunk = quantile_chunk(e.select("us").unionByName(o.select("us")), "us")
-    return lookup.asof_backward(e, o, [], ["us"], ["o_orderkey"], day_chunk()).select("event_id", "o_orderkey")
+    return lookup.asof_backward(e, o, [], ["us"], ["o_orderkey"], rows_per_chunk=250_000).select("event_id", "o_orderkey")
 
 
 def _long(spark, sf):
@@ -240,8 +238,8 @@ def _long(spark, sf):
 def envelope(spark, sf):
     p = _long(spark, sf)
     lo, hi = p.agg(F.min("x"), F.max("x")).first()
-    out = lookup.envelope(p, ["series_no"], lo, hi, 1000)
-    return out.select("run", "column", "n", "x", "y_min", "y_max", F.round("y_mean", 6).alias("y_mean"))
+    out = lookup.envelope_or_raw(p, ["series_no"], lo, hi, 1000)
+    return out.select("decimated", "run", "column", "n", "x", "y_min", "y_max", F.round("y_mean", 6).alias("y_mean"))
 
 
 def rollup_index(spark, sf):
@@ -250,7 +248,7 @@ def rollup_index(spark, sf):
 
 
 def summarize_range(spark, sf):
-    p = _long(spark, sf).where(~F.isnan("value"))
+    p = _long(spark, sf)
     q = p.unionByName(p.withColumns({"series_no": F.lit(2), "value": -F.col("value")}))
     out = lookup.summarize_range(q, lookup.rollup_index(q, ["series_no"]), ["series_no"], 37, 7013)
     return out.select("series_no", "y_min", "y_max", F.round("y_sum", 4).alias("y_sum"))
@@ -349,7 +347,7 @@ ORACLES = {
         {_names("o = 'too_few_plateaus'")} AS too_few_plateaus, {_names("o = 'no_monotonic_sweep'")} AS no_monotonic_sweep, max(top) FILTER (o = 'calibrated' AND n % 4 = 0) AS saturated_top_db, min(n) FILTER (o <> 'calibrated') AS fewest_plateaus,
         max(n % 7) FILTER (o = 'calibrated' AND n % 7 > 4) AS step_file_short_levels, uid > 0 AND count(*) FILTER (o = 'calibrated') > 0 AND count(*) FILTER (o = 'flat') > 0 AS word_map_suspect FROM q GROUP BY uid""",
     "S3_recording_gates": f"WITH f AS (SELECT user_id AS source_id, arg_min({_CODE}, event_id) AS t, max((value * 1000000)::BIGINT) AS len, bool_or({_CODE} = 9) AS pcm, bool_or({_CODE} = 17) AS tm FROM events GROUP BY user_id) SELECT source_id, 'first_packet_not_tmats' AS gate FROM f WHERE t <> 1 UNION ALL SELECT source_id, 'packet_too_large' FROM f WHERE len > 104857600 UNION ALL SELECT source_id, 'no_pcm' FROM f WHERE NOT pcm UNION ALL SELECT source_id, 'no_time' FROM f WHERE NOT tm",
-    "S4_packet_census": "WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id) SELECT event_type, (sum(n) OVER t)::BIGINT AS packets, count(*) OVER t AS channels, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS place, user_id, n FROM c WINDOW t AS (PARTITION BY event_type) QUALIFY place <= 8",
+    "S4_packet_census": "WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id) SELECT event_type, (sum(n) OVER t)::BIGINT AS packets, count(*) OVER t AS channels, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS place, user_id, n FROM c WINDOW t AS (PARTITION BY event_type)",
     "S6_packet_time": f"WITH {_E}, x AS (SELECT *, CASE WHEN event_type = 'purchase' THEN us * 10 - event_id * 1000 END AS shift FROM e) SELECT user_id AS source_id, event_id AS file_offset, event_id * 1000 + coalesce(s, f) AS base_ticks FROM (SELECT *, last_value(shift IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS s, first_value(shift IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM x) WHERE event_type <> 'purchase'",
     "S7_time_gaps": f"WITH {_E}, g AS (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM e) SELECT user_id AS source_id, count(*) FILTER (d > 600000000) AS gaps FROM g GROUP BY user_id",
     "P8_filter_view": f"WITH {_S} SELECT event_id, metric FROM s WHERE metric IN ('missed', 'level') AND source_id = 2",
@@ -359,14 +357,14 @@ ORACLES = {
     "P9_slice_limits": f"WITH {_A} SELECT round(max(elapsed), 6) AS x_max, 0.0 AS start, round(max(elapsed), 6) AS stop, true AS start_clamped, true AS stop_clamped, false AS stop_before_start FROM a",
     "P10_slice_with_neighbours": f"WITH {_E}, t AS (SELECT user_id, event_id, us / 1e6 - (SELECT min(us / 1e6) FROM e) AS x FROM e) SELECT user_id, event_id FROM t QUALIFY x BETWEEN 500000 AND 700000 OR (x < 500000 AND coalesce(lead(x) OVER (PARTITION BY user_id ORDER BY x, event_id) >= 500000, true)) OR (x > 700000 AND coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY x, event_id) <= 700000, true))",
     "T4_series_range": "WITH v AS (SELECT user_id, event_id, value, event_id % 97 = 0 AS bad FROM events), l AS (SELECT user_id, max(event_id) FILTER (bad) AS ln FROM v GROUP BY user_id) SELECT user_id, min(value) FILTER (NOT bad AND (ln IS NULL OR event_id > ln)) AS y_min, max(value) FILTER (NOT bad) AS y_max FROM v JOIN l USING (user_id) GROUP BY user_id",
-    "T7_source_overlap": f"WITH {_E}, s AS (SELECT (user_id * 40 + (us // {24 * HOUR}) % 40)::BIGINT AS source_id, min(us) AS f, max(us) AS l FROM e WHERE value > 25 GROUP BY 1) SELECT a.source_id, count(b.source_id) AS overlaps, count(b.source_id) > 0 AS overlapping FROM s a LEFT JOIN s b ON a.source_id <> b.source_id AND a.f <= b.l AND b.f <= a.l GROUP BY a.source_id",
+    "T7_source_overlap": f"WITH {_E}, s AS (SELECT (user_id * 40 + (us // {24 * HOUR}) % 40)::BIGINT AS source_id, min(us) AS f, max(us) AS l FROM e GROUP BY 1) SELECT a.source_id, count(b.source_id) AS overlaps, count(b.source_id) > 0 AS overlapping FROM s a LEFT JOIN s b ON a.source_id <> b.source_id AND a.f <= b.l AND b.f <= a.l GROUP BY a.source_id",
     "T12_union_sources": "SELECT user_id % 4 AS source_id, CASE WHEN user_id % 4 = 1 THEN 'first.ch10' ELSE 'Source ' || (user_id % 4) END AS label, count(*) AS points FROM events GROUP BY 1, 2",
-    "T13_match_template": "WITH f AS (SELECT user_id AS source_id, list(DISTINCT event_type) AS p FROM events WHERE value > 40 GROUP BY user_id), d AS (SELECT source_id, list_sort(list_filter(['view', 'click', 'purchase'], lambda x: NOT list_contains(p, x))) AS m, list_sort(list_filter(p, lambda x: NOT list_contains(['view', 'click', 'purchase'], x))) AS x FROM f) SELECT source_id, 't' AS template, len(m) = 0 AND len(x) = 0 AS ok, concat_ws('; ', CASE WHEN len(m) > 0 THEN 'missing channel(s): ' || array_to_string(m, ', ') END, CASE WHEN len(x) > 0 THEN 'extra channel(s): ' || array_to_string(x, ', ') END) AS reason FROM d",
+    "T13_match_template": "WITH f AS (SELECT (user_id * 40 + (epoch_us(ts) // 86400000000) % 40)::BIGINT AS source_id, list(DISTINCT event_type) AS p FROM events GROUP BY 1), d AS (SELECT source_id, list_sort(list_filter(['view', 'click', 'purchase'], lambda x: NOT list_contains(p, x))) AS m, list_sort(list_filter(p, lambda x: NOT list_contains(['view', 'click', 'purchase'], x))) AS x FROM f) SELECT source_id, 't' AS template, len(m) = 0 AND len(x) = 0 AS ok, concat_ws(' ', CASE WHEN len(m) > 0 THEN 'missing=' || array_to_string(m, ',') END, CASE WHEN len(x) > 0 THEN 'extra=' || array_to_string(x, ',') END) AS reason FROM d",
     "T14_apply_template": """WITH i(event_type, id) AS (VALUES ('view', 11), ('click', 12), ('purchase', 13), ('error', 14), ('signup', 15)),
-        f AS (SELECT user_id AS source_id, list_sort(coalesce(list(DISTINCT id) FILTER (id < 15), [])) AS p, bool_or(id = 15) AS tm, bool_or(id < 15) AS any_pcm FROM events LEFT JOIN i USING (event_type) WHERE value > 40 GROUP BY user_id),
+        f AS (SELECT (user_id * 40 + (epoch_us(ts) // 86400000000) % 40)::BIGINT AS source_id, list_sort(coalesce(list(DISTINCT id) FILTER (id < 15), [])) AS p, bool_or(id = 15) AS tm, bool_or(id < 15) AS any_pcm FROM events LEFT JOIN i USING (event_type) GROUP BY 1),
         d AS (SELECT *, list_filter([11, 12, 13], lambda x: NOT list_contains(p, x)) AS m, list_filter(p, lambda x: x > 13) AS x FROM f)
         SELECT source_id, 'run:' || ch || ':' || bits || ':' || CASE WHEN tm THEN 15 ELSE -1 END AS what FROM d, (VALUES (11, 800), (13, 128)) t(ch, bits) WHERE len(m) = 0 AND len(x) = 0
-        UNION ALL SELECT source_id, 'skip:' || CASE WHEN NOT coalesce(any_pcm, false) THEN 'could not read channels' ELSE concat_ws('; ', CASE WHEN len(m) > 0 THEN 'missing channel(s): ' || array_to_string(m, ', ') END, CASE WHEN len(x) > 0 THEN 'extra channel(s): ' || array_to_string(x, ', ') END) END FROM d WHERE len(m) > 0 OR len(x) > 0""",
+        UNION ALL SELECT source_id, 'skip:' || CASE WHEN NOT coalesce(any_pcm, false) THEN 'no_channels' ELSE concat_ws(' ', CASE WHEN len(m) > 0 THEN 'missing=' || array_to_string(m, ',') END, CASE WHEN len(x) > 0 THEN 'extra=' || array_to_string(x, ',') END) END FROM d WHERE len(m) > 0 OR len(x) > 0""",
     "V1_nearest_sample": f"""WITH {_E}, p AS ({_POINTS_SQL.format(s='user_id % 5')}), q AS (SELECT event_id AS probe_id, us FROM e WHERE event_type = 'error'),
         lo0 AS (SELECT x, arg_max(i, (-s, i)) AS i, min(s) AS s FROM p GROUP BY x), hi0 AS (SELECT x, arg_min(i, (s, i)) AS i, min(s) AS s FROM p GROUP BY x),
         lo AS (SELECT q.probe_id, q.us, l.x, l.s, l.i FROM q ASOF LEFT JOIN lo0 l ON q.us > l.x), hi AS (SELECT q.probe_id, h.x, h.s, h.i FROM q ASOF LEFT JOIN hi0 h ON q.us <= h.x),
@@ -378,7 +376,7 @@ ORACLES = {
         b AS (SELECT probe_id, user_id, us, lo.x AS lx, lo.i AS li, hi.x AS hx, hi.i AS hi, hi.x IS NOT NULL AND (lo.x IS NULL OR hi.x - us <= us - lo.x) AS up FROM lo JOIN hi USING (probe_id))
         SELECT probe_id, user_id AS series_no, CASE WHEN up THEN hi ELSE li END AS idx, CASE WHEN up THEN hx - us ELSE us - lx END AS distance FROM b WHERE hx IS NOT NULL OR lx IS NOT NULL""",
     "S6_asof_orders": f"WITH {_E}, o AS (SELECT epoch_us(o_orderdate) + {25 * 365 * 24 * HOUR} AS us, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) SELECT event_id, o_orderkey FROM e ASOF LEFT JOIN o ON e.us >= o.us",
-    "V4_envelope": f"WITH {_LONG}, r AS (SELECT *, sum(bad::INT) OVER (ORDER BY idx)::BIGINT AS run, floor((x - (SELECT min(x) FROM p)) / ((SELECT max(x) FROM p) - (SELECT min(x) FROM p)) * 1000)::BIGINT AS col FROM p) SELECT run, col AS \"column\", count(*) AS n, arg_min(x, idx) AS x, min(value) AS y_min, max(value) AS y_max, round(avg(value), 6) AS y_mean FROM r WHERE NOT bad AND (SELECT count(*) FROM p) > 2000 GROUP BY run, col",
+    "V4_envelope": f"WITH {_LONG}, r AS (SELECT *, sum(bad::INT) OVER (ORDER BY idx)::BIGINT AS run, least(999, floor((x - (SELECT min(x) FROM p)) / ((SELECT max(x) FROM p) - (SELECT min(x) FROM p)) * 1000))::BIGINT AS col FROM p) SELECT true AS decimated, run, col AS \"column\", count(*) AS n, arg_min(x, idx) AS x, min(value) AS y_min, max(value) AS y_max, round(avg(value), 6) AS y_mean FROM r WHERE NOT bad AND (SELECT count(*) FROM p) > 2000 GROUP BY run, col UNION ALL SELECT false, NULL, NULL, 1, x, value, value, round(value, 6) FROM p WHERE NOT bad AND (SELECT count(*) FROM p) <= 2000",
     "V5_rollup_index": f"WITH {_LONG}, lv AS (SELECT unnest(range(0, ceil(log2(floor(max(idx) / 32.0) + 1))::BIGINT + 1)) AS level FROM p) SELECT level, idx // 32 // (1 << level::INT) AS node, coalesce(min(value) FILTER (NOT bad), 'inf'::DOUBLE) AS y_min, coalesce(max(value) FILTER (NOT bad), '-inf'::DOUBLE) AS y_max, round(coalesce(sum(value) FILTER (NOT bad), 0), 4) AS y_sum FROM p, lv GROUP BY 1, 2",
     "V6_summarize_range": f"WITH {_LONG}, q AS (SELECT 1 AS series_no, idx, value FROM p WHERE NOT bad UNION ALL SELECT 2, idx, -value FROM p WHERE NOT bad) SELECT series_no, min(value) AS y_min, max(value) AS y_max, round(sum(value), 4) AS y_sum FROM q WHERE idx >= 37 AND idx < 7013 GROUP BY series_no",
     "V7_is_sorted_series": f"WITH {_E}, t AS (SELECT user_id, event_id, us - CASE WHEN event_id % 131 = 0 THEN {HOUR} ELSE 0 END AS x FROM e), g AS (SELECT user_id, x - lag(x) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM t) SELECT user_id, bool_and(coalesce(d >= 0, true)) AS sorted FROM g GROUP BY user_id",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions import bits as kernels
 from lockstep.operators import bits, lookup
-from lockstep.operators.scans import Carry, ordered_scan, quantile_chunk
+from lockstep.operators.scans import Carry, cut_at, ordered_scan, quantile_bounds
 
 
 def stream_packets(spark, payloads, per_chunk=2):
@@ -53,7 +53,7 @@ def test_descrambler_round_trip(spark):
 def test_chunked_scans_equal_whole_ones(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 501).alias("o"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("v"))
     carries = [Carry(f"{how}{inc}", F.col("v"), how, inc) for how in ("sum", "count", "max", "min", "last", "next") for inc in (True, False)]
-    cut, chunk = quantile_chunk(df, "o", rows_per_chunk=40)
+    cut, chunk = cut_at(df, "o", quantile_bounds(df, "o", rows_per_chunk=40))
     whole = ordered_scan(df, ["k"], ["o"], carries)
     split = ordered_scan(cut, ["k"], ["o"], carries, chunk).select(*whole.columns)
     assert chunk is not None and sorted(map(str, whole.collect())) == sorted(map(str, split.collect()))
@@ -80,3 +80,25 @@ def test_range_summary(spark):
         got = lookup.summarize_range(points, index, ["s"], lo, hi).orderBy("s").collect()
         want = points.where(F.col("idx").between(lo, hi - 1)).groupBy("s").agg(F.min("value"), F.max("value"), F.sum("value")).orderBy("s").collect()
         assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_range_summary_skips_values_that_are_not_finite_wherever_they_are(spark):
+    bad = {5: float("nan"), 50: float("inf"), **{i: float("nan") for i in range(64, 96)}}
+    points = spark.createDataFrame([("s", i, bad.get(i, float(i))) for i in range(200)], "s string, idx long, value double")
+    index = lookup.rollup_index(points, ["s"])
+    for lo, hi in ((1, 100), (32, 100), (0, 200), (64, 96), (60, 97), (199, 200), (0, 500), (7, 7)):
+        want = [float(i) for i in range(lo, min(hi, 200)) if i not in bad]
+        got = lookup.summarize_range(points, index, ["s"], lo, hi).collect()
+        if want:
+            assert (got[0].y_min, got[0].y_max, got[0].y_sum) == (min(want), max(want), sum(want))
+        else:
+            assert not got or got[0].y_min is None
+
+
+def test_envelope_is_bounded_by_its_view(spark):
+    rows = [("long", i, float(i), float(i % 7)) for i in range(5000)] + [("short", i, 10.0 * i, 1.0) for i in range(500)]
+    points = spark.createDataFrame(rows, "s string, idx long, x double, value double")
+    got = lookup.envelope_or_raw(points, ["s"], 1000.0, 2000.0, 100).collect()
+    dense = sorted((r.column, r.n) for r in got if r.decimated)
+    assert dense == [(-1, 1), *[(c, 10) for c in range(99)], (99, 11), (100, 1)]
+    assert sorted(r.x for r in got if not r.decimated) == [10.0 * i for i in range(99, 202)]
