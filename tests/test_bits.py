@@ -98,7 +98,7 @@ def test_range_summary_skips_values_that_are_not_finite_wherever_they_are(spark)
 def test_envelope_is_bounded_by_its_view(spark):
     rows = [("long", i, float(i), float(i % 7)) for i in range(5000)] + [("short", i, 10.0 * i, 1.0) for i in range(500)]
     points = spark.createDataFrame(rows, "s string, idx long, x double, value double")
-    got = lookup.envelope_or_raw(points, ["s"], 1000.0, 2000.0, 100).collect()
+    got = lookup.envelope_or_raw(points, ["s"], 1000.0, 2024.0, 128).collect()
     dense = sorted((r.column, r.n) for r in got if r.decimated)
-    assert dense == [(-1, 1), *[(c, 10) for c in range(99)], (99, 11), (100, 1)]
-    assert sorted(r.x for r in got if not r.decimated) == [10.0 * i for i in range(99, 202)]
+    assert dense == [(-1, 1), *[(c, 8) for c in range(127)], (127, 9), (128, 1)]
+    assert sorted(r.x for r in got if not r.decimated) == [10.0 * i for i in range(99, 204)]
