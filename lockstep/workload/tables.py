@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lockstep.functions import text
@@ -92,6 +93,39 @@ def detect_steps(spark, sf):
     return out.select("channel", "outcome", "detected_plateaus", F.round("edge_threshold", 6).alias("edge_threshold"), "relaxed", "sweep_levels")
 
 
+def step_sweep(spark, sf):
+    """A customer is a channel that is swept: up, down, to and fro, or up onto the rail, over one to seven levels of 15 samples."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("channel"), (F.col("c_custkey") % 4).alias("kind"),
+                                            F.when(F.col("c_custkey") % 4 == 3, 5).otherwise(F.expr("1 + c_custkey div 4 % 7")).alias("n"))
+    k = F.when(F.col("kind") == 3, F.least(F.expr("idx div 15"), F.lit(3))).otherwise(F.expr("idx div 15"))
+    base = 2000 + F.col("channel") % 50 * 10
+    raw = (F.when((F.col("kind") == 3) & (F.col("k") == 3), 65535).when(F.col("kind") == 1, base + 1000 * (F.col("n") - 1 - F.col("k")))
+           .when(F.col("kind") == 2, base + 1000 * (F.col("k") * 2 % 3)).otherwise(base + 1000 * F.col("k")))
+    samples = (c.withColumn("idx", F.explode(F.sequence(F.lit(0), (15 * F.col("n") - 1).cast("int")))).withColumn("k", k)
+               .select("channel", "idx", raw.cast("double").alias("raw")))
+    out = st.detect_steps(samples, KEYS, 0.2, [0.0, 6.0, 12.0, 18.0, 24.0])
+    return out.select("channel", "samples", "outcome", "saturated", "detected_plateaus", "sweep_levels", F.size("points").alias("n_points"),
+                      F.aggregate("points", F.lit(0.0), lambda t, q: t + q.raw_avg * q.true_db).alias("weight"),
+                      F.aggregate("unresolved_db", F.lit(0.0), lambda t, q: t + q).alias("unresolved"))
+
+
+def pair_steps(spark, sf):
+    """A customer's orders in order as the levels of a sweep that starts at one of the first three."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("channel"), "o_orderkey", F.col("o_totalprice").alias("value"))
+    place = F.row_number().over(W.partitionBy("channel").orderBy("o_orderkey")) - 1
+    levels = o.withColumn("level_no", place).withColumn("sweep_start", F.col("channel") % 3)
+    out = st.pair_steps(levels, KEYS, [0.0, 6.0, 12.0, 18.0])
+    return out.select("channel", F.size("points").alias("n"), F.try_element_at("points", F.lit(1)).true_db.alias("lowest_db"),
+                      F.round(F.aggregate("points", F.lit(0.0), lambda t, q: t + q.raw_avg * q.true_db), 4).alias("weight"))
+
+
+def classify_outcome(spark, sf):
+    per = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("channel")).agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if(F.col("o_totalprice") > 150_000).alias("levels"), F.max("o_totalprice").alias("top"))
+    outcome = st.classify_outcome(F.col("top") > 400_000, F.col("samples"), F.col("levels"), F.col("levels") >= 8)
+    return per.select("channel", outcome.alias("outcome"))
+
+
 def demux_words(spark, sf):
     words = spark.createDataFrame([(0, "L_RCVR1", 0), (1, "R_RCVR1", 7), (2, "C_RCVR1", 63)], "ord int, name string, word int")
     frames = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("words"))
@@ -209,7 +243,8 @@ def attach_profiles(spark, sf):
 QUERIES = {
     "E2_clip": clip, "E3_derivative": derivative, "E4_live_sigma": live_sigma, "E5_mark_stable": mark_stable, "E6_plateaus": plateaus, "E7_plateau_levels": plateau_levels,
     "E8_coalesce_levels": coalesce_levels, "E9_median_gap": median_gap, "E10_monotonic_runs": monotonic_runs, "E11_select_sweep": select_sweep,
-    "E1_extraction_period": extraction_period, "E12_detect_steps": detect_steps, "D5_demux_words": demux_words, "D6_resolve_attributes": resolve_attributes,
+    "E1_extraction_period": extraction_period, "E12_detect_steps": detect_steps, "E12_step_sweep": step_sweep, "E13_pair_steps": pair_steps,
+    "E16_classify_outcome": classify_outcome, "D5_demux_words": demux_words, "D6_resolve_attributes": resolve_attributes,
     "P1_resolve_sync": resolve_sync, "P2_validate_streams": validate_streams, "P5_resolve_word_map": resolve_word_map, "B7_hit_grid": hit_grid,
     "S2_channel_catalog": channel_catalog, "S2_page_attributes": page_attributes, "S5_route_packets": route_packets, "T1_build_series": build_series,
     "T3_channel_index": channel_index, "T5_replace_streams": replace_streams, "T10_assign_stream_orders": assign_stream_orders, "C3_attach_profiles": attach_profiles,
@@ -226,6 +261,30 @@ _RUNS = """t AS (SELECT o_custkey AS channel, o_orderkey, row_number() OVER w -
 _HEX = "CASE WHEN p_size % 7 = 0 THEN p_brand ELSE left(md5(p_name), p_size % 16 + 1) END"
 
 ORACLES = {
+    "E12_step_sweep": """WITH c AS (SELECT c_custkey AS channel, c_custkey % 4 AS kind, CASE WHEN c_custkey % 4 = 3 THEN 5 ELSE 1 + c_custkey // 4 % 7 END AS n, 2000 + c_custkey % 50 * 10 AS base FROM customer),
+        o AS (SELECT *, CASE WHEN n = 1 THEN 'flat' WHEN kind = 3 THEN 'calibrated' WHEN n < 5 THEN 'too_few_plateaus' WHEN kind = 2 THEN 'no_monotonic_sweep' ELSE 'calibrated' END AS outcome, CASE WHEN kind = 3 THEN 4 ELSE n END AS levels FROM c)
+        SELECT channel, 15 * n AS samples, outcome, kind = 3 AS saturated, levels AS detected_plateaus, CASE WHEN outcome = 'calibrated' THEN levels ELSE 0 END AS sweep_levels, CASE WHEN outcome <> 'calibrated' THEN 0 WHEN kind = 3 THEN 3 ELSE 5 END AS n_points,
+        CASE WHEN outcome <> 'calibrated' THEN 0.0 ELSE list_sum([6.0 * a * (base + 1000 * CASE kind WHEN 0 THEN n - 5 + a WHEN 1 THEN 4 - a ELSE a END) FOR a IN range(0, CASE WHEN kind = 3 THEN 3 ELSE 5 END)]) END AS weight,
+        CASE WHEN kind = 3 THEN 42.0 ELSE 0.0 END AS unresolved FROM o""",
+    "E13_pair_steps": """WITH l AS (SELECT o_custkey AS channel, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 - o_custkey % 3 AS a FROM orders)
+        SELECT channel, count(*) AS n, arg_min(6.0 * a, (v, a)) AS lowest_db, round(sum(v * 6.0 * a), 4) AS weight FROM l WHERE a BETWEEN 0 AND 3 GROUP BY channel""",
+    "E16_classify_outcome": """WITH p AS (SELECT o_custkey AS channel, count(*) AS s, count(*) FILTER (o_totalprice > 150000) AS l, max(o_totalprice) AS t FROM orders GROUP BY 1)
+        SELECT channel, CASE WHEN t > 400000 THEN 'calibrated' WHEN s < 2 THEN 'no_data' WHEN l <= 1 THEN 'flat' WHEN l >= 8 THEN 'no_monotonic_sweep' ELSE 'too_few_plateaus' END AS outcome FROM p""",
+    "T1_build_series": """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) AS q, max(l_partkey) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
+        SELECT 'lock' AS metric, count(*) AS points, round(sum(q), 4) AS total, max('Ch ' || k) AS last, 0 AS receivers FROM s WHERE k % 2 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'missed', count(*), round(sum(p::DOUBLE), 4), max('Ch ' || k), 0 FROM s WHERE k % 2 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'level', count(*), round(sum(q), 4), max(k || ' - Ch ' || k || ' L_RCVR' || n), max(n) FROM s WHERE k % 2 = 1 HAVING count(*) > 0""",
+    "P5_resolve_word_map": """WITH m AS (SELECT 'm' || n_regionkey AS id, n_nationkey AS w, n_name FROM nation),
+        s AS (SELECT s_suppkey AS k, s_suppkey % 3 AS t, 'm' || (s_nationkey % 7) AS ex, 'm' || (s_nationkey % 5) AS de, s_nationkey + 2 AS wif, s_suppkey % 4 AS nr FROM supplier),
+        j AS (SELECT k, t, wif, nr, count(w) AS found, count(*) FILTER (w + 1 > wif - 1) AS bad, sum(w) AS words, max(n_name) AS last FROM s LEFT JOIN m ON (t = 0 AND id = ex) OR (t = 1 AND id = de) GROUP BY k, t, wif, nr),
+        c AS (SELECT *, CASE WHEN t = 0 THEN 'explicit' WHEN t = 1 AND found > 0 AND bad = 0 THEN 'default' ELSE 'sequence' END AS source FROM j),
+        e AS (SELECT *, CASE WHEN source = 'explicit' AND found = 0 THEN 'not_found' WHEN source = 'explicit' AND bad > 0 THEN 'bad_map' WHEN source = 'sequence' AND NOT (nr > 0 AND nr * 4 < wif) THEN 'grid_too_large' END AS error FROM c)
+        SELECT k AS stream_id, source, error, CASE WHEN t = 1 AND found > 0 AND bad > 0 THEN 'default_refused' END AS warning, CASE WHEN error IS NOT NULL THEN 0 WHEN source = 'sequence' THEN nr * 4 ELSE found END AS n,
+        CASE WHEN error IS NOT NULL THEN 0 WHEN source = 'sequence' THEN nr * 4 * (nr * 4 - 1) // 2 ELSE words END AS words, CASE WHEN error IS NULL THEN CASE WHEN source = 'sequence' THEN 'R_RCVR' || nr ELSE last END END AS last FROM e""",
+    "S2_page_attributes": r"""WITH x AS (SELECT page_id, string_split(replace(regexp_replace(html, '[<>]', chr(10), 'g'), chr(13), chr(10)), chr(10)) AS ls, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS sp FROM pages),
+        l AS (SELECT page_id, sp, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM x), t AS (SELECT page_id, pos, sp, trim(line, sp) AS line FROM l),
+        p AS (SELECT page_id, pos, trim(split_part(line, ':', 1), sp) AS code, rtrim(trim(substr(line, instr(line, ':') + 1), sp), ';') AS value FROM t WHERE contains(line, ':')),
+        v AS (SELECT page_id, code, arg_max(value, pos) AS value FROM p GROUP BY 1, 2) SELECT page_id AS source_id, count(*) AS codes, sum(length(value))::BIGINT AS size FROM v GROUP BY 1""",
     "E2_clip": f"WITH {_R} SELECT channel, idx - 10 AS idx, round(raw, 6) AS raw FROM r WHERE idx >= 10 AND idx < 44",
     "E3_derivative": f"WITH {_D} SELECT channel, idx, round(d, 6) AS d FROM d",
     "E4_live_sigma": f"WITH {_D}, m AS (SELECT channel, min(raw) AS lo, max(raw) AS hi FROM r GROUP BY channel), u AS (SELECT channel, d FROM d JOIN m USING (channel) WHERE NOT (raw = nx AND (raw = lo OR raw = hi))), c AS (SELECT channel, median(d) AS med FROM u GROUP BY channel) SELECT channel, round(1.4826 * median(abs(d - med)), 6) AS sigma FROM u JOIN c USING (channel) GROUP BY channel",
