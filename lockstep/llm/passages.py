@@ -6,8 +6,10 @@ text form a segment. Equal windows have equal anchors at equal places, so:
 
 1. each text's segments are listed (anchor, digest, place), about one per 150 bytes; anchors that occur once in the corpus are dropped;
 2. a segment that occurs again as a whole goes as a whole, in every text that has it;
-3. different segments with one anchor are compared by a suffix array (linear grouping) over their distinct contents: neighbours in its
-   order with ``length`` common bytes are repeated windows. Anchors with more than ``MOST_CONTENTS`` different segments would make one
+3. different segments with one anchor are cut into ``STRIPS``: the windows that start in one strip of places before the anchor. All of
+   them share a block of bytes, so strips whose block occurs once are dropped, equal strips go as a whole, and different ones with one
+   block are compared by a suffix array (linear grouping) over their distinct contents: neighbours in its order with ``length`` common
+   bytes are repeated windows. Anchors with more than ``MOST_CONTENTS`` different segments would make one
    task's array too large: there every window is keyed by its own 128-bit digest and counted, which gives the same windows;
 4. the windows of a text are merged and cut out.
 
@@ -36,17 +38,19 @@ from lockstep.llm.suffixes import suffix_array
 LENGTH, GRAM = 400, 96
 #: Different segments of one anchor that one suffix array holds (about 600 bytes each).
 MOST_CONTENTS = 1500
+#: Strips of the windows of an anchor: more of them share longer blocks and need smaller arrays, but are more rows.
+STRIPS = 3
 #: Bytes of one text handled by one numpy pass; longer texts are handled in overlapping parts.
 PART_BYTES = 8_000_000
 _PLACE_BITS = np.uint64(24)
 
 
 def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start, end, anchor) of every segment; a segment is bytes ``start:end`` of its text."""
+    """(text, start, end, place, anchor) of every segment: bytes ``start:end`` of its text, with the anchor at ``place``."""
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     n, ends = len(raw), np.cumsum(sizes)
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     if n < length:
         return empty
     h = None
@@ -82,7 +86,7 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(new[1:], len(start)) - 1
     base = (ends - sizes)[text[new]]
-    return text[new], start[new] - base, start[last] + length - base, h[at[new]]
+    return text[new], start[new] - base, start[last] + length - base, at[new] - base, h[at[new]]
 
 
 def parts(texts: list[bytes], length: int) -> tuple[list[int], list[int], list[bytes]]:
@@ -107,24 +111,24 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _segment_rows(rows: DataFrame, length: int) -> DataFrame:
-    """``h, n, start, end, anchor, digest`` of the segments of every text."""
+    """``h, n, start, end, place, anchor, digest`` of the segments of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch.column(2))
             for a, b in batches_of(texts):
                 which, offset, some = parts(texts[a:b], length)
                 for c, d in batches_of(some):
-                    t, start, end, anchor = segments(some[c:d], length)
+                    t, start, end, place, anchor = segments(some[c:d], length)
                     if not len(t):
                         continue
                     t = t + c
                     digest = [xxhash.xxh3_64_intdigest(some[i][x:y]) for i, x, y in zip(t.tolist(), start.tolist(), end.tolist(), strict=True)]
                     base, row = np.array(offset)[t], pa.array(np.array(which)[t] + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start + base), pa.array(end + base),
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start + base), pa.array(end + base), pa.array(place + base),
                                                       pa.array(anchor.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64))],
-                                                     names=["h", "n", "start", "end", "anchor", "digest"])
+                                                     names=["h", "n", "start", "end", "place", "anchor", "digest"])
 
-    return rows.mapInArrow(run, "h long, n int, start long, end long, anchor long, digest long")
+    return rows.mapInArrow(run, "h long, n int, start long, end long, place long, anchor long, digest long")
 
 
 def repeated_windows(contents: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -162,8 +166,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``anchor, digest, content`` of the wanted segments (``h, n, start, end, anchor, digest``), cut from their texts."""
-    asked = wanted.groupBy("h", "n").agg(F.collect_list(F.struct("start", "end", "anchor", "digest")).alias("asked"))  # a text's own segments
+    """``anchor, digest, place, content`` of the wanted segments (``h, n, start, end, place, anchor, digest``), cut from their texts;
+    ``place`` is then the anchor's in the content."""
+    asked = wanted.groupBy("h", "n").agg(F.collect_list(F.struct("start", "end", "place", "anchor", "digest")).alias("asked"))  # a text's own segments
     texts = rows.join(asked, ["h", "n"]).select("h", "n", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,41 +179,81 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 if (h, n) not in seen:
                     if len(seen) < 100_000:
                         seen.add((h, n))
-                    out += [(x["anchor"], x["digest"], raw[x["start"]:x["end"]]) for x in asked_here]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())],
-                                             names=["anchor", "digest", "content"])
+                    out += [(x["anchor"], x["digest"], x["place"] - x["start"], raw[x["start"]:x["end"]]) for x in asked_here]
+            yield pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], pa.int64()) for k in range(3)), pa.array([o[3] for o in out], pa.binary())],
+                                             names=["anchor", "digest", "place", "content"])
 
-    return texts.mapInArrow(run, "anchor long, digest long, content binary")
+    return texts.mapInArrow(run, "anchor long, digest long, place long, content binary")
+
+
+def strips(content: bytes, place: int, length: int, gram: int = GRAM, number: int = STRIPS) -> list[tuple[int, int, bytes]]:
+    """(strip, offset in the content, bytes that the strip's windows cover) of every strip with a window in the content.
+
+    Strip k is the windows that start ``lo .. hi`` bytes before the anchor; bytes ``-lo .. length - hi`` around the anchor are in all.
+    """
+    most, out = length - gram, []
+    cuts = [k * (most + 1) // number for k in range(number + 1)]
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        first, last = max(0, place - (hi - 1)), min(len(content) - length, place - lo)
+        if first <= last:
+            out.append((k, first, content[first:last + length]))
+    return out
+
+
+def _strip_rows(contents: DataFrame, length: int) -> DataFrame:
+    """``key, digest_s, anchor, digest, offset, content`` of the strips; ``key`` stands for anchor, strip and shared block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = length - GRAM
+        cuts = [k * (most + 1) // STRIPS for k in range(STRIPS + 1)]
+        for batch in batches:
+            out = []
+            for a, d, place, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                for k, offset, part in strips(c, place, length):
+                    block = c[place - cuts[k]: place - (cuts[k + 1] - 1) + length]
+                    out.append((xxhash.xxh3_64_intdigest(block, seed=(a + k) & (2**64 - 1)), xxhash.xxh3_64_intdigest(part), a, d, offset, part))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.array([o[i] for o in out], np.uint64).view(np.int64)) for i in range(2)),
+                                              *(pa.array([o[i] for o in out], pa.int64()) for i in range(2, 5)), pa.array([o[5] for o in out], pa.binary())],
+                                             names=["key", "part", "anchor", "digest", "offset", "content"])
+
+    return contents.mapInArrow(run, "key long, part long, anchor long, digest long, offset long, content binary")
 
 
 def _by_suffix_array(contents: DataFrame, length: int) -> DataFrame:
-    """``anchor, digest, lo, hi``: repeated ranges of the contents of each anchor, one bounded array per anchor."""
+    """``anchor, digest, lo, hi``: repeated ranges of the contents of each anchor, one bounded array per shared block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, held = None, {}
+        key, held, of = None, {}, {}
 
-        def out() -> pa.RecordBatch:
-            digests = list(held)
-            found = [(anchor, d, a, b) for d, ranges in zip(digests, repeated_windows([held[d] for d in digests], length), strict=True) for a, b in ranges]
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["anchor", "digest", "lo", "hi"])
+        def out() -> list[tuple[int, int, int, int]]:
+            ranges = {p: [(0, len(held[p]))] for p, origins in of.items() if len(origins) > 1}
+            if len(held) > 1:
+                for p, found in zip(held, repeated_windows(list(held.values()), length), strict=True):
+                    ranges.setdefault(p, found)
+            return [(a, d, o + x, o + y) for p, found in ranges.items() for a, d, o in of[p] for x, y in found]
 
         for batch in batches:
-            for a, d, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if a != anchor:
-                    if len(held) > 1:
-                        yield out()
-                    anchor, held = a, {}
-                held[d] = c
-        if len(held) > 1:
-            yield out()
+            found: list[tuple[int, int, int, int]] = []
+            for k, p, a, d, o, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if k != key:
+                    found += out()
+                    key, held, of = k, {}, {}
+                held[p] = c
+                of.setdefault(p, []).append((a, d, o))
+            yield _ranges(found)
+        yield _ranges(out())
+
+    rows = _strip_rows(contents, length)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, digest long, lo long, hi long")
+
 
-    return contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, digest long, lo long, hi long")
+def _ranges(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["anchor", "digest", "lo", "hi"])
 
 
 def _by_window(contents: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contents: every window keyed by its digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, d, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for a, d, _, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 keys = [xxhash.xxh3_128_digest(c[o:o + length]) for o in range(len(c) - length + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([a] * len(keys), pa.int64()), pa.array([d] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int64()),
                                                   pa.array(keys, pa.binary())], names=["anchor", "digest", "lo", "key"])
@@ -225,7 +270,7 @@ def repeated_ranges(df: DataFrame, text: str = "text", length: int = LENGTH) ->
     # anchors seen once are dropped first, on two slim columns
     again = listed.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
     shared = materialize(listed.join(again, "anchor", "left_semi"))
-    kinds = materialize(shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("h", "n", "start", "end")).alias("one")))
+    kinds = materialize(shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("h", "n", "start", "end", "place")).alias("one")))
     whole = kinds.where("times > 1").select("anchor", "digest", F.lit(0).cast("long").alias("lo"), (F.col("one.end") - F.col("one.start")).alias("hi"))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
     wanted = kinds.join(several, "anchor").select("one.*", "anchor", "digest", "contents")

@@ -65,6 +65,18 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, most):
         assert got[i] == want, i
 
 
+def test_strips_hold_every_window_once():
+    rng = random.Random(9)
+    for _ in range(200):
+        n, gram = 30, 8
+        place = rng.randrange(0, n - gram + 1)
+        content = bytes(rng.randrange(256) for _ in range(place + n + rng.randrange(-min(place, 5), n - gram + 1)))
+        content = content[:place + n]  # windows start at the content's first byte up to the anchor
+        starts = [o for o in range(len(content) - n + 1) if o <= place <= o + n - gram]
+        found = sorted(o + i for _, o, part in pg.strips(content, place, n, gram, 3) for i in range(len(part) - n + 1))
+        assert found == starts
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert entries.op7_passages(spark, str(tmp_path)).count() == 0
