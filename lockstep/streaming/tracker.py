@@ -1,4 +1,10 @@
-"""Lock samples from a stream of packets: per-stream state, one sample for every window as it closes."""
+"""Lock samples from a stream of packets: per-stream state, one sample for every window as it closes, and what is open or came late.
+
+Three kinds of rows leave the tracker. ``closed``: a window that a later packet (or silence) ended. ``open``: the window that is still
+filling, as it stands after a trigger; a later row of the window replaces it, so a live view always holds the newest window, and the last
+window of a recording is not lost. ``late``: a packet at or before the newest one seen; it is kept out of the samples and reported by its
+number, so nothing vanishes unseen. `latest_samples` makes the first two into one row per window.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,8 @@ from lockstep.functions import bits as kernels
 from lockstep.operators.sync import ANCHOR, NO_LOCK, fold_hits
 from lockstep.sources.recording import GAP_TICKS, route_packets
 
-OUTPUT = "stream_id string, window_idx long, t_abs double, lock_pct double, missed long, n_frames long"
+OUTPUT = "stream_id string, window_idx long, t_abs double, lock_pct double, missed long, n_frames long, kind string, ord long"
+CLOSED, OPEN, LATE = "closed", "open", "late"
 _STATE = ("last_ord long, bit_base long, tail string, anchor long, count int, locked long, missed long, frames long, expected long, seed long, "
           "window long, window_bits long, base_locked long, base_frames long")
 _CONFIG = ["pattern", "mask", "sync_len", "swap_bytes", "inverted", "randomized", "bits_in_frame", "min_syncs", "bit_ticks", "period_ticks",
@@ -52,10 +59,22 @@ class _Tracker:
         locked, missed = self.totals_at(last_bit, cfg)
         share = 100.0 * (locked - self.base_locked) / self.window_bits if self.window_bits else 0.0
         self.out.append((self.stream, self.window, (self.seed + self.window * cfg.period_ticks) / 1e7, share, missed + self.expected,
-                         self.frames - self.base_frames))
+                         self.frames - self.base_frames, CLOSED, self.last_ord))
         self.base_locked, self.base_frames, self.window_bits = locked, self.frames, 0
         self.window += 1
 
+    def show_open(self, cfg) -> None:
+        """The window that is filling, as it stands; the state stays as it is."""
+        if self.window_bits:
+            state, shown = self.saved(), len(self.out)
+            self.close(self.bit_base - 1, cfg)
+            self.out[shown] = (*self.out[shown][:6], OPEN, self.last_ord)
+            (self.last_ord, self.bit_base, self.tail, self.anchor, self.count, self.locked, self.missed, self.frames, self.expected, self.seed,
+             self.window, self.window_bits, self.base_locked, self.base_frames) = state
+
+    def late(self, order: int) -> None:
+        self.out.append((self.stream, None, None, None, None, None, LATE, order))
+
     def packet(self, cfg) -> None:
         n, period = int(cfg.n_bits), int(cfg.period_ticks)
         if self.seed < 0:
@@ -98,27 +117,46 @@ class _Tracker:
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     tracker = _Tracker(key[0], state.get if state.exists else None)
-    batch = pd.concat(list(frames)).sort_values("ord")
+    batch = pd.concat(list(frames)).sort_values("ord", kind="stable")
+    row = None
     for row in batch.itertuples(index=False):
-        if row.ord > tracker.last_ord and row.n_bits > 0:
-            tracker.packet(row)
+        if row.ord <= tracker.last_ord:
+            tracker.late(row.ord)
+        elif row.n_bits > 0:
             tracker.last_ord = row.ord
+            tracker.packet(row)
+    if row is not None:
+        tracker.show_open(row)
     state.update(tracker.saved())
-    yield pd.DataFrame(tracker.out, columns=[part.split()[0] for part in OUTPUT.split(", ")])
+    columns = {part.split()[0]: part.split()[1] for part in OUTPUT.split(", ")}
+    out = pd.DataFrame(tracker.out, columns=list(columns))
+    yield out.astype({c: "Int64" for c, kind in columns.items() if kind == "long"})
 
 
 def lock_tracker(packets: DataFrame, streams: DataFrame) -> DataFrame:
-    """Samples of every window that a later packet closed. A stream is one channel, so a key's rate is bounded by its line; packets
-    older than the newest one seen are late and dropped. A gap's empty windows follow with the packet that ends the gap."""
+    """Closed, open and late rows of every stream, as the module says. A stream is one channel, so a key's rate is bounded by its line.
+    A gap's empty windows follow with the packet that ends the gap."""
     slim = packets.select("stream_id", "ord", "n_bits", "base_ticks", "payload").join(streams.select("stream_id", *_CONFIG), "stream_id")
     return slim.groupBy("stream_id").applyInPandasWithState(_advance, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def latest_samples(rows: DataFrame) -> DataFrame:
+    """One sample per stream and window: the closed one, else the newest open one if a frame ended in it by then."""
+    newest = F.max_by(F.struct("t_abs", "lock_pct", "missed", "n_frames"), F.struct((F.col("kind") == CLOSED).alias("c"), "ord"))
+    return rows.where((F.col("kind") == CLOSED) | (F.col("kind") == OPEN) & (F.col("n_frames") > 0)).groupBy("stream_id", "window_idx").agg(newest.alias("s")).select("stream_id", "window_idx", "s.*")
+
+
+def late_packets(rows: DataFrame) -> DataFrame:
+    """``stream_id, ord`` of every packet that came at or after a newer one, once for each time it came."""
+    return rows.where(F.col("kind") == LATE).select("stream_id", "ord")
+
+
 def _gap_alerts(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last_offset, last = state.get if state.exists else (-1, -1)
-    out = []
+    out = []  # a late time packet is reported without a gap
     for row in pd.concat(list(frames)).sort_values("file_offset").itertuples(index=False):
         if row.file_offset <= last_offset:
+            out.append((key[0], row.file_offset, None))
             continue
         if last >= 0 and row.abs_ticks - last > GAP_TICKS:
             out.append((key[0], row.file_offset, (row.abs_ticks - last) / 1e7))
@@ -128,7 +166,7 @@ def _gap_alerts(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
 
 
 def time_gap_alerts(times: DataFrame) -> DataFrame:
-    """One row for every gap between neighbouring time packets, as it is seen."""
+    """One row for every gap between neighbouring time packets, as it is seen; a packet that came late has a row without ``gap_s``."""
     return times.select("source_id", "file_offset", "abs_ticks").groupBy("source_id").applyInPandasWithState(
         _gap_alerts, "source_id int, file_offset long, gap_s double", "last_offset long, last long", "append", GroupStateTimeout.NoTimeout)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.streaming.tracker import lock_tracker, read_packets_stream, run_available, time_gap_alerts
+from lockstep.streaming.tracker import late_packets, latest_samples, lock_tracker, read_packets_stream, run_available, time_gap_alerts
 from lockstep.workload import documents as docs
 from lockstep.workload.events import scratch
 
@@ -25,22 +25,42 @@ def read_stream(spark, sf):
 
 
 def tracker(spark, sf):
-    """Closed windows of the streams that completed a frame in one of them."""
-    samples = _now(spark, lock_tracker(docs.as_packets(_stream(spark, sf, "documents")), docs.streams(spark)))
+    """All windows of the streams that completed a frame, the last one of each as it stands at the end."""
+    rows = _now(spark, lock_tracker(docs.as_packets(_stream(spark, sf, "documents")), docs.streams(spark)))
+    samples = latest_samples(rows)
     good = samples.groupBy("stream_id").agg(F.sum("n_frames").alias("f")).where("f > 0").select("stream_id")
     return docs._rounded(samples.join(good, "stream_id", "left_semi"))
 
 
+def open_windows(spark, sf):
+    """The window that is still open at the end of every stream."""
+    rows = _now(spark, lock_tracker(docs.as_packets(_stream(spark, sf, "documents")), docs.streams(spark)))
+    return rows.where("kind = 'open'").groupBy("stream_id").agg(F.max("ord").alias("ord"))
+
+
+def late(spark, sf):
+    """The documents in two files, the second with the odd ids: of those, all before the first file's last one come late."""
+    path = scratch(spark, "late")
+    source = docs.table(spark, sf, "documents")
+    for part in (0, 1):
+        source.where(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
+    stream = read_packets_stream(spark, path, source.schema)
+    rows = _now(spark, lock_tracker(docs.as_packets(stream), docs.streams(spark)))
+    return late_packets(rows)
+
+
 def gap_alerts(spark, sf):
     times = _stream(spark, sf, "events").select(F.col("user_id").cast("int").alias("source_id"), F.col("event_id").alias("file_offset"),
                                                 (F.unix_micros(F.col("ts").cast("timestamp")) * 10).alias("abs_ticks"))
     return _now(spark, time_gap_alerts(times)).select("source_id", "file_offset", F.round("gap_s", 6).alias("gap_s"))
 
 
-QUERIES = {"R1_read_packets_stream": read_stream, "R3_lock_tracker": tracker, "R5_time_gap_alerts": gap_alerts}
+QUERIES = {"R1_read_packets_stream": read_stream, "R2_late_packets": late, "R3_lock_tracker": tracker, "R4_open_windows": open_windows, "R5_time_gap_alerts": gap_alerts}
 
 ORACLES = {
     "R1_read_packets_stream": "SELECT lang AS stream_id, count(*) AS packets, sum(8 * octet_length(encode(text)))::BIGINT AS bits FROM documents WHERE octet_length(encode(text)) > 0 GROUP BY lang",
-    "R3_lock_tracker": f"{docs._FULL}, done AS (SELECT *, sum(n_frames) OVER (PARTITION BY stream_id) AS f FROM samples JOIN (SELECT lang AS stream_id, last_win FROM ok) USING (stream_id) WHERE window_idx < last_win) SELECT stream_id, window_idx, t_abs, lock_pct, missed, n_frames FROM done WHERE f > 0",
+    "R3_lock_tracker": f"{docs._FULL}, done AS (SELECT *, sum(n_frames) OVER (PARTITION BY stream_id) AS f FROM samples) SELECT stream_id, window_idx, t_abs, lock_pct, missed, n_frames FROM done WHERE f > 0",
+    "R2_late_packets": "WITH p AS (SELECT lang AS stream_id, doc_id AS ord FROM documents WHERE octet_length(encode(text)) > 0), m AS (SELECT stream_id, max(ord) AS newest FROM p WHERE ord % 2 = 0 GROUP BY 1) SELECT stream_id, ord FROM p JOIN m USING (stream_id) WHERE ord % 2 = 1 AND ord < newest",
+    "R4_open_windows": "SELECT lang AS stream_id, max(doc_id) AS ord FROM documents WHERE octet_length(encode(text)) > 0 GROUP BY 1",
     "R5_time_gap_alerts": "WITH g AS (SELECT user_id AS source_id, event_id AS file_offset, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6 AS d FROM events) SELECT source_id, file_offset, round(d, 6) AS gap_s FROM g WHERE d > 2",
 }

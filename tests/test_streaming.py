@@ -1,7 +1,7 @@
 from bitstreams import PACKET_SCHEMA, packets, split, stream, streams
 
 from lockstep.plans.recording import lock_percent
-from lockstep.streaming.tracker import lock_tracker, read_packets_stream, run_available
+from lockstep.streaming.tracker import late_packets, latest_samples, lock_tracker, read_packets_stream, run_available
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -11,8 +11,22 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         table.where(f"ord div 8 = {i}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     source = read_packets_stream(spark, f"{tmp_path}/in/*", PACKET_SCHEMA)
-    got = run_available(lock_tracker(source, config), f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    rows = run_available(lock_tracker(source, config), f"{tmp_path}/out", f"{tmp_path}/cp")
     batch = {(r.stream_id, r.window_idx): r for r in lock_percent(table, config).collect()}
-    assert len(got) == len(batch) - 3  # each stream's last window is still open
+    got = latest_samples(rows).select(*next(iter(batch.values())).__fields__).collect()
+    assert len(got) == len(batch)  # the last window of each stream included
     for r in got:
         assert r == batch[(r.stream_id, r.window_idx)]
+    assert late_packets(rows).count() == 0 and rows.where("kind = 'open'").count() >= 3
+
+
+def test_late_packets_are_reported_and_change_nothing(spark, tmp_path):
+    table, config = packets(spark, {"a": split(stream(1, 4, 5, 6, 7, 15), 7, 1000.0)}), streams(spark, ["a"])
+    last = table.agg({"ord": "max"}).first()[0]
+    table.coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    table.where(f"ord in (0, 2, {last})").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    source = read_packets_stream(spark, f"{tmp_path}/in/*", PACKET_SCHEMA)
+    rows = run_available(lock_tracker(source, config), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert sorted(r.ord for r in late_packets(rows).collect()) == [0, 2, last]
+    batch = lock_percent(table, config)
+    assert sorted(map(tuple, latest_samples(rows).select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
