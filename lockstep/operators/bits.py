@@ -26,19 +26,39 @@ SEARCH_COLUMNS = ["pattern", "mask", "sync_len", "swap_bytes", "inverted", "rand
 
 # --- transforms of one payload -------------------------------------------------------------------------------------
 
-@F.pandas_udf(BinaryType())
-def _swap(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda b: kernels.swap_pairs(np.frombuffer(b, np.uint8)).tobytes(), na_action="ignore")
+def _rewritten(payload: pa.Array, change) -> pa.Array:
+    """The payloads after one numpy operation on the bytes of all of them; lengths and nulls stay."""
+    if not len(payload):
+        return payload
+    valid, places, data = payload.buffers()
+    offsets = np.frombuffer(places, np.int32)[payload.offset: payload.offset + len(payload) + 1]
+    joined = np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    known = None if not payload.null_count else pa.py_buffer(np.packbits(payload.is_valid().to_numpy(zero_copy_only=False), bitorder="little"))
+    changed = np.ascontiguousarray(change(joined, offsets))
+    return pa.Array.from_buffers(pa.binary(), len(payload), [known, pa.py_buffer(offsets), pa.py_buffer(changed)], payload.null_count)
 
 
-@F.pandas_udf(BinaryType())
-def _invert(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda b: (~np.frombuffer(b, np.uint8)).tobytes(), na_action="ignore")
+def _swapped(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    length = np.diff(offsets)
+    start, even = np.repeat(offsets[:-1], length), np.repeat(length % 2 == 0, length)
+    at = np.arange(data.size)
+    return data[np.where(even, start + ((at - start) ^ 1), at)]
 
 
-@F.pandas_udf(BinaryType())
-def _reverse(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda b: kernels.reverse_each_byte(np.frombuffer(b, np.uint8)).tobytes(), na_action="ignore")
+@F.arrow_udf(BinaryType())
+def _swap(payload: pa.Array) -> pa.Array:
+    return _rewritten(payload, _swapped)
+
+
+@F.arrow_udf(BinaryType())
+def _invert(payload: pa.Array) -> pa.Array:
+    return _rewritten(payload, lambda data, _: ~data)
+
+
+@F.arrow_udf(BinaryType())
+def _reverse(payload: pa.Array) -> pa.Array:
+    return _rewritten(payload, lambda data, _: kernels.reverse_each_byte(data))
 
 
 def swap_bytes(packets: DataFrame) -> DataFrame:

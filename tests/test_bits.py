@@ -102,3 +102,13 @@ def test_envelope_is_bounded_by_its_view(spark):
     dense = sorted((r.column, r.n) for r in got if r.decimated)
     assert dense == [(-1, 1), *[(c, 8) for c in range(127)], (127, 9), (128, 1)]
     assert sorted(r.x for r in got if not r.decimated) == [10.0 * i for i in range(99, 204)]
+
+
+def test_payload_transforms_keep_lengths_and_nulls(spark):
+    rows = [(i, bytes([(7 * i + j) % 256 for j in range(i)]) if i % 4 != 3 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "ord int, payload binary").coalesce(1)
+    want = {i: p for i, p in rows}
+    for change, one in ((bits.swap_bytes, lambda p: p if len(p) % 2 else bytes(p[j ^ 1] for j in range(len(p)))),
+                        (bits.invert_bits, lambda p: bytes(255 - x for x in p)), (bits.reverse_bits, lambda p: bytes(int(f"{x:08b}"[::-1], 2) for x in p))):
+        for r in change(df).collect():
+            assert (r.payload is None) == (want[r.ord] is None) and (r.payload is None or bytes(r.payload) == one(want[r.ord]))
