@@ -119,6 +119,10 @@ def channel_window_mean(packets: DataFrame, frames: DataFrame, samples: DataFram
 
 
 def pick_words(frames: DataFrame, word_map: DataFrame, array: str = "words") -> DataFrame:
-    """Frames that already hold their words as an array: one row per mapped parameter (zero-based word)."""
-    mapped = word_map.select("ord", "name", "word")
-    return frames.join(mapped, F.lit(True)).withColumn("raw", F.try_element_at(array, F.col("word") + 1))
+    """Frames that already hold their words as an array: one row per mapped parameter (zero-based word).
+
+    The map is one row with an array (its entries are at most a frame's words), which every frame unrolls for itself.
+    """
+    whole = word_map.agg(F.collect_list(F.struct("ord", "name", "word")).alias("_map"))
+    mapped = frames.join(whole, F.lit(True)).withColumn("_m", F.explode("_map")).drop("_map")
+    return mapped.select(*frames.columns, "_m.*").withColumn("raw", F.try_element_at(array, F.col("word") + 1))
