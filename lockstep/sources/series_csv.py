@@ -39,27 +39,31 @@ def write_series_csv(points: DataFrame, series: DataFrame, day: int, offset: flo
     Rows are range-partitioned and sorted by millisecond, so concatenating the parts in name order gives the single-file export.
     """
     header = csv_header(series)
-    n = len(header.split(",")) - 1 if series.count() else 0
+    n = series.count()
     rows = csv_rows(points, n, F.lit(day), F.lit(offset)).repartitionByRange("ms").sortWithinPartitions("ms")
     spark = points.sparkSession
     spark.createDataFrame([(header,)], "line string").coalesce(1).write.option("lineSep", "\r\n").mode("overwrite").text(path + "/part=0")
     rows.select("line").write.option("lineSep", "\r\n").mode("overwrite").text(path + "/part=1")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_at, line`` with an order column that follows the file, whatever its splits; carriage returns are ignored."""
+def read_lines(spark: SparkSession, path: str, one_export: bool = False) -> DataFrame:
+    """``file, line_at, line`` with an order column that follows the file, whatever its splits; carriage returns are ignored.
+
+    With ``one_export`` the files under ``path`` are the parts of one file, in the order of their names.
+    """
     raw = spark.read.option("lineSep", "\n").text(path)
-    spot = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return raw.select(F.col("_metadata.file_path").alias("file"), spot.alias("line_at"), F.translate("value", "\r", "").alias("line"))
+    name = F.col("_metadata.file_path")
+    spot = F.struct((name if one_export else F.lit("")).alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return raw.select((F.lit(path) if one_export else name).alias("file"), spot.alias("line_at"), F.translate("value", "\r", "").alias("line"))
 
 
-def read_series_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Every export under ``path``: (points, files).
+def read_series_csv(spark: SparkSession, path: str, one_export: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every export under ``path``, or the one whose parts lie there: (points, files).
 
     ``files`` has per file the outcome: ``ok``, ``skipped`` rows, ``base_day``, ``base_offset`` and ``x_max``. Points carry the identity parsed
     from the headers. Rows with too few cells or a bad stamp are skipped and counted; a cell that is no number is skipped alone.
     """
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, one_export)
     first = lines.groupBy("file").agg(F.min("line_at").alias("line_at"))
     heads = lines.join(first, ["file", "line_at"], "left_semi").select("file", F.col("line_at").alias("_head_at"), F.split(
         F.regexp_replace("line", "^﻿", ""), ",", -1).alias("header"))

@@ -279,12 +279,7 @@ def csv_round_trip(spark, sf):
     points, names = _export(spark, sf)
     path = scratch(spark, "export")
     series_csv.write_series_csv(points, names, 1, 0.0, path)
-    # The header part and the rows come back as one file's worth of lines, as a concatenated export has them.
-    joined = scratch(spark, "export")
-    spark.read.option("lineSep", "\n").text([f"{path}/part=0", f"{path}/part=1"]).select(
-        "value", (~F.startswith("value", F.lit("Time"))).alias("body"), F.left("value", F.lit(16)).alias("at")).coalesce(1).sortWithinPartitions(
-        "body", "at").select("value").write.text(joined)
-    out, files = series_csv.read_series_csv(spark, joined)
+    out, files = series_csv.read_series_csv(spark, path, one_export=True)
     return out.select("metric", "name", "source_id", "receiver", "channel", F.round("elapsed", 3).alias("elapsed"), "value")
 
 
