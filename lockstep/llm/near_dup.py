@@ -7,11 +7,12 @@ points of the cells that both own: a register's first point is common with the p
 drawn in order for all documents of a batch at once, until no later point can be the first of any register.
 
 Documents with the same word sequence are one content. Contents that share a band are candidates; the exact weighted Jaccard index of
-their multisets decides. Pairs are not expanded within a bucket: its first content is compared with the others; contents that are in one
-component by then need no more comparison, and only buckets that still hold several components get further first contents (eight times
-as many each round), until every pair of a bucket has been compared or is in one component. No bucket, partner or round is capped.
+their multisets decides. Pairs are not expanded within a bucket: its first content - the one whose buckets hold most contents, so the
+original rather than a variant - is compared with the others; contents that are in one component by then need no more comparison. Buckets
+that still hold several components are compared whole, in blocks of bounded size inside tasks, by register agreement; only pairs that may
+be similar leave the task, and their multisets decide. Every pair of a bucket is compared or in one component; nothing is capped.
 
-``BANDS`` of ``ROWS`` registers miss a pair of similarity 0.8 with probability 3e-6. Words are runs of letters and digits in lower case.
+``BANDS`` of ``ROWS`` registers miss a pair of similarity 0.8 with probability 5e-6 and bring one of 0.4 together with 0.15. Words are runs of letters and digits in lower case.
 
 Edge cases: null is the empty text; texts without a word are alike only if they are equal; a text of fewer than five words is one shingle;
 repeated rows, of the same id or not, are in one class; a null id is kept; an empty table gives no rows. Other columns do not pass.
@@ -32,8 +33,12 @@ from lockstep.llm.common import batches_of, hidden, materialize, prepared, strin
 from lockstep.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
+#: Registers that must agree before multisets are compared: 4.5 standard deviations below the mean at SIMILAR (misses 4e-6).
+LEAST_AGREEING = int(REGISTERS * SIMILAR - 4.5 * (REGISTERS * SIMILAR * (1 - SIMILAR)) ** 0.5)
+#: Contents of one block of a bucket.
+BLOCK = 4096
 #: Points drawn at once for each process still running, at most.
 MOST_POINTS = 32
 
@@ -94,6 +99,11 @@ def band_keys(first: np.ndarray) -> np.ndarray:
     return mix(total + np.arange(BANDS, dtype=np.uint64)[None, :], 9)
 
 
+def register_marks(first: np.ndarray) -> list[bytes]:
+    """One byte per register, for quick comparison."""
+    return [r.tobytes() for r in (mix(first.view(np.uint64).ravel(), 21) >> np.uint64(56)).astype(np.uint8).reshape(first.shape)]
+
+
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, tkey, text``; ``tkey`` stands for the text in joins."""
     t = text_or_empty(text)
@@ -101,7 +111,7 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def contents(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, tkey, content, bands`` of every row; ``bands`` is null without a shingle."""
+    """``key, tkey, content, bands, marks`` of every row; ``bands`` is null without a shingle."""
     keyed = _keyed(df, key, text)
     kind = keyed.schema["key"].dataType.simpleString()
 
@@ -115,9 +125,10 @@ def contents(df: DataFrame, key: str, text: str) -> DataFrame:
                 keys = band_keys(first).view(np.int64).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digests, pa.binary()),
-                     pa.array([k if t else None for k, t in zip(keys, there, strict=True)], pa.list_(pa.int64()))], names=["key", "tkey", "content", "bands"])
+                     pa.array([k if t else None for k, t in zip(keys, there, strict=True)], pa.list_(pa.int64())),
+                     pa.array(register_marks(first), pa.binary())], names=["key", "tkey", "content", "bands", "marks"])
 
-    return keyed.mapInArrow(run, f"key {kind}, tkey struct<h: bigint, g: bigint>, content binary, bands array<bigint>")
+    return keyed.mapInArrow(run, f"key {kind}, tkey struct<h: bigint, g: bigint>, content binary, bands array<bigint>, marks binary")
 
 
 def _multisets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -167,40 +178,81 @@ def _verified(pairs: DataFrame, multisets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
 
 
+def _likely_pairs(active: DataFrame) -> DataFrame:
+    """Pairs (``a, b``) of one bucket in different components whose registers agree often enough, from ``band, content, root, size, marks,
+    place, n``. A bucket is cut into blocks of ``BLOCK`` contents and every two blocks meet in one task, so a task holds two blocks."""
+    block = F.floor(F.col("place") / BLOCK)
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))
+    dealt = (active.withColumn("own", block).withColumn("other", others)
+             .select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "content", "root", "size", "marks", "own"))
+
+    def compared(rows: list[dict], bi: int, bj: int) -> list[tuple[bytes, bytes]]:
+        marks = np.frombuffer(b"".join([r["marks"] for r in rows]), np.uint8).reshape(len(rows), REGISTERS)
+        size = np.array([r["size"] for r in rows], float)
+        _, root = np.unique(np.array([r["root"] for r in rows], object), return_inverse=True)
+        own = np.array([r["own"] for r in rows])
+        out = []
+        for i in range(len(rows)):
+            later = np.arange(i + 1, len(rows)) if bi == bj else np.flatnonzero(own == bj) if own[i] == bi else ()
+            if len(later):
+                later = later[(root[later] != root[i]) & (np.minimum(size[later], size[i]) >= SIMILAR * np.maximum(size[later], size[i]))]
+                later = later[(marks[later] == marks[i]).sum(1) >= LEAST_AGREEING]
+                out += [tuple(sorted((rows[i]["content"], rows[j]["content"]))) for j in later]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            pairs: list[tuple[bytes, bytes]] = []
+            for row in batch.to_pylist():
+                here = (row["band"], row["bi"], row["bj"])
+                if here != at:
+                    if len(held) > 1:
+                        pairs += compared(held, at[1], at[2])
+                    at, held = here, []
+                held.append(row)
+            yield _pairs(pairs)
+        yield _pairs(compared(held, at[1], at[2]) if len(held) > 1 else [])
+
+    return (dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj").mapInArrow(run, "a binary, b binary").distinct())
+
+
+def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``content, root`` after the links: components of the components found so far."""
+    if not links.limit(1).count():
+        return labels
+    by_root = materialize(links.join(labels.select(F.col("content").alias("a"), F.col("root").alias("ra")), "a")
+                          .join(labels.select(F.col("content").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    merged = components(by_root).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return materialize(labels.join(merged, "root", "left").select("content", F.coalesce("top", "root").alias("root")))
+
+
 def _content_roots(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame | None:
-    """``content, root`` of the contents that have a near duplicate."""
-    distinct = rows.where("bands IS NOT NULL").groupBy("content").agg(F.first("bands").alias("bands"), F.min("tkey").alias("tkey"))
-    member = distinct.select("content", "tkey", F.explode("bands").alias("band"))
-    crowded = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    """``content, root`` of the contents that share a bucket with another."""
+    distinct = materialize(rows.where("bands IS NOT NULL").groupBy("content").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.min("tkey").alias("tkey")))
+    member = distinct.select("content", F.explode("bands").alias("band"))
+    crowded = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(member.join(crowded, "band"))
     if not shared.limit(1).count():
         return None
-    multisets = materialize(_multisets(df, key, text, shared.select("tkey").distinct()))
-    # contents in a fixed order inside every bucket; copies and components are slim rows here
-    placed = materialize(shared.join(multisets.select("content", "size"), "content").select("band", "content", "size")
-                         .withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy("content")) - 1))
-    labels = placed.select("content", F.col("content").alias("root")).distinct()
-    active, low, high = placed, 0, 1
-    while True:
-        rooted = active.join(labels, "content")
-        mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("place").alias("last")).where(F.col("r0") != F.col("r1")).where(F.col("last") > low)
-        active = materialize(rooted.join(mixed.select("band"), "band"))
-        if not active.limit(1).count():
-            return labels
-        first = active.where((F.col("place") >= low) & (F.col("place") < high)).select(
-            "band", F.col("content").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"))
-        pairs = (active.join(first, "band").where((F.col("place") > F.col("place_a")) & (F.col("root") != F.col("root_a")))
-                 .where(F.least("size", "size_a") >= SIMILAR * F.greatest("size", "size_a"))
-                 .select("a", F.col("content").alias("b")).distinct())
-        links = materialize(_verified(pairs, multisets))
-        if links.limit(1).count():
-            # components of components: links between the roots found so far
-            by_root = materialize(links.join(labels.select(F.col("content").alias("a"), F.col("root").alias("ra")), "a")
-                       .join(labels.select(F.col("content").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-            merged = components(by_root).select(F.col("node").alias("root"), F.col("root").alias("top"))
-            labels = materialize(labels.join(merged, "root", "left").select("content", F.coalesce("top", "root").alias("root")))
-        active = active.drop("root")
-        low, high = high, 8 * high
+    # contents in a fixed order inside every bucket, the best connected first: an original is likelier to be like all its variants
+    facts = materialize(shared.groupBy("content").agg(F.sum("n").alias("weight")).join(distinct.drop("bands"), "content"))
+    multisets = materialize(_multisets(df, key, text, facts.select("tkey")))
+    facts = facts.join(multisets.select("content", "size"), "content")
+    placed = materialize(shared.join(facts.select("content", "weight"), "content")
+                         .withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "content")) - 1).drop("weight"))
+    first = placed.where("place = 0").select("band", F.col("content").alias("a"))
+    stars = placed.where("place > 0").select("band", F.col("content").alias("b")).join(first, "band").select("a", "b").distinct()
+    labels = facts.select("content", F.col("content").alias("root"))
+    labels = _joined(labels, materialize(_verified(stars, multisets)))
+    rooted = placed.join(labels, "content")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1")).select("band")
+    active = rooted.join(mixed, "band").join(facts.select("content", "size", "marks"), "content")
+    return _joined(labels, materialize(_verified(_likely_pairs(active), multisets)))
 
 
 def _rooted(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -45,7 +45,9 @@ def write(spark, path, rows):
     spark.createDataFrame(rows, "doc_id long, text string, class_id string").repartition(3).write.parquet(f"{path}/documents.parquet")
 
 
-def test_query_equals_brute_force_components(spark, tmp_path):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_query_equals_brute_force_components(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(300)]
     texts = []
