@@ -37,9 +37,8 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Texts without repeated passages; bytes of a character that was cut through go with the passage. ``n_chars`` is counted anew."""
     rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
     left = passages.cut(docs.select(*rest, "text"), rest)
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")).otherwise(F.decode("kept", "UTF-8"))
-    out = left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = left.withColumn("text", F.col("kept_text"))
+    return (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,8 @@ from lockstep.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 40, 6
-REGISTERS = BANDS * ROWS
+#: The bands use the first BANDS * ROWS registers; all of them estimate the similarity of two contents of one bucket.
+REGISTERS = 480
 #: Registers that must agree before multisets are compared: 4.5 standard deviations below the mean at SIMILAR (misses 4e-6).
 LEAST_AGREEING = int(REGISTERS * SIMILAR - 4.5 * (REGISTERS * SIMILAR * (1 - SIMILAR)) ** 0.5)
 #: Contents of one block of a bucket.
@@ -92,7 +93,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
 
 def band_keys(first: np.ndarray) -> np.ndarray:
     """One 64-bit key per band of every signature."""
-    bits = first.view(np.uint64).reshape(len(first), BANDS, ROWS)
+    bits = np.ascontiguousarray(first[:, :BANDS * ROWS]).view(np.uint64).reshape(len(first), BANDS, ROWS)
     total = np.zeros((len(first), BANDS), np.uint64)
     for k in range(ROWS):
         total = mix(total + mix(bits[:, :, k], 300 + k))

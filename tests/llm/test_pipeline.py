@@ -13,7 +13,7 @@ def corpus(rng):
     def prose(n):
         return " ".join(rng.choices(words, k=n)) + "."
 
-    rows, labels, passage = [], [], "é".join(rng.choices(words, k=120))
+    rows, labels, passage = [], [], "é".join(rng.choices(words, k=120))  # é and è share their first byte
     for i in range(400):
         text = prose(rng.choice([30, 90]))
         good, toxic = i % 5 != 0, i % 7 == 0
@@ -23,7 +23,7 @@ def corpus(rng):
             text = "%%% ".join(text.split()) + "%%%"
         rows.append((i, text))
         labels.append((i, int(good), int(toxic)))
-    rows += [(1000 + i, rows[i + 1][1]) for i in range(0, 40, 5)] + [(2000 + i, prose(60) + passage + prose(60)) for i in range(4)]
+    rows += [(1000 + i, rows[i + 1][1]) for i in range(0, 40, 5)] + [(2000 + i, prose(60) + passage + "éèêë"[i] + prose(60)) for i in range(4)]
     rows += [(3000, None), (3001, ""), (3002, ""), (None, prose(40)), (3003, rows[2][1]), (3003, rows[2][1])]
     return [(i, t, "en", None, len(t or ""), "x") for i, t in rows], labels
 
