@@ -85,16 +85,16 @@ class Tree:
                 continue
             a, b = self.range[node]
             score, ids = self.points[a:b] @ query, self.ids[a:b]
-            likely = np.flatnonzero((score >= best[0][0]) if len(best) == k else np.ones(b - a, bool))
+            other = ids != own  # before the trim: the query's own rows must not take places among the leaf's k
+            likely = np.flatnonzero(other & (score >= best[0][0]) if len(best) == k else other)
             if len(likely) > k and not exact:  # no more than k of a leaf can stay, with ties
                 likely = likely[score[likely] >= np.partition(score[likely], len(likely) - k)[len(likely) - k]]
             for i in likely:
-                if ids[i] != own:
-                    entry = (int(score[i]), -int(ids[i]))
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
+                entry = (int(score[i]), -int(ids[i]))
+                if len(best) < k:
+                    heapq.heappush(best, entry)
+                elif entry > best[0]:
+                    heapq.heapreplace(best, entry)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -37,3 +37,14 @@ def test_large_items_and_few_rows(spark):
     check(spark, [(0, [1e6, -1e6]), (7, [1e6 + 0.001, 3.0]), (8, [-2e5, 1e6])])
     check(spark, [(7, [1.0])])
     check(spark, [])
+
+
+def test_own_rows_take_no_place_in_a_leaf(spark):
+    assert topk.LEAF_ROWS > 10
+    rng = np.random.default_rng(2)
+    tight = [(7 + i, (1.0 + rng.normal(size=4) / 1000).tolist()) for i in range(14)]  # 7 and 14 ask; one leaf holds all
+    check(spark, tight)
+    check(spark, tight[:11])  # ten others and no more
+    far = [(1000 + i, (-5.0 + rng.normal(size=4)).tolist()) for i in range(200)]
+    check(spark, tight + far)
+    check(spark, tight + [(7, tight[0][1])] * 12 + far)  # repeated rows of an asking id
