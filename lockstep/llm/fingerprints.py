@@ -29,8 +29,10 @@ K, S = 16, 5
 ANCHORS = 96
 #: How far the distance of two common anchors may drift.
 DRIFT = 8
-#: Rows of an id range, about.
-RANGE_ROWS = 2000
+#: Rows of an id range, about; of larger tables the ranges grow, so that their number stays near this.
+RANGE_ROWS, MAX_RANGES = 2000, 2000
+#: Stands for a null id, which comes last.
+LOWEST = -(2**63)
 
 
 def syncmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,25 +117,31 @@ def edited(text: str, following: str) -> str:
 
 
 def _ranges(rows: DataFrame) -> DataFrame:
-    """``rows`` (``key, order, text``) with ``range``, its number from the top, and the first row of a range repeated as the guest that
-    closes the range before it."""
-    slim = rows.select("order")
-    n = slim.count()
-    parts = max(1, -(-n // RANGE_ROWS))
-    cuts = slim.stat.approxQuantile("order", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 and parts <= 2000 else []
-    if parts > 2000:  # more cuts than belong in one plan: even steps of the id instead
-        low, high = slim.agg(F.min("order"), F.max("order")).first()
-        cuts = np.linspace(low, high, 2001)[1:-1].tolist()
-    cuts = sorted({int(c) for c in cuts})
+    """``rows`` (``key, order, text``) with ``range``, which rises from the top. Quantiles of the ids that are there cut the ranges; an id
+    (or null) with more rows than a range is alone in its stretch, and its rows are cut by text hash."""
+    slim = rows.select("order", F.col("key").isNotNull().alias("named"))
+    n, n_named = slim.agg(F.count(F.lit(1)), F.count_if("named")).first()
+    size = max(RANGE_ROWS, -(-n // MAX_RANGES))
+    parts = -(-n_named // size)
+    cuts = slim.where("named").stat.approxQuantile("order", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    cuts = {min(max(int(c), LOWEST), -LOWEST - 1) for c in cuts}
+    heavy = slim.groupBy("order", "named").count().where(F.col("count") > size).collect() if n > size else []
+    cuts = sorted(cuts | {c for r in heavy if r.named for c in (r.order, r.order - 1) if c >= LOWEST})
     number = F.lit(0) if not cuts else sum((F.when(F.col("order") <= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 8 else \
         F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("order") <= c))
-    return rows.withColumn("range", number.cast("long"))
+    number = F.when(F.col("key").isNull(), len(cuts) + 1).otherwise(number)
+    piece = F.lit(0)
+    if heavy:  # hashes are even: equal steps from the highest down
+        pieces = F.create_map(*[F.lit(x) for r in heavy for x in (sum(r.order <= c for c in cuts) if r.named else len(cuts) + 1, -(-r["count"] // size))])
+        many = F.coalesce(F.try_element_at(pieces, number), F.lit(1))
+        piece = F.when(many > 1, F.least(many - 1, F.floor((F.lit(0.5) - F.xxhash64("text") / F.lit(2.0**64)) * many))).otherwise(0)
+    return rows.withColumn("range", number.cast("long") * 2 * MAX_RANGES + piece)
 
 
 def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next`` of every row and its edited text."""
     prepared(df.sparkSession)
-    order = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    order = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
     rows = _ranges(df.select(F.col(key).alias("key"), order.alias("order"), text_or_empty(text).alias("text")))
     # one slim row per range: its highest id and text hash, to find the row that follows the range above
     tag = F.struct(F.col("order"), F.col("key").isNotNull().alias("named"), F.xxhash64("text").alias("h"))

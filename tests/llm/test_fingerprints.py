@@ -62,3 +62,28 @@ def test_query_ties_nulls_single_and_empty(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = entries.op4_fingerprint(spark, f"{tmp_path}/{name}").collect()
         assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+
+
+def test_ranges_stay_even(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    texts = [f"text {i} " + "".join(rng.choices("abcd ", k=30)) for i in range(2400)]
+
+    def most(ids):
+        order = "coalesce(doc_id, -9223372036854775808) AS order"
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=False)), "doc_id long, text string").selectExpr("doc_id AS key", order, "text")
+        return max(r["count"] for r in fp._ranges(rows).groupBy("range").count().collect())
+
+    monkeypatch.setattr(fp, "RANGE_ROWS", 50)
+    assert most([None if i % 3 else i for i in range(600)]) < 120  # null ids are cut too
+    assert most([i if i % 2 else 77 for i in range(600)]) < 120  # and the rows of one id
+    assert most([*range(598), None, 2**63 - 1]) < 120
+    monkeypatch.setattr(fp, "RANGE_ROWS", 1)
+    assert most([*range(2398), None, 2**63 - 1]) < 12  # more than 2000 ranges asked for
+    monkeypatch.setattr(fp, "RANGE_ROWS", 7)
+    ids = [None if i % 3 == 0 else 5 if i % 3 == 1 else -(2**63) + i % 2 * i for i in range(120)]
+    spark.createDataFrame(list(zip(ids, texts, strict=False)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entries.op4_fingerprint(spark, str(tmp_path)).select("doc_id", "edited_sha256").collect()
+    h = {r.text: r.h for r in spark.createDataFrame([(t,) for t in texts[:120]], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(zip(ids, texts, strict=False), key=lambda r: (-(2**63) if r[0] is None else r[0], r[0] is not None, h[r[1]]), reverse=True)
+    want = [(i, hashlib.sha256(fp.edited(t, order[(k + 1) % 120][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
