@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lockstep.functions import bits as kernels
 from lockstep.operators.sync import ANCHOR, NO_LOCK, fold_hits
@@ -27,6 +29,8 @@ _STATE = ("last_ord long, bit_base long, tail string, anchor long, count int, lo
           "window long, window_bits long, base_locked long, base_frames long")
 _CONFIG = ["pattern", "mask", "sync_len", "swap_bytes", "inverted", "randomized", "bits_in_frame", "min_syncs", "bit_ticks", "period_ticks",
            "rate_bps", "use_rate_clock"]
+#: A packet's first and last ``HISTORY_BITS`` bits, each as two numbers of ``_HALF`` bits.
+_EDGES, _HALF = ["head_0", "head_1", "tail_0", "tail_1"], kernels.HISTORY_BITS // 2
 
 
 def read_packets_stream(spark: SparkSession, path: str, schema, streams: DataFrame | None = None, on: list[str] | None = None,
@@ -75,14 +79,15 @@ class _Tracker:
     def late(self, order: int) -> None:
         self.out.append((self.stream, None, None, None, None, None, LATE, order))
 
-    def packet(self, cfg) -> None:
-        n, period = int(cfg.n_bits), int(cfg.period_ticks)
+    def packet(self, cfg, n: int, base_ticks: int, head: str, tail: str, inside: np.ndarray) -> None:
+        """One packet of ``n`` bits by its first and last bits and the hits that need nothing before it."""
+        period = int(cfg.period_ticks)
         if self.seed < 0:
-            self.seed = 0 if cfg.use_rate_clock else max(0, int(cfg.base_ticks))
-        rel = self.bit_base * cfg.bit_ticks if cfg.use_rate_clock else float(int(cfg.base_ticks) - self.seed)
-        packed, _ = kernels.concat_bits([kernels.condition(cfg.payload, cfg.swap_bytes, cfg.inverted)], [n])
-        plain = kernels.with_history(packed, n, self.tail, cfg.randomized)
-        hits = kernels.find_pattern(plain, n, cfg.pattern, cfg.mask) + self.bit_base
+            self.seed = 0 if cfg.use_rate_clock else max(0, base_ticks)
+        rel = self.bit_base * cfg.bit_ticks if cfg.use_rate_clock else float(base_ticks - self.seed)
+        head = kernels.from_text(head)
+        plain = kernels.with_history(np.packbits(head), head.size, self.tail, cfg.randomized)
+        hits = np.concatenate([kernels.find_pattern(plain, head.size, cfg.pattern, cfg.mask), inside]) + self.bit_base
         hits = hits[hits >= cfg.sync_len - 1]
         first = max(0, math.ceil(rel / period) - 1)
         drops = []
@@ -112,21 +117,55 @@ class _Tracker:
             self.window_bits += upto - done
             done = upto
         self.bit_base += n
-        self.tail = (self.tail + kernels.tail_bits(packed, n))[-kernels.HISTORY_BITS:]
+        self.tail = (self.tail + tail)[-kernels.HISTORY_BITS:]
+
+
+def _halves(bits: str) -> tuple[int, int]:
+    """At most 80 bits as two numbers."""
+    return int(bits[:_HALF] or "0", 2), int(bits[_HALF:] or "0", 2)
+
+
+def _bits(first: int, second: int, n_bits: int) -> str:
+    n = min(n_bits, kernels.HISTORY_BITS)
+    return format(first, f"0{min(n, _HALF)}b") + (format(second, f"0{n - _HALF}b") if n > _HALF else "")
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A packet's hits that lie behind its first ``HISTORY_BITS`` bits, and its edges; the payload goes no further."""
+    for batch in batches:
+        column = dict(zip(batch.schema.names, batch.columns, strict=True))
+        hits, edges = [], []
+        for payload, n, *how in zip(*(column[c].to_pylist() for c in ("payload", "n_bits", "swap_bytes", "inverted", "randomized", "pattern", "mask")), strict=True):
+            swap, invert, randomized, pattern, mask = how
+            packed, _ = kernels.concat_bits([kernels.condition(payload, swap, invert)], [n])
+            found = kernels.find_pattern(kernels.with_history(packed, n, "", randomized), n, pattern, mask)
+            hits.append(found[found >= kernels.HISTORY_BITS])
+            edges.append((*_halves(kernels.head_bits(packed, n)), *_halves(kernels.tail_bits(packed, n))))
+        made = dict(zip(_EDGES, np.array(edges, np.int64).reshape(-1, len(_EDGES)).T, strict=True))
+        arrays = [column[c] for c in ("stream_id", "ord", "n_bits", "base_ticks", *_CONFIG)] + [pa.array(np.ascontiguousarray(x)) for x in made.values()]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(hits, pa.list_(pa.int64()))], names=["stream_id", "ord", "n_bits", "base_ticks", *_CONFIG, *_EDGES, "hits"])
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     tracker = _Tracker(key[0], state.get if state.exists else None)
-    batch = pd.concat(list(frames)).sort_values("ord", kind="stable")
-    row = None
-    for row in batch.itertuples(index=False):
-        if row.ord <= tracker.last_ord:
-            tracker.late(row.ord)
-        elif row.n_bits > 0:
-            tracker.last_ord = row.ord
-            tracker.packet(row)
-    if row is not None:
-        tracker.show_open(row)
+    cfg, slim, found, sizes = None, [], [], []
+    for frame in frames:  # of a trigger only a few numbers a packet are held, to be put in order
+        if len(frame):
+            cfg = next(frame[_CONFIG].itertuples(index=False)) if cfg is None else cfg
+            slim.append(frame[["ord", "n_bits", "base_ticks", *_EDGES]].to_numpy(np.int64))
+            sizes.append(np.array([len(h) for h in frame["hits"]], np.int64))
+            found.append(np.concatenate([np.asarray(h, np.int64) for h in frame["hits"]]))
+    if cfg is not None:
+        rows, hits, ends = np.concatenate(slim), np.concatenate(found), np.cumsum(np.concatenate([[0], *sizes]))
+        del slim, found
+        for i in np.argsort(rows[:, 0], kind="stable"):
+            order, n, base_ticks, *edges = rows[i].tolist()
+            if order <= tracker.last_ord:
+                tracker.late(order)
+            elif n > 0:
+                tracker.last_ord = order
+                tracker.packet(cfg, n, base_ticks, _bits(*edges[:2], n), _bits(*edges[2:], n), hits[ends[i]:ends[i + 1]])
+        tracker.show_open(cfg)
     state.update(tracker.saved())
     columns = {part.split()[0]: part.split()[1] for part in OUTPUT.split(", ")}
     out = pd.DataFrame(tracker.out, columns=list(columns))
@@ -134,9 +173,13 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
 
 
 def lock_tracker(packets: DataFrame, streams: DataFrame) -> DataFrame:
-    """Closed, open and late rows of every stream, as the module says. A stream is one channel, so a key's rate is bounded by its line.
+    """Closed, open and late rows of every stream, as the module says. Payloads are searched packet by packet before the stream's key; one
+    task per stream then orders a trigger's packets and folds them, holding seven numbers a packet and one a hit.
     A gap's empty windows follow with the packet that ends the gap."""
-    slim = packets.select("stream_id", "ord", "n_bits", "base_ticks", "payload").join(streams.select("stream_id", *_CONFIG), "stream_id")
+    whole = packets.select("stream_id", F.col("ord").cast("long").alias("ord"), F.col("n_bits").cast("long").alias("n_bits"), F.col("base_ticks").cast("long").alias("base_ticks"), "payload").join(
+        streams.select("stream_id", *_CONFIG), "stream_id")
+    kept = whole.drop("payload").schema.fields
+    slim = whole.mapInArrow(_scan, StructType([*kept, *[StructField(c, LongType()) for c in _EDGES], StructField("hits", ArrayType(LongType()))]))
     return slim.groupBy("stream_id").applyInPandasWithState(_advance, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -39,13 +39,14 @@ def open_windows(spark, sf):
 
 
 def late(spark, sf):
-    """The documents in two files, the second with the odd ids: of those, all before the first file's last one come late."""
-    path = scratch(spark, "late")
+    """The documents in two deliveries, the second with the odd ids: of those, all before the first delivery's last one come late."""
+    path, out, state = scratch(spark, "late"), scratch(spark, "live"), scratch(spark, "live-state")
     source = docs.table(spark, sf, "documents")
+    rows = None
     for part in (0, 1):
-        source.where(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
-    stream = read_packets_stream(spark, path, source.schema)
-    rows = _now(spark, lock_tracker(docs.as_packets(stream), docs.streams(spark)))
+        source.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(path)
+        stream = read_packets_stream(spark, path, source.schema, files_per_trigger=2**31 - 1)  # a delivery is one trigger, whatever its files
+        rows = run_available(lock_tracker(docs.as_packets(stream), docs.streams(spark)), out, state)
     return late_packets(rows)
 
 

@@ -2,6 +2,7 @@ from bitstreams import PACKET_SCHEMA, packets, split, stream, streams
 
 from lockstep.plans.recording import lock_percent
 from lockstep.streaming.tracker import late_packets, latest_samples, lock_tracker, read_packets_stream, run_available
+from lockstep.workload import live
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -30,3 +31,22 @@ def test_late_packets_are_reported_and_change_nothing(spark, tmp_path):
     assert sorted(r.ord for r in late_packets(rows).collect()) == [0, 2, last]
     batch = lock_percent(table, config)
     assert sorted(map(tuple, latest_samples(rows).select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_payloads_stay_before_the_stream_key(spark, tmp_path):
+    table, config = packets(spark, {"a": split(stream(1, 4), 7, 1000.0)}), streams(spark, ["a"])
+    table.write.parquet(f"{tmp_path}/in/0")
+    tracked = lock_tracker(read_packets_stream(spark, f"{tmp_path}/in/*", PACKET_SCHEMA), config)
+    keyed = tracked._jdf.queryExecution().analyzed()
+    while "WithState" not in keyed.nodeName():
+        keyed = keyed.children().head()
+    assert "payload" not in keyed.children().head().output().toString()
+
+
+def test_late_documents_in_many_files(spark, tmp_path, monkeypatch):
+    rows = [(i, "en" if i % 3 else "de", f"text {i}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda self, n: (_ for _ in ()).throw(AssertionError("one task")) if "text" in self.columns else self)
+    got = live.late(spark, str(tmp_path)).collect()
+    newest = {s: max(i for i, lang, _ in rows if lang == s and i % 2 == 0) for s in ("en", "de")}
+    assert sorted((r.stream_id, r.ord) for r in got) == sorted((s, i) for i, s, _ in rows if i % 2 and i < newest[s])
