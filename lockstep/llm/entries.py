@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm import fingerprints, language, near_dup, packing, page_text, passages, pieces, quality, topk, toxicity
+from lockstep.llm import fingerprints, interactions, language, near_dup, packing, page_text, passages, pieces, quality, topk, toxicity, trees, turns
 from lockstep.llm.common import fold, table
 
 CAPACITY, END_ID = 1024, 2
@@ -91,5 +91,52 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_fingerprint": op4_fingerprint, "op5_language": op5_language, "op6_near_dup": op6_near_dup, "op7_passages": op7_passages, "op8_topk": op8_topk, "op9_sentencepiece": op9_sentencepiece, "op10_page_text": op10_page_text}
-ORACLES: dict[str, str] = {"op8_topk": OP8_SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH first AS (SELECT coalesce(text, '') AS t, min(doc_id) AS low FROM documents GROUP BY 1),
+     marks AS (SELECT quality, toxic, l.doc_id FROM (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS quality,
+                 max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1) l),
+     words AS (SELECT d.doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents d),
+     fails AS (SELECT part, coalesce(m.quality, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+                 CAST(len(w) < 200 AS INT) + 2 * CAST(100 * list_unique(w) < 50 * len(w) AS INT)
+                 + 4 * CAST(100 * length(regexp_replace(words.t, '[^A-Z]', '', 'g')) > 2 * length(words.t) AS INT)
+                 + 8 * CAST(regexp_matches(words.t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(words.doc_id > f.low, false) AS INT) AS mask
+               FROM words JOIN first f ON f.t = words.t LEFT JOIN marks m ON m.doc_id = words.doc_id),
+     tally AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+     letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+     orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+                FROM letters a, letters b, letters c, letters d, letters e
+                WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND list_unique([a.c, b.c, c.c, d.c, e.c]) = 5),
+     steps AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS own, list_sum(bits[:step]) - bits[step] AS before
+               FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+     rows AS (SELECT part, filter_order, step, own,
+                CAST(sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+                CAST(sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+                CAST(sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                CAST(sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                CAST(sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+              FROM tally, (SELECT *, CAST(own AS BIGINT) AS o FROM steps) GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM rows
+"""
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = trees.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "<|endoftext|>")
+    return coded.select("doc_id", (F.octet_length("packed") / 4).cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_pack": op3_pack, "op4_fingerprint": op4_fingerprint, "op5_language": op5_language, "op6_near_dup": op6_near_dup, "op7_passages": op7_passages, "op8_topk": op8_topk, "op9_sentencepiece": op9_sentencepiece, "op10_page_text": op10_page_text, "op11_filter_audit": op11_filter_audit,
+           "op12_byte_pairs": op12_byte_pairs, "op13_conversation_repair": op13_conversation_repair}
+ORACLES: dict[str, str] = {"op8_topk": OP8_SQL, "op11_filter_audit": OP11_SQL}
