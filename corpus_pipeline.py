@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lockstep.llm import entries, near_dup, passages, quality, toxicity
 from lockstep.llm.common import hidden, materialize, table
 
+#: Bytes of a passage that goes where it repeats: less than fifty words have, so that a repeated passage of more than fifty is covered whole.
+PASSAGE_BYTES = 240
+
 
 def _filtered(docs: DataFrame, operator, sf_dir: str, keeps) -> DataFrame:
     """The rows whose score ``keeps``; the model learns from the training fold of these rows and of ``labels``."""
@@ -34,9 +37,9 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; bytes of a character that was cut through go with the passage. ``n_chars`` is counted anew."""
+    """Texts without passages of ``PASSAGE_BYTES`` and more that repeat; bytes of a character that was cut through go with the passage. ``n_chars`` is counted anew."""
     rest = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    left = passages.cut(docs.select(*rest, "text"), rest)
+    left = passages.cut(docs.select(*rest, "text"), rest, length=PASSAGE_BYTES)
     out = left.withColumn("text", F.col("kept_text"))
     return (out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 
