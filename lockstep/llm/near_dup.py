@@ -9,8 +9,9 @@ drawn in order for all documents of a batch at once, until no later point can be
 Documents with the same word sequence are one content. Contents that share a band are candidates; the exact weighted Jaccard index of
 their multisets decides. Pairs are not expanded within a bucket: its first content - the one whose buckets hold most contents, so the
 original rather than a variant - is compared with the others; contents that are in one component by then need no more comparison. Buckets
-that still hold several components are compared whole, in blocks of bounded size inside tasks, by register agreement; only pairs that may
-be similar leave the task, and their multisets decide. Every pair of a bucket is compared or in one component; nothing is capped.
+that still hold several components are compared whole, in blocks of bounded size inside tasks: pairs whose registers agree often enough are
+verified there, each in the first bucket that it shares, and only those that join two components leave the task. Every pair of a bucket is
+compared or in one component; nothing is capped.
 
 ``BANDS`` of ``ROWS`` registers miss a pair of similarity 0.8 with probability 5e-6 and bring one of 0.4 together with 0.15. Words are runs of letters and digits in lower case.
 
@@ -39,7 +40,7 @@ REGISTERS = 480
 #: Registers that must agree before multisets are compared: 4.5 standard deviations below the mean at SIMILAR (misses 4e-6).
 LEAST_AGREEING = int(REGISTERS * SIMILAR - 4.5 * (REGISTERS * SIMILAR * (1 - SIMILAR)) ** 0.5)
 #: Contents of one block of a bucket.
-BLOCK = 4096
+BLOCK = 1024
 #: Points drawn at once for each process still running, at most.
 MOST_POINTS = 32
 
@@ -179,27 +180,57 @@ def _verified(pairs: DataFrame, multisets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
 
 
-def _likely_pairs(active: DataFrame) -> DataFrame:
-    """Pairs (``a, b``) of one bucket in different components whose registers agree often enough, from ``band, content, root, size, marks,
-    place, n``. A bucket is cut into blocks of ``BLOCK`` contents and every two blocks meet in one task, so a task holds two blocks."""
+class Block:
+    """Contents of one bucket that meet in one task, as columns."""
+
+    def __init__(self, rows: list[dict], band: int):
+        self.content = [r["content"] for r in rows]
+        self.marks = np.frombuffer(b"".join([r["marks"] for r in rows]), np.uint8).reshape(len(rows), REGISTERS)
+        self.size = np.array([r["size"] for r in rows], float)
+        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.own = np.array([r["own"] for r in rows])
+        self.band = band
+        self.bags = [np.frombuffer(r["bag"], "<u4") for r in rows]
+        self.counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        _, self.top = np.unique(np.array([r["root"] for r in rows], object), return_inverse=True)
+
+    def _counts(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.counted:
+            self.counted[i] = np.unique(self.bags[i], return_counts=True)
+        return self.counted[i]
+
+    def similar(self, i: int, j: int) -> bool:
+        (ua, na), (ub, nb) = self._counts(i), self._counts(j)
+        _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+        common = int(np.minimum(na[ia], nb[ib]).sum())
+        return common >= SIMILAR * max(1, len(self.bags[i]) + len(self.bags[j]) - common)
+
+    def links(self, bi: int, bj: int) -> list[tuple[bytes, bytes]]:
+        """Similar pairs that join two components of the block, fewer than it has contents. A pair is looked at in the first of the
+        buckets that both are in, and not at all once both are in one component."""
+        out, n = [], len(self.content)
+        for i in range(n):
+            later = np.arange(i + 1, n) if bi == bj else np.flatnonzero(self.own == bj) if self.own[i] == bi else ()
+            if len(later):
+                later = later[(self.top[later] != self.top[i]) & (np.minimum(self.size[later], self.size[i]) >= SIMILAR * np.maximum(self.size[later], self.size[i]))]
+                later = later[(self.marks[later] == self.marks[i]).sum(1) >= LEAST_AGREEING]
+            if len(later):
+                shared = (self.bands[later] == self.bands[i]).argmax(1)
+                later = later[self.bands[i][shared] == self.band]
+            for j in map(int, later):
+                if self.top[i] != self.top[j] and self.similar(i, j):
+                    out.append(tuple(sorted((self.content[i], self.content[j]))))
+                    self.top[self.top == self.top[j]] = self.top[i]
+        return out
+
+
+def _block_links(active: DataFrame) -> DataFrame:
+    """Links (``a, b``) between components, from ``band, content, root, size, marks, bands, bag, place, n``. A bucket is cut into blocks of
+    ``BLOCK`` contents and every two blocks meet in one task, so a task holds two blocks and gives out fewer links than it holds contents."""
     block = F.floor(F.col("place") / BLOCK)
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))
     dealt = (active.withColumn("own", block).withColumn("other", others)
-             .select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "content", "root", "size", "marks", "own"))
-
-    def compared(rows: list[dict], bi: int, bj: int) -> list[tuple[bytes, bytes]]:
-        marks = np.frombuffer(b"".join([r["marks"] for r in rows]), np.uint8).reshape(len(rows), REGISTERS)
-        size = np.array([r["size"] for r in rows], float)
-        _, root = np.unique(np.array([r["root"] for r in rows], object), return_inverse=True)
-        own = np.array([r["own"] for r in rows])
-        out = []
-        for i in range(len(rows)):
-            later = np.arange(i + 1, len(rows)) if bi == bj else np.flatnonzero(own == bj) if own[i] == bi else ()
-            if len(later):
-                later = later[(root[later] != root[i]) & (np.minimum(size[later], size[i]) >= SIMILAR * np.maximum(size[later], size[i]))]
-                later = later[(marks[later] == marks[i]).sum(1) >= LEAST_AGREEING]
-                out += [tuple(sorted((rows[i]["content"], rows[j]["content"]))) for j in later]
-        return out
+             .select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "content", "root", "size", "marks", "bands", "bag", "own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -209,13 +240,13 @@ def _likely_pairs(active: DataFrame) -> DataFrame:
                 here = (row["band"], row["bi"], row["bj"])
                 if here != at:
                     if len(held) > 1:
-                        pairs += compared(held, at[1], at[2])
+                        pairs += Block(held, at[0]).links(at[1], at[2])
                     at, held = here, []
                 held.append(row)
             yield _pairs(pairs)
-        yield _pairs(compared(held, at[1], at[2]) if len(held) > 1 else [])
+        yield _pairs(Block(held, at[0]).links(at[1], at[2]) if len(held) > 1 else [])
 
-    return (dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj").mapInArrow(run, "a binary, b binary").distinct())
+    return dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj").mapInArrow(run, "a binary, b binary")
 
 
 def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -252,8 +283,8 @@ def _content_roots(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataF
     labels = _joined(labels, materialize(_verified(stars, multisets)))
     rooted = placed.join(labels, "content")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1")).select("band")
-    active = rooted.join(mixed, "band").join(facts.select("content", "size", "marks"), "content")
-    return _joined(labels, materialize(_verified(_likely_pairs(active), multisets)))
+    wide = facts.select("content", "marks").join(distinct.select("content", "bands"), "content").join(multisets, "content")
+    return _joined(labels, materialize(_block_links(rooted.join(mixed, "band").join(wide, "content"))))
 
 
 def _rooted(df: DataFrame, key: str, text: str) -> DataFrame:

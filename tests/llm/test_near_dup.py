@@ -104,3 +104,17 @@ def test_empty_and_nothing_alike(spark, tmp_path):
     assert entries.op6_near_dup(spark, f"{tmp_path}/a").count() == 0
     write(spark, f"{tmp_path}/b", [(1, "a b c d e f", "x"), (2, "g h i j k l", "x"), (None, None, "x")])
     assert {(r.doc_id, r.class_id) for r in entries.op6_near_dup(spark, f"{tmp_path}/b").collect()} == {(1, 1), (2, 2), (None, None)}
+
+
+def test_blocks_give_out_fewer_links_than_contents():
+    """Forty texts in one family: all pairs are similar, thirty-nine links leave the block."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:200 + i]) for i in range(20)]
+    owner, shingle, weight, digests = nd.bags(texts)
+    marks = nd.register_marks(nd.signatures(owner, shingle, weight, len(texts)))
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    rows = [dict(content=d, marks=m, size=int(weight[a:b].sum()), bands=[7, i], own=0, root=d, bag=np.sort(np.repeat(shingle[a:b] >> np.uint64(32), weight[a:b])).astype("<u4").tobytes())
+            for i, (d, m, a, b) in enumerate(zip(digests, marks, cuts[:-1], cuts[1:], strict=True))]
+    links = nd.Block(rows, 7).links(0, 0)
+    assert len(links) == len(texts) - 1 and len({x for link in links for x in link}) == len(texts)
+    assert nd.Block([{**r, "bands": [1, 7]} for r in rows], 7).links(0, 0) == []  # all pairs share an earlier bucket
