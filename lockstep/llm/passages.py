@@ -9,8 +9,8 @@ text form a segment. Equal windows have equal anchors at equal places, so:
 3. different segments with one anchor are cut into ``STRIPS``: the windows that start in one strip of places before the anchor. All of
    them share a block of bytes, so strips whose block occurs once are dropped, equal strips go as a whole, and different ones with one
    block are compared by a suffix array (linear grouping) over their distinct contents: neighbours in its order with ``length`` common
-   bytes are repeated windows. Anchors with more than ``MOST_CONTENTS`` different segments would make one
-   task's array too large: there every window is keyed by its own 128-bit digest and counted, which gives the same windows;
+   bytes are repeated windows. Blocks that more than ``MOST_CONTENTS`` different strips share would make one task's array too large: those
+   strips are halved, which lengthens the block, round by round until no more share one (a strip of one window is its block);
 4. the windows of a text are merged and cut out.
 
 Texts are known by a 64-bit hash and their length, so copies of a text are listed once each but resolved once. Everything wide or
@@ -24,6 +24,7 @@ an empty table gives no rows. Other columns may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -186,39 +187,64 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, digest long, place long, content binary")
 
 
+def strip(content: bytes, place: int, lo: int, hi: int, length: int) -> tuple[int, bytes, bytes] | None:
+    """(offset in the content, bytes covered by the windows that start ``lo .. hi - 1`` bytes before the anchor, bytes common to them)."""
+    first, last = max(0, place - (hi - 1)), min(len(content) - length, place - lo)
+    return (first, content[first:last + length], content[place - lo: place - (hi - 1) + length]) if first <= last else None
+
+
+def borders(length: int, gram: int = GRAM, number: int = STRIPS) -> list[tuple[int, int]]:
+    """The strips of an anchor's windows: distances before the anchor, the second one not included."""
+    cuts = [k * (length - gram + 1) // number for k in range(number + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def strips(content: bytes, place: int, length: int, gram: int = GRAM, number: int = STRIPS) -> list[tuple[int, int, bytes]]:
-    """(strip, offset in the content, bytes that the strip's windows cover) of every strip with a window in the content.
+    """(strip, offset in the content, bytes that the strip's windows cover) of every strip with a window in the content."""
+    found = ((k, strip(content, place, lo, hi, length)) for k, (lo, hi) in enumerate(borders(length, gram, number)))
+    return [(k, *cut[:2]) for k, cut in found if cut]
 
-    Strip k is the windows that start ``lo .. hi`` bytes before the anchor; bytes ``-lo .. length - hi`` around the anchor are in all.
-    """
-    most, out = length - gram, []
-    cuts = [k * (most + 1) // number for k in range(number + 1)]
-    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        first, last = max(0, place - (hi - 1)), min(len(content) - length, place - lo)
-        if first <= last:
-            out.append((k, first, content[first:last + length]))
-    return out
+
+_STRIP = "key long, part long, anchor long, digest long, offset long, place long, lo long, hi long, content binary"
+
+
+def _strip_batch(found: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``_STRIP`` from (anchor, digest, offset, place, lo, hi, strip's bytes, block)."""
+    keys = [xxhash.xxh3_64_intdigest(f[7], seed=(f[0] + 1_000_003 * f[4] + f[5]) & (2**64 - 1)) for f in found]
+    parts_of = [xxhash.xxh3_64_intdigest(f[6]) for f in found]
+    return pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, parts_of)),
+                                       *(pa.array([f[i] for f in found], pa.int64()) for i in range(6)), pa.array([f[6] for f in found], pa.binary())],
+                                      names=[c.split()[0] for c in _STRIP.split(", ")])
 
 
 def _strip_rows(contents: DataFrame, length: int) -> DataFrame:
-    """``key, digest_s, anchor, digest, offset, content`` of the strips; ``key`` stands for anchor, strip and shared block."""
+    """The strips of every content; ``key`` stands for anchor, strip and shared block, ``part`` for the strip's bytes."""
+    ranges = borders(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _strip_batch([(a, d, cut[0], place - cut[0], lo, hi, *cut[1:])
+                                for a, d, place, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)
+                                for lo, hi in ranges if (cut := strip(c, place, lo, hi, length))])
+
+    return contents.mapInArrow(run, _STRIP)
+
+
+def _halved(rows: DataFrame, length: int) -> DataFrame:
+    """Every strip as two of half its windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = length - GRAM
-        cuts = [k * (most + 1) // STRIPS for k in range(STRIPS + 1)]
         for batch in batches:
             out = []
-            for a, d, place, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                for k, offset, part in strips(c, place, length):
-                    block = c[place - cuts[k]: place - (cuts[k + 1] - 1) + length]
-                    out.append((xxhash.xxh3_64_intdigest(block, seed=(a + k) & (2**64 - 1)), xxhash.xxh3_64_intdigest(part), a, d, offset, part))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.array([o[i] for o in out], np.uint64).view(np.int64)) for i in range(2)),
-                                              *(pa.array([o[i] for o in out], pa.int64()) for i in range(2, 5)), pa.array([o[5] for o in out], pa.binary())],
-                                             names=["key", "part", "anchor", "digest", "offset", "content"])
+            for a, d, offset, place, lo, hi, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                middle = (lo + hi) // 2
+                out += [(a, d, offset + cut[0], place - cut[0], x, y, *cut[1:]) for x, y in ((lo, middle), (middle, hi))
+                        if x < y and (cut := strip(c, place, x, y, length))]
+            yield _strip_batch(out)
 
-    return contents.mapInArrow(run, "key long, part long, anchor long, digest long, offset long, content binary")
+    return rows.select("anchor", "digest", "offset", "place", "lo", "hi", "content").mapInArrow(run, _STRIP)
 
 
-def _by_suffix_array(contents: DataFrame, length: int) -> DataFrame:
+def _by_suffix_array(strips: DataFrame, length: int) -> DataFrame:
     """``anchor, digest, lo, hi``: repeated ranges of the contents of each anchor, one bounded array per shared block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, of = None, {}, {}
@@ -241,7 +267,7 @@ def _by_suffix_array(contents: DataFrame, length: int) -> DataFrame:
             yield _ranges(found)
         yield _ranges(out())
 
-    rows = _strip_rows(contents, length)
+    rows = strips.select("key", "part", "anchor", "digest", "offset", "content")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, digest long, lo long, hi long")
 
 
@@ -249,18 +275,18 @@ def _ranges(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["anchor", "digest", "lo", "hi"])
 
 
-def _by_window(contents: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contents: every window keyed by its digest."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, d, _, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                keys = [xxhash.xxh3_128_digest(c[o:o + length]) for o in range(len(c) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(keys), pa.int64()), pa.array([d] * len(keys), pa.int64()), pa.array(range(len(keys)), pa.int64()),
-                                                  pa.array(keys, pa.binary())], names=["anchor", "digest", "lo", "key"])
-
-    windows = materialize(contents.dropDuplicates(["anchor", "digest"]).mapInArrow(run, "anchor long, digest long, lo long, key binary"))
-    again = windows.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor", "key")
-    return windows.join(again, ["anchor", "key"]).select("anchor", "digest", "lo", (F.col("lo") + length).alias("hi"))
+def _by_rounds(strips: DataFrame, length: int) -> DataFrame:
+    """The same where a block may be shared by very many strips: those are halved until none is."""
+    strips, found = materialize(strips), []
+    while True:
+        kinds = strips.select("key", "part").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        large = materialize(kinds.where(F.col("n") > MOST_CONTENTS).select("key"))
+        if not large.limit(1).count():
+            found.append(_by_suffix_array(strips, length))
+            break
+        found.append(_by_suffix_array(strips.join(large, "key", "left_anti"), length))
+        strips = materialize(_halved(strips.join(large, "key", "left_semi"), length))
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_ranges(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -276,10 +302,14 @@ def repeated_ranges(df: DataFrame, text: str = "text", length: int = LENGTH) ->
     wanted = kinds.join(several, "anchor").select("one.*", "anchor", "digest", "contents")
     many = wanted.where(F.col("contents") > MOST_CONTENTS).select("anchor").distinct()
     contents = materialize(_fetched(rows, wanted.drop("contents")))
-    some = _by_suffix_array(contents.join(many, "anchor", "left_anti"), length).unionByName(_by_window(contents.join(many, "anchor", "left_semi"), length))
-    inside = whole.unionByName(some)
-    found = shared.join(inside, ["anchor", "digest"]).select("h", "n", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b")).distinct()
-    return materialize(found.groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ranges")))  # a text's own ranges
+    some = _by_suffix_array(_strip_rows(contents.join(many, "anchor", "left_anti"), length), length)
+    if many.limit(1).count():
+        some = some.unionByName(_by_rounds(_strip_rows(contents.join(many, "anchor", "left_semi"), length), length))
+    # one row per segment's content, so that a text's segment meets one row; copies of a text are resolved once
+    inside = whole.unionByName(some).groupBy("anchor", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("inside"))
+    own = shared.select("h", "n", "start", "anchor", "digest").distinct().join(inside, ["anchor", "digest"])
+    at = own.select("h", "n", F.transform("inside", lambda x: F.struct((F.col("start") + x["lo"]).alias("a"), (F.col("start") + x["hi"]).alias("b"))).alias("at"))
+    return materialize(at.groupBy("h", "n").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("ranges")))  # a text's own ranges
 
 
 def cut(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -52,7 +52,7 @@ def test_segments_are_the_windows_of_their_anchor():
         assert starts == list(range(max(0, len(t) - pg.LENGTH + 1)))
 
 
-@pytest.mark.parametrize("most", [1500, 5])
+@pytest.mark.parametrize("most", [1500, 5, 1])
 def test_query_equals_brute_force(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(pg, "MOST_CONTENTS", most)
     monkeypatch.setattr(pg, "PART_BYTES", 700)

@@ -50,7 +50,7 @@ def test_stages_against_plain_python(spark, tmp_path):
         t = r["text"] or ""
         first[t] = min(first.get(t, 10**9), 10**8 if r["doc_id"] is None else r["doc_id"])
     assert sorted((r["text"] or "", 10**8 if r["doc_id"] is None else r["doc_id"]) for r in out[2]) == sorted(first.items())
-    want = brute([r["text"] for r in out[2]], 400)
+    want = brute([r["text"] for r in out[2]], cp.PASSAGE_BYTES)
     cut = {r["doc_id"]: r for r in out[3]}
     assert len(cut) == len(out[2]) and any(w[1] for w in want)
     for r, w in zip(out[2], want, strict=True):
