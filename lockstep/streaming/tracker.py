@@ -1,9 +1,19 @@
-"""Lock samples from a stream of packets: per-stream state, one sample for every window as it closes, and what is open or came late.
-
-Three kinds of rows leave the tracker. ``closed``: a window that a later packet (or silence) ended. ``open``: the window that is still
-filling, as it stands after a trigger; a later row of the window replaces it, so a live view always holds the newest window, and the last
-window of a recording is not lost. ``late``: a packet at or before the newest one seen; it is kept out of the samples and reported by its
-number, so nothing vanishes unseen. `latest_samples` makes the first two into one row per window.
+"""Lock samples from a stream of packets, by two stateful operators and an event-time watermark.
+
+Packets may come in any order within ``delay``. The first operator is keyed by stream and chunk (a byte range of the file, so its packets are
+bounded): it holds slim packets - a few numbers, the hits found inside, the first and last bits; payloads end before it - until the watermark
+has passed them, and then gives out one piece: its packets in order, hits across their borders found, one row however many they are. The second
+is keyed by stream: it takes the pieces that became due, puts them into a map state, and folds them in order one by one. So no task holds a
+stream's packets of a trigger, and what arrived shuffled is placed, not only reported.
+
+Four kinds of rows leave it. ``closed``: a window that a later packet ended. ``silent``: a window whose end the watermark has passed, closed by
+an event-time timer without another packet; a stream that stops gives out its last window that way. ``open``: the window that is filling, as
+it stands after a trigger; a later row of the window replaces it. ``late``: a packet behind the newest one folded, with the window that it
+belongs to; it is kept out of the samples. (One that is the newest in order but older than a window that silence closed counts in the next
+window, as times that run backwards do in a batch.)
+
+The watermark is the newest time of any packet of any stream, less ``delay``. Slim packets carry no event time of their own (a late one would
+be dropped unseen); a clock row per batch of packets, or per row of ``ticks`` (say, a recording's time packets), moves it.
 """
 
 from __future__ import annotations
@@ -16,21 +26,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from lockstep.functions import bits as kernels
 from lockstep.operators.sync import ANCHOR, NO_LOCK, fold_hits
 from lockstep.sources.recording import GAP_TICKS, route_packets
 
 OUTPUT = "stream_id string, window_idx long, t_abs double, lock_pct double, missed long, n_frames long, kind string, ord long"
-CLOSED, OPEN, LATE = "closed", "open", "late"
+CLOSED, SILENT, OPEN, LATE = "closed", "silent", "open", "late"
+PIECE = "piece"
 _STATE = ("last_ord long, bit_base long, tail string, anchor long, count int, locked long, missed long, frames long, expected long, seed long, "
-          "window long, window_bits long, base_locked long, base_frames long")
-_CONFIG = ["pattern", "mask", "sync_len", "swap_bytes", "inverted", "randomized", "bits_in_frame", "min_syncs", "bit_ticks", "period_ticks",
-           "rate_bps", "use_rate_clock"]
+          "window long, window_bits long, base_locked long, base_frames long, silent long")
+_CONFIG = {"pattern": LongType(), "mask": LongType(), "sync_len": IntegerType(), "randomized": BooleanType(), "bits_in_frame": LongType(), "min_syncs": IntegerType(),
+           "bit_ticks": DoubleType(), "period_ticks": LongType(), "rate_bps": DoubleType(), "use_rate_clock": BooleanType()}
+_CONDITION = ["swap_bytes", "inverted"]
+_PACKET = ["ord", "n_bits", "base_ticks"]
 #: A packet's first and last ``HISTORY_BITS`` bits, each as two numbers of ``_HALF`` bits.
 _EDGES, _HALF = ["head_0", "head_1", "tail_0", "tail_1"], kernels.HISTORY_BITS // 2
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_packets_stream(spark: SparkSession, path: str, schema, streams: DataFrame | None = None, on: list[str] | None = None,
@@ -47,18 +61,35 @@ class _Tracker:
     def __init__(self, stream: str, saved: tuple | None) -> None:
         self.stream = stream
         (self.last_ord, self.bit_base, self.tail, self.anchor, self.count, self.locked, self.missed, self.frames, self.expected, self.seed,
-         self.window, self.window_bits, self.base_locked, self.base_frames) = saved or (-1, 0, "", -1, NO_LOCK, 0, 0, 0, 0, -1, 0, 0, 0, 0)
+         self.window, self.window_bits, self.base_locked, self.base_frames, self.silent) = saved or (-1, 0, "", -1, NO_LOCK, 0, 0, 0, 0, -1, 0, 0, 0, 0, -1)
         self.out: list[tuple] = []
 
     def saved(self) -> tuple:
         return (self.last_ord, self.bit_base, self.tail, self.anchor, self.count, self.locked, self.missed, self.frames, self.expected, self.seed,
-                self.window, self.window_bits, self.base_locked, self.base_frames)
+                self.window, self.window_bits, self.base_locked, self.base_frames, self.silent)
 
     def totals_at(self, bit: int, cfg) -> tuple[int, int]:
         since = bit - self.anchor
         held = min(since, cfg.bits_in_frame) if self.count >= cfg.min_syncs else 0
         return self.locked + held, self.missed + max(0, (since - 1) // cfg.bits_in_frame)
 
+    def window_of(self, base_ticks: int, cfg) -> int:
+        """Window of a packet's first bit on its own clock."""
+        seed = self.seed if self.seed >= 0 else max(0, base_ticks)
+        return max(0, math.ceil(float(base_ticks - seed) / int(cfg.period_ticks)) - 1)
+
+    def end_ms(self, cfg) -> int:
+        """Event time, in whole milliseconds, at which the open window is over."""
+        return -(-(self.seed + (self.window + 1) * int(cfg.period_ticks)) // 10_000)
+
+    def fall_silent(self, watermark: int, cfg) -> None:
+        """The open window is closed if the watermark has passed its end: all packets of it that are not late have been folded."""
+        if self.window_bits and not cfg.use_rate_clock and self.end_ms(cfg) <= watermark:
+            shown = len(self.out)
+            self.close(self.bit_base - 1, cfg)
+            self.out[shown] = (*self.out[shown][:6], SILENT, self.last_ord)
+            self.silent = self.window - 1
+
     def close(self, last_bit: int, cfg) -> None:
         locked, missed = self.totals_at(last_bit, cfg)
         share = 100.0 * (locked - self.base_locked) / self.window_bits if self.window_bits else 0.0
@@ -74,25 +105,35 @@ class _Tracker:
             self.close(self.bit_base - 1, cfg)
             self.out[shown] = (*self.out[shown][:6], OPEN, self.last_ord)
             (self.last_ord, self.bit_base, self.tail, self.anchor, self.count, self.locked, self.missed, self.frames, self.expected, self.seed,
-             self.window, self.window_bits, self.base_locked, self.base_frames) = state
+             self.window, self.window_bits, self.base_locked, self.base_frames, self.silent) = state
 
-    def late(self, order: int) -> None:
-        self.out.append((self.stream, None, None, None, None, None, LATE, order))
+    def late(self, order: int, base_ticks: int, cfg) -> None:
+        self.out.append((self.stream, self.window_of(base_ticks, cfg), None, None, None, None, LATE, order))
 
-    def packet(self, cfg, n: int, base_ticks: int, head: str, tail: str, inside: np.ndarray) -> None:
-        """One packet of ``n`` bits by its first and last bits and the hits that need nothing before it."""
+    def piece(self, cfg, rows: np.ndarray, head: str, tail: str, inside: np.ndarray) -> None:
+        """Packets (``ord, n_bits, base_ticks``) in order, with the piece's first and last bits and its hits behind the first ones."""
+        early = kernels.from_text(head)
+        plain = kernels.with_history(np.packbits(early), early.size, self.tail, cfg.randomized)
+        hits = np.concatenate([kernels.find_pattern(plain, early.size, cfg.pattern, cfg.mask), inside]) + self.bit_base
+        hits = hits[hits >= cfg.sync_len - 1]
+        cuts = np.searchsorted(hits, self.bit_base + np.cumsum(rows[:, 1]))
+        at = 0
+        for (order, n, base_ticks), upto in zip(rows.tolist(), cuts.tolist(), strict=True):
+            self.packet(cfg, n, base_ticks, hits[at:upto])
+            self.last_ord, at = order, upto
+        self.tail = (self.tail + tail)[-kernels.HISTORY_BITS:]
+
+    def packet(self, cfg, n: int, base_ticks: int, hits: np.ndarray) -> None:
+        """One packet of ``n`` bits with the places of its hits."""
         period = int(cfg.period_ticks)
         if self.seed < 0:
             self.seed = 0 if cfg.use_rate_clock else max(0, base_ticks)
         rel = self.bit_base * cfg.bit_ticks if cfg.use_rate_clock else float(base_ticks - self.seed)
-        head = kernels.from_text(head)
-        plain = kernels.with_history(np.packbits(head), head.size, self.tail, cfg.randomized)
-        hits = np.concatenate([kernels.find_pattern(plain, head.size, cfg.pattern, cfg.mask), inside]) + self.bit_base
-        hits = hits[hits >= cfg.sync_len - 1]
         first = max(0, math.ceil(rel / period) - 1)
         drops = []
         if self.bit_base and first > self.window:
-            self.close(self.bit_base - 1, cfg)
+            if self.silent < self.window - 1 or self.window_bits:  # else silence has closed the last window that had bits
+                self.close(self.bit_base - 1, cfg)
             rate = cfg.rate_bps if cfg.rate_bps > 0 else (1e7 / cfg.bit_ticks if cfg.bit_ticks > 0 else 0.0)
             if first > self.window and rate > 0:
                 drops = [self.bit_base]
@@ -117,7 +158,6 @@ class _Tracker:
             self.window_bits += upto - done
             done = upto
         self.bit_base += n
-        self.tail = (self.tail + tail)[-kernels.HISTORY_BITS:]
 
 
 def _halves(bits: str) -> tuple[int, int]:
@@ -131,87 +171,264 @@ def _bits(first: int, second: int, n_bits: int) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A packet's hits that lie behind its first ``HISTORY_BITS`` bits, and its edges; the payload goes no further."""
+    """A packet's hits that lie behind its first ``HISTORY_BITS`` bits, and its edges; the payload goes no further. A last row per batch
+    has no packet, only the newest time of the batch."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         column = dict(zip(batch.schema.names, batch.columns, strict=True))
         hits, edges = [], []
         for payload, n, *how in zip(*(column[c].to_pylist() for c in ("payload", "n_bits", "swap_bytes", "inverted", "randomized", "pattern", "mask")), strict=True):
             swap, invert, randomized, pattern, mask = how
             packed, _ = kernels.concat_bits([kernels.condition(payload, swap, invert)], [n])
             found = kernels.find_pattern(kernels.with_history(packed, n, "", randomized), n, pattern, mask)
-            hits.append(found[found >= kernels.HISTORY_BITS])
+            hits.append(found[found >= kernels.HISTORY_BITS].astype("<i8").tobytes())
             edges.append((*_halves(kernels.head_bits(packed, n)), *_halves(kernels.tail_bits(packed, n))))
         made = dict(zip(_EDGES, np.array(edges, np.int64).reshape(-1, len(_EDGES)).T, strict=True))
-        arrays = [column[c] for c in ("stream_id", "ord", "n_bits", "base_ticks", *_CONFIG)] + [pa.array(np.ascontiguousarray(x)) for x in made.values()]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(hits, pa.list_(pa.int64()))], names=["stream_id", "ord", "n_bits", "base_ticks", *_CONFIG, *_EDGES, "hits"])
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    tracker = _Tracker(key[0], state.get if state.exists else None)
-    cfg, slim, found, sizes = None, [], [], []
-    for frame in frames:  # of a trigger only a few numbers a packet are held, to be put in order
-        if len(frame):
-            cfg = next(frame[_CONFIG].itertuples(index=False)) if cfg is None else cfg
-            slim.append(frame[["ord", "n_bits", "base_ticks", *_EDGES]].to_numpy(np.int64))
-            sizes.append(np.array([len(h) for h in frame["hits"]], np.int64))
-            found.append(np.concatenate([np.asarray(h, np.int64) for h in frame["hits"]]))
-    if cfg is not None:
-        rows, hits, ends = np.concatenate(slim), np.concatenate(found), np.cumsum(np.concatenate([[0], *sizes]))
-        del slim, found
-        for i in np.argsort(rows[:, 0], kind="stable"):
-            order, n, base_ticks, *edges = rows[i].tolist()
-            if order <= tracker.last_ord:
-                tracker.late(order)
-            elif n > 0:
-                tracker.last_ord = order
-                tracker.packet(cfg, n, base_ticks, _bits(*edges[:2], n), _bits(*edges[2:], n), hits[ends[i]:ends[i + 1]])
-        tracker.show_open(cfg)
-    state.update(tracker.saved())
+        names = ["stream_id", "chunk", *_PACKET, *_CONFIG]
+        n = batch.num_rows
+        arrays = [*(column[c] for c in names), *(pa.array(np.ascontiguousarray(x)) for x in made.values()), pa.array(hits, pa.binary()), pa.nulls(n, pa.timestamp("us", "UTC"))]
+        names = [*names, *_EDGES, "hits", "clock"]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        newest = max(column["base_ticks"].to_pylist()) // 10
+        last = {"stream_id": pa.array([""]), "chunk": pa.array([-1], pa.int64()), "clock": pa.array([newest], pa.timestamp("us", "UTC"))}
+        yield pa.RecordBatch.from_arrays([last.get(c, pa.nulls(1, a.type)) for c, a in zip(names, arrays, strict=True)], names=names)
+
+
+_SLIM = StructType([StructField("stream_id", StringType()), StructField("chunk", LongType()), *[StructField(c, LongType()) for c in _PACKET],
+                    *[StructField(c, t) for c, t in _CONFIG.items()], *[StructField(c, LongType()) for c in _EDGES], StructField("hits", BinaryType()),
+                    StructField("clock", TimestampType())])
+#: One piece: packets and hits packed as little-endian 64-bit numbers; ``as_of`` is behind the watermark it was given out at.
+_PIECES = StructType([StructField("stream_id", StringType()), StructField("kind", StringType()), StructField("first", LongType()), StructField("packets", BinaryType()),
+                      StructField("head", StringType()), StructField("tail", StringType()), StructField("hits", BinaryType()),
+                      *[StructField(c, t) for c, t in _CONFIG.items()], StructField("as_of", TimestampType())])
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i8")
+
+
+class _Assemble(StatefulProcessor):
+    """Packets of one chunk, held until the watermark has passed them, then given out in order as one piece."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ord long, n_bits long, base_ticks long, head_0 long, head_1 long, tail_0 long, tail_1 long, hits binary")
+        self.upto = handle.getValueState("upto", "ord long")
+        self.config = handle.getValueState("config", StructType([StructField(c, t) for c, t in _CONFIG.items()]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == "":  # clock rows
+            for _ in rows:
+                pass
+            return
+        watermark = timerValues.getCurrentWatermarkInMs()
+        upto = self.upto.get()[0] if self.upto.exists() else -1
+        late = []
+        for frame in rows:
+            if not self.config.exists() and len(frame):
+                self.config.update(tuple(frame[c].iloc[0].item() if hasattr(frame[c].iloc[0], "item") else frame[c].iloc[0] for c in _CONFIG))
+            new = list(zip(*(frame[c].tolist() for c in (*_PACKET, *_EDGES, "hits")), strict=True))
+            late += [r[:3] for r in new if r[0] <= upto]
+            new = [r for r in new if r[0] > upto]
+            if new:
+                self.held.appendList(new)
+        if late:
+            yield self._row(key[0], LATE, np.array(late, np.int64), "", "", b"", watermark)
+        yield from self._due(key, watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
+
+    def _row(self, stream: str, kind: str, packets: np.ndarray, head: str, tail: str, hits: bytes, watermark: int) -> pd.DataFrame:
+        return pd.DataFrame([(stream, kind, int(packets[0, 0]), packets.astype("<i8").tobytes(), head, tail, hits, *self.config.get(),
+                              pd.Timestamp(watermark + 1, unit="ms"))], columns=_PIECES.fieldNames())
+
+    def _due(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        held = sorted(self.held.get()) if self.held.exists() else []
+        due = times = 0
+        unique = {}
+        for r in held:  # in order: a packet waits for one before it with a newer time
+            times = max(times, -(-r[2] // 10_000))
+            if times > watermark:
+                break
+            due += 1
+            unique.setdefault(r[0], r)
+        if due:
+            twice = [r[:3] for r, before in zip(held[1:due], held[:due - 1], strict=True) if r[0] == before[0]]
+            rest = held[due:]
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
+            self.upto.update((held[due - 1][0],))
+            yield self._joined(key[0], list(unique.values()), watermark)
+            if twice:  # a packet that came twice before its turn
+                yield self._row(key[0], LATE, np.array(twice, np.int64), "", "", b"", watermark)
+        if due < len(held):
+            self.handle.registerTimer(times)
+
+    def _joined(self, stream: str, packets: list, watermark: int) -> pd.DataFrame:
+        cfg = dict(zip(_CONFIG, self.config.get(), strict=True))
+        head = tail = ""
+        base, hits = 0, []
+        for _, n, _, *edges, found in packets:
+            first, last = _bits(*edges[:2], n), _bits(*edges[2:], n)
+            start = kernels.from_text(first)
+            plain = kernels.with_history(np.packbits(start), start.size, tail, cfg["randomized"])
+            places = np.concatenate([kernels.find_pattern(plain, start.size, cfg["pattern"], cfg["mask"]), _numbers(found)]) + base
+            hits.append(places[places >= kernels.HISTORY_BITS])  # the others depend on what is before the piece
+            head = (head + first)[:kernels.HISTORY_BITS]
+            tail = (tail + last)[-kernels.HISTORY_BITS:]
+            base += n
+        return self._row(stream, PIECE, np.array([p[:3] for p in packets], np.int64), head, tail, np.concatenate(hits).astype("<i8").tobytes(), watermark)
+
+    def close(self) -> None:
+        pass
+
+
+class _Compose(StatefulProcessor):
+    """Pieces of one stream, folded in order, one at a time."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", _STATE)
+        self.config = handle.getValueState("config", StructType([StructField(c, t) for c, t in _CONFIG.items()]))
+        self.pending = handle.getMapState("pending", "first long", "packets binary, head string, tail string, hits binary")
+
+    def _tracker(self, stream: str) -> _Tracker:
+        return _Tracker(stream, tuple(self.now.get()) if self.now.exists() else None)
+
+    def _settings(self):
+        return pd.DataFrame([tuple(self.config.get())], columns=list(_CONFIG)).itertuples(index=False).__next__()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        late = []
+        for frame in rows:
+            for row in frame.itertuples(index=False):
+                if not self.config.exists():
+                    self.config.update(tuple(getattr(row, c) for c in _CONFIG))
+                if row.kind == LATE:
+                    late.append(_numbers(row.packets).reshape(-1, 3))
+                else:
+                    self.pending.updateValue((row.first,), (row.packets, row.head, row.tail, row.hits))
+        tracker, cfg = self._tracker(key[0]), self._settings()
+        for first in sorted(k[0] for k in self.pending.keys()):
+            packets, head, tail, hits = self.pending.getValue((first,))
+            self.pending.removeKey((first,))
+            rows_of = _numbers(packets).reshape(-1, 3)
+            if first > tracker.last_ord:
+                tracker.piece(cfg, rows_of, head, tail, _numbers(hits))
+            else:  # a chunk whose place was passed before any of it came
+                late.append(rows_of)
+            if len(tracker.out) > 4096:
+                yield _frame(tracker)
+        for some in late:
+            for order, _, base_ticks in some.tolist():
+                tracker.late(order, base_ticks, cfg)
+        yield from self._done(tracker, cfg, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.now.exists():
+            yield from self._done(self._tracker(key[0]), self._settings(), timerValues.getCurrentWatermarkInMs(), shows=False)
+
+    def _done(self, tracker: _Tracker, cfg, watermark: int, shows: bool = True) -> Iterator[pd.DataFrame]:
+        tracker.fall_silent(watermark, cfg)
+        if shows:
+            tracker.show_open(cfg)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if tracker.window_bits and not cfg.use_rate_clock:
+            self.handle.registerTimer(tracker.end_ms(cfg))
+        self.now.update(tracker.saved())
+        yield _frame(tracker)
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(tracker: _Tracker) -> pd.DataFrame:
     columns = {part.split()[0]: part.split()[1] for part in OUTPUT.split(", ")}
     out = pd.DataFrame(tracker.out, columns=list(columns))
-    yield out.astype({c: "Int64" for c, kind in columns.items() if kind == "long"})
-
-
-def lock_tracker(packets: DataFrame, streams: DataFrame) -> DataFrame:
-    """Closed, open and late rows of every stream, as the module says. Payloads are searched packet by packet before the stream's key; one
-    task per stream then orders a trigger's packets and folds them, holding seven numbers a packet and one a hit.
-    A gap's empty windows follow with the packet that ends the gap."""
-    whole = packets.select("stream_id", F.col("ord").cast("long").alias("ord"), F.col("n_bits").cast("long").alias("n_bits"), F.col("base_ticks").cast("long").alias("base_ticks"), "payload").join(
-        streams.select("stream_id", *_CONFIG), "stream_id")
-    kept = whole.drop("payload").schema.fields
-    slim = whole.mapInArrow(_scan, StructType([*kept, *[StructField(c, LongType()) for c in _EDGES], StructField("hits", ArrayType(LongType()))]))
-    return slim.groupBy("stream_id").applyInPandasWithState(_advance, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    tracker.out = []
+    return out.astype({c: "Int64" for c, kind in columns.items() if kind == "long"} | {"t_abs": float, "lock_pct": float})
+
+
+def lock_tracker(packets: DataFrame, streams: DataFrame, delay: str = "10 seconds", ticks: DataFrame | None = None) -> DataFrame:
+    """Closed, silent, open and late rows of every stream, as the module says, from packets with ``chunk``.
+
+    ``delay`` is how far behind the newest time a packet may come and still be placed; ``ticks`` is a stream of ``clock`` timestamps that move
+    the watermark as packets do. State lies in RocksDB.
+    """
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    whole = packets.select("stream_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", *_PACKET)], "payload").where("n_bits > 0").join(
+        streams.select("stream_id", *[F.col(c).cast(t).alias(c) for c, t in _CONFIG.items()], *_CONDITION), "stream_id")
+    slim = whole.mapInArrow(_scan, _SLIM)
+    if ticks is not None:
+        slim = slim.unionByName(ticks.select(F.lit("").alias("stream_id"), F.lit(-1).cast("long").alias("chunk"), F.col("clock").cast("timestamp").alias("clock")),
+                                allowMissingColumns=True)
+    # no nulls but in the clock: pandas would turn whole numbers beside them into floats
+    filled = [F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name) if f.dataType in (LongType(), IntegerType(), DoubleType(), BooleanType())
+              else F.col(f.name) for f in _SLIM.fields]
+    pieces = slim.select(*filled).withWatermark("clock", delay).groupBy("stream_id", "chunk").transformWithStateInPandas(
+        _Assemble(), _PIECES, "append", "EventTime", eventTimeColumnName="as_of")
+    return pieces.groupBy("stream_id").transformWithStateInPandas(_Compose(), OUTPUT, "append", "EventTime")
 
 
 def latest_samples(rows: DataFrame) -> DataFrame:
-    """One sample per stream and window: the closed one, else the newest open one if a frame ended in it by then."""
-    newest = F.max_by(F.struct("t_abs", "lock_pct", "missed", "n_frames"), F.struct((F.col("kind") == CLOSED).alias("c"), "ord"))
-    return rows.where((F.col("kind") == CLOSED) | (F.col("kind") == OPEN) & (F.col("n_frames") > 0)).groupBy("stream_id", "window_idx").agg(newest.alias("s")).select("stream_id", "window_idx", "s.*")
+    """One sample per stream and window: the closed one (by a packet or by silence), else the newest open one. A stream's last window counts
+    only if a frame ended in it by then."""
+    newest = F.max_by(F.struct("t_abs", "lock_pct", "missed", "n_frames"), F.struct((F.col("kind") != OPEN).alias("c"), "ord"))
+    seen = rows.where(F.col("kind") != LATE)
+    last = seen.groupBy("stream_id").agg(F.max("window_idx").alias("_last"))
+    samples = seen.groupBy("stream_id", "window_idx").agg(newest.alias("s")).join(last, "stream_id")
+    return samples.where("window_idx < _last or s.n_frames > 0").select("stream_id", "window_idx", "s.*")
 
 
 def late_packets(rows: DataFrame) -> DataFrame:
-    """``stream_id, ord`` of every packet that came at or after a newer one, once for each time it came."""
-    return rows.where(F.col("kind") == LATE).select("stream_id", "ord")
+    """``stream_id, window_idx, ord`` of every packet that came after its place was given out, once for each time it came."""
+    return rows.where(F.col("kind") == LATE).select("stream_id", "window_idx", "ord")
 
 
-def _gap_alerts(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_offset, last = state.get if state.exists else (-1, -1)
-    out = []  # a late time packet is reported without a gap
-    for row in pd.concat(list(frames)).sort_values("file_offset").itertuples(index=False):
-        if row.file_offset <= last_offset:
-            out.append((key[0], row.file_offset, None))
-            continue
-        if last >= 0 and row.abs_ticks - last > GAP_TICKS:
-            out.append((key[0], row.file_offset, (row.abs_ticks - last) / 1e7))
-        last_offset, last = int(row.file_offset), int(row.abs_ticks)
-    state.update((last_offset, last))
-    yield pd.DataFrame(out, columns=["source_id", "file_offset", "gap_s"])
+def late_counts(rows: DataFrame) -> DataFrame:
+    """Late packets per stream and window."""
+    return late_packets(rows).groupBy("stream_id", "window_idx").agg(F.count(F.lit(1)).alias("late"))
+
+
+class _GapAlerts(StatefulProcessor):
+    """Time packets of one source: put into a map state by their place in the file, then compared in that order."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "file_offset long, abs_ticks long")
+        self.pending = handle.getMapState("pending", "file_offset long", "abs_ticks long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last_offset, last = self.last.get() if self.last.exists() else (-1, -1)
+        out = []  # a late time packet is reported without a gap
+        for frame in rows:
+            for offset, ticks in zip(frame["file_offset"].tolist(), frame["abs_ticks"].tolist(), strict=True):
+                if offset <= last_offset or self.pending.containsKey((offset,)):
+                    out.append((key[0], offset, None))
+                else:
+                    self.pending.updateValue((offset,), (ticks,))
+        for offset in sorted(k[0] for k in self.pending.keys()):
+            ticks = self.pending.getValue((offset,))[0]
+            if last >= 0 and ticks - last > GAP_TICKS:
+                out.append((key[0], offset, (ticks - last) / 1e7))
+            last_offset, last = offset, ticks
+        self.pending.clear()
+        self.last.update((last_offset, last))
+        yield pd.DataFrame(out, columns=["source_id", "file_offset", "gap_s"]).astype({"gap_s": float})
+
+    def close(self) -> None:
+        pass
 
 
 def time_gap_alerts(times: DataFrame) -> DataFrame:
     """One row for every gap between neighbouring time packets, as it is seen; a packet that came late has a row without ``gap_s``."""
-    return times.select("source_id", "file_offset", "abs_ticks").groupBy("source_id").applyInPandasWithState(
-        _gap_alerts, "source_id int, file_offset long, gap_s double", "last_offset long, last long", "append", GroupStateTimeout.NoTimeout)
+    times.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    return times.select("source_id", "file_offset", "abs_ticks").groupBy("source_id").transformWithStateInPandas(
+        _GapAlerts(), "source_id int, file_offset long, gap_s double", "append", "None")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
