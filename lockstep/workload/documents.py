@@ -11,6 +11,8 @@ from lockstep.operators.calibrate import linear_coefficients
 from lockstep.operators.config import prepare_streams
 from lockstep.plans.calibration import extract_calibration
 from lockstep.plans.recording import LockRun, lock_percent, receiver_levels, run_lock
+from lockstep.session import scratch
+from lockstep.sources.ch10 import PCM, Recording, write_ch10
 
 DOCS_PER_CHUNK = 512
 PERIOD_TICKS = 10_000_000
@@ -51,6 +53,24 @@ def word_map(spark: SparkSession) -> DataFrame:
     return table_.withColumns({"slope": slope, "offset": offset})
 
 
+def written_recordings(spark, sf) -> str:
+    """Documents as PCM packets of one channel per language, written as recordings under the checkpoint folder; the document's number is the
+    packet's time."""
+    path = scratch(spark, "recordings")
+    channel = F.create_map(*[F.lit(x) for i, lang in enumerate(PATTERNS, 1) for x in (lang, i)])
+    whole = packets(spark, sf).select(channel[F.col("stream_id")].alias("channel_id"), F.lit(PCM).cast("short").alias("data_type"),
+                                      F.col("ord").alias("rel_time_100ns"), "payload")
+    write_ch10(whole.where("channel_id is not null"), path)
+    return path
+
+
+def read_recordings(spark, sf):
+    """Two channels of the written recordings, of which alone the bodies are read."""
+    files = [f.path for f in spark.read.format("binaryFile").load(written_recordings(spark, sf)).select("path").collect()]  # one per writer
+    found = Recording(spark, files, 1 << 20).of_type(PCM, [1, 3])
+    return found.select("channel_id", F.col("rel_time_100ns").alias("ord"), F.octet_length("payload").alias("bytes"), F.md5(F.hex("payload").cast("binary")).alias("digest"))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """Payloads as a digest of their hex text."""
     return df.withColumn("digest", F.md5(F.hex("payload").cast("binary"))).drop("payload")
@@ -160,6 +180,7 @@ def calibration(spark, sf):
 
 
 QUERIES = {
+    "S1_read_ch10": read_recordings,
     "E18_extract_calibration": calibration,
     "B1_swap_bytes": swap_bytes, "B1_swap_report": swap_report, "B2_invert_bits": invert_bits, "B3_derandomize": derandomize,
     "B4_reverse_bits": reverse_bits, "B5_sync_hits": sync_hits, "B6_transform_matrix": transform_matrix, "B8_discover_sync": discover_sync,
@@ -261,6 +282,8 @@ ahead AS MATERIALIZED (SELECT lang, pos, b * 65536 + (lead(b, 1, 0) OVER w) * 25
 got AS (SELECT w.lang, w.bit, w.win, w.word, w.name, (x.v >> (8 - s % 8)) & 65535 AS raw FROM want w JOIN ahead x ON x.lang = w.lang AND x.pos = s // 8)"""
 
 ORACLES = {
+    "S1_read_ch10": "SELECT CASE lang WHEN 'en' THEN 1 ELSE 3 END AS channel_id, doc_id AS ord, octet_length(encode(text))::INT AS bytes, md5(hex(encode(text))) AS digest "
+                    "FROM documents WHERE lang IN ('en', 'de') AND octet_length(encode(text)) > 0",
     "B1_swap_bytes": f"WITH {_BYTES} SELECT lang AS stream_id, doc_id AS ord, size % 2 = 1 AS swap_skipped, md5(string_agg(printf('%02X', b), '' "
                      "ORDER BY CASE WHEN size % 2 = 1 THEN i WHEN i % 2 = 0 THEN i + 1 ELSE i - 1 END)) AS digest FROM bytes GROUP BY lang, doc_id, size",
     "B1_swap_report": "SELECT *, CASE WHEN skipped = 0 THEN 'swapped' WHEN skipped = packets THEN 'all_odd' ELSE 'mixed' END AS byte_order FROM "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lockstep.operators import calibrate, lookup, series, windows
 from lockstep.operators import steps as st
-from lockstep.session import ensure_checkpoint_dir
+from lockstep.session import scratch
 from lockstep.sources import recording, series_csv, sinks
 from lockstep.workload.documents import table
 
@@ -20,14 +20,6 @@ def events(spark, sf) -> DataFrame:
     return table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-def scratch(spark, name: str) -> str:
-    """A folder of this run under the shared checkpoint folder."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def assign_windows(spark, sf):
     e = events(spark, sf)
     late = e.withColumn("us", F.col("us") - F.col("event_id") % 7 * 10 * MINUTE)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.session import scratch
+from lockstep.sources.ch10 import follow_ch10
 from lockstep.streaming.tracker import late_counts, latest_samples, lock_tracker, read_packets_stream, run_available, time_gap_alerts
 from lockstep.workload import documents as docs
-from lockstep.workload.events import scratch
 
 #: How far a document may come behind the newest one in ``R2_late_packets``, in seconds (twenty documents).
 DELAY = 2
@@ -44,6 +45,13 @@ def read_stream(spark, sf):
     return _now(spark, routed).groupBy("stream_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("n_bits").alias("bits"))
 
 
+def follow_recordings(spark, sf):
+    """The documents written as recordings, which a stream finds in their folder."""
+    found = _now(spark, follow_ch10(spark, docs.written_recordings(spark, sf), 1 << 20))
+    return found.groupBy("channel_id").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.octet_length("payload")).alias("bytes"),
+                                           F.max("rel_time_100ns").alias("newest"))
+
+
 def _flushed(spark, sf) -> DataFrame:
     """Rows of the tracker over all documents in whatever order their files come, with everything given out by a later clock."""
     clock, out, state = _Clock(spark), scratch(spark, "live"), scratch(spark, "live-state")
@@ -91,11 +99,13 @@ def gap_alerts(spark, sf):
     return _now(spark, time_gap_alerts(times)).select("source_id", "file_offset", F.round("gap_s", 6).alias("gap_s"))
 
 
-QUERIES = {"R1_read_packets_stream": read_stream, "R2_late_packets": late, "R3_lock_tracker": tracker, "R4_silent_windows": silent_windows,
+QUERIES = {"R1_read_packets_stream": read_stream, "R1_follow_ch10": follow_recordings, "R2_late_packets": late, "R3_lock_tracker": tracker, "R4_silent_windows": silent_windows,
            "R5_time_gap_alerts": gap_alerts}
 
 _LANGUAGES = ", ".join(f"'{lang}'" for lang in docs.PATTERNS)
 ORACLES = {
+    "R1_follow_ch10": f"SELECT (list_position([{_LANGUAGES}], lang))::INT AS channel_id, count(*) AS packets, sum(octet_length(encode(text)))::BIGINT AS bytes, "
+                      f"max(doc_id) AS newest FROM documents WHERE octet_length(encode(text)) > 0 AND lang IN ({_LANGUAGES}) GROUP BY lang",
     "R1_read_packets_stream": "SELECT lang AS stream_id, count(*) AS packets, sum(8 * octet_length(encode(text)))::BIGINT AS bits FROM documents WHERE octet_length(encode(text)) > 0 GROUP BY lang",
     "R3_lock_tracker": f"{docs._FULL}, done AS (SELECT *, sum(n_frames) OVER (PARTITION BY stream_id) AS f FROM samples) SELECT stream_id, window_idx, t_abs, lock_pct, missed, n_frames FROM done WHERE f > 0",
     "R2_late_packets": f"""WITH p AS (SELECT lang AS stream_id, doc_id AS ord FROM documents WHERE octet_length(encode(text)) > 0 AND lang IN ({_LANGUAGES})),

@@ -3,9 +3,10 @@ import struct
 from pyspark.sql import functions as F
 
 from lockstep.functions import text
-from lockstep.sources.ch10 import PCM, TIME, TMATS, header_checksum, read_ch10
+from lockstep.sources.ch10 import PCM, TIME, TMATS, Ch10FilteredReader, Recording, follow_ch10, header_checksum, read_ch10, write_ch10
 from lockstep.sources.recording import channel_catalog, pcm_packets, recording_gates, time_packets, tmats_attributes
 from lockstep.sources.series_csv import read_series_csv
+from lockstep.streaming.tracker import run_available
 
 
 def packet(channel: int, kind: int, rel: int, body: bytes) -> bytes:
@@ -47,6 +48,55 @@ def test_ch10(spark, tmp_path):
     assert read_ch10(spark, f"{tmp_path}/b.ch10", 500).count() == 51
 
 
+def test_two_scans_of_one_recording_keep_their_own_filters(spark, tmp_path):
+    with open(f"{tmp_path}/a.ch10", "wb") as handle:
+        handle.write(b"".join(recording()))
+    source = Recording(spark, f"{tmp_path}/a.ch10", 300)
+    both = source.of_type(PCM, [13]).unionByName(source.of_type(TIME)).unionByName(source.scan("channel_id = 0 and file_offset >= 0"))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Filter (") == 1 and "file_offset" in plan  # what the reader takes over is not filtered again
+    assert sorted((r.data_type, n) for r, n in ((r, r["count"]) for r in both.groupBy("data_type").count().collect())) == [(1, 1), (9, 50), (17, 1)]
+    assert source.headers().where("payload is not null").count() == 0
+    assert source.of_type(PCM, []).count() == source.scan("channel_id in (1, 13) and channel_id = 7").count() == source.scan("source_id = 1").count() == 0
+
+
+def test_bodies_of_other_channels_are_not_read(tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    with open(f"{tmp_path}/a.ch10", "wb") as handle:
+        handle.write(b"".join(recording()))
+    reader = Ch10FilteredReader({"path": f"{tmp_path}/a.ch10"})
+    left = list(reader.pushFilters([EqualTo(("data_type",), TIME), GreaterThan(("file_offset",), 3)]))
+    assert left == [GreaterThan(("file_offset",), 3)]
+    assert [b.num_rows for part in reader.partitions() for b in reader.read(part)] == [1]
+
+
+def test_a_growing_recording_equals_its_batch(spark, tmp_path):
+    """Packets arrive in pieces that end within a packet, a second file appears later, and every run is a restart."""
+    whole = b"".join(recording())
+    (tmp_path / "in").mkdir()
+    cuts = [0, 10, 150, 1000, len(whole) - 3, len(whole)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        with open(f"{tmp_path}/in/b.ch10", "ab") as handle:
+            handle.write(whole[a:b])
+        if i == 3:
+            with open(f"{tmp_path}/in/a.ch10", "wb") as handle:
+                handle.write(whole)
+        rows = run_available(follow_ch10(spark, f"{tmp_path}/in", 700), f"{tmp_path}/out", f"{tmp_path}/cp")
+    batch = read_ch10(spark, [f"{tmp_path}/in/b.ch10", f"{tmp_path}/in/a.ch10"])
+    key = lambda frame: sorted((r.source_id, r.file_offset, r.channel_id, r.data_type, r.rel_time_100ns, bytes(r.payload)) for r in frame.collect())
+    assert key(rows) == key(batch) and rows.count() == 104
+
+
+def test_written_recordings_are_read_back(spark, tmp_path):
+    rows = [(i % 3, PCM, 5 * i, bytes(range(i))) for i in range(40)]
+    write_ch10(spark.createDataFrame(rows, "channel_id int, data_type short, rel_time_100ns long, payload binary").repartition(3), f"{tmp_path}/out")
+    files = sorted(str(f) for f in (tmp_path / "out").iterdir())
+    assert all(f.rsplit("/", 1)[1].startswith("part-") for f in files)
+    got = read_ch10(spark, files, 128).collect()
+    assert sorted((r.channel_id, r.data_type, r.rel_time_100ns, bytes(r.payload)) for r in got) == sorted(rows)
+
+
 def test_csv_import(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbfTime (DOY:HH:MM:SS.mmm),A Lock (%),S1| 13 - My Ch L_RCVR2\r\n1:00:00:00.000,50,\r\n   \r\n1:00:00:01.000,60,7\r\n")
     points, files = read_series_csv(spark, f"{tmp_path}/a.csv")
