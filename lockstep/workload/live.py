@@ -80,6 +80,13 @@ def silent_windows(spark, sf):
     return docs._rounded(last.select("stream_id", "window_idx", "t_abs", "lock_pct", "missed", "n_frames"))
 
 
+def open_windows(spark, sf):
+    """The newest document of every stream, as its last window shows it: still open, or closed by silence."""
+    packets = docs.as_packets(_stream(spark, sf, "documents"))
+    rows = _now(spark, lock_tracker(packets, docs.streams(spark), "0 seconds"))
+    return rows.where("kind in ('open', 'silent')").groupBy("stream_id").agg(F.max("ord").alias("ord"))
+
+
 def late(spark, sf):
     """Late documents per language and window when the even ids are delivered first and the odd ones after them: those behind the newest
     even document that the watermark had passed."""
@@ -100,7 +107,7 @@ def gap_alerts(spark, sf):
 
 
 QUERIES = {"R1_read_packets_stream": read_stream, "R1_follow_ch10": follow_recordings, "R2_late_packets": late, "R3_lock_tracker": tracker, "R4_silent_windows": silent_windows,
-           "R5_time_gap_alerts": gap_alerts}
+           "R4_open_windows": open_windows, "R5_time_gap_alerts": gap_alerts}
 
 _LANGUAGES = ", ".join(f"'{lang}'" for lang in docs.PATTERNS)
 ORACLES = {
@@ -116,5 +123,6 @@ ORACLES = {
     "R4_silent_windows": f"""{docs._FULL} SELECT lang AS stream_id, win AS window_idx, round((seed + win * {docs.PERIOD_TICKS}) / 1e7, 6) AS t_abs,
         round(CASE WHEN bits IS NULL THEN 0.0 ELSE 100.0 * locked::DOUBLE / bits END, 6) AS lock_pct, missed, n_frames
         FROM samples0 JOIN seeds USING (lang) WHERE win = last_win""",
+    "R4_open_windows": "SELECT lang AS stream_id, max(doc_id) AS ord FROM documents WHERE octet_length(encode(text)) > 0 GROUP BY 1",
     "R5_time_gap_alerts": "WITH g AS (SELECT user_id AS source_id, event_id AS file_offset, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6 AS d FROM events) SELECT source_id, file_offset, round(d, 6) AS gap_s FROM g WHERE d > 2",
 }
