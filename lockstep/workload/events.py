@@ -252,19 +252,19 @@ def is_sorted(spark, sf):
 
 
 def _export(spark, sf):
+    """Every event as a sample of its type's series, on the table's own clock; types (null last, as one of its own) are numbered by name."""
     e = events(spark, sf)
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    number = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")) - 1
-    aligned = series.align_elapsed(e.withColumn("t_abs", F.floor(F.col("us") / 1e6).cast("double")))
-    points = aligned.select(number.cast("int").alias("series_no"), "elapsed", F.col("event_id").alias("sample_no"), "value").where("series_no >= 0")
-    table_ = spark.createDataFrame([(i, "lock" if i < 2 else "level", k if i < 2 else f"{i} - L_{k} C_RCVR{i}", i % 2) for i, k in enumerate(kinds)],
-                                   "series_no int, metric string, name string, source_id int")
-    return points, table_
+    kinds = [r.event_type for r in e.select("event_type").distinct().orderBy(F.asc_nulls_last("event_type")).collect()]  # columns of the export
+    table_ = spark.createDataFrame([(i, "lock" if i < 2 else "level", (k or "none") if i < 2 else f"{i} - L_{k or 'none'} C_RCVR{i}", i % 2, k)
+                                    for i, k in enumerate(kinds)], "series_no int, metric string, name string, source_id int, event_type string")
+    aligned = series.align_elapsed(e.withColumn("t_abs", F.col("us") / 1e6))
+    points = aligned.alias("e").join(table_.alias("t"), F.col("e.event_type").eqNullSafe(F.col("t.event_type")))
+    return points.select("series_no", "elapsed", F.col("event_id").alias("sample_no"), "value"), table_.drop("event_type")
 
 
 def csv_rows(spark, sf):
     points, names = _export(spark, sf)
-    return series_csv.csv_rows(points, 5, F.lit(1), F.lit(0.0)).select("ms", "line")
+    return series_csv.csv_rows(points, names.count(), F.lit(1), F.lit(0.0)).select("ms", "line")
 
 
 def csv_round_trip(spark, sf):
@@ -316,6 +316,9 @@ def _names(test: str) -> str:
 
 
 _POINTS_SQL = "SELECT {s} AS s, event_id AS i, us AS x, value FROM e WHERE event_type <> 'error'"
+_CELLS = (f"WITH {_E}, k AS (SELECT (row_number() OVER (ORDER BY event_type NULLS LAST) - 1)::INT AS i, event_type, coalesce(event_type, 'none') AS kind FROM (SELECT DISTINCT event_type FROM e)), "
+          "c AS (SELECT floor((us / 1e6 - (SELECT min(us / 1e6) FROM e)) * 1000 + 0.5)::BIGINT AS ms, i, arg_max(value, event_id) AS v "
+          "FROM e JOIN k ON e.event_type IS NOT DISTINCT FROM k.event_type GROUP BY ALL)")
 _LONG = f"{_E}, p AS (SELECT event_id AS idx, us::DOUBLE AS x, value, event_id % 997 = 0 AS bad FROM e)"
 
 ORACLES = {
@@ -367,13 +370,12 @@ ORACLES = {
     "V5_rollup_index": f"WITH {_LONG}, lv AS (SELECT unnest(range(0, ceil(log2(floor(max(idx) / 32.0) + 1))::BIGINT + 1)) AS level FROM p) SELECT level, idx // 32 // (1 << level::INT) AS node, coalesce(min(value) FILTER (NOT bad), 'inf'::DOUBLE) AS y_min, coalesce(max(value) FILTER (NOT bad), '-inf'::DOUBLE) AS y_max, round(coalesce(sum(value) FILTER (NOT bad), 0), 4) AS y_sum FROM p, lv GROUP BY 1, 2",
     "V6_summarize_range": f"WITH {_LONG}, q AS (SELECT 1 AS series_no, idx, value FROM p WHERE NOT bad UNION ALL SELECT 2, idx, -value FROM p WHERE NOT bad) SELECT series_no, min(value) AS y_min, max(value) AS y_max, round(sum(value), 4) AS y_sum FROM q WHERE idx >= 37 AND idx < 7013 GROUP BY series_no",
     "V7_is_sorted_series": f"WITH {_E}, t AS (SELECT user_id, event_id, us - CASE WHEN event_id % 131 = 0 THEN {HOUR} ELSE 0 END AS x FROM e), g AS (SELECT user_id, x - lag(x) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM t) SELECT user_id, bool_and(coalesce(d >= 0, true)) AS sorted FROM g GROUP BY user_id",
-    "K1_csv_rows": f"""WITH {_E}, c AS (SELECT (us // 1000000 - (SELECT min(us // 1000000) FROM e)) AS s, event_type, arg_max(value, event_id) AS v FROM e GROUP BY 1, 2),
-        r AS (SELECT s, {", ".join(f"coalesce(printf('%.6f', max(v) FILTER (event_type = '{k}')), '') AS c{i}" for i, k in enumerate(["click", "error", "purchase", "signup", "view"]))} FROM c WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY s)
-        SELECT s * 1000 AS ms, printf('%03d:%02d:%02d:%02d.000,', 1 + s // 86400, s % 86400 // 3600, s % 3600 // 60, s % 60) || concat_ws(',', c0, c1, c2, c3, c4) AS line FROM r""",
-    "S9_csv_round_trip": f"""WITH {_E}, c AS (SELECT (us // 1000000 - (SELECT min(us // 1000000) FROM e)) AS s, event_type, arg_max(value, event_id) AS v FROM e GROUP BY 1, 2),
-        k(i, event_type) AS (VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view'))
-        SELECT CASE WHEN i < 2 THEN 'lock' ELSE 'level' END AS metric, CASE WHEN i < 2 THEN event_type ELSE i || ' - L_' || event_type || ' C_RCVR' || i END AS name, i % 2 AS source_id,
-        CASE WHEN i < 2 THEN 0 ELSE i END AS receiver, 0 AS channel, round((s - (SELECT min(s) FROM c JOIN k USING (event_type)))::DOUBLE, 3) AS elapsed, v AS value FROM c JOIN k USING (event_type)""",
+    "K1_csv_rows": f"""{_CELLS}, g AS (SELECT ms, i FROM (SELECT DISTINCT ms FROM c), k),
+        r AS (SELECT ms, string_agg(coalesce(printf('%.6f', v), ''), ',' ORDER BY i) AS cells FROM g LEFT JOIN c USING (ms, i) GROUP BY ms)
+        SELECT ms, printf('%03d:%02d:%02d:%02d.%03d,', 1 + ms // 86400000, ms % 86400000 // 3600000, ms % 3600000 // 60000, ms % 60000 // 1000, ms % 1000) || cells AS line FROM r""",
+    "S9_csv_round_trip": f"""{_CELLS}
+        SELECT CASE WHEN i < 2 THEN 'lock' ELSE 'level' END AS metric, CASE WHEN i < 2 THEN kind ELSE i || ' - L_' || kind || ' C_RCVR' || i END AS name, i % 2 AS source_id,
+        CASE WHEN i < 2 THEN 0 ELSE i END AS receiver, 0 AS channel, round((ms - (SELECT min(ms) FROM c)) / 1000.0::DOUBLE, 3) AS elapsed, v AS value FROM c JOIN k USING (i)""",
     "K3_write_per_source": f"WITH {_S} SELECT source_id, count(*) AS points, round(sum(value), 4) AS total FROM s GROUP BY source_id",
     "K4_write_samples": f"WITH {_S} SELECT source_id, metric, count(*) AS points, round(max(t_abs), 6) AS last FROM s GROUP BY source_id, metric",
 }
