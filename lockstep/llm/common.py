@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lockstep.session import configure, materialize
 
-__all__ = ["batches_of", "fold", "hidden", "prepared", "strings", "table", "text_or_empty", "materialize", "with_fields"]
+__all__ = ["batches_of", "fold", "hidden", "labels_of", "prepared", "strings", "table", "text_or_empty", "materialize", "with_fields"]
 
 #: Rows per Arrow batch: texts may be long, so a batch must stay small whatever its rows hold.
 BATCH_ROWS = 500
@@ -41,6 +41,12 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % parts, F.lit(-1))
 
 
+def labels_of(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``key, label`` (0 or 1) of the labelled rows whose key is a row of ``docs``; ids alone are shuffled."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    return known.join(docs.select(F.col(key).alias("key")), "key", "left_semi")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

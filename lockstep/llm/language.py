@@ -2,7 +2,8 @@
 
 Every language gets a codeword; one logistic classifier per bit, on hashed frequencies of letter 1- to 3-grams, learns that bit. A text
 goes to the language whose codeword costs least, bits weighted by how well they were learned; a text whose two cheapest languages cost
-nearly the same is flagged as ambiguous. Learning uses at most ``per_language`` rows of each language, drawn by hash of the id.
+nearly the same is flagged as ambiguous. Every language of the table is learned, however rare, from at most ``per_language`` of its rows
+with a letter, drawn by hash of id and text; codewords grow with the logarithm of the number of languages.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; with no labelled row every text is ``und``; with one language
 every text with a letter is that language, score 1. A null id is never held out nor learned from. Repeated rows give repeated rows; an
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockstep.llm.chars import TABLED, code_points, tables
@@ -24,8 +25,8 @@ from lockstep.llm.common import batches_of, prepared, strings, with_fields
 
 #: Hash buckets of n-grams.
 BUCKETS = 2048
-#: Rows of each language that are learned from, about, and the most languages that are learned.
-PER_LANGUAGE, MOST_LANGUAGES = 800, 200
+#: Most rows of each language that are learned from; with so many languages that this makes more than MOST_ROWS, each has fewer (one at least).
+PER_LANGUAGE, MOST_ROWS = 800, 40_000
 #: Gap of normalised costs below which a text is ambiguous.
 AMBIGUOUS_GAP = 0.05
 UNDETERMINED = "und"
@@ -83,8 +84,10 @@ class CodeModel:
     trust: np.ndarray    # weight of each bit's loss
 
     def costs(self, x: np.ndarray) -> np.ndarray:
+        """Weighted log losses of all codewords: a bit costs one of two amounts, so two products with the code give every sum."""
         margin = x @ self.weights[:-1] + self.weights[-1]
-        return np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ self.trust
+        plus, minus = np.logaddexp(0, -margin) * self.trust, np.logaddexp(0, margin) * self.trust
+        return plus @ (self.code > 0).T + minus @ (self.code < 0).T
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (softmax of the negative costs) and ambiguity of each text."""
@@ -102,41 +105,49 @@ class CodeModel:
         return names, np.where(known, share.max(1), 0.0), (two[:, 1] - two[:, 0] < AMBIGUOUS_GAP) | ~known
 
 
-def fit(x: np.ndarray, languages: list[str], steps: int = 300, seed: int = 1) -> CodeModel:
+def fit(x: np.ndarray, languages: list[str], seed: int = 1) -> CodeModel:
     """One logistic classifier per bit, all trained together (Adam on minibatches; languages weigh alike)."""
     names = sorted(set(languages))
     code = codewords(len(names))
     if len(names) < 2:
         return CodeModel(names, code, np.zeros((BUCKETS + 1, 0)), np.zeros(0))
-    label = np.array([names.index(v) for v in languages])
-    share = 1 / np.bincount(label)[label]
+    place = {n: i for i, n in enumerate(names)}
+    label = np.array([place[v] for v in languages])
+    size = np.bincount(label)
+    share = 1 / size[label]
     chance = share / share.sum()
     rng = np.random.default_rng(seed)
     w = np.zeros((BUCKETS + 1, code.shape[1]))
     m, v = np.zeros_like(w), np.zeros_like(w)
     ones = np.ones((256, 1), np.float32)
-    for step in range(1, steps + 1):
+    for step in range(1, max(300, 2 * len(names)) + 1):
         pick = rng.choice(len(label), 256, p=chance)
         xb, yb = np.hstack([x[pick], ones]), code[label[pick]]
         slope = -yb / (1 + np.exp(yb * (xb @ w)))
         g = xb.T @ slope / 256 + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    right = np.array([((x @ w[:-1] + w[-1]) * code[label] > 0)[label == k].mean(0) for k in range(len(names))]).mean(0)
+    hit = (x @ w[:-1] + w[-1]) * code[label] > 0
+    right = (np.add.reduceat(hit[np.argsort(label, kind="stable")], np.cumsum(size) - size, axis=0, dtype=np.float64) / size[:, None]).mean(0)
     trust = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
     return CodeModel(names, code, w, trust / trust.sum())
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> CodeModel:
-    """Fit on about ``per_language`` rows of each language; the rows are featurised where they lie."""
+    """Fit on at most ``per_language`` rows of each language; the rows are featurised where they lie."""
     prepared(labelled.sparkSession)
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
-    if not counts:
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(17)).alias("h"), F.xxhash64(text).alias("h2"))
+    counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return CodeModel([], np.ones((0, 0)), np.zeros((BUCKETS + 1, 0)), np.zeros(0))
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, per_language / r["count"]))])
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < shares[F.col(lang)] * 1_000_000
-    picked = rows.where(drawn).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    quota = max(1, min(per_language, MOST_ROWS // languages))
+    # thinned first, with room for chance, so that no language is brought together; then the exact first rows of each
+    share = F.lit(2.0 * quota + 40) / F.col("count")
+    thin = rows.join(counts, "lang").where(F.pmod(F.xxhash64("h", "h2"), F.lit(1_000_000)) < share * 1_000_000)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2", "text"))
+    picked = thin.withColumn("_place", place).where(F.col("_place") <= quota).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

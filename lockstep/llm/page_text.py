@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockstep.llm.chars import Words
@@ -32,8 +32,10 @@ from lockstep.llm.common import batches_of, prepared, strings, with_fields
 PATH_WIDTH, WORD_WIDTH, PLAIN = 64, 24, 4
 WIDTH = PATH_WIDTH + WORD_WIDTH + PLAIN
 HIDDEN = 16
-#: Pages that are learned from.
-TRAINING_PAGES = 256
+#: Most pages that are learned from, and the characters after which no further page is taken. Pages are whole.
+TRAINING_PAGES, TRAINING_CHARS = 256, 4_000_000
+#: Blocks that gradients reach over: longer pages are learned in stretches, every block of them.
+STRETCH = 400
 EPOCHS = 30
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -273,10 +275,17 @@ def varied(page: list[Block], rng: np.random.Generator, pool: list[str]) -> list
     return out
 
 
+def muted(page: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The page with names that say nothing: what is main text must then be told by words, length, links and place."""
+    telling = sorted({n for b in page for n in b.path if n.lstrip(".") in FURNITURE | ARTICLE})
+    said = {n: ("div", f".z{rng.integers(10**6)}") if not n.startswith(".") else (f".z{rng.integers(10**6)}",) for n in telling}
+    return [Block(tuple(y for n in b.path for y in said.get(n, (n,))), b.text, b.linked) for b in page]
+
+
 def train(pages: list[str], seed: int = 3) -> Labeller:
-    """A labeller from pages labelled by structure, each also in a varied form (Adam)."""
+    """A labeller from pages labelled by structure, each also in two varied forms, the first of them also muted (Adam)."""
     rng = np.random.default_rng(seed)
-    plain = [b[:400] for b in map(blocks, pages) if b]
+    plain = [b for b in map(blocks, pages) if b]
     model = Labeller(seed)
     if not plain:
         plain = [[Block(("html", "body", "article", "p"), "text", 0.0), Block(("html", "body", "nav", "li"), "text", 1.0)]]
@@ -286,7 +295,10 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
     for p in every:
         has = any(n.lstrip(".") in ARTICLE for b in p for n in b.path)
         labels.append(np.array([weak_label(b, has) for b in p], np.float32))
-    rows = [vectors([p]) for p in every]
+    every += [muted(p, rng) for p in every[len(plain):2 * len(plain)]]
+    labels += labels[len(plain):2 * len(plain)]
+    rows = [x[a:a + STRETCH] for x in (vectors([p]) for p in every) for a in range(0, len(x), STRETCH)]
+    labels = [y[a:a + STRETCH] for y in labels for a in range(0, len(y), STRETCH)]
     m, v, step = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
     for epoch in range(EPOCHS):
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]) + 6 * rng.random())
@@ -306,11 +318,13 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
 
 
 def learn(df: DataFrame, key: str = "page_id", html: str = "html", pages: int = TRAINING_PAGES) -> Labeller:
-    """Train on about ``pages`` pages drawn by hash of the key."""
+    """Train on whole pages drawn by hash of the key: at most ``pages``, and none once ``TRAINING_CHARS`` characters are reached."""
     prepared(df.sparkSession)
     total = df.count()
     drawn = df.where(F.col(html).isNotNull() & (F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1_000_000)) < min(1.0, 2 * pages / max(1, total)) * 1_000_000))
-    rows = drawn.orderBy(F.xxhash64(F.col(key), F.lit(42)), key, html).select(F.substring(html, 1, 60_000).alias("html")).limit(pages).collect()  # training only
+    picked = drawn.select(F.xxhash64(F.col(key), F.lit(42)).alias("h"), F.col(key).alias("k"), F.col(html).alias("html")).orderBy("h", "k", "html").limit(pages)
+    before = F.coalesce(F.sum(F.char_length("html")).over(Window.orderBy("h", "k", "html").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = picked.withColumn("before", before).where(F.col("before") < TRAINING_CHARS).orderBy("before").select("html").collect()  # training only
     return train([r.html for r in rows])
 
 

@@ -5,7 +5,7 @@ corpus, added up in Spark (one partial sum per task, then a sum per bucket). A d
 vectors. The network learns from at most ``MOST_LABELS`` labelled rows; its temperature is set on a part of them that it has not seen.
 
 Edge cases: null and empty texts have the zero vector and get the network's score for it; with labels of one kind only (or none) every
-score is that label (or 0.5); repeated rows give repeated rows; an empty table gives none. A null id is scored but never learned from.
+score is that label (or 0.5); repeated rows give repeated rows; an empty table gives none. A null id's text is counted and scored, but never labelled.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.llm.chars import OTHER, Words, mix
-from lockstep.llm.common import batches_of, materialize, prepared, strings, with_fields
+from lockstep.llm.common import batches_of, labels_of, materialize, prepared, strings, with_fields
 
 #: Token buckets and the length of word vectors.
 BUCKETS, WIDTH = 4096, 32
@@ -154,10 +154,10 @@ def best_temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           most_labels: int = MOST_LABELS) -> QualityModel:
-    """Word vectors from all ``docs``; the network from at most ``most_labels`` rows of ``labels``, which the caller has limited to its fold."""
+    """Word vectors from all ``docs``; the network from at most ``most_labels`` labelled ones; the caller has limited ``labels`` to its fold."""
     vectors = word_vectors(docs, text)
-    picked = materialize(labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
-                         .groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key", F.lit(23)), "key").limit(most_labels))
+    picked = materialize(labels_of(docs, labels, key, label).groupBy("key").agg(F.max("label").alias("y"))
+                        .orderBy(F.xxhash64("key", F.lit(23)), "key").limit(most_labels))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").select("key", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

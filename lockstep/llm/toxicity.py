@@ -7,7 +7,7 @@ prior R-(positive))``; where the second part turns negative its gradient is reve
 Examples are bounded by ``MOST_POSITIVE`` and ``MOST_UNLABELLED`` (drawn by hash of the id); counts cover every row.
 
 Edge cases: null and empty texts have no feature and are scored as such; without confirmed examples every score is 0; repeated rows give
-repeated rows; an empty table gives none. A null id is scored but never learned from. Other columns may have any names.
+repeated rows; an empty table gives none. A null id is counted and scored but never an example. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.llm.chars import WORD, Words
-from lockstep.llm.common import batches_of, materialize, prepared, strings, with_fields
+from lockstep.llm.common import batches_of, labels_of, materialize, prepared, strings, with_fields
 
 #: Most rows of each sort that are learned from.
 MOST_POSITIVE, MOST_UNLABELLED = 2000, 4000
@@ -102,12 +102,12 @@ def non_negative_pu(x: np.ndarray, confirmed: np.ndarray, prior: float, steps: i
     return w.astype(float)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """Bounded rows ``positive, key, text``: confirmed toxic ones, and any rows at all as unlabelled ones."""
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """Bounded rows ``positive, text``: confirmed toxic ones, and any rows at all as unlabelled ones."""
     def first(df: DataFrame, n: int, seed: int) -> DataFrame:
         return df.distinct().orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(n)
 
-    confirmed = first(labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("key")), MOST_POSITIVE, 31)
+    confirmed = first(labels.where("label = 1").select("key"), MOST_POSITIVE, 31)
     total = docs.count()
     share = min(1.0, 3 * MOST_UNLABELLED / max(1, total))  # thinned before the exact cut
     thin = docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.col(key), F.lit(32)), F.lit(1_000_000)) < share * 1_000_000)).select(F.col(key).alias("key"))
@@ -168,13 +168,17 @@ def _matrix(sample: DataFrame, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Fit on ``docs`` and the confirmed rows of ``labels``; the caller has limited both to its fold."""
+    """Fit on the text of all ``docs`` and the confirmed rows among them; the caller has limited ``labels`` to its fold.
+
+    Labels of rows that ``docs`` does not hold say nothing: neither the examples nor the prior come from them.
+    """
     prepared(docs.sparkSession)
+    labels = materialize(labels_of(docs, labels, key, label))
     nothing = ToxicityModel(Lookup(np.zeros(0, np.uint64)), np.zeros((0, 1)))
-    share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = labels.agg(F.avg("label")).first()[0]
     if not share:
         return nothing
-    sample = _sample(docs, labels, key, text, label)
+    sample = _sample(docs, labels, key, text)
     hashes = _candidates(sample)
     wide = Lookup(hashes)
     total, n = docs.count(), corpus_frequency(docs, wide, text)

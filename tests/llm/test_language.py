@@ -52,3 +52,32 @@ def test_no_and_one_language(spark):
     assert {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
     one = language.learn(spark.createDataFrame([(1, "ab", "xx")], "doc_id long, text string, lang string"))
     assert sorted(r.lang_pred for r in language.predict(docs, one).collect()) == ["und", "xx"]
+
+
+def test_costs_equal_a_plain_loop():
+    rng = np.random.default_rng(3)
+    code = language.codewords(7)
+    model = language.CodeModel(list("abcdefg"), code, rng.normal(size=(language.BUCKETS + 1, code.shape[1])), rng.random(code.shape[1]))
+    x = rng.random((4, language.BUCKETS))
+    want = [[sum(t * np.log1p(np.exp(-c * (row @ w[:-1] + w[-1]))) for c, w, t in zip(word, model.weights.T, model.trust)) for word in code] for row in x]
+    assert np.allclose(model.costs(x), want)
+
+
+def test_tied_codewords_go_to_the_first_language():
+    model = language.CodeModel(["aa", "bb"], np.array([[1.0], [-1.0]]), np.zeros((language.BUCKETS + 1, 1)), np.ones(1))
+    names, score, unsure = model.predict(["x", "1"])
+    assert names == ["aa", "und"] and score.tolist() == [0.5, 0.0] and unsure.all()
+
+
+def test_every_language_is_learned_however_rare(spark, monkeypatch):
+    """260 languages, one of them with half of all rows, and 250 of three rows each."""
+    rng = random.Random(9)
+    marks = {f"l{i:03d}": [chr(0x4E00 + 7 * i + k) for k in range(6)] for i in range(260)}
+    size = lambda lang: 1200 if lang == "l000" else 40 if lang < "l010" else 3
+    rows = [(len(marks) * n + i, "".join(rng.choices(marks[lang], k=30)), lang) for i, lang in enumerate(marks) for n in range(size(lang))]
+    docs = spark.createDataFrame(rows + [(None, None, "l001"), (None, "12", "l002")], "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(language, "MOST_ROWS", 260 * 20)
+    model = language.learn(docs)
+    assert model.languages == sorted(marks)
+    names, _, _ = model.predict(["".join(rng.choices(m, k=30)) for m in marks.values()])
+    assert sum(a == b for a, b in zip(names, marks, strict=True)) >= 0.97 * len(marks)

@@ -61,3 +61,47 @@ def test_query_and_edge_cases(spark, tmp_path):
     bare = str(tmp_path / "none")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{bare}/pages.parquet")
     assert entries.op10_page_text(spark, bare).count() == 0
+
+
+def test_training_reads_whole_pages(spark, monkeypatch):
+    """Every block of a page with 1,500 of them is trained on, its footer included, and pages are taken until the characters are reached."""
+    seen = []
+    monkeypatch.setattr(pt, "train", lambda pages: seen.append(pages))
+    long = page(1, "".join(f"<p>Paragraph {k} with words that go on</p>" for k in range(1500)))
+    df = spark.createDataFrame([(i, long) for i in range(5)], "page_id long, html string")
+    pt.learn(df)
+    assert seen[0] == [long] * 5 and len(long) > 60_000
+    monkeypatch.setattr(pt, "TRAINING_CHARS", len(long) + 1)
+    pt.learn(df)
+    assert seen[1] == [long] * 2
+
+
+def test_stretches_hold_every_block(monkeypatch):
+    counted = []
+    monkeypatch.setattr(pt, "EPOCHS", 1)
+    monkeypatch.setattr(pt, "varied", lambda p, rng, pool: p)
+    old = pt.Labeller.gradients
+    monkeypatch.setattr(pt.Labeller, "gradients", lambda self, x, mask, y: (counted.append((len(mask), mask.sum(), y.sum())), old(self, x, mask, y))[1])
+    n = 950
+    pt.train([page(1, "".join(f"<p>Paragraph {k}</p>" for k in range(n)))])
+    blocks = len(pt.blocks(page(1))) + n
+    assert max(c[0] for c in counted) <= pt.STRETCH and sum(c[1] for c in counted) == 4 * blocks and sum(c[2] for c in counted) == 4 * (n + 3)
+
+
+def test_pages_whose_names_say_nothing():
+    """The word list knows no name here, and every block is short, so it calls them all furniture; the network goes by words, length, links and place."""
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}{c}" for a in "bdglmr" for b in "aeio" for c in ("n", "st", "rk")]
+    prose = lambda k: " ".join(rng.choice(words, k))
+
+    def mute(i):
+        side = lambda: "".join(f"<div><a href='/{k}'>{prose(2)}</a></div>" for k in range(4))
+        return f"<html><body><div class='x1'>{side()}</div><div class='x2'><p>{prose(9)}</p><p>{prose(12)}</p><p>{prose(9)}</p></div><div class='x3'>{side()}</div></body></html>"
+
+    named = [page(i, f"<p>{prose(9)}</p><p>{prose(12)}</p>") for i in range(60)]
+    model = pt.train(named)
+    pages = [pt.blocks(mute(i)) for i in range(20)]
+    right = [(z > 0) == (not b.linked) for p, odds in zip(pages, model.odds(pages), strict=True) for b, z in zip(p, odds, strict=True)]
+    listed = [pt.weak_label(b, False) == (not b.linked) for p in pages for b in p]
+    assert len({pt.weak_label(b, False) for p in pages for b in p}) == 1
+    assert np.mean(right) > np.mean(listed) + 0.1
