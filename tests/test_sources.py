@@ -7,6 +7,7 @@ from lockstep.sources.ch10 import PCM, TIME, TMATS, Ch10FilteredReader, Recordin
 from lockstep.sources.recording import channel_catalog, pcm_packets, recording_gates, time_packets, tmats_attributes
 from lockstep.sources.series_csv import read_series_csv
 from lockstep.streaming.tracker import run_available
+from lockstep.workload import events
 
 
 def packet(channel: int, kind: int, rel: int, body: bytes) -> bytes:
@@ -111,3 +112,12 @@ def test_text_rules(spark):
     assert got == ["-0.000000", "0.500000", "0.007813", f"{0.1234565:.6f}"]
     stamps = spark.range(1).select(text.clock_stamp(F.lit(1), F.lit(0.0), F.lit(-1.0)).alias("a"), text.round_millis(F.lit(-0.0625)).alias("b")).first()
     assert (stamps.a, stamps.b) == ("000:23:59:59.000", -63)
+
+
+def test_csv_rows_by_the_millisecond_and_by_every_type(spark, tmp_path):
+    """Of a type's samples in one millisecond the last stays; a null type and types of any name have columns of their own."""
+    rows = [(1, 1_000_000, "b", 1.0), (2, 1_000_300, "b", 2.0), (3, 1_000_400, None, 3.0), (4, 1_001_600, "a", 4.0), (5, 2_000_000, "zz", 5.0)]
+    spark.createDataFrame(rows, "event_id long, us long, event_type string, value double").selectExpr(
+        "event_id", "event_type", "value", "timestamp_micros(us) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.ms: r.line for r in events.csv_rows(spark, str(tmp_path)).collect()}
+    assert got == {0: "001:00:00:00.000,,2.000000,,3.000000", 2: "001:00:00:00.002,4.000000,,,", 1000: "001:00:00:01.000,,,5.000000,"}
