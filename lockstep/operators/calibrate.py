@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.operators.config import FULL_SCALE, VOLT_HIGH, VOLT_LOW
+from lockstep.operators.scans import Carry, cut_at, ordered_scan, quantile_bounds
 
 
 def linear_coefficients(polarity: Column, slope_idx: Column, db_per_volt: Column) -> tuple[Column, Column]:
@@ -46,13 +47,31 @@ def apply_calibration(raw: Column, slope: Column, offset: Column, points: Column
     return linear if points is None else F.when(points.isNotNull(), calibrate_piecewise(raw, points)).otherwise(linear)
 
 
-def profile_segments(profiles: DataFrame) -> DataFrame:
-    """Profiles as a table of segments per word (``raw_lo`` exclusive, ``raw_hi`` inclusive), for profiles too wide for an array."""
-    points = profiles.where("valid").select("word", F.posexplode("points").alias("i", "p"), F.size("points").alias("n"), "points")
-    after = F.try_element_at("points", F.col("i") + 2)
-    return points.where("i + 1 < n").select(
-        "word", F.col("i").alias("segment"), F.col("p.raw_avg").alias("raw_lo"), after.raw_avg.alias("raw_hi"),
-        F.col("p.true_db").alias("db_lo"), after.true_db.alias("db_hi"))
+def profile_points(profiles: DataFrame) -> DataFrame:
+    """The points of valid profiles as rows (``word, i, raw_avg, true_db``), for `calibrate_by_points`."""
+    return profiles.where("valid").select("word", F.posexplode("points").alias("i", "p")).select("word", "i", "p.*")
+
+
+def calibrate_by_points(counts: DataFrame, points: DataFrame, key: str = "word", raw: str = "raw", rows_per_chunk: int = 250_000) -> DataFrame:
+    """``counts`` with ``db``, as `calibrate_piecewise` gives it, for profiles of any width held as rows (``key, i, raw_avg, true_db``).
+
+    A range join without pairs: the distinct counts of a key and its points are one ordered line, cut into chunks of equal size; each count
+    finds the last point below it and the first at or above it in one scan. Keys without points and null counts get null.
+    """
+    value = F.col(raw).cast("double")
+    asked = counts.select(F.col(key), value.alias("_raw")).where(F.col(key).isNotNull() & F.col("_raw").isNotNull()).distinct()
+    point = F.struct("i", "raw_avg", "true_db")
+    line = asked.withColumn("_i", F.lit(-1).cast("long")).unionByName(  # a count stands before the points at its place
+        points.where(F.col(key).isNotNull()).select(key, F.col("raw_avg").cast("double").alias("_raw"), F.col("i").cast("long").alias("_i"), point.alias("_point")),
+        allowMissingColumns=True)
+    line, cut = cut_at(line, "_raw", quantile_bounds(line, "_raw", rows_per_chunk))
+    found = ordered_scan(line, [key], ["_raw", "_i"], [Carry("_low", F.col("_point"), "last"), Carry("_high", F.col("_point"), "next")], cut).where("_i = -1")
+    ends = points.groupBy(key).agg(F.max_by("raw_avg", "i").alias("_top_raw"), F.max_by("true_db", "i").alias("_top_db"))
+    low, high = F.col("_low"), F.col("_high")
+    slope = F.try_divide(high.true_db - low.true_db, high.raw_avg - low.raw_avg)
+    db = F.when(low.isNull(), high.true_db).when(F.col("_raw") >= F.col("_top_raw"), F.col("_top_db")).otherwise(low.true_db + slope * (F.col("_raw") - low.raw_avg))
+    curve = found.join(ends, key).select(F.col(key).alias("_key"), F.col("_raw").alias("_at"), db.alias("db"))
+    return counts.join(curve, (F.col(key) == F.col("_key")) & (value == F.col("_at")), "left").drop("_key", "_at")
 
 
 def attach_profiles(word_map: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lockstep.operators.scans import Carry, cut_at, ordered_scan, quantile_bounds
 from lockstep.operators.series import slice_with_neighbours
+from lockstep.session import materialize
 
 MAX_SAMPLES_PER_COLUMN = 2
 BLOCK = 32
+#: A slab is the part of the view index below one node of this level: a million samples.
+SLAB_LEVEL = 15
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: Column | None = None,
@@ -100,10 +104,14 @@ def envelope_or_raw(points: DataFrame, keys: list[str], lo: float, hi: float, co
     dense = envelope(points, keys, lo, hi, columns, x, value, idx, chunk).withColumn("decimated", F.lit(True))
     seen = in_view(points, keys, lo, hi, x, idx)
     few = _counted(seen, keys).where(F.col("_n") <= columns * MAX_SAMPLES_PER_COLUMN)
-    raw = seen.join(few.select(*keys), keys, "left_semi").where(~_not_finite(F.col(x)) & ~_not_finite(F.col(value))).select(
+    raw = _raw(seen.join(few.select(*keys), keys, "left_semi"), keys, x, value)
+    return dense.unionByName(raw, allowMissingColumns=True)
+
+
+def _raw(seen: DataFrame, keys: list[str], x: str, value: str) -> DataFrame:
+    return seen.where(~_not_finite(F.col(x)) & ~_not_finite(F.col(value))).select(
         *keys, F.col(x).alias("x"), F.col(value).alias("y_min"), F.col(value).alias("y_max"), F.col(value).alias("y_mean"),
         F.lit(1).cast("long").alias("n"), F.lit(False).alias("decimated"))
-    return dense.unionByName(raw, allowMissingColumns=True)
 
 
 def _not_finite(c: Column) -> Column:
@@ -151,6 +159,106 @@ def summarize_range(points: DataFrame, index: DataFrame, keys: list[str], first:
     return both.select(*keys, F.when(some, F.col("y_min")).alias("y_min"), F.when(some, F.col("y_max")).alias("y_max"), F.when(some, F.col("y_sum")).alias("y_sum"))
 
 
+def view_index(points: DataFrame, keys: list[str], x: str = "x", value: str = "value", idx: str = "idx", block: int = BLOCK,
+               slab_level: int = SLAB_LEVEL) -> DataFrame:
+    """The pyramid that `indexed_envelope` reads: per node the first and last time, the finite samples' ``y_min, y_max, y_sum`` and
+    ``n``, and ``bad``, the samples that are not finite.
+
+    Nodes below ``slab_level`` carry their ``slab`` (the node of that level above them), all others -1, so a reader can leave out the slabs
+    it does not need. ``up_first, up_last, up_bad`` are those of the parent (a root has ``up_bad`` 1): whether a node is the largest that
+    fits is told by its row alone. Samples are read and shuffled once; only a slab's sums count towards the levels above it.
+    """
+    good = ~_not_finite(F.col(x)) & ~_not_finite(F.col(value))
+    kept = F.when(good, F.col(value))
+    leaves = points.groupBy(*keys, F.expr(f"{idx} div {block}").alias("leaf")).agg(
+        F.min(x).alias("x_first"), F.max(x).alias("x_last"), F.min(kept).alias("y_min"), F.max(kept).alias("y_max"),
+        F.sum(kept).alias("y_sum"), F.count(kept).alias("n"), F.count_if(~good).alias("bad"))
+    leaves = materialize(leaves)
+
+    def summed(rows: DataFrame, levels: Column) -> DataFrame:
+        spread = rows.withColumn("level", F.explode(levels)).withColumn("node", F.expr("shiftright(leaf, level)"))
+        return spread.groupBy(*keys, "level", "node").agg(
+            F.min("x_first").alias("x_first"), F.max("x_last").alias("x_last"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"),
+            F.sum("y_sum").alias("y_sum"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+    below = summed(leaves, F.sequence(F.lit(0), F.lit(slab_level - 1)))
+    slabs = summed(leaves, F.array(F.lit(slab_level))).withColumn("leaf", F.expr(f"shiftleft(node, {slab_level})"))
+    last = slabs.groupBy(*keys).agg(F.max("node").alias("_last"))
+    height = slab_level + F.size(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda h: F.call_function("shiftright", F.col("_last"), h) > 0))
+    tops = slabs.join(last.withColumn("_height", height), keys)
+    above = summed(tops.drop("level", "node"), F.sequence(F.lit(slab_level), F.col("_height")))
+    nodes = below.unionByName(above).join(last.withColumn("_height", height).drop("_last"), keys)
+    pair = W.partitionBy(*keys, "level", F.expr("shiftright(node, 1)"))  # a node and its sibling
+    return nodes.select(
+        *keys, F.when(F.col("level") < slab_level, F.expr(f"shiftright(node, {slab_level} - level)")).otherwise(-1).alias("slab"),
+        "level", "node", "x_first", "x_last", "y_min", "y_max", "y_sum", "n", "bad", F.min("x_first").over(pair).alias("up_first"),
+        F.max("x_last").over(pair).alias("up_last"),
+        F.when(F.col("level") == F.col("_height"), 1).otherwise(F.sum("bad").over(pair)).cast("long").alias("up_bad"))
+
+
+def write_view_index(index: DataFrame, path: str) -> None:
+    """Store a `view_index` with a folder per slab (-1: all nodes above slabs), sorted inside by level and node."""
+    index.repartition("slab").sortWithinPartitions("slab", "level", "node").write.mode("overwrite").partitionBy("slab").parquet(path)
+
+
+def read_view_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("slab", F.col("slab").cast("long"))
+
+
+def indexed_envelope(points: DataFrame, index: DataFrame, keys: list[str], lo: float, hi: float, columns: int, x: str = "x",
+                     value: str = "value", idx: str = "idx", block: int = BLOCK, slab_level: int = SLAB_LEVEL, slab: str | None = None) -> DataFrame:
+    """`envelope_or_raw` of sorted series, from a stored `view_index` and the samples of the blocks that a column border cuts.
+
+    A node whose samples are all finite and lie in one time column stands for them; of such nodes the largest are taken. The nodes above
+    slabs come first; only slabs that a border, a view end or a value that is not finite cuts are opened, and of those only the cut
+    blocks' samples are fetched. If the samples are stored by slab, ``slab`` names that column, and scans of both tables skip all others.
+    The series' order must agree with its times; `is_sorted_series` tells.
+    """
+    def column(name: str) -> Column:
+        return _columns(index, lo, hi, columns, name)
+
+    def fits(first: str, last: str, bad: str) -> Column:
+        return (F.col(bad) == 0) & (column(first) == column(last)) & column(first).between(0, columns - 1)
+
+    outside = (F.col("x_last") < lo) | (F.col("x_first") > hi)
+
+    def cut(nodes: DataFrame) -> DataFrame:
+        """Nodes to be opened: neither whole nor out of view, and those that hold the neighbours of the view."""
+        ends = nodes.groupBy(*keys).agg(F.max(F.when(F.col("x_first") < lo, F.col("node"))).alias("_before"),
+                                        F.min(F.when(~(F.col("x_last") <= hi), F.col("node"))).alias("_after"))
+        open_ = ~outside & ~fits("x_first", "x_last", "bad")
+        return nodes.join(ends, keys).where(open_ | F.coalesce(F.col("node") == F.col("_before"), F.lit(False))
+                                            | F.coalesce(F.col("node") == F.col("_after"), F.lit(False))).select(*keys, "node")
+
+    upper = index.where("slab = -1")
+    slabs = materialize(cut(upper.where(F.col("level") == slab_level)).withColumnRenamed("node", "slab"))
+    lower = index.where("slab >= 0").join(slabs, [*keys, "slab"], "left_semi")
+    blocks = materialize(cut(lower.where("level = 0")).withColumn("slab", F.expr(f"shiftright(node, {slab_level})")))
+    largest = fits("x_first", "x_last", "bad") & ~fits("up_first", "up_last", "up_bad")
+    whole = upper.unionByName(lower.select(*upper.columns)).where(largest).select(
+        *keys, (F.expr("shiftleft(node, level)") * block).alias("idx"), F.col("x_first").alias("x"), column("x_first").alias("column"), "y_min", "y_max", "y_sum",
+        "n", F.lit(0).alias("_bad"), F.col("n").alias("_all"))
+    at = points.withColumn("node", F.expr(f"{idx} div {block}"))
+    if slab is not None:
+        fetched = at.withColumnRenamed(slab, "slab").join(slabs, [*keys, "slab"], "left_semi").join(blocks.drop("slab"), [*keys, "node"], "left_semi")
+    else:
+        fetched = at.join(blocks, [*keys, "node"], "left_semi")
+    singles = materialize(fetched.select(*keys, F.col(idx).alias("idx"), F.col(x).alias("x"), F.col(value).alias("y_min")))
+    seen = slice_with_neighbours(singles, keys, ["x", "idx"], lo, hi, "x")
+    broken = _not_finite(F.col("x")) | _not_finite(F.col("y_min"))
+    single = seen.select(*keys, "idx", "x", _columns(seen, lo, hi, columns, "x").alias("column"), "y_min", F.col("y_min").alias("y_max"),
+                         F.col("y_min").alias("y_sum"), F.lit(1).cast("long").alias("n"), broken.cast("int").alias("_bad"), F.lit(1).cast("long").alias("_all"))
+    drawn = whole.unionByName(single)
+    counts = drawn.groupBy(*keys).agg(F.sum("_all").alias("_n"))
+    dense = counts.where(F.col("_n") > columns * MAX_SAMPLES_PER_COLUMN).select(*keys)
+    runs = ordered_scan(drawn.join(dense, keys, "left_semi"), keys, ["idx"], [Carry("run", F.col("_bad"), "sum")], F.expr("idx div 1048576"))
+    bands = runs.where("_bad = 0").groupBy(*keys, "run", "column").agg(
+        F.min_by("x", "idx").alias("x"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"), (F.sum("y_sum") / F.sum("n")).alias("y_mean"),
+        F.sum("n").alias("n")).withColumn("decimated", F.lit(True))
+    few = counts.where(F.col("_n") <= columns * MAX_SAMPLES_PER_COLUMN).select(*keys)
+    return bands.unionByName(_raw(in_view(points.join(few, keys, "left_semi"), keys, lo, hi, x, idx), keys, x, value), allowMissingColumns=True)
+
+
 def is_sorted_series(points: DataFrame, keys: list[str], order: list[str], x: str = "x", chunk: Column | None = None) -> DataFrame:
     """Whether every time after a series' first is finite and not before its predecessor."""
     near = ordered_scan(points, keys, order, [Carry("_prev", F.col(x), "last", inclusive=False)], chunk)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lockstep.operators import calibrate, lookup, series, windows
 from lockstep.operators import steps as st
+from lockstep.operators.scans import Carry, cut_at, ordered_scan, quantile_bounds
 from lockstep.session import scratch
 from lockstep.sources import recording, series_csv, sinks
 from lockstep.workload.documents import table
 
 HOUR, MINUTE = 3_600_000_000, 60_000_000
+VIEW = 150
 POINTS = [(0.0, 0.0), (5.0, 6.0), (5.0, 8.0), (20.0, 12.0), (60.0, 30.0)]
 TYPE_CODES = {"view": 1, "click": 9, "purchase": 17, "error": 9, "signup": 17}
 
@@ -234,6 +236,34 @@ def envelope(spark, sf):
     return out.select("decimated", "run", "column", "n", "x", "y_min", "y_max", F.round("y_mean", 6).alias("y_mean"))
 
 
+def indexed_envelope(spark, sf):
+    """The middle two thirds of the view of `envelope`, from a stored index and samples stored by slab."""
+    p = _long(spark, sf).select("series_no", "idx", "x", "value")
+    lo, hi = p.agg(F.min("x"), F.max("x")).first()
+    level = 3  # slabs of 256 samples, to have many of them on small tables
+    p = p.withColumn("slab", F.expr(f"idx div {lookup.BLOCK << level}"))
+    where = scratch(spark, "view")
+    p.repartition("slab").write.partitionBy("slab").parquet(where + "/samples")
+    lookup.write_view_index(lookup.view_index(p, ["series_no"], slab_level=level), where + "/index")
+    stored = spark.read.parquet(where + "/samples").withColumn("slab", F.col("slab").cast("long"))
+    out = lookup.indexed_envelope(stored, lookup.read_view_index(spark, where + "/index"), ["series_no"], lo + (hi - lo) / 6, hi - (hi - lo) / 6, VIEW,
+                                  slab_level=level, slab="slab")
+    return out.select("decimated", "run", "column", "n", "x", "y_min", "y_max", F.round("y_mean", 6).alias("y_mean"))
+
+
+def calibrate_by_points(spark, sf):
+    """Prices as raw counts on five profiles of as many points as there are orders; words 5 and 6 have none."""
+    o = table(spark, sf, "orders").where("o_totalprice is not null")
+    points = o.select((F.col("o_orderkey") % 5).alias("word"), (F.col("o_totalprice") / 4).alias("raw_avg"), (F.col("o_orderkey") % 997).cast("double").alias("true_db"),
+                      F.col("o_orderkey").alias("_n"))
+    # points are numbered in the order of their counts
+    cut_points, cut = cut_at(points, "raw_avg", quantile_bounds(points, "raw_avg"))
+    numbered = ordered_scan(cut_points, ["word"], ["raw_avg", "_n"], [Carry("i", F.lit(1), "count", inclusive=False)], cut)
+    counts = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 7).alias("word"), F.col("l_extendedprice").alias("raw"))
+    out = calibrate.calibrate_by_points(counts, numbered.select("word", "i", "raw_avg", "true_db"))
+    return out.select("l_orderkey", "l_linenumber", "word", F.round("db", 4).alias("db"))
+
+
 def rollup_index(spark, sf):
     out = lookup.rollup_index(_long(spark, sf), ["series_no"])
     return out.select("level", "node", "y_min", "y_max", F.round("y_sum", 4).alias("y_sum"))
@@ -296,7 +326,7 @@ QUERIES = {
     "S6_packet_time": packet_time, "S7_time_gaps": time_gaps, "P8_filter_view": filter_view, "T6_align_elapsed": align_elapsed, "T6_time_base": time_base,
     "P9_slice_time": slice_time, "P9_slice_limits": slice_limits, "P10_slice_with_neighbours": slice_with_neighbours, "T4_series_range": series_range,
     "T7_source_overlap": source_overlap, "T12_union_sources": source_list, "T13_match_template": match_template, "T14_apply_template": apply_template,
-    "V1_nearest_sample": nearest_sample, "V1_nearest_pinned": nearest_pinned, "S6_asof_orders": asof, "V4_envelope": envelope, "V5_rollup_index": rollup_index,
+    "V1_nearest_sample": nearest_sample, "V1_nearest_pinned": nearest_pinned, "S6_asof_orders": asof, "V4_envelope": envelope, "V4_indexed_envelope": indexed_envelope, "C2_wide_profiles": calibrate_by_points, "V5_rollup_index": rollup_index,
     "V6_summarize_range": summarize_range, "V7_is_sorted_series": is_sorted, "K1_csv_rows": csv_rows, "S9_csv_round_trip": csv_round_trip,
     "K3_write_per_source": per_source, "K4_write_samples": durable_samples,
 }
@@ -367,6 +397,18 @@ ORACLES = {
         SELECT probe_id, user_id AS series_no, CASE WHEN up THEN hi ELSE li END AS idx, CASE WHEN up THEN hx - us ELSE us - lx END AS distance FROM b WHERE hx IS NOT NULL OR lx IS NOT NULL""",
     "S6_asof_orders": f"WITH {_E}, o AS (SELECT epoch_us(o_orderdate) + {25 * 365 * 24 * HOUR} AS us, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) SELECT event_id, o_orderkey FROM e ASOF LEFT JOIN o ON e.us >= o.us",
     "V4_envelope": f"WITH {_LONG}, r AS (SELECT *, sum(bad::INT) OVER (ORDER BY idx)::BIGINT AS run, least(999, floor((x - (SELECT min(x) FROM p)) / ((SELECT max(x) FROM p) - (SELECT min(x) FROM p)) * 1000))::BIGINT AS col FROM p) SELECT true AS decimated, run, col AS \"column\", count(*) AS n, arg_min(x, idx) AS x, min(value) AS y_min, max(value) AS y_max, round(avg(value), 6) AS y_mean FROM r WHERE NOT bad AND (SELECT count(*) FROM p) > 2000 GROUP BY run, col UNION ALL SELECT false, NULL, NULL, 1, x, value, value, round(value, 6) FROM p WHERE NOT bad AND (SELECT count(*) FROM p) <= 2000",
+    "V4_indexed_envelope": f"""WITH {_LONG}, v AS (SELECT min(x) + (max(x) - min(x)) / 6 AS lo, max(x) - (max(x) - min(x)) / 6 AS hi FROM p),
+        q AS (SELECT p.*, lo, hi FROM p, v WHERE x BETWEEN lo AND hi OR idx = (SELECT max(idx) FROM p, v WHERE x < lo) OR idx = (SELECT min(idx) FROM p, v WHERE x > hi)),
+        r AS (SELECT *, sum(bad::INT) OVER (ORDER BY idx)::BIGINT AS run, CASE WHEN x < lo THEN -1 WHEN x > hi THEN {VIEW} ELSE least({VIEW - 1}, floor((x - lo) / (hi - lo) * {VIEW})) END::BIGINT AS col FROM q)
+        SELECT true AS decimated, run, col AS "column", count(*) AS n, arg_min(x, idx) AS x, min(value) AS y_min, max(value) AS y_max, round(avg(value), 6) AS y_mean
+        FROM r WHERE NOT bad AND (SELECT count(*) FROM q) > {2 * VIEW} GROUP BY run, col
+        UNION ALL SELECT false, NULL, NULL, 1, x, value, value, round(value, 6) FROM q WHERE NOT bad AND (SELECT count(*) FROM q) <= {2 * VIEW}""",
+    "C2_wide_profiles": """WITH o AS (SELECT o_orderkey % 5 AS word, o_totalprice / 4 AS raw, (o_orderkey % 997)::DOUBLE AS db, o_orderkey AS k FROM orders WHERE o_totalprice IS NOT NULL),
+        l AS (SELECT word, raw, arg_max(db, k) AS low, arg_min(db, k) AS high FROM o GROUP BY word, raw), t AS (SELECT word, arg_max(raw, raw) AS top, arg_max(low, raw) AS top_db FROM l GROUP BY word),
+        c AS (SELECT l_orderkey, l_linenumber, l_orderkey % 7 AS word, l_extendedprice AS raw FROM lineitem)
+        SELECT l_orderkey, l_linenumber, c.word, round(CASE WHEN t.top IS NULL THEN NULL WHEN a.raw IS NULL THEN b.high WHEN c.raw >= top THEN top_db
+            ELSE a.low + (b.high - a.low) / (b.raw - a.raw) * (c.raw - a.raw) END, 4) AS db
+        FROM c ASOF LEFT JOIN l a ON c.word = a.word AND c.raw > a.raw ASOF LEFT JOIN l b ON c.word = b.word AND c.raw <= b.raw LEFT JOIN t ON t.word = c.word""",
     "V5_rollup_index": f"WITH {_LONG}, lv AS (SELECT unnest(range(0, ceil(log2(floor(max(idx) / 32.0) + 1))::BIGINT + 1)) AS level FROM p) SELECT level, idx // 32 // (1 << level::INT) AS node, coalesce(min(value) FILTER (NOT bad), 'inf'::DOUBLE) AS y_min, coalesce(max(value) FILTER (NOT bad), '-inf'::DOUBLE) AS y_max, round(coalesce(sum(value) FILTER (NOT bad), 0), 4) AS y_sum FROM p, lv GROUP BY 1, 2",
     "V6_summarize_range": f"WITH {_LONG}, q AS (SELECT 1 AS series_no, idx, value FROM p WHERE NOT bad UNION ALL SELECT 2, idx, -value FROM p WHERE NOT bad) SELECT series_no, min(value) AS y_min, max(value) AS y_max, round(sum(value), 4) AS y_sum FROM q WHERE idx >= 37 AND idx < 7013 GROUP BY series_no",
     "V7_is_sorted_series": f"WITH {_E}, t AS (SELECT user_id, event_id, us - CASE WHEN event_id % 131 = 0 THEN {HOUR} ELSE 0 END AS x FROM e), g AS (SELECT user_id, x - lag(x) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM t) SELECT user_id, bool_and(coalesce(d >= 0, true)) AS sorted FROM g GROUP BY user_id",
