@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +10,9 @@ from lockstep.functions import text
 from lockstep.functions.text import LEVEL, TIME_HEADER, trimmed
 from lockstep.operators.scans import ordered_scan, Carry
 from lockstep.operators.series import channel_index
+from lockstep.session import materialize
 
-_LINES_PER_CHUNK = 1 << 20
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def csv_cells(points: DataFrame, series: str = "series_no", x: str = "elapsed", sample: str = "sample_no", value: str = "value") -> DataFrame:
@@ -33,37 +35,94 @@ def csv_header(series: DataFrame) -> str:
     return ",".join([TIME_HEADER, *[r.h for r in names.collect()]])
 
 
-def write_series_csv(points: DataFrame, series: DataFrame, day: int, offset: float, path: str) -> None:
+def write_series_csv(points: DataFrame, series: DataFrame, day: int, offset: float, path: str, encoding: str = "UTF-8") -> None:
     """Write the export as a folder of CSV parts in time order (CRLF line ends, the header in a part of its own that sorts first).
 
     Rows are range-partitioned and sorted by millisecond, so concatenating the parts in name order gives the single-file export.
+    ``encoding`` may be UTF-16LE or UTF-16BE; the header then starts with a byte-order mark.
     """
     header = csv_header(series)
     n = series.count()
     rows = csv_rows(points, n, F.lit(day), F.lit(offset)).repartitionByRange("ms").sortWithinPartitions("ms")
     spark = points.sparkSession
-    spark.createDataFrame([(header,)], "line string").coalesce(1).write.option("lineSep", "\r\n").mode("overwrite").text(path + "/part=0")
-    rows.select("line").write.option("lineSep", "\r\n").mode("overwrite").text(path + "/part=1")
 
+    def write(lines: DataFrame, mark: str, part: str) -> None:
+        text_ = F.concat(F.lit(mark), "line")
+        raw = text_ if encoding == "UTF-8" else F.encode(text_, encoding).cast("string")  # the writer puts bytes out as they are
+        lines.select(raw.alias("value")).write.option("lineSep", "\r\n").option("encoding", encoding).mode("overwrite").text(f"{path}/{part}")
 
-def read_lines(spark: SparkSession, path: str, one_export: bool = False) -> DataFrame:
-    """``file, line_at, line`` with an order column that follows the file, whatever its splits; carriage returns are ignored.
+    write(spark.createDataFrame([(header,)], "line string").coalesce(1), "" if encoding == "UTF-8" else BYTE_ORDER_MARK, "part=0")
+    write(rows, "", "part=1")
 
-    With ``one_export`` the files under ``path`` are the parts of one file, in the order of their names.
-    """
-    raw = spark.read.option("lineSep", "\n").text(path)
+
+def _pieces(spark: SparkSession, path: str, one_export: bool, encoding: str = "UTF-8") -> DataFrame:
+    """``file, line_at, raw``: the bytes between line feeds of ``encoding``, with an order column that follows the file, whatever its splits."""
+    raw = spark.read.option("lineSep", "\n").option("encoding", encoding).text(path)
     name = F.col("_metadata.file_path")
     spot = F.struct((name if one_export else F.lit("")).alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return raw.select((F.lit(path) if one_export else name).alias("file"), spot.alias("line_at"), F.translate("value", "\r", "").alias("line"))
+    return raw.select((F.lit(path) if one_export else name).alias("file"), spot.alias("line_at"), F.col("value").cast("binary").alias("raw"))
+
 
+def _whole_lines(pieces: DataFrame, encoding: str) -> DataFrame:
+    """Join again what was cut inside a character: in UTF-16 the bytes of a line feed may be halves of two characters.
 
-def read_series_csv(spark: SparkSession, path: str, one_export: bool = False) -> tuple[DataFrame, DataFrame]:
+    A cut is a line's end only at an even number of bytes, counted from the file's start. A file with a wrong cut has a piece of odd length;
+    only such files are scanned in order.
+    """
+    odd = F.length("raw") % 2 == 1
+    torn = materialize(pieces.where(odd).select("file").distinct())
+    rest = pieces.join(torn, "file", "left_anti")
+    cut = pieces.join(torn, "file", "left_semi").withColumn("_odd", odd.cast("long"))
+    chunk = F.struct("line_at.part", "line_at.block")
+    placed = ordered_scan(cut, ["file"], ["line_at"], [Carry("_before", F.col("_odd"), "sum", inclusive=False)], chunk)
+    starts = placed.withColumn("_start", F.when(F.col("_before") % 2 == 0, F.col("line_at")))
+    owned = ordered_scan(starts, ["file"], ["line_at"], [Carry("_of", F.col("_start"), "last")], chunk)
+    feed = F.lit(bytearray("\n".encode(encoding)))
+    parts = owned.groupBy("file", "_of").agg(F.array_sort(F.collect_list(F.struct("line_at", "raw"))).alias("p"))  # a line's few pieces
+    joined = F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.col("p")[0].raw, lambda line, p: F.concat(line, feed, p.raw))
+    return rest.unionByName(parts.select("file", F.col("_of").alias("line_at"), joined.alias("raw")))
+
+
+def _decoded(encoding: str):
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series) -> pd.Series:
+        # half a pair reads as the replacement character, and a last odd byte is no character
+        return raw.map(lambda b: bytes(b)[: len(b) // 2 * 2].decode(encoding, "replace"))
+
+    return decode
+
+
+def read_lines(spark: SparkSession, path: str, one_export: bool = False, encoding: str | None = None) -> DataFrame:
+    """``file, line_at, line`` with an order column that follows the file, whatever its splits; carriage returns are ignored.
+
+    With ``one_export`` the files under ``path`` are the parts of one file, in the order of their names. Files are UTF-8, or UTF-16 of either
+    byte order if they start with its mark; a folder may hold all three. Looking for marks is one more pass; ``encoding`` saves it where all
+    files are known to be alike.
+    """
+    kinds = None
+    if encoding is None:
+        heads = _pieces(spark, path, one_export).where("line_at.block = 0").groupBy("file").agg(F.min_by("raw", "line_at").alias("raw"))
+        mark = F.hex(F.substring("raw", 1, 2))
+        kinds = materialize(heads.select("file", F.when(mark == "FFFE", "UTF-16LE").when(mark == "FEFF", "UTF-16BE").otherwise("UTF-8").alias("encoding")))
+        found = sorted(r.encoding for r in kinds.select("encoding").distinct().collect())  # three at most
+    out = None
+    for name in [encoding] if encoding else found or ["UTF-8"]:
+        pieces = _pieces(spark, path, one_export, name)
+        if kinds is not None and len(found) > 1:
+            pieces = pieces.join(kinds.where(F.col("encoding") == name).select("file"), "file", "left_semi")
+        line = F.col("raw").cast("string") if name == "UTF-8" else _decoded(name)("raw")
+        lines = (pieces if name == "UTF-8" else _whole_lines(pieces, name)).select("file", "line_at", F.translate(line, "\r", "").alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+def read_series_csv(spark: SparkSession, path: str, one_export: bool = False, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Every export under ``path``, or the one whose parts lie there: (points, files).
 
     ``files`` has per file the outcome: ``ok``, ``skipped`` rows, ``base_day``, ``base_offset`` and ``x_max``. Points carry the identity parsed
     from the headers. Rows with too few cells or a bad stamp are skipped and counted; a cell that is no number is skipped alone.
     """
-    lines = read_lines(spark, path, one_export)
+    lines = read_lines(spark, path, one_export, encoding)
     first = lines.groupBy("file").agg(F.min("line_at").alias("line_at"))
     heads = lines.join(first, ["file", "line_at"], "left_semi").select("file", F.col("line_at").alias("_head_at"), F.split(
         F.regexp_replace("line", "^﻿", ""), ",", -1).alias("header"))

@@ -315,3 +315,22 @@ ORACLES = {
         SELECT stream_id, name, word, window_idx, round(coalesce(m, 0.0), 6) AS raw_mean, round(CASE WHEN n_frames > 0 THEN coalesce(m, 0.0) * (100.0 / 65535) ELSE 0.0 END, 6) AS value
         FROM samples s CROSS JOIN wm LEFT JOIN (SELECT lang AS stream_id, win AS window_idx, word, m FROM sums) USING (stream_id, window_idx, word)""",
 }
+
+# Seven bytes of a stream as one number W; the pattern is looked for in its last five. Descrambling is W with its own bits 14 and 15 back.
+ORACLES["B6_transform_matrix"] = f"""WITH {_CONFIG}, {_BYTES},
+flag(f) AS (VALUES (false), (true)),
+moved AS (SELECT lang, f AS swap, pos + CASE WHEN f AND size % 2 = 0 THEN 1 - i % 2 * 2 ELSE 0 END AS pos, b::BIGINT AS b FROM bytes, flag),
+near AS (SELECT lang, swap, pos, b + {" + ".join(f"(lag(b, {k}, 0::BIGINT) OVER w) * {256 ** k}" for k in range(1, 7))} AS v FROM moved WINDOW w AS (PARTITION BY lang, swap ORDER BY pos)),
+i AS (SELECT lang, swap, pos, f AS invert, CASE WHEN f THEN xor(v, (1::BIGINT << (8 * least(pos + 1, 7))::INT) - 1) ELSE v END AS v FROM near, flag),
+r AS (SELECT lang, swap, pos, invert, f AS randomized, CASE WHEN f THEN xor(xor(v, v >> 14), v >> 15) ELSE v END & {2 ** 40 - 1} AS v FROM i, flag),
+r4 AS (SELECT *, ((v & {0x0F0F0F0F0F}) << 4) | ((v >> 4) & {0x0F0F0F0F0F}) AS a FROM r),
+r2 AS (SELECT *, ((a & {0x3333333333}) << 2) | ((a >> 2) & {0x3333333333}) AS c FROM r4),
+m AS (SELECT lang, swap, pos, invert, randomized, f AS lsb_first, CASE WHEN f THEN ((c & {0x5555555555}) << 1) | ((c >> 1) & {0x5555555555}) ELSE v END AS v FROM r2, flag),
+found AS (SELECT lang, swap, invert, randomized, lsb_first, pos * 8 + s AS bit FROM m JOIN cfg USING (lang), range(8) t(s)
+          WHERE ((v >> (7 - s)) & ((1::BIGINT << len) - 1)) = pat AND pos * 8 + s >= len - 1),
+res AS (SELECT lang, swap, invert, randomized, lsb_first, bit % {FRAME_BITS} AS x, count(*) AS n FROM found GROUP BY ALL),
+per AS (SELECT lang, swap, invert, randomized, lsb_first, sum(n)::BIGINT AS hits, max(n) AS top FROM res GROUP BY ALL),
+every AS (SELECT lang, a.f AS swap, b.f AS invert, c.f AS randomized, d.f AS lsb_first FROM cfg, flag a, flag b, flag c, flag d),
+joined AS (SELECT every.*, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) < 2 THEN 0 ELSE top END AS on_grid FROM every LEFT JOIN per USING (lang, swap, invert, randomized, lsb_first))
+SELECT lang AS stream_id, swap, invert, randomized, lsb_first, hits, on_grid,
+       row_number() OVER (PARTITION BY lang ORDER BY on_grid DESC, hits DESC, swap, invert, randomized, lsb_first) AS rank FROM joined"""

@@ -297,14 +297,18 @@ def csv_rows(spark, sf):
     return series_csv.csv_rows(points, names.count(), F.lit(1), F.lit(0.0)).select("ms", "line")
 
 
-def csv_round_trip(spark, sf):
+def csv_round_trip(spark, sf, encoding="UTF-8"):
     points, names = _export(spark, sf)
     path = scratch(spark, "export")
-    series_csv.write_series_csv(points, names, 1, 0.0, path)
+    series_csv.write_series_csv(points, names, 1, 0.0, path, encoding)
     out, files = series_csv.read_series_csv(spark, path, one_export=True)
     return out.select("metric", "name", "source_id", "receiver", "channel", F.round("elapsed", 3).alias("elapsed"), "value")
 
 
+def utf16_round_trip(spark, sf):
+    return csv_round_trip(spark, sf, "UTF-16LE")
+
+
 def per_source(spark, sf):
     path = scratch(spark, "per-source")
     sinks.write_per_source(_series(spark, sf), path)
@@ -327,7 +331,7 @@ QUERIES = {
     "P9_slice_time": slice_time, "P9_slice_limits": slice_limits, "P10_slice_with_neighbours": slice_with_neighbours, "T4_series_range": series_range,
     "T7_source_overlap": source_overlap, "T12_union_sources": source_list, "T13_match_template": match_template, "T14_apply_template": apply_template,
     "V1_nearest_sample": nearest_sample, "V1_nearest_pinned": nearest_pinned, "S6_asof_orders": asof, "V4_envelope": envelope, "V4_indexed_envelope": indexed_envelope, "C2_wide_profiles": calibrate_by_points, "V5_rollup_index": rollup_index,
-    "V6_summarize_range": summarize_range, "V7_is_sorted_series": is_sorted, "K1_csv_rows": csv_rows, "S9_csv_round_trip": csv_round_trip,
+    "V6_summarize_range": summarize_range, "V7_is_sorted_series": is_sorted, "K1_csv_rows": csv_rows, "S9_csv_round_trip": csv_round_trip, "S9_utf16_round_trip": utf16_round_trip,
     "K3_write_per_source": per_source, "K4_write_samples": durable_samples,
 }
 
@@ -421,3 +425,4 @@ ORACLES = {
     "K3_write_per_source": f"WITH {_S} SELECT source_id, count(*) AS points, round(sum(value), 4) AS total FROM s GROUP BY source_id",
     "K4_write_samples": f"WITH {_S} SELECT source_id, metric, count(*) AS points, round(max(t_abs), 6) AS last FROM s GROUP BY source_id, metric",
 }
+ORACLES["S9_utf16_round_trip"] = ORACLES["S9_csv_round_trip"]

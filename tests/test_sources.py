@@ -106,6 +106,35 @@ def test_csv_import(spark, tmp_path):
     assert tuple(files.first())[1:] == (True, 1, 1, 0.0, 1.0)
 
 
+def test_csv_of_either_byte_order_in_one_folder(spark, tmp_path):
+    """Characters whose bytes look like a line feed, half a surrogate pair, small splits, three encodings side by side."""
+    body = "".join(f"1:00:00:{i:02d}.000,{i},{i + 1}\r\n" for i in range(30))
+    names = ["\u0100\u0a05\u010a\u0a00", "\u0a05\u0100 \u000a05".replace("\n", "x"), "\U0001f600 caf\u00e9"]
+    kinds = {"le": ("utf-16-le", b"\xff\xfe"), "be": ("utf-16-be", b"\xfe\xff"), "u8": ("utf-8", b"")}
+    for kind, (codec, mark) in kinds.items():
+        for i, name in enumerate(names):
+            data = f"Time (DOY:HH:MM:SS.mmm),{name} Lock (%),B Lock (%)\r\n{body}".encode(codec)
+            (tmp_path / f"{kind}{i}.csv").write_bytes(mark + data)
+    half = "Time (DOY:HH:MM:SS.mmm),".encode("utf-16-le") + b"\x00\xd8" + "Z Lock (%)\n1:00:00:00.000,4\n".encode("utf-16-le")
+    (tmp_path / "half.csv").write_bytes(b"\xff\xfe" + half + b"7")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        points, files = read_series_csv(spark, str(tmp_path))
+        got = {}
+        for r in points.collect():
+            got.setdefault((r.file.rsplit("/", 1)[1], r.series_no), []).append((r.elapsed, r.value, r.name))
+        status = {r.file.rsplit("/", 1)[1]: (r.ok, r.skipped) for r in files.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for kind in kinds:
+        for i, name in enumerate(names):
+            assert sorted(got[f"{kind}{i}.csv", 0]) == [(float(j), float(j), name) for j in range(30)], (kind, name)
+            assert sorted(got[f"{kind}{i}.csv", 1]) == [(float(j), float(j + 1), "B") for j in range(30)]
+            assert status[f"{kind}{i}.csv"] == (True, 0)
+    assert got["half.csv", 0] == [(0.0, 4.0, "\ufffdZ")]
+
+
 def test_text_rules(spark):
     rows = [("-0.0000004", -4e-7), ("0.5", 0.5), ("0.0078125", 0.0078125), ("0.1234565", 0.1234565)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string, v double").select(text.format_fixed6("v")).collect()]
