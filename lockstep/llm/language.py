@@ -138,14 +138,15 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     prepared(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(17)).alias("h"), F.xxhash64(text).alias("h2"))
-    counts = rows.groupBy("lang").count()
-    languages = counts.count()
+    # One row per language, as the model holds too. A local table has a known size: Spark sends it to the rows, and texts are not shuffled.
+    counts = rows.groupBy("lang").count().toArrow()
+    languages = counts.num_rows
     if not languages:
         return CodeModel([], np.ones((0, 0)), np.zeros((BUCKETS + 1, 0)), np.zeros(0))
     quota = max(1, min(per_language, MOST_ROWS // languages))
     # thinned first, with room for chance, so that no language is brought together; then the exact first rows of each
     share = F.lit(2.0 * quota + 40) / F.col("count")
-    thin = rows.join(counts, "lang").where(F.pmod(F.xxhash64("h", "h2"), F.lit(1_000_000)) < share * 1_000_000)
+    thin = rows.join(labelled.sparkSession.createDataFrame(counts), "lang").where(F.pmod(F.xxhash64("h", "h2"), F.lit(1_000_000)) < share * 1_000_000)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2", "text"))
     picked = thin.withColumn("_place", place).where(F.col("_place") <= quota).select("text", "lang")
 
