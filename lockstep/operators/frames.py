@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions import bits as kernels
 from lockstep.operators.bits import SEARCH_COLUMNS, _joined_bits
-from lockstep.operators.scans import Carry, ordered_scan
+from lockstep.operators.scans import Carry, ordered_scan, per_stream
 
 
 def extract_frames(anchors: DataFrame, windows: DataFrame | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def _frame_pieces(frames: DataFrame, chunks: DataFrame, word_map: DataFrame) ->
                          [Carry("_first", F.col("_no"), "last")]).where("_kind = 1")
     earlier = found.withColumn("chunk_no", F.explode(F.sequence("_first", F.col("chunk_no") - 1)))
     return (reach.select(*keep).unionByName(earlier.select(*keep)).join(table, ["stream_id", "chunk_no"])
-            .join(words, "stream_id").drop("chunk_no"))
+            .join(per_stream(words), "stream_id").drop("chunk_no"))
 
 
 def _cut(packets: pa.Table, pieces: pa.Table) -> tuple | None:
@@ -88,7 +88,7 @@ def _sums_of_windows(packets: pa.Table, pieces: pa.Table) -> pa.Table:
 
 def _cogroup(packets: DataFrame, frames: DataFrame, chunks: DataFrame, streams: DataFrame, word_map: DataFrame):
     slim = (packets.select("stream_id", "ord", "chunk", "n_bits", "payload")
-            .join(streams.select("stream_id", "word_len", *SEARCH_COLUMNS), "stream_id"))
+            .join(per_stream(streams.select("stream_id", "word_len", *SEARCH_COLUMNS)), "stream_id"))
     if "window_idx" not in frames.columns:
         frames = frames.withColumn("window_idx", F.lit(None).cast("long"))
     pieces = _frame_pieces(frames, chunks, word_map)
@@ -100,7 +100,7 @@ def demux_words(packets: DataFrame, frames: DataFrame, chunks: DataFrame, stream
     parts = _cogroup(packets, frames, chunks, streams, word_map).applyInArrow(
         _words_of_frames, "stream_id string, end_bit long, window_idx long, word int, part long")
     words = parts.groupBy("stream_id", "end_bit", "window_idx", "word").agg(F.sum("part").alias("raw"))
-    return words.join(word_map.select("stream_id", "ord", "name", F.col("word").cast("int")), ["stream_id", "word"])
+    return words.join(per_stream(word_map.select("stream_id", "ord", "name", F.col("word").cast("int"))), ["stream_id", "word"])
 
 
 def channel_window_mean(packets: DataFrame, frames: DataFrame, samples: DataFrame, chunks: DataFrame, streams: DataFrame,
@@ -112,7 +112,7 @@ def channel_window_mean(packets: DataFrame, frames: DataFrame, samples: DataFram
     parts = _cogroup(packets, frames, chunks, streams, word_map).applyInArrow(
         _sums_of_windows, "stream_id string, window_idx long, word int, part long")
     sums = parts.groupBy("stream_id", "window_idx", "word").agg(F.sum("part").alias("total"))
-    grid = samples.join(word_map.select("stream_id", "ord", "name", F.col("word").cast("int")), "stream_id")
+    grid = samples.join(per_stream(word_map.select("stream_id", "ord", "name", F.col("word").cast("int"))), "stream_id")
     return (grid.join(sums, ["stream_id", "window_idx", "word"], "left")
             .withColumn("raw_mean", F.when(F.col("n_frames") > 0, F.coalesce("total", F.lit(0)) / F.col("n_frames")).otherwise(0.0))
             .select("stream_id", "window_idx", "t_abs", "n_frames", "ord", "name", "word", "raw_mean"))

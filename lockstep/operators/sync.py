@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lockstep.operators.scans import per_stream
 from lockstep.session import materialize
 
 DROP, ANCHOR = 0, 1
@@ -167,7 +168,7 @@ def _folded(hits: DataFrame, streams: DataFrame, gaps: DataFrame | None) -> Data
     events = hits.select("stream_id", "chunk", "bit", F.lit(ANCHOR).alias("kind"))
     if gaps is not None:
         events = events.unionByName(gaps.select("stream_id", "chunk", "bit", F.lit(DROP).alias("kind")))
-    events = events.join(streams.select("stream_id", F.col("bits_in_frame").cast("long"), F.col("min_syncs").cast("int")),
+    events = events.join(per_stream(streams.select("stream_id", F.col("bits_in_frame").cast("long"), F.col("min_syncs").cast("int"))),
                          "stream_id")
     entries = materialize(_entries(events.groupBy("stream_id", "chunk").applyInArrow(_summarise_chunk, _SUMMARY_SCHEMA)))
     folded = events.join(entries, ["stream_id", "chunk"]).groupBy("stream_id", "chunk").applyInArrow(_fold_chunk, _FOLD_SCHEMA)
@@ -199,7 +200,7 @@ def lock_spans(anchors: DataFrame, chunks: DataFrame, streams: DataFrame) -> Dat
 def missed_frame_events(anchors: DataFrame, chunks: DataFrame, streams: DataFrame) -> DataFrame:
     """One row per missed frame, at the bit that proves it missing (one past the end of the frame)."""
     size = streams.select("stream_id", F.col("bits_in_frame").cast("long"))
-    between = anchors.where("missed > 0").join(size, "stream_id").select("stream_id", "prev", "missed", "bits_in_frame")
+    between = anchors.where("missed > 0").join(per_stream(size), "stream_id").select("stream_id", "prev", "missed", "bits_in_frame")
     last = _last_state(anchors, chunks, streams)
     after = last.select("stream_id", F.col("anchor").alias("prev"),
                         F.expr("(last_bit - anchor - 1) div bits_in_frame").alias("missed"), "bits_in_frame")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.operators.scans import Carry, ordered_scan
+from lockstep.operators.scans import Carry, ordered_scan, per_stream
 
 TICKS_PER_SECOND = 10_000_000
 _GAP_STRIDE = 100_000
@@ -49,7 +49,7 @@ def place_packets(packets: DataFrame, streams: DataFrame) -> DataFrame:
     config = streams.select("stream_id", "bit_ticks", "period_ticks", "use_rate_clock")
     rate, period = F.col("use_rate_clock"), F.col("period_ticks")
     own = (F.col("base_ticks") - F.col("_seed")).cast("double")
-    timed = slim.join(seeds, "stream_id").join(config, "stream_id").withColumn(
+    timed = slim.join(per_stream(seeds), "stream_id").join(per_stream(config), "stream_id").withColumn(
         "_last", F.when(~rate, window_index(own + (F.col("n_bits") - 1) * F.col("bit_ticks"), period)))
     scanned = ordered_scan(timed, ["stream_id"], ["ord"], [
         Carry("seq", F.col("ord"), "count", inclusive=False), Carry("bit_base", F.col("n_bits"), "sum", inclusive=False),
@@ -95,19 +95,19 @@ def bit_windows(placed: DataFrame) -> DataFrame:
 def gap_drops(placed: DataFrame, streams: DataFrame) -> DataFrame:
     """Where a recording gap drops the lock: the first bit after at least one empty window (if the data rate is known)."""
     rate = streams.select("stream_id", data_rate().alias("_rate"))
-    return (placed.where("gap_windows > 0").join(rate, "stream_id").where("_rate > 0")
+    return (placed.where("gap_windows > 0").join(per_stream(rate), "stream_id").where("_rate > 0")
             .select("stream_id", "chunk", F.col("bit_base").alias("bit")))
 
 
 def gap_windows(placed: DataFrame, streams: DataFrame) -> DataFrame:
     """One row per empty window of a gap with the frames expected in it, from the data rate."""
     expected = F.floor(F.col("period_ticks") / TICKS_PER_SECOND * data_rate() / F.col("bits_in_frame"))
-    per_stream = streams.select("stream_id", F.when(data_rate() > 0, expected).otherwise(0).cast("long").alias("expected"))
+    frames = streams.select("stream_id", F.when(data_rate() > 0, expected).otherwise(0).cast("long").alias("expected"))
     last = F.col("gap_from") + F.col("gap_windows") - 1
     strides = placed.where("gap_windows > 0").select(
         "stream_id", last.alias("_last"), F.explode(F.sequence("gap_from", last, F.lit(_GAP_STRIDE).cast("long"))).alias("_start"))
     stop = F.least("_last", F.col("_start") + _GAP_STRIDE - 1)
-    return strides.select("stream_id", F.explode(F.sequence("_start", stop)).alias("window_idx")).join(per_stream, "stream_id")
+    return strides.select("stream_id", F.explode(F.sequence("_start", stop)).alias("window_idx")).join(per_stream(frames), "stream_id")
 
 
 def data_rate() -> Column:
@@ -125,7 +125,7 @@ def lock_state_at(windows: DataFrame, anchors: DataFrame, streams: DataFrame) ->
                            [Carry("_at", F.col("_state"), "last"), Carry("_locked", F.col("locked"), "sum"),
                             Carry("_missed", F.col("missed"), "sum"), Carry("frames_so_far", F.col("_frame"), "sum")], F.col("chunk"))
     size = streams.select("stream_id", F.col("bits_in_frame").cast("long"), F.col("min_syncs").cast("int"))
-    at = scanned.where("_kind = 2").join(size, "stream_id").withColumn(
+    at = scanned.where("_kind = 2").join(per_stream(size), "stream_id").withColumn(
         "_since", F.col("bit") - F.coalesce("_at.anchor", F.lit(-1)))
     holding = F.when(F.coalesce("_at.count", F.lit(-1)) >= F.col("min_syncs"), F.least("_since", "bits_in_frame")).otherwise(0)
     return at.select("stream_id", "window_idx", "bits", (F.col("_locked") + holding).alias("locked_so_far"),
@@ -150,7 +150,7 @@ def lock_samples(state: DataFrame, gaps: DataFrame, placed: DataFrame, streams:
     period = streams.select("stream_id", "period_ticks")
     locked = F.col("locked_so_far") - F.coalesce("_locked_before", F.lit(0))
     frames = F.coalesce(F.col("frames_so_far") - F.coalesce("_frames_before", F.lit(0)), F.lit(0))
-    return (scanned.join(totals.where("_frames > 0"), "stream_id").join(seeds, "stream_id").join(period, "stream_id")
+    return (scanned.join(per_stream(totals.where("_frames > 0")), "stream_id").join(per_stream(seeds), "stream_id").join(per_stream(period), "stream_id")
             .withColumn("n_frames", frames).where("window_idx < _last or n_frames > 0")
             .select("stream_id", "window_idx",
                     ((F.col("seed") + F.col("window_idx") * F.col("period_ticks")) / TICKS_PER_SECOND).alias("t_abs"),

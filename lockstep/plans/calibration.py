@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lockstep.operators import steps as st
+from lockstep.operators.scans import per_stream
 from lockstep.operators.series import union_sources
 from lockstep.plans.recording import raw_channel_means
 from lockstep.session import materialize
@@ -27,7 +28,7 @@ def extract_calibration(packets: DataFrame, streams: DataFrame, word_map: DataFr
     series = means.select(*KEYS, F.col("window_idx").alias("idx"), F.col("raw_mean").alias("raw"))
     parts = []
     for row in timed.select("period_ticks").distinct().collect():
-        mine = series.join(timed.where(F.col("period_ticks") == row.period_ticks).select("stream_id"), "stream_id", "left_semi")
+        mine = series.join(per_stream(timed.where(F.col("period_ticks") == row.period_ticks).select("stream_id")), "stream_id", "left_semi")
         period = row.period_ticks / 1e7
         clipped = st.clip(mine, KEYS, period, clip_start_s, clip_end_s)
         ignored = clipped.groupBy(*KEYS).agg(F.bool_or("clip_ignored").alias("clip_ignored"))

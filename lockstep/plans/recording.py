@@ -11,6 +11,7 @@ from lockstep.operators import frames as fr
 from lockstep.operators import sync, windows
 from lockstep.operators.bits import scan_packets
 from lockstep.operators.calibrate import apply_calibration
+from lockstep.operators.scans import per_stream
 from lockstep.session import materialize
 
 
@@ -63,6 +64,6 @@ def receiver_levels(packets: DataFrame, streams: DataFrame, word_map: DataFrame,
     means = raw_channel_means(packets, streams, word_map, run)
     curve = word_map.select("stream_id", "ord", *[c for c in ("slope", "offset", "points") if c in word_map.columns])
     value = apply_calibration(F.col("raw_mean"), F.col("slope"), F.col("offset"), F.col("points") if "points" in word_map.columns else None)
-    return (means.join(curve, ["stream_id", "ord"])
+    return (means.join(per_stream(curve), ["stream_id", "ord"])
             .withColumn("value", F.when(F.col("n_frames") > 0, value).otherwise(0.0))
             .select("stream_id", "word", "name", "ord", "window_idx", "t_abs", "raw_mean", "value"))

@@ -61,3 +61,29 @@ def test_a_very_long_loss_is_listed_in_strides(spark, monkeypatch):
     chunks = spark.createDataFrame([("s", 0, 11)], "stream_id string, chunk long, n_bits long")
     streams = spark.createDataFrame([("s", 4, 1)], "stream_id string, bits_in_frame long, min_syncs int")
     assert sorted(r.bit for r in sync.missed_frame_events(anchors, chunks, streams).collect()) == [-1 + 4 * j + 1 for j in range(1, 24)]
+
+
+def test_one_stream_is_searched_by_many_tasks(spark, monkeypatch):
+    """The settings' join must not gather a stream's payloads: with one stream every chunk would be searched by one task."""
+    from lockstep.operators import bits
+    from lockstep.operators.config import prepare_streams
+
+    rows = [("s", i, i // 4, 800, bytearray([i % 256] * 100)) for i in range(256)]
+    packets = spark.createDataFrame(rows, "stream_id string, ord long, chunk long, n_bits long, payload binary")
+    streams = prepare_streams(spark.createDataFrame(
+        [("s", "FE6B2840", "", 800, 1.0, False, False, False, 10_000_000, False)],
+        "stream_id string, sync_hex string, mask_hex string, bits_in_frame int, data_rate_mbps double, swap_bytes boolean, inverted boolean, "
+        "randomized boolean, period_ticks long, use_rate_clock boolean"))
+    scans = []
+    monkeypatch.setattr(bits, "materialize", lambda df: scans.append(df) or df)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        bits.scan_packets(packets, streams)
+        bits.transform_matrix(packets, streams, 800)
+        for df in [*scans, bits.payload_edges(packets, streams)]:
+            assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
