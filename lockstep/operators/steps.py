@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -192,9 +193,9 @@ def detect_steps(series: DataFrame, keys: list[str], period_s: float, steps: lis
     both = [*keys, "attempt"]
     runs = materialize(monotonic_runs(levels, both, F.col("threshold")))
     counts = levels.groupBy(*both).agg(F.count(F.lit(1)).alias("n_levels"))
-    swept = relax_threshold(select_sweep(runs, both, expected), keys) if expected else None
+    swept = materialize(relax_threshold(select_sweep(runs, both, expected), keys)) if expected else None
     order = W.partitionBy(*both).orderBy("begin")
-    numbered = levels.withColumn("level_no", F.row_number().over(order) - 1)
+    numbered = materialize(levels.withColumn("level_no", F.row_number().over(order) - 1))
     seen = counts.groupBy(*keys).agg(F.max("n_levels").alias("best_levels"), F.bool_or(F.col("n_levels") >= expected).alias("reached"))
     nominal = (numbered.where("attempt = 0").groupBy(*keys)
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("level_no", "value"))), lambda s: s.value).alias("plateau_levels")))
@@ -208,7 +209,7 @@ def detect_steps(series: DataFrame, keys: list[str], period_s: float, steps: lis
     accepted = (swept.join(n_plateaus, both).join(tries.select(*both, "threshold"), both)
                 .select(*keys, F.col("attempt").alias("accepted_attempt"), F.col("threshold").alias("accepted_threshold"), "sweep_levels",
                         (F.col("n_plateaus") > expected).alias("extra_plateaus")).join(points, keys))
-    full = base.join(accepted, keys, "left")
+    full = materialize(base.join(accepted, keys, "left"))  # one row per key; what is below uses it five times
     failed = full.where("accepted_attempt is null").select(*keys)
     rails = saturated_top(failed, numbered.where("attempt = 0"), runs.where("attempt = 0"), deriv, series, keys, steps, confirm)
     out = full.join(rails.withColumnsRenamed({"points": "_points", "sweep_levels": "_levels"}), keys, "left")
@@ -266,7 +267,7 @@ def saturated_top(candidates: DataFrame, levels: DataFrame, runs: DataFrame, der
     longest = (runs.join(candidates, keys, "left_semi").groupBy(*keys)
                .agg(F.max_by(F.struct("run_begin", "run_end"), F.struct("levels", -F.col("run_begin"))).alias("r"))
                .select(*keys, "r.run_begin", "r.run_end"))
-    inside = mine.join(longest, keys).where("level_no between run_begin and run_end")
+    inside = materialize(mine.join(longest, keys).where("level_no between run_begin and run_end"))
     railed = inside.withColumn("_open", F.when(~is_railed(F.col("value")) | (F.col("level_no") == F.col("run_begin")), F.col("level_no")))
     summary = railed.groupBy(*keys, "run_begin", "run_end").agg(
         F.max("_open").alias("last"), F.array_sort(F.collect_list(F.struct("level_no", "value", "begin"))).alias("levels"))
@@ -276,23 +277,11 @@ def saturated_top(candidates: DataFrame, levels: DataFrame, runs: DataFrame, der
     marked = short.join(gap, keys)
     edges = (deriv.select(*keys, "idx", "d").join(marked.select(*keys, "major"), keys).where(F.abs("d") >= F.col("major"))
              .groupBy(*keys).agg(F.array_sort(F.collect_list("idx")).alias("marks")))
-    # Marks a sample or two after the boundary kept last belong to that boundary.
-    bounds = F.aggregate("marks", F.array().cast("array<long>"), lambda kept, i: F.when(
-        (F.size(kept) == 0) | (i - F.try_element_at(kept, F.lit(-1)) > 2), F.concat(kept, F.array(i))).otherwise(kept))
-    grid = dwell_grid(marked.join(edges, keys).withColumn("bounds", bounds).where("size(bounds) >= 2"))
-    begins = F.transform(F.filter("levels", lambda v: v.level_no <= F.col("last")), lambda v: v.begin)
-
-    def slot_of(sample: Column) -> Column:
-        return F.coalesce(F.array_max(F.transform(F.filter(F.arrays_zip("bounds", "slots"), lambda z: z.bounds < sample),
-                                                  lambda z: z.slots)) + 1, F.lit(0))
-
-    placed = grid.withColumn("_zero", slot_of(F.try_element_at(begins, F.lit(1))))
-    placed = placed.withColumn("level_slots", F.transform(begins, lambda b: slot_of(b) - F.col("_zero"))).withColumn(
-        "slots", F.transform("slots", lambda s: s - F.col("_zero")))
-    later = F.slice("level_slots", 2, F.greatest(F.size("level_slots") - 1, F.lit(0)))
-    rising = F.forall(F.zip_with(F.slice("level_slots", 1, F.size(later)), later, lambda a, b: b > a), lambda x: x)
-    fits = F.forall("level_slots", lambda s: (s >= 0) & (s < expected)) & rising
-    ready = materialize(placed.where(fits).drop("_zero", "marks", "major"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields if f.name in keys)
+    # Nested array expressions are copied into each other by the optimizer and then evaluated once per element of each: one loop per key instead.
+    ready = materialize(marked.join(edges, keys).select(*keys, "run_begin", "run_end", "last", "levels", "marks").mapInPandas(
+        lambda frames: _place_levels(frames, keys, expected),
+        f"{types}, bounds array<long>, slots array<int>, level_slots array<int>, values array<double>, sweep_levels int"))
     holes = (ready.select(*keys, "bounds", "slots", F.posexplode(F.slice("slots", 1, F.size("slots") - 1)).alias("i", "slot_at"))
              .where(F.expr("slots[i + 1] - slot_at = 1"))
              .select(*keys, (F.col("slot_at") + 1).alias("slot"), F.expr("greatest(bounds[i] + 2, bounds[i + 1] - " + str(confirm) + ")").alias("lo"),
@@ -300,25 +289,46 @@ def saturated_top(candidates: DataFrame, levels: DataFrame, runs: DataFrame, der
     tails = holes.select(*keys, "slot", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("idx")).join(series, [*keys, "idx"])
     dwell = exact_median(tails, [*keys, "slot"], "raw", "level").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("slot", "level"))).alias("holes"))
-    rows = ready.join(dwell, keys, "left").select(
-        *keys, "level_slots", F.transform(F.filter("levels", lambda v: v.level_no <= F.col("last")), lambda v: v.value).alias("values"),
-        "holes", (F.col("run_end") - F.col("run_begin") + 1).cast("int").alias("sweep_levels"))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    rows = ready.join(dwell, keys, "left").select(*keys, "level_slots", "values", "holes", "sweep_levels")
     return rows.mapInPandas(lambda frames: _finish_partial(frames, keys, steps),
                             f"{types}, points array<{_POINT}>, unresolved_db array<double>, sweep_levels int")
 
 
-def dwell_grid(df: DataFrame) -> DataFrame:
-    """Number the dwells between ``bounds``: ``slots`` counts whole median dwells; rows off the grid are left out."""
-    spacing = F.zip_with(F.slice("bounds", 2, F.size("bounds") - 1), F.slice("bounds", 1, F.size("bounds") - 1), lambda b, a: (b - a).cast("double"))
-    n = F.size("_sorted")
-    middle = (F.try_element_at("_sorted", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("_sorted", (F.floor(n / 2) + 1).cast("int"))) / 2
-    dwell = (df.withColumn("_spacing", spacing).withColumn("_sorted", F.array_sort("_spacing")).withColumn("_dwell", middle).where("_dwell > 0")
-             .withColumn("_whole", F.transform("_spacing", lambda s: F.floor(s / F.col("_dwell") + 0.5).cast("int"))))
-    on_grid = F.forall(F.arrays_zip("_spacing", "_whole"), lambda z: (z["_whole"] >= 1) & (
-        F.abs(z["_spacing"] / F.col("_dwell") - z["_whole"]) <= MAX_DWELL_ERROR))
-    slots = F.aggregate("_whole", F.array(F.lit(0)), lambda kept, w: F.concat(kept, F.array(F.try_element_at(kept, F.lit(-1)) + w)))
-    return dwell.where(on_grid).withColumn("slots", slots).drop("_spacing", "_sorted", "_dwell", "_whole")
+def dwell_grid(bounds: np.ndarray) -> np.ndarray | None:
+    """Number the dwells between ``bounds``: whole median dwells from the first bound on; nothing if a bound lies off the grid."""
+    spacing = np.diff(bounds).astype(float)
+    dwell = float(np.median(spacing)) if spacing.size else 0.0
+    if dwell <= 0:
+        return None
+    whole = np.floor(spacing / dwell + 0.5).astype(np.int64)
+    if (whole < 1).any() or (np.abs(spacing / dwell - whole) > MAX_DWELL_ERROR).any():
+        return None
+    return np.r_[0, np.cumsum(whole)]
+
+
+def _place_levels(frames: Iterator[pd.DataFrame], keys: list[str], expected: int) -> Iterator[pd.DataFrame]:
+    """Per channel: the step of every measured level (``level_slots``), by the dwells between it and the run's first; channels off the grid drop out."""
+    columns = [*keys, "bounds", "slots", "level_slots", "values", "sweep_levels"]
+    for frame in frames:
+        out = []
+        for row in frame.to_dict("records"):
+            kept: list[int] = []
+            for mark in row["marks"]:  # a mark a sample or two after the boundary kept last belongs to that boundary
+                if not kept or mark - kept[-1] > 2:
+                    kept.append(int(mark))
+            bounds = np.array(kept, np.int64)
+            slots = dwell_grid(bounds)
+            if slots is None:
+                continue
+            measured = [v for v in row["levels"] if v["level_no"] <= row["last"]]
+            before = np.searchsorted(bounds, [v["begin"] for v in measured])  # bounds before the level
+            at = np.r_[0, slots + 1][before]
+            placed = at - at[0]
+            if (placed < 0).any() or (placed >= expected).any() or (np.diff(placed) <= 0).any():
+                continue
+            out.append((*(row[k] for k in keys), bounds.tolist(), (slots - at[0]).tolist(), placed.tolist(), [float(v["value"]) for v in measured],
+                        int(row["run_end"] - row["run_begin"] + 1)))
+        yield pd.DataFrame(out, columns=columns)
 
 
 def _finish_partial(frames: Iterator[pd.DataFrame], keys: list[str], steps: list[float]) -> Iterator[pd.DataFrame]:

@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lockstep.operators import steps as st
 from lockstep.operators.calibrate import calibrate_piecewise
+from lockstep.operators.scans import exact_median
 
 JITTER = [3600.0 + 6.0 * (i % 2) for i in range(150)]
 CASES = {
@@ -90,3 +92,16 @@ def test_clip_and_interpolation(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "raw double").select(
         calibrate_piecewise(F.col("raw"), F.expr(points))).collect()]
     assert got == pytest.approx([10, 10, 10, 85, 160, 185, 200])
+
+
+def test_median_counts_from_both_ends(spark):
+    rows = [("odd", 3.0), ("odd", 1.0), ("odd", 2.0), ("even", 1.0), ("even", 4.0), ("even", 4.0), ("even", 9.0), ("pair", 1.0), ("pair", 1.0), ("pair", 2.0),
+            ("pair", 5.0), ("one", 7.0), ("null", None), ("many", 1.0), ("many", 1.0), ("many", 1.0), ("many", 8.0)]
+    got = exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "m")
+    assert {r.k: r.m for r in got.collect()} == {"odd": 2.0, "even": 4.0, "pair": 1.5, "one": 7.0, "many": 1.0}
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dwells_are_numbered_by_their_median():
+    assert st.dwell_grid(np.array([10, 20, 31, 50])).tolist() == [0, 1, 2, 4]
+    assert st.dwell_grid(np.array([10, 20, 30, 45])) is None and st.dwell_grid(np.array([10])) is None and st.dwell_grid(np.array([], int)) is None
