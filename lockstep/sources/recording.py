@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions.text import parse_double, parse_int, trimmed
 from lockstep.operators.lookup import asof_backward
-from lockstep.operators.scans import Carry, ordered_scan
+from lockstep.operators.scans import Carry, ordered_scan, per_stream
 from lockstep.sources.ch10 import PCM, TIME, TMATS
 
 # Fixed values.
@@ -115,10 +115,10 @@ def packet_census(packets: DataFrame, keys: list[str] | None = None, kind: str =
 def route_packets(packets: DataFrame, streams: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Each packet once for every stream configured on its channel; other packets drop out.
 
-    Stream tables are small: Spark broadcasts this join by their size and falls back to a shuffle (with skew handling) beyond.
+    Stream tables are small and are sent to every task: a shuffle by channel would gather a busy channel's packets in one.
     """
     on = on or ["source_id", "channel_id"]
-    return packets.join(streams.select("stream_id", *on), on)
+    return packets.join(per_stream(streams.select("stream_id", *on)), on)
 
 
 def time_ticks(payload: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions import text
 from lockstep.sources.ch10 import PCM, TIME, TMATS, Ch10FilteredReader, Recording, follow_ch10, header_checksum, read_ch10, write_ch10
-from lockstep.sources.recording import channel_catalog, pcm_packets, recording_gates, time_packets, tmats_attributes
+from lockstep.sources.recording import channel_catalog, pcm_packets, recording_gates, route_packets, time_packets, tmats_attributes
 from lockstep.sources.series_csv import read_series_csv
 from lockstep.streaming.tracker import run_available
 from lockstep.workload import events
@@ -150,3 +150,12 @@ def test_csv_rows_by_the_millisecond_and_by_every_type(spark, tmp_path):
         "event_id", "event_type", "value", "timestamp_micros(us) as ts").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.ms: r.line for r in events.csv_rows(spark, str(tmp_path)).collect()}
     assert got == {0: "001:00:00:00.000,,2.000000,,3.000000", 2: "001:00:00:00.002,4.000000,,,", 1000: "001:00:00:01.000,,,5.000000,"}
+
+
+def test_routing_gathers_no_channel_in_one_task(spark):
+    """Stream tables made on the driver have no known size: without a word on it, Spark shuffles the packets by channel."""
+    streams = spark.createDataFrame([("a", 1), ("b", 1)], "stream_id string, channel_id int")
+    packets = spark.range(8).select((F.col("id") % 2).cast("int").alias("channel_id"), "id")
+    routed = route_packets(packets, streams, ["channel_id"])
+    assert "SortMergeJoin" not in routed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.stream_id, r.id) for r in routed.collect()) == sorted((s, i) for s in "ab" for i in (1, 3, 5, 7))
