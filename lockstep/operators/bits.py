@@ -39,11 +39,24 @@ def _rewritten(payload: pa.Array, change) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(payload), [known, pa.py_buffer(offsets), pa.py_buffer(changed)], payload.null_count)
 
 
+#: Bytes swapped at a time: their places take some forty bytes each, and a batch holds thousands of payloads.
+_SWAP_BYTES = 1 << 18
+
+
 def _swapped(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    length = np.diff(offsets)
-    start, even = np.repeat(offsets[:-1], length), np.repeat(length % 2 == 0, length)
-    at = np.arange(data.size)
-    return data[np.where(even, start + ((at - start) ^ 1), at)]
+    out, first = data.copy(), 0
+    while first < offsets.size - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, int(offsets[first]) + _SWAP_BYTES, "right")) - 1)
+        begin, end = offsets[first], offsets[last]
+        if last == first + 1:
+            out[begin:end] = kernels.swap_pairs(data[begin:end])
+        else:
+            length = np.diff(offsets[first: last + 1])
+            at = np.arange(end - begin)
+            start, even = np.repeat(offsets[first:last] - begin, length), np.repeat(length % 2 == 0, length)
+            out[begin:end] = data[begin:end][np.where(even, start + ((at - start) ^ 1), at)]
+        first = last
+    return out
 
 
 @F.arrow_udf(BinaryType())

@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 import numpy as np
 from bitstreams import PACKET_SCHEMA
 from pyspark.sql import functions as F
@@ -112,3 +115,16 @@ def test_payload_transforms_keep_lengths_and_nulls(spark):
                         (bits.invert_bits, lambda p: bytes(255 - x for x in p)), (bits.reverse_bits, lambda p: bytes(int(f"{x:08b}"[::-1], 2) for x in p))):
         for r in change(df).collect():
             assert (r.payload is None) == (want[r.ord] is None) and (r.payload is None or bytes(r.payload) == one(want[r.ord]))
+
+
+def test_swapping_a_batch_takes_little_beyond_the_batch():
+    rng = random.Random(5)
+    sizes = [rng.choice([0, 1, 2, 3, 4, 4000, 4001, 300_000, 300_001]) for _ in range(200)] + [0, 0]
+    offsets = np.cumsum([0, *sizes]).astype(np.int32)
+    data = np.frombuffer(rng.randbytes(int(offsets[-1])), np.uint8)
+    tracemalloc.start()
+    got = bits._swapped(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tobytes() == b"".join(kernels.swap_pairs(data[a:b]).tobytes() for a, b in zip(offsets, offsets[1:]))
+    assert peak < 3 * data.size
