@@ -30,6 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from lockstep.functions import bits as kernels
+from lockstep.operators.scans import per_stream
 from lockstep.operators.sync import ANCHOR, NO_LOCK, fold_hits
 from lockstep.sources.recording import GAP_TICKS, route_packets
 
@@ -362,7 +363,7 @@ def lock_tracker(packets: DataFrame, streams: DataFrame, delay: str = "10 second
     """
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     whole = packets.select("stream_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", *_PACKET)], "payload").where("n_bits > 0").join(
-        streams.select("stream_id", *[F.col(c).cast(t).alias(c) for c, t in _CONFIG.items()], *_CONDITION), "stream_id")
+        per_stream(streams.select("stream_id", *[F.col(c).cast(t).alias(c) for c, t in _CONFIG.items()], *_CONDITION)), "stream_id")
     slim = whole.mapInArrow(_scan, _SLIM)
     if ticks is not None:
         slim = slim.unionByName(ticks.select(F.lit("").alias("stream_id"), F.lit(-1).cast("long").alias("chunk"), F.col("clock").cast("timestamp").alias("clock")),

@@ -107,3 +107,17 @@ def test_queries_read_folders_of_parts(spark, tmp_path):
         given = [i for i, lang, *_ in rows if lang == s and i % 2 == 0 and i <= top]
         want.update((s, max(0, -(-(i - min(given)) // 10) - 1)) for i, lang, *_ in rows if lang == s and i % 2 and i < max(given))
     assert {(r.stream_id, r.window_idx): r.late for r in live.late(spark, str(tmp_path)).collect()} == dict(want)
+
+
+def test_tracker_joins_its_settings_without_gathering_a_stream(spark, monkeypatch):
+    """The packets' join with the settings must not be shuffled: payloads of a busy stream would meet in one task."""
+    from lockstep.streaming import tracker
+
+    seen = []
+    monkeypatch.setattr(tracker, "per_stream", lambda df: seen.append(tracker.F.broadcast(df)) or seen[-1])
+    stream = spark.readStream.format("rate").load().selectExpr(
+        "'a' AS stream_id", "value AS chunk", "value AS ord", "8L AS n_bits", "value AS base_ticks", "CAST('x' AS binary) AS payload")
+    settings = spark.createDataFrame([("a", False, False)], "stream_id string, swap_bytes boolean, inverted boolean").selectExpr(
+        "*", *[f"CAST(1 AS {t.simpleString()}) AS {c}" for c, t in tracker._CONFIG.items()])
+    rows = tracker.lock_tracker(stream, settings)
+    assert len(seen) == 1 and "strategy=broadcast" in rows._jdf.queryExecution().analyzed().toString()
