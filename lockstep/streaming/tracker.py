@@ -396,30 +396,58 @@ def late_counts(rows: DataFrame) -> DataFrame:
     return late_packets(rows).groupBy("stream_id", "window_idx").agg(F.count(F.lit(1)).alias("late"))
 
 
+#: Time packets of one source and trigger that are held in memory, and the bytes of file whose packets make one value of state beyond that.
+_HELD_TIMES, _TIME_SPAN = 1 << 16, 1 << 20
+
+
 class _GapAlerts(StatefulProcessor):
-    """Time packets of one source: put into a map state by their place in the file, then compared in that order."""
+    """Time packets of one source, compared in the order of their places in the file. Those of a trigger are put in order in memory, or, if they
+    are many, by spans of the file in a map state: a call of state takes longer than a thousand comparisons."""
 
     def init(self, handle) -> None:
         self.last = handle.getValueState("last", "file_offset long, abs_ticks long")
-        self.pending = handle.getMapState("pending", "file_offset long", "abs_ticks long")
+        self.pending = handle.getMapState("pending", "span long", "times binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last_offset, last = self.last.get() if self.last.exists() else (-1, -1)
-        out = []  # a late time packet is reported without a gap
+        upto, last = self.last.get() if self.last.exists() else (-1, -1)
+        before, held, n, spans = upto, [], 0, set()
         for frame in rows:
-            for offset, ticks in zip(frame["file_offset"].tolist(), frame["abs_ticks"].tolist(), strict=True):
-                if offset <= last_offset or self.pending.containsKey((offset,)):
-                    out.append((key[0], offset, None))
-                else:
-                    self.pending.updateValue((offset,), (ticks,))
-        for offset in sorted(k[0] for k in self.pending.keys()):
-            ticks = self.pending.getValue((offset,))[0]
-            if last >= 0 and ticks - last > GAP_TICKS:
-                out.append((key[0], offset, (ticks - last) / 1e7))
-            last_offset, last = offset, ticks
-        self.pending.clear()
-        self.last.update((last_offset, last))
-        yield pd.DataFrame(out, columns=["source_id", "file_offset", "gap_s"]).astype({"gap_s": float})
+            held.append(np.column_stack([frame["file_offset"].to_numpy(np.int64), frame["abs_ticks"].to_numpy(np.int64)]))
+            n += len(frame)
+            if n >= _HELD_TIMES:
+                spans |= self._put(np.concatenate(held))
+                held, n = [], 0
+        if spans and held:
+            spans |= self._put(np.concatenate(held))
+        for times in (self._taken(s) for s in sorted(spans)) if spans else [np.concatenate(held)] if held else []:
+            times = times[np.argsort(times[:, 0], kind="stable")]
+            late = (times[:, 0] <= before) | np.r_[False, times[1:, 0] == times[:-1, 0]]  # reported without a gap
+            offset, ticks = times[~late].T
+            past = np.r_[last, ticks[:-1]]
+            gap = (past[: ticks.size] >= 0) & (ticks - past[: ticks.size] > GAP_TICKS)
+            if gap.any() or late.any():
+                gone = times[late, 0]
+                yield pd.DataFrame({"source_id": key[0], "file_offset": np.r_[gone, offset[gap]],
+                                    "gap_s": np.r_[np.full(gone.size, np.nan), (ticks - past[: ticks.size])[gap] / 1e7]}).astype({"gap_s": "Float64"})
+            if ticks.size:
+                upto, last = int(offset[-1]), int(ticks[-1])
+        self.last.update((upto, last))
+
+    def _put(self, times: np.ndarray) -> set[int]:
+        span = times[:, 0] // _TIME_SPAN
+        order = np.argsort(span, kind="stable")
+        span, times = span[order], times[order]
+        cuts = np.flatnonzero(np.r_[True, span[1:] != span[:-1], True])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            at = (int(span[a]),)
+            there = self.pending.getValue(at)[0] if self.pending.containsKey(at) else b""
+            self.pending.updateValue(at, (bytes(there) + times[a:b].astype("<i8").tobytes(),))
+        return {int(s) for s in span[cuts[:-1]]}
+
+    def _taken(self, span: int) -> np.ndarray:
+        times = _numbers(self.pending.getValue((span,))[0]).reshape(-1, 2)
+        self.pending.removeKey((span,))
+        return times
 
     def close(self) -> None:
         pass

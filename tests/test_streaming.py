@@ -121,3 +121,54 @@ def test_tracker_joins_its_settings_without_gathering_a_stream(spark, monkeypatc
         "*", *[f"CAST(1 AS {t.simpleString()}) AS {c}" for c, t in tracker._CONFIG.items()])
     rows = tracker.lock_tracker(stream, settings)
     assert len(seen) == 1 and "strategy=broadcast" in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_gaps_of_a_folder_in_any_order_of_files(spark, tmp_path):
+    """The files of a table are one delivery: none of its rows is late, whatever file comes first."""
+    rows = [(i, i % 3, 1000 * i + (5_000_000 if i > 20 else 0)) for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ms long").selectExpr("event_id", "user_id", "timestamp_millis(ms) AS ts")
+    for i, part in enumerate(("event_id >= 30", "event_id % 2 = 1 AND event_id < 30", "event_id % 2 = 0 AND event_id < 30")):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.source_id, r.file_offset, r.gap_s) for r in live.gap_alerts(spark, str(tmp_path)).collect())
+    assert got == sorted((i % 3, i, 3.0 + (5000.0 if 20 < i < 24 else 0.0)) for i in range(3, 60))
+
+
+class _State:
+    """Map and value states as a processor sees them, with their calls counted."""
+
+    def __init__(self):
+        self.rows, self.value, self.calls = {}, None, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"containsKey": self.rows.__contains__, "getValue": self.rows.__getitem__, "updateValue": self.rows.__setitem__, "removeKey": self.rows.pop,
+                "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v)}[name]
+
+
+def test_time_gaps_in_memory_and_by_spans(monkeypatch):
+    """Few calls of state for many packets; late ones and ones that came twice have no gap; nothing stays in the map."""
+    import numpy as np
+    import pandas as pd
+
+    from lockstep.streaming import tracker
+
+    rng = np.random.default_rng(2)
+    offsets = rng.permutation(4000) * 700
+    ticks = {int(o): int(o) * 1000 + (0 if o % 9 else 50_000_000) for o in offsets}
+
+    def run(held):
+        monkeypatch.setattr(tracker, "_HELD_TIMES", held)
+        work, out = tracker._GapAlerts(), []
+        work.last, work.pending = _State(), _State()
+        for some in (offsets[offsets < 1_400_000], np.r_[offsets[offsets >= 1_400_000], 700, 2_100_000]):
+            frames = [pd.DataFrame({"file_offset": part, "abs_ticks": [ticks[int(o)] for o in part]}) for part in np.array_split(some, 5)]
+            for found in work.handleInputRows((7,), iter(frames), None):
+                out += [(s, o, None if pd.isna(g) else g) for s, o, g in found.itertuples(index=False)]
+        assert not work.pending.rows
+        return sorted(out, key=str), work.last.calls + work.pending.calls
+
+    order = sorted(ticks)
+    want = [(7, b, (ticks[b] - ticks[a]) / 1e7) for a, b in zip(order, order[1:]) if ticks[b] - ticks[a] > tracker.GAP_TICKS]
+    want = sorted([*want, (7, 700, None), (7, 2_100_000, None)], key=str)
+    assert run(1 << 16)[0] == run(300)[0] == want
+    assert run(1 << 16)[1] < 10 and run(300)[1] < 200
