@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions import text
 from lockstep.functions.text import LEVEL, TIME_HEADER, trimmed
-from lockstep.operators.scans import ordered_scan, Carry
+from lockstep.operators.scans import Carry, ordered_scan, per_stream
 from lockstep.operators.series import channel_index
 from lockstep.session import materialize
 
@@ -71,8 +71,8 @@ def _whole_lines(pieces: DataFrame, encoding: str) -> DataFrame:
     """
     odd = F.length("raw") % 2 == 1
     torn = materialize(pieces.where(odd).select("file").distinct())
-    rest = pieces.join(torn, "file", "left_anti")
-    cut = pieces.join(torn, "file", "left_semi").withColumn("_odd", odd.cast("long"))
+    rest = pieces.join(per_stream(torn), "file", "left_anti")
+    cut = pieces.join(per_stream(torn), "file", "left_semi").withColumn("_odd", odd.cast("long"))
     chunk = F.struct("line_at.part", "line_at.block")
     placed = ordered_scan(cut, ["file"], ["line_at"], [Carry("_before", F.col("_odd"), "sum", inclusive=False)], chunk)
     starts = placed.withColumn("_start", F.when(F.col("_before") % 2 == 0, F.col("line_at")))
@@ -109,7 +109,7 @@ def read_lines(spark: SparkSession, path: str, one_export: bool = False, encodin
     for name in [encoding] if encoding else found or ["UTF-8"]:
         pieces = _pieces(spark, path, one_export, name)
         if kinds is not None and len(found) > 1:
-            pieces = pieces.join(kinds.where(F.col("encoding") == name).select("file"), "file", "left_semi")
+            pieces = pieces.join(per_stream(kinds.where(F.col("encoding") == name).select("file")), "file", "left_semi")
         line = F.col("raw").cast("string") if name == "UTF-8" else _decoded(name)("raw")
         lines = (pieces if name == "UTF-8" else _whole_lines(pieces, name)).select("file", "line_at", F.translate(line, "\r", "").alias("line"))
         out = lines if out is None else out.unionByName(lines)
@@ -121,20 +121,23 @@ def read_series_csv(spark: SparkSession, path: str, one_export: bool = False, en
 
     ``files`` has per file the outcome: ``ok``, ``skipped`` rows, ``base_day``, ``base_offset`` and ``x_max``. Points carry the identity parsed
     from the headers. Rows with too few cells or a bad stamp are skipped and counted; a cell that is no number is skipped alone.
+
+    What is known of a file (its first line, its width, its base, its columns) is sent to every task: joined by a shuffle, all lines of a file
+    would meet in one task.
     """
     lines = read_lines(spark, path, one_export, encoding)
     first = lines.groupBy("file").agg(F.min("line_at").alias("line_at"))
-    heads = lines.join(first, ["file", "line_at"], "left_semi").select("file", F.col("line_at").alias("_head_at"), F.split(
+    heads = lines.join(per_stream(first), ["file", "line_at"], "left_semi").select("file", F.col("line_at").alias("_head_at"), F.split(
         F.regexp_replace("line", "^﻿", ""), ",", -1).alias("header"))
     good_head = (F.size("header") >= 2) & (trimmed(F.try_element_at("header", F.lit(1))) == TIME_HEADER)
     accepted = heads.where(good_head)
     columns = channel_columns(accepted)
-    body = lines.join(accepted.select("file", "_head_at", F.size("header").alias("_width")), "file").where("line_at > _head_at and line <> ''")
+    body = lines.join(per_stream(accepted.select("file", "_head_at", F.size("header").alias("_width"))), "file").where("line_at > _head_at and line <> ''")
     cells = F.split("line", ",", -1)
     rows = body.select("file", "line_at", cells.alias("cells"), text.parse_stamp(F.try_element_at(cells, F.lit(1))).alias("stamp"), "_width")
     good = F.coalesce(F.size("cells") >= F.col("_width"), F.lit(False)) & F.col("stamp").isNotNull()
     counted = rows.groupBy("file").agg(F.count_if(~good).alias("skipped"), F.min_by("stamp", F.when(good, F.col("line_at"))).alias("base"))
-    timed = rows.where(good).join(counted.select("file", "base"), "file").withColumn(
+    timed = rows.where(good).join(per_stream(counted.select("file", "base")), "file").withColumn(
         "elapsed", (F.col("stamp.day") - F.col("base.day")) * 86400.0 + (F.col("stamp.seconds") - F.col("base.seconds")))
     long = timed.select("file", "line_at", "elapsed", F.posexplode(F.slice("cells", 2, F.col("_width") - 1)).alias("series_no", "cell")).withColumn(
         "value", text.parse_double(F.col("cell"))).where("value is not null").drop("cell")
@@ -143,7 +146,7 @@ def read_series_csv(spark: SparkSession, path: str, one_export: bool = False, en
     files = (heads.select("file", good_head.alias("_head_ok")).join(counted, "file", "left").join(ends, "file", "left").select(
         "file", (F.col("_head_ok") & F.col("x_max").isNotNull()).alias("ok"), F.coalesce("skipped", F.lit(0)).alias("skipped"),
         F.col("base.day").alias("base_day"), F.col("base.seconds").alias("base_offset"), "x_max"))
-    return long.join(columns, ["file", "series_no"]), files
+    return long.join(per_stream(columns), ["file", "series_no"]), files
 
 
 def channel_columns(headers: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 import struct
 
 from pyspark.sql import functions as F
@@ -159,3 +160,20 @@ def test_routing_gathers_no_channel_in_one_task(spark):
     routed = route_packets(packets, streams, ["channel_id"])
     assert "SortMergeJoin" not in routed._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.stream_id, r.id) for r in routed.collect()) == sorted((s, i) for s in "ab" for i in (1, 3, 5, 7))
+
+
+def test_csv_lines_of_one_file_do_not_meet_in_one_task(spark, tmp_path):
+    """An export is one file, whatever its parts: a join of its lines by file would be one task's."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for codec, mark, encoding in (("utf-16-le", b"\xff\xfe", "UTF-16LE"), ("utf-8", b"", "UTF-8")):
+            folder = tmp_path / codec
+            folder.mkdir()
+            (folder / "a.csv").write_bytes(mark + "Time (DOY:HH:MM:SS.mmm),A Lock (%)\r\n1:00:00:00.000,50\r\n1:00:00:01.000,60\r\n".encode(codec))
+            points, _ = read_series_csv(spark, str(folder), one_export=True, encoding=encoding)
+            plan = points._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"SortMergeJoin \[file#\d+(, (line_at|series_no)#\d+)?\]", plan)
+            assert sorted((r.elapsed, r.value) for r in points.collect()) == [(0.0, 50.0), (1.0, 60.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
