@@ -34,7 +34,7 @@ def code_points(texts: list[str], joint: str = "\n") -> tuple[np.ndarray, np.nda
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = x.astype(np.uint64) ^ np.uint64(salt)
+    x = x.astype(np.uint64, copy=False) ^ np.uint64(salt)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)

@@ -15,15 +15,19 @@ Edge cases: null text is the empty text; a single row is its own next document;
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.llm.chars import code_points, mix
-from lockstep.llm.common import batches_of, materialize, prepared, strings, text_or_empty
+from lockstep.llm.common import batches_of, prepared, strings, text_or_empty
 
 K, S = 16, 5
 ANCHORS = 96
@@ -33,81 +37,143 @@ DRIFT = 8
 RANGE_ROWS, MAX_RANGES = 2000, 2000
 #: Stands for a null id, which comes last.
 LOWEST = -(2**63)
+#: Characters hashed by one pass: few enough that its arrays stay in a core's cache.
+PASS_CHARS = 150_000
+#: Factors of the hashes of 2, 4, 8 and 16 code points, and of S.
+_DOUBLE, _NEXT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
 def syncmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, position, hash) of the closed syncmers of every text, in order."""
     points, starts = code_points(texts)
-    c = points.astype(np.uint64) + np.uint64(1)
-    total = len(c)
-    if total < K:
+    n = len(points) - K + 1
+    if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def grams(n: int) -> np.ndarray:
-        out, have, step, left = np.zeros(total, np.uint64), 0, c, n
-        width = 1
-        while left:  # a hash of n items from hashes of powers of two
-            if left & 1:
-                rest = np.zeros(total, np.uint64)
-                rest[: total - have] = step[have:]
-                out = out * np.uint64(0x9E3779B97F4A7C15) + mix(rest, width)
-                have += width
-            left >>= 1
-            nxt = np.zeros(total, np.uint64)
-            nxt[: total - width] = step[: total - width] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(step[width:], 77)
-            step, width = nxt, 2 * width
-        return mix(out, n)
-
-    small = grams(S)
+    one = points.astype(np.uint64) + np.uint64(1)  # hashes of 1, 2 and 4 code points; from them those of S = 1 + 4
+    two = one[:-1] * _DOUBLE + mix(one[1:], 77)
+    four = two[:-2] * _DOUBLE + mix(two[2:], 77)
+    small = mix(mix(one[:-4], 1) * _NEXT + mix(four[1:], 4), S)
     inner = K - S + 1
-    low = small[: total - inner + 1].copy()  # least inner gram of each place
-    for i in range(1, inner):
-        np.minimum(low, small[i: total - inner + 1 + i], out=low)
-    n = total - K + 1
-    closed = (small[:n] == low[:n]) | (small[inner - 1: inner - 1 + n] == low[:n])
-    at = np.flatnonzero(closed)
+    low, span = small, 1  # least inner gram of each place
+    while 2 * span <= inner:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    low = np.minimum(low[:n], low[inner - span: inner - span + n])
+    at = np.flatnonzero((small[:n] == low) | (small[inner - 1: inner - 1 + n] == low))
     text = np.searchsorted(starts, at, side="right") - 1
     inside = at + K < starts[text + 1]  # the joint after a text belongs to none
     at, text = at[inside], text[inside]
-    return text, at - starts[text], grams(K)[at]
+    # K = 16 code points, at the anchors alone
+    eight = four[at] * _DOUBLE + mix(four[at + 4], 77), four[at + 8] * _DOUBLE + mix(four[at + 12], 77)
+    return text, at - starts[text], mix(mix(eight[0] * _DOUBLE + mix(eight[1], 77), K), K)
+
+
+class Sketches(NamedTuple):
+    """Anchors of many texts, one after the other: those of text ``i`` are ``ends[i]:ends[i + 1]``."""
+
+    text: np.ndarray
+    hash: np.ndarray
+    position: np.ndarray
+    ends: np.ndarray
+
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.hash[self.ends[i]:self.ends[i + 1]], self.position[self.ends[i]:self.ends[i + 1]]
+
+    def part(self, i: int, j: int) -> Sketches:
+        """Those of texts ``i`` to ``j - 1``, numbered from 0."""
+        a, b = self.ends[i], self.ends[j]
+        return Sketches(self.text[a:b] - i, self.hash[a:b], self.position[a:b], self.ends[i:j + 1] - a)
+
+
+def _by_text(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Order by text (below ``n``) and hash."""
+    order = np.argsort(h)
+    text = text[order]
+    return order[np.argsort(text.astype(np.uint16) if n <= 2**16 else text, kind="stable")]
+
+
+def _distinct(text: np.ndarray, h: np.ndarray, position: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first position) by text and hash."""
+    order = _by_text(text, h, n)
+    text, h, position = text[order], h[order], position[order]
+    if not len(h):
+        return text, h, position
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]))
+    return text[first], h[first], np.minimum.reduceat(position, first)
+
+
+def _smallest(text: np.ndarray, h: np.ndarray, position: np.ndarray, n: int) -> Sketches:
+    """The ``ANCHORS`` smallest hashes of each text, of distinct ones in order."""
+    ends = np.searchsorted(text, np.arange(n + 1))
+    few = np.arange(len(text)) - ends[text] < ANCHORS
+    ends = np.concatenate([[0], np.cumsum(np.minimum(np.diff(ends), ANCHORS))])
+    return Sketches(text[few], h[few], position[few], ends)
 
 
 def sketches(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes (ascending) and positions (of the first occurrence) of each text's smallest distinct anchors."""
     text, position, h = syncmers(texts)
-    order = np.lexsort((position, h, text))
-    text, position, h = text[order], position[order], h[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    text, position, h = text[first], position[first], h[first]
-    ends = np.searchsorted(text, np.arange(len(texts) + 1))
-    return [(h[a:min(b, a + ANCHORS)], position[a:min(b, a + ANCHORS)]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    found = _smallest(*_distinct(text, h, position, len(texts)), len(texts))
+    return [found.one(i) for i in range(len(texts))]
+
+
+def chained(texts: list[str]) -> tuple[Sketches, Sketches]:
+    """Sketches of all texts, and of each but the last after the edit by the next one.
+
+    An anchor of an edited text lies in what is left of the text, in what comes from the next or across their joint: only the joints are
+    hashed anew."""
+    n, sizes = len(texts) - 1, np.array([len(t) for t in texts], np.int64)
+    half = sizes[:-1] // 2
+    left, filled = sizes[:-1] - half, np.minimum(half, sizes[1:])
+    before = np.maximum(left - (K - 1), 0)
+    joints = [x[a:b] + y[:c] for x, y, a, b, c in zip(texts, texts[1:], before.tolist(), left.tolist(), np.minimum(filled, K - 1).tolist(), strict=False)]
+    text, position, h = syncmers([*texts, *joints])
+    own = int(np.searchsorted(text, n + 1))
+    joint = text[own:] - (n + 1)
+    across = joint, h[own:], position[own:] + before[joint]
+    text, h, position = _distinct(text[:own], h[:own], position[:own], n + 1)
+    end = position + K
+    kept = end <= np.append(left, 0)[text]
+    taken = end <= np.append(0, filled)[text]
+    stays = _smallest(text[kept], h[kept], position[kept], n)
+    of = text[taken] - 1
+    comes = _smallest(of, h[taken], position[taken] + left[of], n)
+    changed = _distinct(*(np.concatenate(x) for x in zip(stays[:3], across, comes[:3], strict=True)), n)
+    return _smallest(text, h, position, n + 1), _smallest(*changed, n)
+
+
+def likenesses(a: Sketches, b: Sketches, equal: np.ndarray) -> np.ndarray:
+    """Estimated share of common anchors among all, common ones counted by position as well, of every text of ``a`` with that of ``b``."""
+    n = len(equal)
+    pair, h, position = (np.concatenate(x) for x in zip(a[:3], b[:3], strict=True))
+    order = _by_text(pair, h, n)
+    pair, h, position, second = pair[order], h[order], position[order], order >= len(a.hash)
+    new = np.ones(len(h), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (h[1:] != h[:-1])
+    total = np.bincount(pair[new], minlength=n)  # distinct anchors of both
+    rank = np.cumsum(new) - 1 - (np.cumsum(total) - total)[pair]
+    at = np.flatnonzero(~new & (rank < ANCHORS))  # here and just before: one common anchor
+    pair, turned = pair[at], second[at - 1]
+    pa_, pb = np.where(turned, position[at], position[at - 1]), np.where(turned, position[at - 1], position[at])
+    order = np.lexsort((pa_, pair))
+    pair, shift = pair[order], (pa_ - pb)[order]
+    steady = (np.abs(np.diff(shift)) <= DRIFT) & (pair[1:] == pair[:-1])
+    common = np.bincount(pair, minlength=n)
+    kept = np.bincount(pair[np.append(steady, False) | np.insert(steady, 0, False)], minlength=n) if len(pair) else common
+    return np.where(equal, 1.0, np.where(common == 1, 1, kept) / np.clip(total, 1, ANCHORS))
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], equal: bool) -> float:
-    """Estimated share of common anchors among all, common ones counted by position as well."""
-    if equal:
-        return 1.0
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    joint = np.union1d(a[0], b[0])[:ANCHORS]
-    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = a[0][ia] <= joint[-1]
-    pa_, pb = a[1][ia][common], b[1][ib][common]
-    if len(pa_) > 1:
-        order = np.argsort(pa_)
-        shift = (pa_ - pb)[order]
-        steady = np.abs(np.diff(shift)) <= DRIFT
-        kept = int((np.append(steady, False) | np.insert(steady, 0, False)).sum())
-    else:
-        kept = len(pa_)
-    return kept / len(joint)
+    """The same of two texts."""
+    x, y = (Sketches(np.zeros(len(s[0]), np.int64), *s, np.array([0, len(s[0])])) for s in (a, b))
+    return float(likenesses(x, y, np.array([equal]))[0])
 
 
 def written(text: str, sketch: tuple[np.ndarray, np.ndarray]) -> str:
     """A fingerprint as text: length, 64-bit text hash, then ``hash@position`` of every anchor."""
     head = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-    return f"{len(text)}:{head}:" + ",".join([f"{h:x}@{p:x}" for h, p in zip(sketch[0].tolist(), sketch[1].tolist(), strict=True)])
+    pairs = np.stack([sketch[0], sketch[1].astype(np.uint64)], 1).ravel().tolist()
+    return f"{len(text)}:{head}:" + ("%x@%x," * len(sketch[0]) % tuple(pairs))[:-1]
 
 
 def edited(text: str, following: str) -> str:
@@ -127,15 +193,28 @@ def _ranges(rows: DataFrame) -> DataFrame:
     cuts = {min(max(int(c), LOWEST), -LOWEST - 1) for c in cuts}
     heavy = slim.groupBy("order", "named").count().where(F.col("count") > size).collect() if n > size else []
     cuts = sorted(cuts | {c for r in heavy if r.named for c in (r.order, r.order - 1) if c >= LOWEST})
-    number = F.lit(0) if not cuts else sum((F.when(F.col("order") <= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 8 else \
-        F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("order") <= c))
-    number = F.when(F.col("key").isNull(), len(cuts) + 1).otherwise(number)
-    piece = F.lit(0)
-    if heavy:  # hashes are even: equal steps from the highest down
-        pieces = F.create_map(*[F.lit(x) for r in heavy for x in (sum(r.order <= c for c in cuts) if r.named else len(cuts) + 1, -(-r["count"] // size))])
-        many = F.coalesce(F.try_element_at(pieces, number), F.lit(1))
-        piece = F.when(many > 1, F.least(many - 1, F.floor((F.lit(0.5) - F.xxhash64("text") / F.lit(2.0**64)) * many))).otherwise(0)
-    return rows.withColumn("range", number.cast("long") * 2 * MAX_RANGES + piece)
+    number = F.when(F.col("key").isNull(), len(cuts) + 1).otherwise(len(cuts) - _below(F.col("order"), cuts))
+    pieces = [1] * (len(cuts) + 2)
+    for r in heavy:
+        pieces[len(cuts) - bisect_left(cuts, r.order) if r.named else len(cuts) + 1] = -(-r["count"] // size)
+    if not heavy:
+        return rows.withColumn("range", number.cast("int"))
+    first = F.get(F.array(*[F.lit(x) for x in accumulate([0, *pieces[:-1]])]), number)
+    many = F.get(F.array(*[F.lit(x) for x in pieces]), number)
+    # hashes are even: equal steps from the highest down
+    piece = F.when(many > 1, F.least(many - 1, F.floor((F.lit(0.5) - F.xxhash64("text") / F.lit(2.0**64)) * many))).otherwise(0)
+    return rows.withColumn("range", (first + piece).cast("int"))
+
+
+def _below(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are less than ``value``: whole blocks first, then the cuts of one block."""
+    step = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    if not blocks:
+        return F.lit(0)
+    known = F.array(*[F.array(*[F.lit(c) for c in block]) for block in [*blocks, [-LOWEST - 1]]])  # nothing is above the last block
+    whole = F.size(F.filter(F.array(*[F.lit(block[-1]) for block in blocks]), lambda c: c < value))
+    return F.least(whole * step, F.lit(len(cuts))) + F.size(F.filter(F.get(known, whole), lambda c: c < value))
 
 
 def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,38 +222,34 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     prepared(df.sparkSession)
     order = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
     rows = _ranges(df.select(F.col(key).alias("key"), order.alias("order"), text_or_empty(text).alias("text")))
-    # one slim row per range: its highest id and text hash, to find the row that follows the range above
+    # one slim row per range: its highest id and text hash, to find the row that follows the range above (after the lowest: the highest)
     tag = F.struct(F.col("order"), F.col("key").isNotNull().alias("named"), F.xxhash64("text").alias("h"))
-    heads = materialize(rows.groupBy("range").agg(F.max(tag).alias("head")))
-    by = Window.orderBy("range")  # ranges only, a few thousand rows at most
-    heads = heads.withColumn("above", F.lag("range").over(by)).withColumn("lowest", F.max("range").over(Window.partitionBy()))
-    heads = heads.select(F.col("range").alias("of"), F.col("head"), F.coalesce("above", "lowest").alias("guest_of")).collect()
-    if not heads:
-        guest_of = F.lit(None).cast("long")
-    else:
-        spots = F.create_map(*[F.lit(x) for r in heads for x in (r.of, r.guest_of)])
-        tops = F.create_map(*[x for r in heads for x in (F.lit(r.of), F.struct(F.lit(r.head.order).alias("order"), F.lit(r.head.named).alias("named"), F.lit(r.head.h).alias("h")))])
-        guest_of = F.when(tag == tops[F.col("range")], spots[F.col("range")])
-    sent = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.when(guest_of.isNotNull(), F.struct(guest_of.alias("range"), F.lit(True).alias("guest")))))
+    heads = sorted(rows.groupBy("range").agg(F.max(tag).alias("head")).collect())  # a few thousand rows at most
+    parts = heads[-1].range + 1 if heads else 1
+    above: list = [(0, False, 0, 0)] * parts  # a range without rows is never looked up
+    for before, r in zip([*heads[-1:], *heads], heads, strict=False):
+        above[r.range] = (*r.head, before.range)
+    order, named, h, guest_of = (F.get(F.array(*[F.lit(x[i]) for x in above]), F.col("range")) for i in range(4))
+    top = (F.col("order") == order) & (F.col("key").isNotNull() == named) & (F.xxhash64("text") == h)
+    sent = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.when(top, F.struct(guest_of.alias("range"), F.lit(True).alias("guest")))))
     dealt = rows.select("key", "order", "text", F.explode(sent).alias("to")).select("key", "order", "text", "to.range", "to.guest")
-    parts = max(1, len(heads))
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", F.desc("order"), F.desc(F.col("key").isNotNull()), F.desc(F.xxhash64("text")))
+    # every range is a task of its own: hashed, several would meet in one
+    dealt = dealt.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "guest", F.desc("order"), F.desc(F.col("key").isNotNull()), F.desc(F.xxhash64("text")))
     key_type = df.select(key).schema[0].dataType.simpleString()
     ddl = f"`key` {key_type}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def judged(keys: list, texts: list[str], following: list[str]) -> Iterator[pa.RecordBatch]:
         """Rows of consecutive documents; ``following[i]`` is the text after ``texts[i]``."""
-        for a, b in batches_of(texts):
+        for a, b in batches_of(texts, PASS_CHARS):
             own, after = texts[a:b], following[a:b]
             changed = [edited(x, y) for x, y in zip(own, after, strict=True)]
-            marks = sketches(own + changed + after[-1:])
-            mine, theirs = marks[: b - a], marks[b - a: 2 * (b - a)]
-            nexts = [*mine[1:], marks[-1]]
+            mine, theirs = chained([*own, after[-1]])
+            near = (likenesses(mine.part(0, b - a), other, np.array([s == t for s, t in zip(own, like, strict=True)]))
+                    for other, like in ((theirs, changed), (mine.part(1, b - a + 1), after)))
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys[a:b], key_array_type), pa.array([len(x) for x in own], pa.int64()), pa.array(changed, pa.string()),
-                pa.array([written(*x) for x in zip(own, mine, strict=True)], pa.string()), pa.array([written(*x) for x in zip(changed, theirs, strict=True)], pa.string()),
-                pa.array([likeness(x, y, s == t) for x, y, s, t in zip(mine, theirs, own, changed, strict=True)], pa.float64()),
-                pa.array([likeness(x, y, s == t) for x, y, s, t in zip(mine, nexts, own, after, strict=True)], pa.float64())],
+                pa.array([written(x, mine.one(i)) for i, x in enumerate(own)], pa.string()), pa.array([written(x, theirs.one(i)) for i, x in enumerate(changed)], pa.string()),
+                *(pa.array(x, pa.float64()) for x in near)],
                 names=["key", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     key_array_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(key_type, pa.int64())

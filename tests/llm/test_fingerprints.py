@@ -87,3 +87,42 @@ def test_ranges_stay_even(spark, tmp_path, monkeypatch):
     order = sorted(zip(ids, texts, strict=False), key=lambda r: (-(2**63) if r[0] is None else r[0], r[0] is not None, h[r[1]]), reverse=True)
     want = [(i, hashlib.sha256(fp.edited(t, order[(k + 1) % 120][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def plain_likeness(a, b, equal):
+    """Likeness by its definition, over dicts of hash and position."""
+    a, b = (dict(zip(s[0].tolist(), s[1].tolist(), strict=True)) for s in (a, b))
+    if equal:
+        return 1.0
+    joint = sorted(a.keys() | b.keys())[:fp.ANCHORS]
+    shift = [a[h] - b[h] for h in sorted((h for h in joint if h in a and h in b), key=a.get)]
+    steady = [abs(x - y) <= fp.DRIFT for x, y in zip(shift, shift[1:], strict=False)]
+    kept = sum(x or y for x, y in zip([False, *steady], [*steady, False], strict=True)) if len(shift) > 1 else len(shift)
+    return kept / len(joint) if a and b else 0.0
+
+
+def test_edited_texts_are_not_hashed_again(monkeypatch):
+    rng, hashed = random.Random(8), []
+    plain = fp.code_points
+    monkeypatch.setattr(fp, "code_points", lambda texts: (hashed.append(sum(map(len, texts))), plain(texts))[1])
+    for letters in ("a", "ab ", "abcdé漢😀 \n"):
+        texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 15, 16, 17, 31, 32, 33, 90, 900, 4000]))) * rng.choice([1, 1, 3]) for _ in range(60)]
+        texts += texts[:3]
+        hashed.clear()
+        mine, theirs = fp.chained(texts)
+        assert sum(hashed) <= sum(map(len, texts)) + 2 * fp.K * len(texts)
+        changed = [fp.edited(x, y) for x, y in zip(texts, texts[1:], strict=False)]
+        equal = np.array([x == y for x, y in zip(texts, changed, strict=False)])
+        near = fp.likenesses(mine.part(0, len(changed)), theirs, equal)
+        for i, x in enumerate(changed):
+            whole, own = fp.sketches([x])[0], fp.sketches([texts[i]])[0]
+            assert np.array_equal(theirs.one(i)[0], whole[0]) and np.array_equal(theirs.one(i)[1], whole[1])
+            assert np.array_equal(mine.one(i)[0], own[0]) and near[i] == plain_likeness(own, whole, equal[i])
+
+
+def test_a_range_is_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 50)
+    rows = [(None if i % 40 == 0 else i, f"text {i}") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entries.op4_fingerprint(spark, str(tmp_path)).selectExpr("spark_partition_id() AS task").groupBy("task").count().collect()
+    assert sum(r["count"] for r in got) == 1500 and max(r["count"] for r in got) < 100
