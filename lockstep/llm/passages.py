@@ -4,7 +4,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 by its anchor, the leftmost smallest hash of its ``GRAM``-byte grams, which depends on the window alone. Windows with the same anchor in one
 text form a segment. Equal windows have equal anchors at equal places, so:
 
-1. each text's segments are listed (anchor, digest, place), about one per 150 bytes; anchors that occur once in the corpus are dropped;
+1. each text's segments are listed (anchor, digest, place), about one per 150 bytes, equal ones of a text in one row; anchors that occur
+   once in the corpus are dropped;
 2. a segment that occurs again as a whole goes as a whole, in every text that has it;
 3. different segments with one anchor are cut into ``STRIPS``: the windows that start in one strip of places before the anchor. All of
    them share a block of bytes, so strips whose block occurs once are dropped, equal strips go as a whole, and different ones with one
@@ -112,7 +113,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _segment_rows(rows: DataFrame, length: int) -> DataFrame:
-    """``h, n, start, end, place, anchor, digest`` of the segments of every text."""
+    """``h, n, start, end, place, anchor, digest, starts`` of the segments of every text: one row for equal ones, the first and all starts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch.column(2))
@@ -123,13 +124,18 @@ def _segment_rows(rows: DataFrame, length: int) -> DataFrame:
                     if not len(t):
                         continue
                     t = t + c
-                    digest = [xxhash.xxh3_64_intdigest(some[i][x:y]) for i, x, y in zip(t.tolist(), start.tolist(), end.tolist(), strict=True)]
-                    base, row = np.array(offset)[t], pa.array(np.array(which)[t] + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start + base), pa.array(end + base), pa.array(place + base),
-                                                      pa.array(anchor.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64))],
-                                                     names=["h", "n", "start", "end", "place", "anchor", "digest"])
+                    digest = np.array([xxhash.xxh3_64_intdigest(some[i][x:y]) for i, x, y in zip(t.tolist(), start.tolist(), end.tolist(), strict=True)], np.uint64)
+                    order = np.lexsort((start, digest, anchor, t))
+                    t, start, end, place, anchor, digest = (x[order] for x in (t, start, end, place, anchor, digest))
+                    new = np.concatenate([[True], (t[1:] != t[:-1]) | (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])])
+                    base = np.array(offset)[t]
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(t)), pa.int32()), pa.array(start + base))
+                    t, base, row = t[new], base[new], pa.array(np.array(which)[t[new]] + a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x[new] + base) for x in (start, end, place)),
+                                                      *(pa.array(x[new].view(np.int64)) for x in (anchor, digest)), starts],
+                                                     names=["h", "n", "start", "end", "place", "anchor", "digest", "starts"])
 
-    return rows.mapInArrow(run, "h long, n int, start long, end long, place long, anchor long, digest long")
+    return rows.mapInArrow(run, "h long, n int, start long, end long, place long, anchor long, digest long, starts array<long>")
 
 
 def repeated_windows(contents: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -294,21 +300,22 @@ def repeated_ranges(df: DataFrame, text: str = "text", length: int = LENGTH) ->
     rows = keyed(df, text)
     listed = materialize(_segment_rows(rows.where(F.col("n") >= length), length))
     # anchors seen once are dropped first, on two slim columns
-    again = listed.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
+    times = F.sum(F.size("starts")).alias("times")
+    again = materialize(listed.groupBy("anchor").agg(times).where("times > 1").select("anchor"))  # written, so that the join may split a frequent anchor's rows
     shared = materialize(listed.join(again, "anchor", "left_semi"))
-    kinds = materialize(shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("h", "n", "start", "end", "place")).alias("one")))
+    kinds = materialize(shared.groupBy("anchor", "digest").agg(times, F.min(F.struct("h", "n", "start", "end", "place")).alias("one")))
     whole = kinds.where("times > 1").select("anchor", "digest", F.lit(0).cast("long").alias("lo"), (F.col("one.end") - F.col("one.start")).alias("hi"))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"))
     wanted = kinds.join(several, "anchor").select("one.*", "anchor", "digest", "contents")
-    many = wanted.where(F.col("contents") > MOST_CONTENTS).select("anchor").distinct()
+    many = several.where(F.col("contents") > MOST_CONTENTS).select("anchor")
     contents = materialize(_fetched(rows, wanted.drop("contents")))
     some = _by_suffix_array(_strip_rows(contents.join(many, "anchor", "left_anti"), length), length)
     if many.limit(1).count():
         some = some.unionByName(_by_rounds(_strip_rows(contents.join(many, "anchor", "left_semi"), length), length))
     # one row per segment's content, so that a text's segment meets one row; copies of a text are resolved once
     inside = whole.unionByName(some).groupBy("anchor", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("inside"))
-    own = shared.select("h", "n", "start", "anchor", "digest").distinct().join(inside, ["anchor", "digest"])
-    at = own.select("h", "n", F.transform("inside", lambda x: F.struct((F.col("start") + x["lo"]).alias("a"), (F.col("start") + x["hi"]).alias("b"))).alias("at"))
+    own = shared.select("h", "n", "starts", "anchor", "digest").distinct().join(inside, ["anchor", "digest"])
+    at = own.select("h", "n", F.flatten(F.transform("starts", lambda s: F.transform("inside", lambda x: F.struct((s + x["lo"]).alias("a"), (s + x["hi"]).alias("b"))))).alias("at"))
     return materialize(at.groupBy("h", "n").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("ranges")))  # a text's own ranges
 
 

@@ -80,3 +80,18 @@ def test_strips_hold_every_window_once():
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert entries.op7_passages(spark, str(tmp_path)).count() == 0
+
+
+def test_repeats_within_a_text_are_one_row(spark):
+    line = "one line of some length that is written again and again, "
+    texts = [line * 400, "x" * 3000, "once " + " ".join(str(i * 7919) for i in range(300))]
+    rows = pg.keyed(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text")
+    found = pg._segment_rows(rows, pg.LENGTH).collect()
+    for t in texts[:2]:
+        own = [r for r in found if r.n == len(t)]
+        assert len(own) < 10
+        spans = sorted((s, s + r.end - r.start) for r in own for s in r.starts)
+        assert len(spans) > 300 and spans[0][0] == 0 and max(b for _, b in spans) == len(t)
+        assert all(t[s:s + r.end - r.start] == t[r.start:r.end] for r in own for s in r.starts)
+    gone = pg.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in gone] == [(len(t), k * len(t), k) for t, k in zip(texts, (1, 1, 0), strict=True)]
