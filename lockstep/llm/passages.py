@@ -175,7 +175,8 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``anchor, digest, place, content`` of the wanted segments (``h, n, start, end, place, anchor, digest``), cut from their texts;
     ``place`` is then the anchor's in the content."""
-    asked = wanted.groupBy("h", "n").agg(F.collect_list(F.struct("start", "end", "place", "anchor", "digest")).alias("asked"))  # a text's own segments
+    # a text's own segments; written, so that the join may split the copies of one text
+    asked = materialize(wanted.groupBy("h", "n").agg(F.collect_list(F.struct("start", "end", "place", "anchor", "digest")).alias("asked")))
     texts = rows.join(asked, ["h", "n"]).select("h", "n", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
