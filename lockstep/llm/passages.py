@@ -138,22 +138,25 @@ def _segment_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, n int, start long, end long, place long, anchor long, digest long, starts array<long>")
 
 
-def repeated_windows(contents: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For distinct contents: byte ranges covered by windows that start at another place too, by a suffix array of all of them."""
-    joined: list[int] = []
-    for c in contents:
-        joined += [x + 1 for x in c]
-        joined.append(0)
-    owner = np.repeat(np.arange(len(contents)), [len(c) + 1 for c in contents])
-    first = np.cumsum([0, *(len(c) + 1 for c in contents)])
-    raw = b"\0".join(contents) + b"\0"
-    place = np.array(suffix_array(joined), np.int64)
-    whole = place[place + length < first[owner[place] + 1]].tolist()  # suffixes with a whole window; equal windows are neighbours among them
+def repeated_windows(contents: list[bytes], length: int, blocks: list[int] | None = None, common: int = 0) -> list[list[tuple[int, int]]]:
+    """For distinct contents: byte ranges covered by windows that start at another place too, by a suffix array of all of them.
+
+    Where all windows of all contents hold the same ``common`` bytes, which start at ``blocks`` in each, those are one letter of its text.
+    """
+    one = np.array([257] if common else [], np.uint16)
+    letters = [np.frombuffer(c, np.uint8).astype(np.uint16) + np.uint16(1) for c in contents]
+    letters = [np.concatenate([x[:a], one, x[a + common:], [0]]) for x, a in zip(letters, blocks or [0] * len(contents), strict=True)]
+    sizes = [len(x) for x in letters]
+    owner, first = np.repeat(np.arange(len(contents)), sizes), np.cumsum([0, *sizes])
+    joined = np.concatenate(letters).astype(np.uint16)
+    raw, span = joined.tobytes(), length - common + len(one)
+    place = np.array(suffix_array(joined.tolist()), np.int64)
+    whole = place[place + span < first[owner[place] + 1]].tolist()  # suffixes with a whole window; equal windows are neighbours among them
     found: list[list[int]] = [[] for _ in contents]
     previous = None
     marked = -1
     for p in whole:
-        if previous is not None and raw[p:p + length] == raw[previous:previous + length]:
+        if previous is not None and raw[2 * p:2 * (p + span)] == raw[2 * previous:2 * (previous + span)]:
             for q in (previous, p) if marked != previous else (p,):
                 found[owner[q]].append(q - int(first[owner[q]]))
             marked = p
@@ -257,25 +260,26 @@ def _by_suffix_array(strips: DataFrame, length: int) -> DataFrame:
         key, held, of = None, {}, {}
 
         def out() -> list[tuple[int, int, int, int]]:
-            ranges = {p: [(0, len(held[p]))] for p, origins in of.items() if len(origins) > 1}
-            if len(held) > 1:
-                for p, found in zip(held, repeated_windows(list(held.values()), length), strict=True):
-                    ranges.setdefault(p, found)
+            ranges = {p: [(0, len(c))] for some in held.values() for p, (c, _) in some.items() if len(of[p]) > 1}
+            for block, some in held.items():  # one, but where keys clash
+                if len(some) > 1:
+                    for p, found in zip(some, repeated_windows([c for c, _ in some.values()], length, [at for _, at in some.values()], len(block)), strict=True):
+                        ranges.setdefault(p, found)
             return [(a, d, o + x, o + y) for p, found in ranges.items() for a, d, o in of[p] for x, y in found]
 
         for batch in batches:
             found: list[tuple[int, int, int, int]] = []
-            for k, p, a, d, o, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for k, p, a, d, o, place, lo, hi, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if k != key:
                     found += out()
                     key, held, of = k, {}, {}
-                held[p] = c
+                at = place - (hi - 1) + length
+                held.setdefault(c[place - lo:at], {})[p] = c, place - lo
                 of.setdefault(p, []).append((a, d, o))
             yield _ranges(found)
         yield _ranges(out())
 
-    rows = strips.select("key", "part", "anchor", "digest", "offset", "content")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, digest long, lo long, hi long")
+    return strips.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, digest long, lo long, hi long")
 
 
 def _ranges(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:

@@ -95,3 +95,15 @@ def test_repeats_within_a_text_are_one_row(spark):
         assert all(t[s:s + r.end - r.start] == t[r.start:r.end] for r in own for s in r.starts)
     gone = pg.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans) for r in gone] == [(len(t), k * len(t), k) for t, k in zip(texts, (1, 1, 0), strict=True)]
+
+
+def test_a_block_in_all_windows_is_one_letter(monkeypatch):
+    rng, n, gram, sizes = random.Random(5), 40, 9, []
+    plain = pg.suffix_array
+    monkeypatch.setattr(pg, "suffix_array", lambda text: sizes.append(len(text)) or plain(text))
+    for _ in range(100):
+        block = bytes(rng.randrange(256) for _ in range(n - gram))
+        sides = {(bytes(rng.choice(b"ab") for _ in range(rng.randrange(gram + 1))), bytes(rng.choice(b"ab") for _ in range(rng.randrange(gram + 1)))) for _ in range(12)}
+        contents = [a + block + b for a, b in sides]
+        assert pg.repeated_windows(contents, n, [len(a) for a, _ in sides], len(block)) == pg.repeated_windows(contents, n)
+    assert all(a + (n - gram - 1) * 2 <= b for a, b in zip(sizes[::2], sizes[1::2], strict=True))
