@@ -105,5 +105,29 @@ def test_a_block_in_all_windows_is_one_letter(monkeypatch):
         block = bytes(rng.randrange(256) for _ in range(n - gram))
         sides = {(bytes(rng.choice(b"ab") for _ in range(rng.randrange(gram + 1))), bytes(rng.choice(b"ab") for _ in range(rng.randrange(gram + 1)))) for _ in range(12)}
         contents = [a + block + b for a, b in sides]
-        assert pg.repeated_windows(contents, n, [len(a) for a, _ in sides], len(block)) == pg.repeated_windows(contents, n)
-    assert all(a + (n - gram - 1) * 2 <= b for a, b in zip(sizes[::2], sizes[1::2], strict=True))
+        want = pg.repeated_windows(contents, n)
+        assert pg.repeated_windows(contents, n, [len(a) for a, _ in sides], len(block)) == want
+        done = len(sizes)
+        assert pg.around_block(contents, n, [len(a) for a, _ in sides], len(block)) == want
+        del sizes[done:]
+    assert all(a + (n - gram - 1) * 2 <= b for a, b in zip(sizes[1::2], sizes[::2], strict=True))
+
+
+@pytest.mark.parametrize("most", [1500, 2])
+def test_repeated_passages_of_fifty_words_leave_the_last_column(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(pg, "MOST_CONTENTS", most)
+    monkeypatch.setattr(pg, "PART_BYTES", 700)
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    passage = prose(51)
+    assert 240 < len(passage) < 390
+    texts = [prose(40) + " " + passage + " " + prose(200) for _ in range(6)] + [prose(60), None, "", *corpus(rng)[4:40]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = entries.op7_passages(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(len(texts)))
+    assert all(passage in r.kept_text and passage[20:] not in r.text for r in got[:6])
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute(texts, 400)
+    ascii_only = [i for i, t in enumerate(texts) if (t or "").isascii()]
+    short = brute(texts, entries.SHORT_PASSAGE)
+    assert [hashlib.sha256(got[i].text.encode()).hexdigest() for i in ascii_only] == [short[i][3] for i in ascii_only]
+    assert [len(got[i].text) for i in ascii_only] == [short[i][0] - short[i][1] for i in ascii_only]
