@@ -12,8 +12,11 @@ text form a segment. Equal windows have equal anchors at equal places, so:
    block are compared by a suffix array (linear grouping) over their distinct contents: neighbours in its order with ``length`` common
    bytes are repeated windows. Blocks that more than ``MOST_CONTENTS`` different strips share would make one task's array too large: those
    strips are halved, which lengthens the block, round by round until no more share one (a strip of one window is its block);
+   Before an array is built, strips are cut to what another one shares on both sides of the block, and the block becomes one letter;
 4. the windows of a text are merged and cut out.
 
+Several lengths go through the same passes, each with anchors of its own.
+
 Texts are known by a 64-bit hash and their length, so copies of a text are listed once each but resolved once. Everything wide or
 unbounded is shuffled by anchor, by window or by text.
 
