@@ -132,10 +132,12 @@ def _folder(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         df.write.parquet(where)
         return spark.read.schema(df.schema).parquet(where)
 
-    yield stored
-    with suppress(OSError, ValueError, NotImplementedError):  # nothing reads it any more; a store that pyarrow does not know keeps it
-        store, place = pa_fs.FileSystem.from_uri(path)
-        store.delete_dir(place)
+    try:
+        yield stored
+    finally:
+        with suppress(OSError, ValueError, NotImplementedError):  # nothing reads it any more; a store that pyarrow does not know keeps it
+            store, place = pa_fs.FileSystem.from_uri(path)
+            store.delete_dir(place)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
