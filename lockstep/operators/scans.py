@@ -133,12 +133,13 @@ def cut_at(df: DataFrame, order: str, bounds: list[float]) -> tuple[DataFrame, C
     return out, F.col("_quantile").cast("long")
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Median of ``value`` per key. Equal values are counted before the shuffle to the key, so repeats cost nothing.
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, weight: str | None = None) -> DataFrame:
+    """Median of ``value`` per key; a row counts ``weight`` times (once without). Equal values are counted before the shuffle to the key, so
+    repeats cost nothing.
 
     The middle is found by counting from both ends: a sort and running sums, which spill, and no map of a key's values in memory.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     ends = {"_up": F.col(value).asc(), "_down": F.col(value).desc()}
     ranked = counts.select("*", *[F.sum("_n").over(W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, 0)).alias(c) for c, o in ends.items()])
     half = (F.col("_up") + F.col("_down") - F.col("_n")) / 2

@@ -2,6 +2,9 @@
 
 A series is ``keys, idx, raw`` with ``idx`` dense from 0. Plateaus are found from transitions alone - the few samples where the
 series moves - so the long quiet stretches are never walked or sorted for every threshold tried.
+
+Joins here carry the hint "merge": samples are often generated from a small table, Spark takes them to be as small as that table, and would
+gather them on the driver to send them to every task.
 """
 
 from __future__ import annotations
@@ -55,7 +58,7 @@ def clip(series: DataFrame, keys: list[str], period_s: float, start_s: float = 0
     lead, tail = int(max(0.0, start_s) / period_s), int(max(0.0, end_s) / period_s)
     size = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     keeps = F.least(F.lit(lead), "_n") < F.col("_n") - F.least(F.lit(tail), "_n")
-    ranged = series.join(size, keys).withColumns({"_keeps": keeps, "clip_ignored": ~keeps})
+    ranged = series.join(size.hint("merge"), keys).withColumns({"_keeps": keeps, "clip_ignored": ~keeps})
     return (ranged.where(~F.col("_keeps") | ((F.col("idx") >= lead) & (F.col("idx") < F.col("_n") - tail)))
             .withColumn("idx", F.when(F.col("_keeps"), F.col("idx") - lead).otherwise(F.col("idx"))).drop("_n", "_keeps"))
 
@@ -63,7 +66,7 @@ def clip(series: DataFrame, keys: list[str], period_s: float, start_s: float = 0
 def derivative(series: DataFrame, keys: list[str]) -> DataFrame:
     """``d`` at ``idx`` is the change from sample ``idx`` to the next; the last sample has none."""
     cut = F.expr(f"idx div {_SAMPLES_PER_CHUNK}")
-    after = ordered_scan(series, keys, ["idx"], [Carry("next_raw", F.col("raw"), "next", inclusive=False)], cut)
+    after = ordered_scan(series.hint("merge"), keys, ["idx"], [Carry("next_raw", F.col("raw"), "next", inclusive=False)], cut)
     return after.where("next_raw is not null").withColumn("d", F.col("next_raw") - F.col("raw"))
 
 
@@ -71,17 +74,19 @@ def live_sigma(deriv: DataFrame, series: DataFrame, keys: list[str]) -> DataFram
     """Robust spread of the changes, leaving out samples resting exactly on the series' minimum or maximum (all, if all do)."""
     ends = series.groupBy(*keys).agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
     pinned = (F.col("raw") == F.col("next_raw")) & F.col("raw").isin(F.col("_lo"), F.col("_hi"))
-    marked = deriv.join(ends, keys).select(*keys, "d", pinned.alias("pinned"))
-    alive = marked.groupBy(*keys).agg(F.bool_or(~F.col("pinned")).alias("_alive"))
-    used = marked.join(alive, keys).where(~F.col("pinned") | ~F.col("_alive")).select(*keys, "d")
-    centred = used.join(exact_median(used, keys, "d", "_med"), keys).withColumn("dev", F.abs(F.col("d") - F.col("_med")))
-    return exact_median(centred, keys, "dev", "_mad").select(*keys, (MAD_TO_SIGMA * F.col("_mad")).alias("sigma"))
+    marked = deriv.join(ends.hint("merge"), keys).select(*keys, "d", pinned.alias("pinned"))
+    counts = marked.groupBy(*keys, "d", "pinned").agg(F.count(F.lit(1)).alias("n"))  # from here on a row is a change, however often it is seen
+    alive = counts.withColumn("_alive", F.bool_or(~F.col("pinned")).over(W.partitionBy(*keys)))
+    used = alive.where(~F.col("pinned") | ~F.col("_alive")).select(*keys, "d", "n")
+    middle = exact_median(used, keys, "d", "_med", "n").hint("merge")
+    centred = used.join(middle, keys).withColumn("dev", F.abs(F.col("d") - F.col("_med")))
+    return exact_median(centred, keys, "dev", "_mad", "n").select(*keys, (MAD_TO_SIGMA * F.col("_mad")).alias("sigma"))
 
 
 def mark_stable(series: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
     """Flag each sample: it is unstable if the change into it or out of it exceeds the threshold."""
     cut = F.expr(f"idx div {_SAMPLES_PER_CHUNK}")
-    near = ordered_scan(series, keys, ["idx"], [Carry("_prev", F.col("raw"), "last", inclusive=False),
+    near = ordered_scan(series.hint("merge"), keys, ["idx"], [Carry("_prev", F.col("raw"), "last", inclusive=False),
                                                 Carry("_next", F.col("raw"), "next", inclusive=False)], cut)
     moved = F.coalesce(F.abs(F.col("raw") - F.col("_prev")) > threshold, F.lit(False)) | F.coalesce(
         F.abs(F.col("_next") - F.col("raw")) > threshold, F.lit(False))
@@ -97,7 +102,7 @@ def plateaus(edges: DataFrame, sizes: DataFrame, keys: list[str], confirm: int)
     ends = sizes.select(*keys, F.explode(F.array(F.lit(-2).cast("long"), F.col("n").cast("long"))).alias("idx"))
     marks = edges.select(*keys, F.col("idx").cast("long").alias("idx")).unionByName(ends)
     cut = F.expr(f"(idx + 2) div {_SAMPLES_PER_CHUNK}")
-    spaced = ordered_scan(marks, keys, ["idx"], [Carry("_prev", F.col("idx"), "last", inclusive=False)], cut)
+    spaced = ordered_scan(marks.hint("merge"), keys, ["idx"], [Carry("_prev", F.col("idx"), "last", inclusive=False)], cut)
     return spaced.select(*keys, (F.col("_prev") + 2).alias("begin"), F.col("idx").alias("end")).where(F.col("end") - F.col("begin") >= confirm)
 
 
@@ -106,7 +111,7 @@ def plateau_levels(found: DataFrame, series: DataFrame, keys: list[str], confirm
     series_keys = series_keys or keys
     tail = found.withColumn("idx", F.explode(F.sequence(F.greatest("begin", F.col("end") - confirm), F.col("end") - 1)))
     values = series.select(*series_keys, F.col("idx").cast("long").alias("idx"), "raw")
-    return tail.join(values, [*series_keys, "idx"]).groupBy(*keys, "begin", "end").agg(F.avg("raw").alias("value"))
+    return tail.join(values.hint("merge"), [*series_keys, "idx"]).groupBy(*keys, "begin", "end").agg(F.avg("raw").alias("value"))
 
 
 def coalesce_levels(levels: DataFrame, keys: list[str], tolerance: Column) -> DataFrame:
@@ -123,7 +128,7 @@ def median_gap(levels: DataFrame, keys: list[str]) -> DataFrame:
     """Median size of the change between neighbouring levels (0 for fewer than two)."""
     order = W.partitionBy(*keys).orderBy("begin")
     gaps = levels.select(*keys, F.abs(F.col("value") - F.lag("value").over(order)).alias("gap"))
-    return (levels.select(*keys).distinct().join(exact_median(gaps, keys, "gap", "median_gap"), keys, "left")
+    return (levels.select(*keys).distinct().join(exact_median(gaps, keys, "gap", "median_gap").hint("merge"), keys, "left")
             .withColumn("median_gap", F.coalesce("median_gap", F.lit(0.0))))
 
 
@@ -164,12 +169,13 @@ def thresholds(sigma: DataFrame, keys: list[str]) -> DataFrame:
 def attempt_levels(series: DataFrame, deriv: DataFrame, tries: DataFrame, keys: list[str], confirm: int) -> tuple[DataFrame, DataFrame]:
     """Plateaus and merged levels for every (key, attempt)."""
     both = [*keys, "attempt"]
-    edges = deriv.select(*keys, "idx", F.abs("d").alias("_size")).join(tries.select(*both, "threshold"), keys).where("_size > threshold")
-    sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").join(tries.select(*both), keys)
-    found = plateaus(edges, sizes, both, confirm)
-    levels = plateau_levels(found, series, both, confirm, keys).join(tries.select(*both, "threshold"), both)
-    once = coalesce_levels(levels, both, F.col("threshold"))
-    gap = median_gap(once, both)
+    tries = tries.select(*both, "threshold").hint("merge")
+    edges = deriv.select(*keys, "idx", F.abs("d").alias("_size")).join(tries, keys).where("_size > threshold")
+    sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").join(tries.drop("threshold"), keys)
+    found = materialize(plateaus(edges, sizes, both, confirm))
+    levels = plateau_levels(found, series, both, confirm, keys).join(tries, both)
+    once = materialize(coalesce_levels(levels, both, F.col("threshold")))
+    gap = median_gap(once, both).hint("merge")
     twice = coalesce_levels(once.join(gap, both), both, F.greatest("threshold", SAME_LEVEL_FRACTION * F.col("median_gap")))
     return found, twice.select(*both, "threshold", "begin", "end", "value")
 
@@ -184,12 +190,14 @@ def detect_steps(series: DataFrame, keys: list[str], period_s: float, steps: lis
     ``len(steps)`` levels appears; failing that, a sweep that ran onto the converter's rail is calibrated as far as it got.
     """
     confirm, expected = confirm_samples(period_s), len(steps)
-    series = materialize(series.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("raw").cast("double").alias("raw")))
+    series = series.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("raw").cast("double").alias("raw"))
+    # dealt anew: the tasks that read a small table each generate a large part of the samples
+    series = materialize(series.repartition(*keys, F.expr(f"idx div {_SAMPLES_PER_CHUNK}")))
     everyone = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
     deriv = materialize(derivative(series, keys))
     tries = materialize(thresholds(live_sigma(deriv, series, keys), keys))
     found, levels = attempt_levels(series, deriv, tries, keys, confirm)
-    found, levels = materialize(found), materialize(levels)
+    levels = materialize(levels)
     both = [*keys, "attempt"]
     runs = materialize(monotonic_runs(levels, both, F.col("threshold")))
     counts = levels.groupBy(*both).agg(F.count(F.lit(1)).alias("n_levels"))
@@ -200,19 +208,23 @@ def detect_steps(series: DataFrame, keys: list[str], period_s: float, steps: lis
     nominal = (numbered.where("attempt = 0").groupBy(*keys)
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("level_no", "value"))), lambda s: s.value).alias("plateau_levels")))
     n_plateaus = found.groupBy(*both).agg(F.count(F.lit(1)).alias("n_plateaus"))
-    base = (everyone.join(tries.where("attempt = 0").select(*keys, "nominal"), keys, "left").join(seen, keys, "left").join(nominal, keys, "left")
-            .join(n_plateaus.where("attempt = 0").select(*keys, F.col("n_plateaus").alias("detected_plateaus")), keys, "left"))
+    parts = [tries.where("attempt = 0").select(*keys, "nominal"), seen, nominal,
+             n_plateaus.where("attempt = 0").select(*keys, F.col("n_plateaus").alias("detected_plateaus"))]
+    base = everyone
+    for part in parts:
+        base = base.join(part.hint("merge"), keys, "left")
     if not expected:
         swept = base.select(*keys, F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("int").alias("sweep_start"),
                             F.lit(None).cast("int").alias("sweep_levels")).where("false")
-    points = pair_steps(numbered.join(swept, both), keys, steps)
-    accepted = (swept.join(n_plateaus, both).join(tries.select(*both, "threshold"), both)
+    swept = swept.hint("merge")
+    points = pair_steps(numbered.join(swept, both), keys, steps).hint("merge")
+    accepted = (swept.join(n_plateaus, both).join(tries.select(*both, "threshold").hint("merge"), both)
                 .select(*keys, F.col("attempt").alias("accepted_attempt"), F.col("threshold").alias("accepted_threshold"), "sweep_levels",
                         (F.col("n_plateaus") > expected).alias("extra_plateaus")).join(points, keys))
-    full = materialize(base.join(accepted, keys, "left"))  # one row per key; what is below uses it five times
+    full = materialize(base.join(accepted.hint("merge"), keys, "left"))  # one row per key; what is below uses it five times
     failed = full.where("accepted_attempt is null").select(*keys)
     rails = saturated_top(failed, numbered.where("attempt = 0"), runs.where("attempt = 0"), deriv, series, keys, steps, confirm)
-    out = full.join(rails.withColumnsRenamed({"points": "_points", "sweep_levels": "_levels"}), keys, "left")
+    out = full.join(rails.withColumnsRenamed({"points": "_points", "sweep_levels": "_levels"}).hint("merge"), keys, "left")
     good, railed = F.col("accepted_attempt").isNotNull(), F.col("_points").isNotNull()
     return out.select(
         *keys, "samples",
@@ -262,11 +274,11 @@ def saturated_top(candidates: DataFrame, levels: DataFrame, runs: DataFrame, der
     transitions must lie on a grid of equal dwells, and a level's step is its dwell counted from the run's first. A dwell the
     grid shows but no plateau confirmed is measured from its own settled samples.
     """
-    expected = len(steps)
+    expected, candidates = len(steps), candidates.hint("merge")
     mine = levels.join(candidates, keys, "left_semi")
     longest = (runs.join(candidates, keys, "left_semi").groupBy(*keys)
                .agg(F.max_by(F.struct("run_begin", "run_end"), F.struct("levels", -F.col("run_begin"))).alias("r"))
-               .select(*keys, "r.run_begin", "r.run_end"))
+               .select(*keys, "r.run_begin", "r.run_end")).hint("merge")
     inside = materialize(mine.join(longest, keys).where("level_no between run_begin and run_end"))
     railed = inside.withColumn("_open", F.when(~is_railed(F.col("value")) | (F.col("level_no") == F.col("run_begin")), F.col("level_no")))
     summary = railed.groupBy(*keys, "run_begin", "run_end").agg(
@@ -274,7 +286,7 @@ def saturated_top(candidates: DataFrame, levels: DataFrame, runs: DataFrame, der
     measured = F.col("last") - F.col("run_begin") + 1
     short = summary.where((F.col("last") < F.col("run_end")) & (measured >= max(MIN_PARTIAL_STEPS, expected // 2)))
     gap = median_gap(inside, keys).withColumn("major", MAJOR_EDGE_FRACTION * F.col("median_gap")).drop("median_gap")
-    marked = short.join(gap, keys)
+    marked = materialize(short.join(gap.hint("merge"), keys)).hint("merge")
     edges = (deriv.select(*keys, "idx", "d").join(marked.select(*keys, "major"), keys).where(F.abs("d") >= F.col("major"))
              .groupBy(*keys).agg(F.array_sort(F.collect_list("idx")).alias("marks")))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields if f.name in keys)
@@ -286,10 +298,10 @@ def saturated_top(candidates: DataFrame, levels: DataFrame, runs: DataFrame, der
              .where(F.expr("slots[i + 1] - slot_at = 1"))
              .select(*keys, (F.col("slot_at") + 1).alias("slot"), F.expr("greatest(bounds[i] + 2, bounds[i + 1] - " + str(confirm) + ")").alias("lo"),
                      F.expr("bounds[i + 1]").alias("hi")).where(F.col("hi") - F.col("lo") >= MIN_CONFIRM_SAMPLES))
-    tails = holes.select(*keys, "slot", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("idx")).join(series, [*keys, "idx"])
+    tails = holes.select(*keys, "slot", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("idx")).join(series.hint("merge"), [*keys, "idx"])
     dwell = exact_median(tails, [*keys, "slot"], "raw", "level").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("slot", "level"))).alias("holes"))
-    rows = ready.join(dwell, keys, "left").select(*keys, "level_slots", "values", "holes", "sweep_levels")
+    rows = ready.join(dwell.hint("merge"), keys, "left").select(*keys, "level_slots", "values", "holes", "sweep_levels")
     return rows.mapInPandas(lambda frames: _finish_partial(frames, keys, steps),
                             f"{types}, points array<{_POINT}>, unresolved_db array<double>, sweep_levels int")
 

@@ -105,3 +105,20 @@ def test_median_counts_from_both_ends(spark):
 def test_dwells_are_numbered_by_their_median():
     assert st.dwell_grid(np.array([10, 20, 31, 52])).tolist() == [0, 1, 2, 4]
     assert st.dwell_grid(np.array([10, 20, 30, 45])) is None and st.dwell_grid(np.array([10])) is None and st.dwell_grid(np.array([], int)) is None
+
+
+def test_samples_of_a_small_table_are_not_sent_to_every_task(spark, monkeypatch):
+    """Spark takes what is generated from a table to be as small as the table: joins gathered all samples on the driver."""
+    plans, store = [], st.materialize
+    monkeypatch.setattr(st, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df))[1])
+    made = spark.range(6).select(F.col("id").alias("channel"), F.posexplode(F.array(*[F.lit(1000.0 * (i // 15)) for i in range(45)])).alias("idx", "raw"))
+    out = st.detect_steps(made, ["channel"], 0.2, [0.0, 6.0, 12.0, 18.0])
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.outcome for r in out.collect()} == {"too_few_plateaus"}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_weighted_median(spark):
+    rows = [("a", 1.0, 1), ("a", 2.0, 5), ("a", 9.0, 5), ("b", 1.0, 2), ("b", 4.0, 1), ("b", 6.0, 1), ("c", 3.0, 7)]
+    got = exact_median(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", "m", "n")
+    assert {r.k: r.m for r in got.collect()} == {"a": 2.0, "b": 2.5, "c": 3.0}
