@@ -160,9 +160,9 @@ def thresholds(sigma: DataFrame, keys: list[str]) -> DataFrame:
     nominal = F.greatest(EDGE_SIGMAS * F.col("sigma"), F.lit(MIN_EDGE_COUNTS))
     floor = F.greatest(MIN_EDGE_SIGMAS * F.col("sigma"), F.lit(MIN_EDGE_COUNTS))
     tries = F.array(*[F.struct(F.lit(k).alias("attempt"), F.pow(F.lit(RELAX_FACTOR), F.lit(k)).alias("scale")) for k in range(MAX_ATTEMPTS)])
-    return (sigma.withColumn("nominal", nominal).withColumn("_floor", floor).withColumn("t", F.explode(tries))
+    made = F.filter(tries, lambda t: (t.attempt == 0) | (F.col("nominal") * t.scale >= F.col("_floor")))
+    return (sigma.withColumn("nominal", nominal).withColumn("_floor", floor).withColumn("t", F.explode(made))
             .withColumn("threshold", F.col("nominal") * F.col("t.scale"))
-            .where((F.col("t.attempt") == 0) | (F.col("threshold") >= F.col("_floor")))
             .select(*keys, "sigma", "nominal", F.col("t.attempt").alias("attempt"), "threshold"))
 
 

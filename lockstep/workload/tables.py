@@ -15,6 +15,8 @@ from lockstep.workload.documents import table
 
 THRESHOLD = 0.15
 CONFIRM = 3
+#: Samples of a level in ``E12_detect_steps``, and counts of noise for a component of 1 in the channels numbered 1 modulo 8.
+HELD, NOISE = 6, 2000
 KEYS = ["channel"]
 
 
@@ -86,9 +88,15 @@ def extraction_period(spark, sf):
 
 
 def detect_steps(spark, sf):
-    """Every vector scaled to counts, held three samples a level: the whole detection, relaxing and classifying."""
-    s = raw_series(spark, sf).select("channel", F.explode(F.sequence(F.col("idx") * 3, F.col("idx") * 3 + 2)).alias("idx"),
-                                     F.round(F.col("raw") * 20000 + 30000, 0).alias("raw"))
+    """Every vector scaled to counts, a component a level, with noise of other components: the whole detection, relaxing and classifying.
+
+    A level is held so long that it has confirmed samples between its edges. The noise grows with the channel's number modulo 8, from none to
+    more than most steps.
+    """
+    size = F.size("embedding")
+    sample = F.transform("embedding", lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(HELD - 1)), lambda j: (
+        F.round(x * 20000 + 30000) + F.round(F.col("vec_id") % 8 * NOISE * F.get("embedding", ((i * HELD + j) * 7 + 3) % size))).cast("double")))
+    s = table(spark, sf, "embeddings").select(F.col("vec_id").alias("channel"), F.posexplode(F.flatten(sample)).alias("idx", "raw"))
     out = st.detect_steps(s, KEYS, 0.4, [0.0, 6.0, 12.0])
     return out.select("channel", "outcome", "detected_plateaus", F.round("edge_threshold", 6).alias("edge_threshold"), "relaxed", "sweep_levels")
 

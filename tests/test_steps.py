@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lockstep.operators import steps as st
 from lockstep.operators.calibrate import calibrate_piecewise
 from lockstep.operators.scans import exact_median
+from lockstep.workload import tables
 
 JITTER = [3600.0 + 6.0 * (i % 2) for i in range(150)]
 CASES = {
@@ -122,3 +123,58 @@ def test_weighted_median(spark):
     rows = [("a", 1.0, 1), ("a", 2.0, 5), ("a", 9.0, 5), ("b", 1.0, 2), ("b", 4.0, 1), ("b", 6.0, 1), ("c", 3.0, 7)]
     got = exact_median(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", "m", "n")
     assert {r.k: r.m for r in got.collect()} == {"a": 2.0, "b": 2.5, "c": 3.0}
+
+
+def walk(raw, confirm, expected):
+    """``outcome, detected plateaus, threshold, relaxed, sweep levels`` of one series by the rule, threshold after threshold; without rails."""
+    d, n = np.diff(raw), raw.size
+    pinned = (d == 0) & np.isin(raw[:-1], [raw.min(), raw.max()])
+    live = d if pinned.all() else d[~pinned]
+    sigma = st.MAD_TO_SIGMA * np.median(np.abs(live - np.median(live)))
+    nominal, floor = max(6 * sigma, 2.0), max(1.5 * sigma, 2.0)
+    best, reached, first = 0, False, None
+    for attempt in range(8):
+        threshold = nominal * 0.7 ** attempt
+        if attempt and threshold < floor:
+            break
+        moved = np.abs(d) > threshold
+        stable = ~(np.r_[moved, False] | np.r_[False, moved])
+        cuts = np.flatnonzero(np.diff(np.r_[0, stable, 0])).reshape(-1, 2)
+        found = [(b, e) for b, e in cuts if e - b >= confirm]
+        first = len(found) if attempt == 0 else first
+        levels = [raw[e - confirm: e].mean() for _, e in found]
+        for same in (lambda: threshold, lambda: max(threshold, 0.1 * np.median(np.abs(np.diff(levels))) if len(levels) > 1 else 0)):
+            tolerance, merged, before = same(), [], None
+            for v in levels:
+                if before is not None and abs(v - before) <= tolerance:
+                    merged.pop()
+                merged.append(v)
+                before = v
+            levels = merged
+        best, reached = max(best, len(levels)), reached or len(levels) >= expected
+        run, way = 1, 0
+        for a, b in [*zip(levels, levels[1:]), (0, 0)]:
+            now = int(np.sign(b - a)) if abs(b - a) > threshold else 0
+            if now and now == way:
+                run += 1
+                continue
+            if run >= expected:
+                return "calibrated", first, threshold, attempt > 0, run
+            run, way = 1 + abs(now), now
+    return "flat" if best <= 1 else "no_monotonic_sweep" if reached else "too_few_plateaus", first, nominal, False, 0
+
+
+def test_vectors_with_noise_take_every_threshold(spark, tmp_path):
+    """Levels were held for as few samples as their edges make unstable, without noise: all channels were flat after one threshold."""
+    rng = np.random.default_rng(3)
+    vectors = {k: rng.normal(0, 0.125, 40).astype(np.float32) for k in range(24)}
+    spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.channel: r for r in tables.detect_steps(spark, str(tmp_path)).collect()}
+    near = lambda x: np.sign(x) * np.floor(np.abs(x) + 0.5)
+    want = {}
+    for k, v in vectors.items():
+        other = v.astype(float)[(np.arange(240) * 7 + 3) % 40]
+        want[k] = walk(near(np.repeat(v * np.float32(20000) + np.float32(30000), 6).astype(float)) + near(k % 8 * 2000 * other), 3, 3)
+    assert {k: (r.outcome, r.detected_plateaus, r.relaxed, r.sweep_levels) for k, r in got.items()} == {k: (*w[:2], *w[3:]) for k, w in want.items()}
+    assert {k: r.edge_threshold for k, r in got.items()} == pytest.approx({k: w[2] for k, w in want.items()}, abs=1e-5)
+    assert {r.outcome for r in got.values()} >= {"calibrated", "no_monotonic_sweep"} and {r.relaxed for r in got.values()} == {True, False}
