@@ -14,6 +14,8 @@ from lockstep.workload import documents as docs
 DELAY = 2
 #: Longer than any table's documents last, and a clock beyond that (in days).
 WHOLE, LATER = 10_000, 40_000
+#: A delivery is one trigger, whatever its files: a trigger takes seconds to start and to end, however little it reads.
+ALL_FILES = 2**31 - 1
 
 
 def _stream(spark, sf, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -57,7 +59,7 @@ def _flushed(spark, sf) -> DataFrame:
     clock, out, state = _Clock(spark), scratch(spark, "live"), scratch(spark, "live-state")
     rows = None
     for _ in range(2):
-        packets = docs.as_packets(_stream(spark, sf, "documents"))
+        packets = docs.as_packets(_stream(spark, sf, "documents", ALL_FILES))
         rows = run_available(lock_tracker(packets, docs.streams(spark), f"{WHOLE} days", clock.rows()), out, state)
         clock.move(LATER)
     return rows
@@ -95,13 +97,13 @@ def late(spark, sf):
     rows = None
     for part in (0, 1):
         source.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(path)
-        stream = read_packets_stream(spark, path, source.schema, files_per_trigger=2**31 - 1)  # a delivery is one trigger, whatever its files
+        stream = read_packets_stream(spark, path, source.schema, files_per_trigger=ALL_FILES)
         rows = run_available(lock_tracker(docs.as_packets(stream), docs.streams(spark), f"{DELAY} seconds"), out, state)
     return late_counts(rows)
 
 
 def gap_alerts(spark, sf):
-    whole = _stream(spark, sf, "events", files_per_trigger=2**31 - 1)  # the table is one delivery: its files need not be in the order of the ids
+    whole = _stream(spark, sf, "events", ALL_FILES)  # the files need not be in the order of the ids
     times = whole.select(F.col("user_id").cast("int").alias("source_id"), F.col("event_id").alias("file_offset"),
                          (F.unix_micros(F.col("ts").cast("timestamp")) * 10).alias("abs_ticks"))
     return _now(spark, time_gap_alerts(times)).select("source_id", "file_offset", F.round("gap_s", 6).alias("gap_s"))

@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 from bitstreams import PACKET_SCHEMA, packets, split, stream, streams
 
@@ -172,3 +173,25 @@ def test_time_gaps_in_memory_and_by_spans(monkeypatch):
     want = sorted([*want, (7, 700, None), (7, 2_100_000, None)], key=str)
     assert run(1 << 16)[0] == run(300)[0] == want
     assert run(1 << 16)[1] < 10 and run(300)[1] < 200
+
+
+def triggers(spark, run, tmp_path):
+    """Triggers that read something when a table of six files is run through ``run``, and its rows."""
+    texts = [sync + "x" * 96 for sync in (" den", " of ")]
+    rows = [(i, texts[i % 2] * (1 + i % 3), "de" if i % 2 == 0 else "en") for i in range(36)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartitionByRange(6, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    start = live.scratch
+    live.scratch = lambda s, name: made.append(start(s, name)) or made[-1]
+    try:
+        got = run(spark, str(tmp_path)).collect()
+    finally:
+        live.scratch = start
+    state = next(p for p in made if "live-state" in p).removeprefix("file:")
+    return len([p for p in Path(state, "sources", "0").iterdir() if p.name.isdigit()]), got
+
+
+def test_a_delivery_of_many_files_is_one_trigger_of_the_tracker(spark, tmp_path):
+    """Each file was a trigger, of seconds each."""
+    n, got = triggers(spark, live.tracker, tmp_path)
+    assert n == 1 and {r.stream_id for r in got} == {"de", "en"}
