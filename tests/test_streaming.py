@@ -195,3 +195,8 @@ def test_a_delivery_of_many_files_is_one_trigger_of_the_tracker(spark, tmp_path)
     """Each file was a trigger, of seconds each."""
     n, got = triggers(spark, live.tracker, tmp_path)
     assert n == 1 and {r.stream_id for r in got} == {"de", "en"}
+
+
+def test_a_delivery_of_many_files_is_one_trigger_of_open_windows(spark, tmp_path):
+    n, got = triggers(spark, live.open_windows, tmp_path)
+    assert n == 1 and {(r.stream_id, r.ord) for r in got} == {("de", 34), ("en", 35)}
